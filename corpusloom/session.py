@@ -49,16 +49,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder of ``spark.checkpoint.dir``.
-
-    Cuts the lineage, so that a lost executor costs no recomputation of what came before. The folder
-    is read from the session; one is set only where the session names none, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; one is made only where it names none."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
+    return sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder: a lost executor costs no recomputation of what came before."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
