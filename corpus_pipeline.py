@@ -1,13 +1,84 @@
-"""A corpus pipeline of operators from corpusloom.llm; STAGES run in order, each on what the one before kept."""
+"""A corpus pipeline of operators from corpusloom.llm.
+
+STAGES run in this order, each on what the one before kept: language identification, near duplicates, repeated
+passages, benchmark leaks, mixing. Each stage's result is written as Parquet to the shared folder and read again as
+the documents of the next, so that a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm.decontaminate import Decontaminate
+from corpusloom.llm.jaccard_join import JaccardJoin
+from corpusloom.llm.language_id import LanguageId, held_out
+from corpusloom.llm.mixing import PoissonMix
+from corpusloom.llm.suffix_dedup import SuffixDedup
+from corpusloom.session import checkpoint_folder, durable, read_table
+
+#: Each stage but the last returns the columns of the table ``documents``.
+ORACLE_SQL = None  # the stages' suffix comparisons and trained model have no SQL; tests compare with brute force
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; null texts and texts without a letter go."""
+    model = LanguageId().fit(docs.where(~held_out() & F.col("doc_id").isNotNull()))
+    return model.annotate(docs).where(F.col("lang_pred") != "und").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of the smallest doc_id."""
+    names = docs.columns
+    unclear = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    key = "doc_id"
+    if not unclear.isEmpty():
+        # doc_id doesn't tell rows apart: number them, and keep the numbers.
+        key = "row_key"
+        docs = durable(docs.select(F.monotonically_increasing_id().alias(key), *names))
+    groups = JaccardJoin().components(docs, id_col=key)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, docs[key] == F.col("gone"), "left_anti").select(*names)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 400-byte passages that stand elsewhere too; n_chars follows the text."""
+    carry = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    kept = SuffixDedup().dedup(docs, with_text=True, carry=carry)
+    return kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    carry = [c for c in docs.columns if c not in ("doc_id", "text")]
+    hits = Decontaminate().annotate_hits(docs, read_table(spark, sf_dir, "benchmark"), with_text=True, carry=carry)
+    return hits.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the sources' target weights, in random order."""
+    return PoissonMix().mix(docs)
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("suffix_array_dedup", drop_repeated_passages),
+    ("benchmark_decontamination", drop_benchmark_leaks),
+    ("mix_sources", mix_sources),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to the documents of ``sf_dir``."""
-    raise NotImplementedError
+    docs = read_table(spark, sf_dir, "documents")
+    folder = f"{checkpoint_folder(spark)}/corpus-pipeline-{uuid.uuid4()}"
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

@@ -8,7 +8,7 @@ of memory for each byte of the longest document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -79,10 +79,10 @@ class Rolling:
 class Block:
     """Documents in order of doc_id (null first), their bytes joined with nothing between."""
 
-    __slots__ = ("block_id", "doc_ids", "has_id", "lengths", "data", "offsets")
+    __slots__ = ("block_id", "doc_ids", "has_id", "lengths", "data", "offsets", "rest")
 
-    def __init__(self, block_id, doc_ids, has_id, lengths, data) -> None:
-        self.block_id, self.doc_ids, self.has_id, self.lengths, self.data = block_id, doc_ids, has_id, lengths, data
+    def __init__(self, block_id, doc_ids, has_id, lengths, data, rest=()) -> None:
+        self.block_id, self.doc_ids, self.has_id, self.lengths, self.data, self.rest = block_id, doc_ids, has_id, lengths, data, rest
         self.offsets = np.zeros(len(doc_ids) + 1, np.int64)
         np.cumsum(np.maximum(lengths, 0), out=self.offsets[1:])
 
@@ -101,12 +101,13 @@ class Block:
         return np.where(self.has_id, self.doc_ids, np.iinfo(np.int64).min)
 
 
-def encode_block(docs: list[tuple[int | None, bytes | None]]) -> bytes:
+def encode_block(docs: list[tuple[int | None, bytes | None, bytes]]) -> bytes:
     n = len(docs)
-    ids = np.array([d or 0 for d, _ in docs], np.int64)
-    has = np.array([d is not None for d, _ in docs], np.uint8)
-    lengths = np.array([-1 if t is None else len(t) for _, t in docs], np.int64)
-    raw = b"".join([np.int64(n).tobytes(), ids.tobytes(), has.tobytes(), lengths.tobytes(), *(t for _, t in docs if t)])
+    ids = np.array([d or 0 for d, _, _ in docs], np.int64)
+    has = np.array([d is not None for d, _, _ in docs], np.uint8)
+    lengths = np.array([-1 if t is None else len(t) for _, t, _ in docs], np.int64)
+    rest = np.array([len(r) for _, _, r in docs], np.int64)
+    raw = b"".join([np.int64(n).tobytes(), ids.tobytes(), has.tobytes(), lengths.tobytes(), rest.tobytes(), *(r for _, _, r in docs), *(t for _, t, _ in docs if t)])
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
@@ -116,7 +117,12 @@ def decode_block(block_id: int, payload: bytes) -> Block:
     ids = np.frombuffer(raw, np.int64, n, 8)
     has = np.frombuffer(raw, np.uint8, n, 8 + 8 * n).astype(bool)
     lengths = np.frombuffer(raw, np.int64, n, 8 + 9 * n)
-    return Block(block_id, ids, has, lengths, memoryview(raw)[8 + 17 * n :])
+    sizes = np.frombuffer(raw, np.int64, n, 8 + 17 * n).tolist()
+    at, rest = 8 + 25 * n, []
+    for size in sizes:
+        rest.append(raw[at : at + size])
+        at += size
+    return Block(block_id, ids, has, lengths, memoryview(raw)[at:], rest)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +133,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array([part << 24 | seq], pa.int64()), pa.array([len(docs)], pa.int32()), pa.array([encode_block(docs)], pa.binary())], ["block_id", "n_docs", "payload"])
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_buffer()
-            docs.append((doc_id, None if text is None else text.to_pybytes()))
-            size += len(docs[-1][1] or b"") + 16
+        for doc_id, text, rest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            text, rest = text.as_buffer(), rest.as_buffer()
+            docs.append((doc_id, None if text is None else text.to_pybytes(), b"" if rest is None else rest.to_pybytes()))
+            size += len(docs[-1][1] or b"") + len(docs[-1][2]) + 16
             if size >= BLOCK_BYTES:
                 yield row()
                 seq, docs, size = seq + 1, [], 0
@@ -138,13 +144,22 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Blocks of ``docs`` (see module); rows of one input partition stay together, nothing is shuffled.
 
-    Other columns are not read. A block's number holds for this plan alone: keep the blocks with
-    ``session.durable`` before two plans refer to them.
+    ``carry``: other columns that the blocks keep, as JSON; ``with_carried`` reads them again. A block's
+    number holds for this plan alone: keep the blocks with ``session.durable`` before two plans refer to them.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(_pack, BLOCK_SCHEMA)
+    rest = F.to_json(F.struct(*carry)).cast("binary") if carry else F.lit(None).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), rest.alias("rest")).mapInArrow(_pack, BLOCK_SCHEMA)
+
+
+def with_carried(result: DataFrame, docs: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """``result`` with its JSON column ``rest`` read back as the columns ``carry`` of ``docs``."""
+    kept = F.from_json("rest", docs.select(*carry).schema)
+    if not carry:
+        return result.drop("rest")
+    return result.withColumn("rest", kept).select(*(c for c in result.columns if c != "rest"), *(F.col("rest")[c].alias(c) for c in carry))
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, dict]]:

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import runs as R
-from corpusloom.llm.blocks import ALNUM, BLOCK_BYTES, Block, Rolling, Words, blocks_of, covered, pack, sliding_owner, spread
+from corpusloom.llm.blocks import ALNUM, BLOCK_BYTES, Block, Rolling, Words, blocks_of, covered, pack, sliding_owner, spread, with_carried
 from corpusloom.session import durable, ship_package, shuffle_partitions
 
 U = np.uint64
@@ -119,17 +119,17 @@ class Decontaminate:
             raise ValueError("gram must lie between 1 and window")
         self.window, self.gram, self.broadcast_bytes = window, gram, broadcast_bytes
 
-    def annotate_hits(self, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_items: bool = False) -> DataFrame:
-        """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; the item ids too if ``with_items``."""
+    def annotate_hits(self, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_items: bool = False, with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+        """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; ``with_items``: the item ids; ``with_text``: text and the columns ``carry``."""
         ship_package(docs.sparkSession)
         window, gram = self.window, self.gram
         items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").cast("binary").alias("text")).where("text is not null")
         size = items.agg(F.coalesce(F.sum(F.length("text") + F.length("item") + 16), F.lit(0))).first()[0]
         if size <= self.broadcast_bytes:
             shared = docs.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in items.collect()])
-            blocks, index_of = pack(docs, id_col, text_col), _shared_index(shared, window, gram)
+            blocks, index_of = pack(docs, id_col, text_col, carry), _shared_index(shared, window, gram)
         else:
-            blocks, index_of = self._with_items(docs, items, id_col, text_col), _own_index(window, gram)
+            blocks, index_of = self._with_items(docs, items, id_col, text_col, carry), _own_index(window, gram)
 
         def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block, row in blocks_of(batches):
@@ -145,15 +145,21 @@ class Decontaminate:
                 named = [sorted(x) for x in per_doc]
                 cols = [pa.array(block.ids(), pa.int64()), pa.array(words.count, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in named], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named]), pa.array(n_hit > 0)]
                 names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-                yield pa.record_batch([*cols, pa.array(named, pa.list_(pa.string()))] if with_items else cols, [*names, "items"] if with_items else names)
+                if with_items:
+                    cols, names = [*cols, pa.array(named, pa.list_(pa.string()))], [*names, "items"]
+                if with_text:
+                    texts = [None if size < 0 else bytes(block.data[a : a + size]).decode() for a, size in zip(block.offsets.tolist(), block.lengths.tolist(), strict=False)]
+                    cols, names = [*cols, pa.array(texts, pa.string()), pa.array([r.decode() for r in block.rest])], [*names, "text", "rest"]
+                yield pa.record_batch(cols, names)
 
-        return blocks.mapInArrow(render, RESULT_SCHEMA + (", items array<string>" if with_items else ""))
+        result = blocks.mapInArrow(render, RESULT_SCHEMA + (", items array<string>" if with_items else "") + (", text string, rest string" if with_text else ""))
+        return with_carried(result, docs, carry) if with_text else result
 
-    def _with_items(self, docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def _with_items(self, docs: DataFrame, items: DataFrame, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
         """Blocks with the items that share a fingerprint with them, by a join on fingerprints."""
         spark = docs.sparkSession
         window, gram = self.window, self.gram
-        blocks = durable(pack(docs, id_col, text_col))
+        blocks = durable(pack(docs, id_col, text_col, carry))
         stored = blocks.select(F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()[0]
         bits = R.bucket_bits(stored / 6, shuffle_partitions(spark))
 

@@ -26,7 +26,7 @@ Cuts may fall inside a UTF-8 character; ``with_text`` then drops the incomplete
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import runs as R
-from corpusloom.llm.blocks import BYTE_VALUES, SECOND_VALUES, Block, Rolling, blocks_of, covered, mix, pack, sliding_owner, spread
+from corpusloom.llm.blocks import BYTE_VALUES, SECOND_VALUES, Block, Rolling, blocks_of, covered, mix, pack, sliding_owner, spread, with_carried
 from corpusloom.session import durable, ship_package, shuffle_partitions
 
 U = np.uint64
@@ -178,10 +178,11 @@ class SuffixDedup:
             raise ValueError("gram must lie between 1 and length")
         self.length, self.gram = length, gram
 
-    def annotate(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def annotate(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+        """Blocks with the answers of all three merges."""
         spark = docs.sparkSession
         ship_package(spark)
-        blocks = durable(pack(docs, id_col, text_col))
+        blocks = durable(pack(docs, id_col, text_col, carry))
         length, gram = self.length, self.gram
         stored = blocks.select(F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()[0]
         bits = R.bucket_bits(3 * stored / 20, shuffle_partitions(spark))
@@ -206,8 +207,8 @@ class SuffixDedup:
         b = R.with_replies(a, R.exchange(a, extents, _merge_extents), "b")
         return R.with_replies(b, R.exchange(b, strings, _merge_strings), "c")
 
-    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-        """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept_text if ``with_text``."""
+    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+        """doc_id, n_bytes, n_removed, n_spans, kept_sha256; kept_text (null where the text is) and the columns ``carry`` if ``with_text``."""
         length, gram = self.length, self.gram
 
         def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +231,12 @@ class SuffixDedup:
                     n_spans.append(int(np.count_nonzero(g[1:] & ~g[:-1])) + int(b > a and g[0]))
                     digests.append(hashlib.sha256(kept).hexdigest())
                     if with_text:
-                        texts.append(kept.decode("utf-8", "ignore"))
+                        texts.append(kept.decode("utf-8", "ignore") if block.lengths[len(texts)] >= 0 else None)
                 cols = [pa.array(block.ids(), pa.int64()), pa.array(np.maximum(block.lengths, 0), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests)]
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-                yield pa.record_batch([*cols, pa.array(texts, pa.string())] if with_text else cols, [*names, "kept_text"] if with_text else names)
+                if with_text:
+                    cols, names = [*cols, pa.array(texts, pa.string()), pa.array([r.decode() for r in block.rest])], [*names, "kept_text", "rest"]
+                yield pa.record_batch(cols, names)
 
-        return self.annotate(docs, id_col, text_col).mapInArrow(render, RESULT_SCHEMA + (", kept_text string" if with_text else ""))
+        result = self.annotate(docs, id_col, text_col, carry).mapInArrow(render, RESULT_SCHEMA + (", kept_text string, rest string" if with_text else ""))
+        return with_carried(result, docs, carry) if with_text else result
