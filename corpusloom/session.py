@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -10,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BYTES = 8 << 20
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -27,12 +30,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package's source to the executors, once per application.
+def prepare(spark: SparkSession) -> None:
+    """Make a session ready for this package's functions in Python workers.
 
-    Python workers import the modules of the functions they are sent, so they need the package even
-    where nobody has installed it.
+    Arrow batches are bounded by bytes (``ARROW_BYTES``, unless the session has less), as rows of long texts are
+    large. The package's source is sent to the executors, once per application: workers import the modules of the
+    functions they are sent, even where nobody has installed them.
     """
+    bound = spark.conf.get(_ARROW).rstrip("bB")
+    if not bound.isdigit() or int(bound) > ARROW_BYTES:
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -63,5 +70,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that no DataFrame refers to any more.
+
+    Its cleaner waits for the driver to collect garbage, by default half an hour; a step that has just
+    kept its result with ``durable`` needs none of the files behind it.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

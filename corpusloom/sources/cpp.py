@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusloom.model import PARSED
-from corpusloom.session import ship_package
+from corpusloom.session import prepare
 
 ANONYMOUS = "(anonymous)"
 _LITERAL = re.compile(r'//[^\n]*|/\*.*?\*/|R"([^()\\\s]{0,16})\(.*?\)\1"|"(?:\\.|[^"\\\n])*"|(?<![0-9A-Za-z_])\'(?:\\.|[^\'\\\n])+\'', re.S)
@@ -322,7 +322,7 @@ def parse(text: str) -> list[Symbol]:
 
 def parse_files(files: DataFrame) -> DataFrame:
     """The symbols of each file (path, text) in order; a file that can't be parsed gives one row with ``error``."""
-    ship_package(files.sparkSession)
+    prepare(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = PARSED.names

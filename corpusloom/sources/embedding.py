@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
-from corpusloom.session import ship_package
+from corpusloom.session import prepare
 
 Embed = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 DIMENSION = 128
@@ -38,7 +38,7 @@ def hash_embed(texts: Sequence[str]) -> list[list[float]]:
 
 def with_embeddings(rows: DataFrame, text_col: str, embed: Embed = hash_embed, out: str = "embedding", batch: int = 64) -> DataFrame:
     """``rows`` with the vector of ``text_col``; texts go to ``embed`` in batches, in order, and as many vectors must come back."""
-    ship_package(rows.sparkSession)
+    prepare(rows.sparkSession)
     rows = rows.drop(out)
     place = rows.columns.index(text_col)
     schema = StructType([*rows.schema.fields, StructField(out, ArrayType(FloatType(), False))])
