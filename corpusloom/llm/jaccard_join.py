@@ -36,13 +36,14 @@ from pyspark.sql import functions as F
 from corpusloom.llm import runs as R
 from corpusloom.llm.blocks import Block, Words, blocks_of, mix, pack
 from corpusloom.llm.components import UnionFind, connected_components
-from corpusloom.session import durable, ship_package, shuffle_partitions
+from corpusloom.session import durable, prepare, release_shuffles, shuffle_partitions
 
 U = np.uint64
 SHINGLE, PERCENT = 5, 75
-WIDTH = 44
+#: Bits of a shingle's hash that are exchanged; a collision only keeps a shingle that stands nowhere else.
+WIDTH = 40
 TILE = 128
-SETS_SCHEMA = "doc_id long, n_shingles long, hi long, lo long, tokens binary, prefix array<long>"
+SETS_SCHEMA = "doc_id long, n_shingles long, hi long, lo long, tokens binary, prefix int"
 
 
 class _Shingles:
@@ -116,9 +117,8 @@ def sets_of(blocks: DataFrame, k: int, percent: int) -> DataFrame:
                 a, b = int(stop[d - 1]) if d else 0, int(stop[d])
                 tokens[d] = h[a:b].tobytes()
                 # Shingles that stand nowhere else come first in the order and match nothing.
-                size = int(s.size[d] - least[d] + 1 - (s.size[d] - (b - a)))
-                prefix[d] = h[a : a + size].view(np.int64)
-            yield pa.record_batch([pa.array(block.ids(), pa.int64()), pa.array(s.size, pa.int64()), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(tokens, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "hi", "lo", "tokens", "prefix"])
+                prefix[d] = int(s.size[d] - least[d] + 1 - (s.size[d] - (b - a)))
+            yield pa.record_batch([pa.array(block.ids(), pa.int64()), pa.array(s.size, pa.int64()), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(tokens, pa.binary()), pa.array(prefix, pa.int32())], ["doc_id", "n_shingles", "hi", "lo", "tokens", "prefix"])
 
     return R.with_replies(blocks, R.exchange(blocks, send, _merge_counts), "counts").mapInArrow(render, SETS_SCHEMA)
 
@@ -232,6 +232,13 @@ def link_tile(entries: list[Entry], percent: int, apart: int | None = None) -> l
     return out
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each token of each set's prefix."""
+    for batch in batches:
+        for node, tokens, n in zip(batch.column("node").to_pylist(), batch.column("tokens").to_pylist(), batch.column("prefix").to_pylist(), strict=True):
+            yield pa.record_batch([pa.array([node] * n, pa.int64()), pa.array(np.frombuffer(tokens, np.int64, n))], ["node", "token"])
+
+
 def _tile_blob(table: pa.Table) -> bytes:
     rows = zip(table["node"].to_pylist(), table["label"].to_pylist(), table["n_shingles"].to_pylist(), table["tokens"].to_pylist(), strict=True)
     return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(sorted(rows, key=lambda r: (r[2], r[0]))))
@@ -255,10 +262,12 @@ class JaccardJoin:
 
     def components(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_shingles, component_id; one row per row of ``docs``."""
-        ship_package(docs.sparkSession)
+        prepare(docs.sparkSession)
         rows = durable(sets_of(durable(pack(docs, id_col, text_col)), self.shingle, self.percent))
+        release_shuffles(docs.sparkSession)
         classes = rows.where("tokens is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix"))
         classes = durable(classes.select(F.monotonically_increasing_id().alias("node"), "*"))
+        release_shuffles(docs.sparkSession)
         links = self._links(classes)
         labels = connected_components(links)
         named = classes.select("node", "hi", "lo", "least").join(labels, "node", "left").select("hi", "lo", "least", F.coalesce("label", "node").alias("label"))
@@ -271,7 +280,7 @@ class JaccardJoin:
 
     def _links(self, classes: DataFrame) -> DataFrame:
         """Links (u, v) that connect every component of the classes."""
-        shared = classes.select("node", F.explode("prefix").alias("token"))
+        shared = classes.select("node", "tokens", "prefix").mapInArrow(_prefixes, "node long, token long")
         least = shared.groupBy("token").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("token", "v")
         edges = shared.join(least, "token").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
         group = connected_components(edges).withColumnRenamed("label", "group")
@@ -279,6 +288,7 @@ class JaccardJoin:
         size = group.groupBy("group").agg(F.count("*").alias("members"))
         sets = durable(group.join(size, "group").join(classes.select("node", "n_shingles", "tokens"), "node").withColumn("label", F.col("node")))
         links = durable(self._within(sets.withColumn("tile", self._deal("members"))))
+        release_shuffles(classes.sparkSession)
         large = sets.where(F.col("members") > tile)
         if large.isEmpty():
             return links
