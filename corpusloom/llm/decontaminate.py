@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import runs as R
 from corpusloom.llm.blocks import ALNUM, BLOCK_BYTES, Block, Rolling, Words, blocks_of, covered, pack, sliding_owner, spread, with_carried
-from corpusloom.session import durable, ship_package, shuffle_partitions
+from corpusloom.session import durable, prepare, shuffle_partitions
 
 U = np.uint64
 WINDOW, GRAM = 10, 5
@@ -121,7 +121,7 @@ class Decontaminate:
 
     def annotate_hits(self, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_items: bool = False, with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
         """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; ``with_items``: the item ids; ``with_text``: text and the columns ``carry``."""
-        ship_package(docs.sparkSession)
+        prepare(docs.sparkSession)
         window, gram = self.window, self.gram
         items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").cast("binary").alias("text")).where("text is not null")
         size = items.agg(F.coalesce(F.sum(F.length("text") + F.length("item") + 16), F.lit(0))).first()[0]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
-from corpusloom.session import durable, ship_package
+from corpusloom.session import durable, prepare
 
 THRESHOLD = 0.9
 K, TREES, ROUNDS, RECALL = 8, 3, 12, 0.99
@@ -59,7 +59,7 @@ class EmbeddingDedup:
 
     def components(self, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
         """vec_id, n_links, component_id, kept; one row per row of ``vectors``."""
-        ship_package(vectors.sparkSession)
+        prepare(vectors.sparkSession)
         raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
         bad = F.col("x").isNull() | (F.size("x") == 0) | F.exists("x", lambda a: a.isNull() | F.isnan(a) | (F.abs(a) == float("inf"))) | ~F.exists("x", lambda a: a != 0)
         rows = raw.withColumn("x", F.when(~F.coalesce(bad, F.lit(True)), F.col("x")))

@@ -13,7 +13,7 @@ from corpusloom.llm.embedding_dedup import EmbeddingDedup
 from corpusloom.llm.jaccard_join import JaccardJoin
 from corpusloom.llm.language_id import LanguageId, held_out
 from corpusloom.llm.license_scan import LicenseScan
-from corpusloom.llm.mixing import PoissonMix
+from corpusloom.llm.mixing import SEED, PoissonMix
 from corpusloom.llm.substring_dedup import SubstringDedup
 from corpusloom.llm.suffix_dedup import SuffixDedup
 from corpusloom.llm.token_counts import TokenCounts
@@ -82,5 +82,66 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP1 = f"""WITH d AS (SELECT doc_id, coalesce({_WORDS.format("coalesce(text, '')")}, []) AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+win AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS h FROM d JOIN p USING (doc_id) WHERE i + 19 <= n),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+marked AS (SELECT p.doc_id, p.i, word, coalesce(max(l.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS UNBOUNDED PRECEDING) > p.i - 20, false) AS gone FROM p LEFT JOIN later l ON l.doc_id = p.doc_id AND l.i = p.i),
+sums AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id)"""
+
+_ESCAPE = "regexp_replace({}, '<(\\\\*)\\|', '<\\\\\\1|', 'g')"
+_OP3 = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+s AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, sha256(text)) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn, role, sha256(text)) FILTER (WHERE role = 'assistant'), '') AS loss, sum(length({_ESCAPE.format("role")}) + length({_ESCAPE.format("text")}) + {len("<|im_start|><|im_sep|><|im_end|>")}) AS chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM s"""
+
+_REACH = """labels AS (SELECT a, min(b) AS label FROM (SELECT a, b FROM reach) GROUP BY a)"""
+_OP4 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+sh AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s FROM d),
+sizes AS (SELECT doc_id, count(*) AS n, sha256(string_agg(sha256(s), '' ORDER BY sha256(s))) AS sig FROM sh GROUP BY doc_id),
+cls AS (SELECT sig, min(doc_id) AS rep, any_value(n) AS n FROM sizes GROUP BY sig),
+own AS (SELECT rep, n, s FROM sh JOIN cls ON doc_id = rep),
+common AS (SELECT a.rep AS x, b.rep AS y, count(*) AS k FROM own a JOIN own b ON a.s = b.s AND a.rep < b.rep GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN cls p ON p.rep = x JOIN cls q ON q.rep = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(a, b) AS (SELECT rep, rep FROM cls UNION SELECT a, y FROM reach JOIN both_ways ON b = x), {_REACH}
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(label, d.doc_id) AS component_id FROM d LEFT JOIN sizes z USING (doc_id) LEFT JOIN cls USING (sig) LEFT JOIN labels ON a = rep"""
+
+_OP6 = f"""WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, sqrt(n) / (SELECT sum(sqrt(n)) FROM counts) * (SELECT count(*) FROM documents) / n AS rate FROM counts),
+walk AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM walk WHERE k < ceil(rate + 12 * sqrt(rate) + 20)),
+u AS (SELECT *, ('0x' || substr(md5('{SEED}|1|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+drawn AS (SELECT u.*, (SELECT count(*) FROM walk w WHERE w.source IS NOT DISTINCT FROM u.source AND w.c <= u.u) AS copies FROM u)
+SELECT doc_id, text, lang, source, n_chars, g.k::INT AS mix_copy, md5('{SEED}|order|' || coalesce(doc_id::VARCHAR, '') || '|' || g.k) AS mix_order FROM drawn, generate_series(1, 60) g(k) WHERE g.k <= copies"""
+
+_OP8 = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0 AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT a, y FROM reach JOIN links ON b = x), {_REACH}
+SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, label AS component_id, vec_id = label AS kept FROM v JOIN labels ON a = vec_id"""
+
+_ALNUM = "list_filter(regexp_split_to_array({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+_OP10 = f"""WITH d AS (SELECT doc_id, {_ALNUM.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+b AS (SELECT item_id, {_ALNUM.format(_LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS s FROM b WHERE len(w) > 0),
+dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n),
+hit AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN iw ON dw.s = iw.s AND dw.n = iw.n),
+words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has no suffix automata, byte-pair merges, compression or byte strings at this scale: 2, 5, 7 and 9 are tested by brute force."""
+    return {
+        "op1_substring_dedup": _OP1,
+        "op3_chat_format": _OP3,
+        "op4_ngram_jaccard_join": _OP4,
+        "op6_mix_sources": _OP6,
+        "op8_embedding_near_dedup": _OP8,
+        "op10_benchmark_decontamination": _OP10,
+    }

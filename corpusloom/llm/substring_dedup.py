@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import runs as R
 from corpusloom.llm.blocks import Block, Rolling, Words, blocks_of, covered, pack, sliding_owner, spread
-from corpusloom.session import durable, ship_package, shuffle_partitions
+from corpusloom.session import durable, prepare, shuffle_partitions
 
 U = np.uint64
 _CHECK_MULT = 0xA0761D6478BD642F
@@ -133,7 +133,7 @@ class SubstringDedup:
 
     def annotate(self, docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Blocks with the answers of both rounds; what ``dedup`` and other renderings read."""
-        ship_package(docs.sparkSession)
+        prepare(docs.sparkSession)
         blocks = durable(pack(docs, id_col, text_col))
         window, gram, bits = self.window, self.gram, self._bits(blocks)
 
@@ -187,7 +187,7 @@ class SubstringDedup:
 
     def index_run(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """The batch's runs for the index, level 0: anchors (kind 0) and windows (kind 1), one row per block and bucket."""
-        ship_package(docs.sparkSession)
+        prepare(docs.sparkSession)
         blocks = durable(pack(docs, id_col, text_col))
         window, gram, bits = self.window, self.gram, self._bits(blocks)
 
@@ -209,7 +209,7 @@ class SubstringDedup:
     @staticmethod
     def compact(index: DataFrame) -> DataFrame:
         """All runs of each kind and bucket merged into one, a level up; a window keeps its earliest document."""
-        ship_package(index.sparkSession)
+        prepare(index.sparkSession)
 
         def merge(table: pa.Table) -> pa.Table:
             kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
