@@ -4,8 +4,10 @@ import json
 
 import pytest
 
+from corpusloom.plans.evaluate import evaluate, write_report
 from corpusloom.plans.facade import Engine, ranked_names
 from corpusloom.plans.index import Indexer
+from corpusloom.sources.files import evaluation_queries
 from corpusloom.sources.store import SnapshotStore
 from corpusloom.streaming.reindex import reindex_stream
 
@@ -48,6 +50,21 @@ def test_requests(engine):
     assert module["module"]["header_count"] == 1 and [d["module_name"] for d in module["dependencies"]] == ["string"]
 
 
+def test_evaluation(engine, spark, tmp_path):
+    queries = [
+        {"id": "a", "tool": "callers", "query": "Who calls math::text_of?", "expected_symbols": ["app::Widget::name"]},
+        {"id": "b", "tool": "deps", "query": "Dependencies of app::Widget::name", "depth": 2, "expected_symbols": ["string"]},
+        {"id": "c", "tool": "semantic_search", "query": "twice", "expected_symbols": ["nobody"]},
+        {"id": "d", "tool": "explain", "query": "Explain zz", "expected_symbols": ["zz"]},
+    ]
+    (tmp_path / "q.json").write_text(json.dumps(queries))
+    ranks, scores = evaluate(engine, evaluation_queries(spark, str(tmp_path / "q.json")))
+    write_report(ranks, scores, str(tmp_path / "report"))
+    assert {r["query_id"]: r["first_rank"] for r in spark.read.json(str(tmp_path / "report/ranks")).collect()} == {"a": 1, "b": 3, "c": None, "d": None}
+    got = {r["tool_group"]: r for r in spark.read.json(str(tmp_path / "report/metrics")).collect()}
+    assert got["structural"]["precision_at_5"] == 1.0 and got["semantic"]["mrr"] == 0.0 and got["overall"]["queries"] == 3
+
+
 def test_failures(engine):
     status = lambda *a: engine.handle(*a)["status"]
     assert status("GET", "/status") == 200 and status("POST", "/status") == 405 and status("GET", "/deps") == 405
