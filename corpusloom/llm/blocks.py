@@ -8,7 +8,9 @@ of memory for each byte of the longest document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,26 @@ U = np.uint64
 _MULT, _WORD_MULT, _SECOND_MULT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB
 
 
+def tidy() -> None:
+    """Give memory back to the system: a worker that has done its partition lives on for other stages' partitions."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``f`` over a partition's batches, then ``tidy``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            tidy()
+
+    return run
+
+
 def splitmix(n: int, seed: int) -> np.ndarray:
     """``n`` pseudo-random 64-bit values."""
     with np.errstate(over="ignore"):
@@ -108,7 +130,7 @@ def encode_block(docs: list[tuple[int | None, bytes | None, bytes]]) -> bytes:
     lengths = np.array([-1 if t is None else len(t) for _, t, _ in docs], np.int64)
     rest = np.array([len(r) for _, _, r in docs], np.int64)
     raw = b"".join([np.int64(n).tobytes(), ids.tobytes(), has.tobytes(), lengths.tobytes(), rest.tobytes(), *(r for _, _, r in docs), *(t for _, t, _ in docs if t)])
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=2).compress(raw)
 
 
 def decode_block(block_id: int, payload: bytes) -> Block:
@@ -151,7 +173,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     number holds for this plan alone: keep the blocks with ``session.durable`` before two plans refer to them.
     """
     rest = F.to_json(F.struct(*carry)).cast("binary") if carry else F.lit(None).cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), rest.alias("rest")).mapInArrow(_pack, BLOCK_SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), rest.alias("rest")).mapInArrow(tidied(_pack), BLOCK_SCHEMA)
 
 
 def with_carried(result: DataFrame, docs: DataFrame, carry: Sequence[str]) -> DataFrame:
@@ -164,11 +186,14 @@ def with_carried(result: DataFrame, docs: DataFrame, carry: Sequence[str]) -> Da
 
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, dict]]:
     """Each row's block with the row's other columns."""
-    for batch in batches:
-        names = [n for n in batch.schema.names if n not in ("block_id", "payload", "n_docs")]
-        for i in range(batch.num_rows):
-            row = {n: batch.column(n)[i].as_py() for n in names}
-            yield decode_block(batch.column("block_id")[i].as_py(), batch.column("payload")[i].as_py()), row
+    try:
+        for batch in batches:
+            names = [n for n in batch.schema.names if n not in ("block_id", "payload", "n_docs")]
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i].as_py() for n in names}
+                yield decode_block(batch.column("block_id")[i].as_py(), batch.column("payload")[i].as_py()), row
+    finally:
+        tidy()
 
 
 # --- words ---------------------------------------------------------------------------------------

@@ -28,17 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from corpusloom.session import ship_package
+from corpusloom.llm.blocks import tidied
+from corpusloom.session import prepare
 
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 400
 #: Characters of a language's sample that its automaton takes at most.
 AUTOMATON_CHARS = 20_000
 ALPHABET = 48
 PIECE = 256
-PIECES_AT_ONCE = 1 << 14
+PIECES_AT_ONCE = 1 << 13
 _LETTER = re.compile(r"[^\W\d_]")
 _BREAK = np.int32(-(1 << 31))
 
@@ -177,7 +177,7 @@ class LanguageId:
 
     def annotate(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """``docs`` with lang_pred and score; columns of these names are replaced."""
-        ship_package(docs.sparkSession)
+        prepare(docs.sparkSession)
         docs = docs.drop("lang_pred", "score")
         samples = self.samples
         schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
@@ -185,12 +185,12 @@ class LanguageId:
 
         def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    part = batch.slice(at, 2000)
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
                     found = _parser(samples).predict(part.column(place).to_pylist())
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
-        return docs.mapInArrow(predict, schema)
+        return docs.mapInArrow(tidied(predict), schema)
 
     def predict(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
         """The id, columns of ``keep``, lang_pred, score."""

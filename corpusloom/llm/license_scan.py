@@ -26,7 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import ship_package
+from corpusloom.llm.blocks import tidied
+from corpusloom.session import prepare
 
 RESULT_SCHEMA = "doc_id long, first_line int, last_line int, license_id string, rank int, saved_bytes int, template_words int, matched_words int, differences string"
 #: Share of a template's words that have to be there.
@@ -156,7 +157,7 @@ class LicenseScan:
         self.templates, self.share = tuple(templates), share
 
     def scan(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        ship_package(docs.sparkSession)
+        prepare(docs.sparkSession)
         templates, share = self.templates, self.share
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,4 +169,4 @@ class LicenseScan:
                     names = ["doc_id", "first_line", "last_line", "license_id", "rank", "saved_bytes", "template_words", "matched_words", "differences"]
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, RESULT_SCHEMA)
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), RESULT_SCHEMA)

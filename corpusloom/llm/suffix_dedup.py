@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import runs as R
 from corpusloom.llm.blocks import BYTE_VALUES, SECOND_VALUES, Block, Rolling, blocks_of, covered, mix, pack, sliding_owner, spread, with_carried
-from corpusloom.session import durable, ship_package, shuffle_partitions
+from corpusloom.session import durable, prepare, shuffle_partitions
 
 U = np.uint64
 LENGTH, GRAM = 400, 320
@@ -181,7 +181,7 @@ class SuffixDedup:
     def annotate(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
         """Blocks with the answers of all three merges."""
         spark = docs.sparkSession
-        ship_package(spark)
+        prepare(spark)
         blocks = durable(pack(docs, id_col, text_col, carry))
         length, gram = self.length, self.gram
         stored = blocks.select(F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()[0]

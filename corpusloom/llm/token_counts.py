@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import ship_package
+from corpusloom.llm.blocks import tidied
+from corpusloom.session import prepare
 
 LIMIT = 2048
 #: Pre-tokens whose counts a worker remembers.
@@ -146,7 +147,7 @@ class TokenCounts:
 
     def count(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_bytes, n_tokens, over_limit; one row per row of ``docs``."""
-        ship_package(docs.sparkSession)
+        prepare(docs.sparkSession)
         path, limit = self.path, self.limit
         whole = docs.sparkSession.sparkContext.broadcast(prove_whole_tokens(path))
 
@@ -159,4 +160,4 @@ class TokenCounts:
                 tokens = counting.counts(texts)
                 yield pa.record_batch([batch.column(0), pa.array([len(t) if t.isascii() else len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, RESULT_SCHEMA)
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), RESULT_SCHEMA)
