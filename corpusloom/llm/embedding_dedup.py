@@ -12,7 +12,8 @@
 5. The edges of ``threshold`` or more are the links; components follow from them.
 
 A group or leaf of more than ``TILE`` classes is cut into tiles and its pairs of tiles are compared, each in a task of its
-own; over ``TILES`` tiles, only within tiles, dealt anew in each round.
+own; over ``TILES`` tiles, rounds compare only within tiles, dealt anew in each. Where groups have so
+many tiles, further rounds compare all pairs of tiles, until two of them find no further link.
 
 Cosines are computed in double precision from the vectors as they are. Defined cases: vectors that are null, empty, zero,
 or hold null or non-finite components link with nothing. Vectors of different length don't link. A null vec_id takes
@@ -23,6 +24,7 @@ Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ from corpusloom.session import durable, prepare
 THRESHOLD = 0.9
 K, TREES, ROUNDS, RECALL = 8, 3, 12, 0.99
 TILE, TILES, LEAF = 512, 8, 192
+#: Groups that a class joins in a closing round.
+CLOSING = 4
 #: Queries of an audit at most: their vectors go to every task.
 AUDIT = 2000
 
@@ -97,7 +101,23 @@ class EmbeddingDedup:
             self.last_recall = hit / expected if expected else 1.0
             if r and self.last_recall >= self.recall:
                 break
-        return graph.where(F.col("sim") >= self.threshold)
+        return self._close(graph, vectors).where(F.col("sim") >= self.threshold)
+
+    def _close(self, graph: DataFrame, vectors: DataFrame) -> DataFrame:
+        """Where groups have many tiles: compare groups in full, until two rounds find no further link."""
+        links, still = -1, 0
+        for r in count(self.rounds):
+            groups = self._hubs(graph, vectors, CLOSING * r)
+            for k in range(1, CLOSING):
+                groups = groups.unionByName(self._hubs(graph, vectors, CLOSING * r + k))
+            if groups.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > TILE * TILES).isEmpty():
+                break
+            found = graph.where(F.col("sim") >= self.threshold).count()
+            still = still + 1 if found == links else 0
+            if still == 2:
+                break
+            links, graph = found, durable(self._keep(graph.unionByName(self._compare(groups, r, in_full=True))))
+        return graph
 
     def _leaves(self, vectors: DataFrame, n: int, r: int) -> DataFrame:
         """Each class in a leaf of each of this round's trees: the signs of its products with random vectors."""
@@ -122,15 +142,15 @@ class EmbeddingDedup:
         both = graph.select("u", "v").union(graph.select(F.col("v").alias("u"), F.col("u").alias("v")))
         key = lambda c: F.struct(F.xxhash64(c, F.lit(r)).alias("h"), F.col(c).alias("hub"))
         chosen = both.groupBy("u").agg(F.min(key("v")).alias("best")).select(F.col("u").alias("node"), F.least(F.col("best"), key("u"))["hub"].alias("hub"))
-        return chosen.join(vectors, "node").select(F.concat_ws("/", F.col("hub").cast("string"), F.col("dim").cast("string")).alias("group"), "node", "x")
+        return chosen.join(vectors, "node").select(F.concat_ws("/", F.lit(str(r)), F.col("hub").cast("string"), F.col("dim").cast("string")).alias("group"), "node", "x")
 
-    def _compare(self, grouped: DataFrame, r: int) -> DataFrame:
-        """Edges (u, v, sim) between the classes of a group: all links and each one's nearest ``k``."""
+    def _compare(self, grouped: DataFrame, r: int, in_full: bool = False) -> DataFrame:
+        """Edges (u, v, sim) between the classes of a group: all links and each one's nearest ``k``. ``in_full``: however many tiles it has."""
         threshold, k = self.threshold, self.k
         sizes = grouped.groupBy("group").agg(F.count("*").alias("members")).where("members > 1")
         tiles = F.ceil(F.col("members") / TILE).cast("int")
         dealt = grouped.join(sizes, "group").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("node", F.lit(r)), F.col("tiles")).cast("int"))
-        others = F.when(F.col("tiles") <= TILES, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("own"))
+        others = F.when(F.lit(in_full) | (F.col("tiles") <= TILES), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("own"))
         pairs = dealt.withColumn("other", F.explode(others)).select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "x")
 
         def compare(table: pa.Table) -> pa.Table:

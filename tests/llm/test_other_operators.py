@@ -221,6 +221,18 @@ def test_whole_tokens_are_proved():
 # --- embeddings ------------------------------------------------------------------------------
 
 
+def test_a_group_of_many_tiles_is_compared_in_full(spark, monkeypatch):
+    from corpusloom.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "TILE", 4)
+    monkeypatch.setattr(embedding_dedup, "TILES", 1)
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(16)
+    rows = [(i, [float(x) for x in centre + 0.01 * rng.standard_normal(16)]) for i in range(30)]
+    got = EmbeddingDedup(rounds=3).components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert all((r["n_links"], r["component_id"]) == (29, 0) for r in got)
+
+
 def test_embedding_near_dedup(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((300, 16))
