@@ -1,26 +1,26 @@
 """Suffix-array dedup: removes every byte covered by a 400-byte string that also stands anywhere else.
 
-Suffixes are compared by prefix polynomial hashes: any range of bytes hashes in constant time, so two
-suffixes compare by a few hash comparisons instead of byte by byte, and a common extension is found
-without reading it. Only how far suffixes agree up to ``length`` bytes matters, so each suffix sorts by
-the hash of its first bytes: those that share a prefix of that length become neighbours. Every block
-sorts its own suffixes into runs; merging the runs of a bucket is the mergesort's upper levels.
+Suffixes are compared by prefix polynomial hashes: any range of bytes hashes in constant time, so a binary search
+finds how far two suffixes agree, and one comparison in the mergesort costs a logarithm of the length instead of
+the length (``SuffixOrder``). Neighbours in the sorted order that agree for ``length`` bytes are copies; their bytes
+are compared against collisions before anything is removed.
 
-Three merges, each over fewer suffixes with a longer prefix:
+A corpus has far more suffixes than have to be sorted. Two exchanges of hashes leave those that matter:
 
-1. of 320-byte prefixes, one suffix in about 41: the smallest hash in each window of 81 (winnowing). Every
-   400-byte string holds one such anchor, and equal strings hold it at equal distance, so strings with
-   an anchor that stands nowhere else are unique.
-2. of whole extents: all bytes of the strings that share an anchor. An extent that stands elsewhere is
-   repeated as a whole (the inside of long copies, settled without looking at single strings).
-3. of the 400-byte strings of the remaining extents (the ends of copies), one copy of each extent.
+1. Anchors: the smallest 320-byte hash in each window of 81 (winnowing), one place in about 41. Every 400-byte
+   string holds one, and equal strings hold it at equal distance, so strings with an anchor that stands nowhere
+   else are unique. This is a filter: a collision only keeps more.
+2. Extents: all bytes of the strings that share an anchor. An extent that stands elsewhere (128 bits of two hashes
+   agree) is repeated as a whole: the inside of long copies is settled without looking at single strings.
+3. What is left are the ends of copies. Extents that share an anchor meet in one task, one copy of each, and the
+   suffixes that begin at equal distance from the anchor are sorted there, as above.
 
-Equality is verified against collisions: merges 2 and 3 settle a removal only where a second hash of the
-same bytes agrees too (96 bits or more in all); merge 1 is a filter and may err by keeping more.
+An anchor that stands in ``HOT_RUNS`` blocks or more is never gathered: its strings are dealt out one by one by their
+hash instead, and are equal where 96 bits of two independent hashes agree.
 
 Defined cases: null text counts as empty; texts under 400 bytes lose nothing. Rows that share a doc_id or
-have none are documents of their own. Other columns are ignored. An empty table gives an empty result.
-Cuts may fall inside a UTF-8 character; ``with_text`` then drops the incomplete bytes.
+have none are documents of their own. Other columns are ignored, or kept with ``carry``. An empty table gives an
+empty result. Cuts may fall inside a UTF-8 character; ``with_text`` then drops the incomplete bytes.
 """
 
 from __future__ import annotations
@@ -77,6 +77,7 @@ class _Extents:
         keep = R.repeated(g.hash, ANCHOR_BITS, replies)
         self.hot = R.repeated(g.hash, ANCHOR_BITS, replies, 1, local=False)[keep]
         self.first, self.last, self.anchor = g.first[keep], g.last[keep], g.hash[keep]
+        self.distance = g.owner[keep] - self.first
         end = self.last + s.length
         # The place of the strings about the anchor is part of the extent.
         self.extent = mix(s.rolling.ranges(self.first, end) + (self.last - self.first).astype(U))
@@ -127,16 +128,19 @@ def _merge_extents(parts: list[tuple[int, int, bytes]]) -> list[bytes]:
     return out
 
 
-class _Strings:
-    """The strings to compare one by one: those of the extents in ``compare`` (sent) and of the open segments (asked for)."""
+class _Ends:
+    """The strings of the extents to be compared: those of cold anchors, in run order, and those of hot ones."""
 
     def __init__(self, s: _Suffixes, x: _Extents, replies: list[dict] | None) -> None:
         self.whole, compare = x.settled(replies)
-        send = x.begin[compare]
+        hot = x.hot[x.begin]
+        self.cold = x.begin[compare & ~hot]
+        self.windows = x.last[self.cold] - x.first[self.cold] + 1
+        self.cold_at = spread(x.first[self.cold], self.windows)
+        send = x.begin[compare & hot]
         self.at = spread(x.first[send], x.last[send] - x.first[send] + 1)
         self.hash = s.rolling.ranges(self.at, self.at + s.length)
         self.check = (s.second.ranges(self.at, self.at + s.length) >> U(32)).astype(np.uint32) if len(self.at) else np.zeros(0, np.uint32)
-        self.open = np.repeat(~self.whole[send], x.last[send] - x.first[send] + 1)
         order = np.lexsort((self.check, self.hash))
         new = np.ones(len(order), bool)
         new[1:] = (self.hash[order][1:] != self.hash[order][:-1]) | (self.check[order][1:] != self.check[order][:-1])
@@ -145,6 +149,129 @@ class _Strings:
         self.number[order] = np.cumsum(new) - 1
         self.several = np.bincount(self.number, minlength=len(self.begin)) > 1
 
+    def repeated(self, replies: list[dict] | None) -> np.ndarray:
+        """The first bytes of the strings that stand elsewhere too."""
+        known = R.flags(replies)
+        cold, hot = known[: len(self.cold_at)], known[len(self.cold_at) :]
+        return np.concatenate([self.cold_at[cold], self.at[(hot | self.several)[self.number]]])
+
+
+class SuffixOrder:
+    """Suffixes of ``data``, cut to ``length`` bytes, in lexicographic order within groups."""
+
+    def __init__(self, data: np.ndarray, length: int) -> None:
+        self.data, self.length = data, length
+        self.hashes = Rolling(BYTE_VALUES[data])
+
+    def common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """How many bytes the suffixes at ``p`` and ``q`` share, by binary search over prefix hashes."""
+        prefix, inverse = self.hashes.prefix, self.hashes.inverse
+        at_p, at_q, back_p, back_q = prefix[p], prefix[q], inverse[p], inverse[q]
+        low, high = np.zeros(len(p), np.int64), np.full(len(p), self.length)
+        for _ in range(self.length.bit_length()):
+            middle = (low + high + 1) >> 1
+            same = (prefix[p + middle] - at_p) * back_p == (prefix[q + middle] - at_q) * back_q
+            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+        return low
+
+    def before(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The suffix at ``p`` sorts before the one at ``q``."""
+        at = self.common(p, q)
+        differ = at < self.length
+        at = np.minimum(at, self.length - 1)
+        return differ & (self.data[p + at] < self.data[q + at])
+
+    def sort(self, at: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Mergesort of the suffixes ``at`` within groups, all groups at once; suffixes that agree keep their order.
+
+        In each round every suffix finds its place in the run that its own is merged with, by binary search.
+        """
+        at, width = at.copy(), 1
+        while len(size) and width < size.max():
+            groups = np.flatnonzero(size > width)
+            where = spread(begin[groups], size[groups])
+            first = np.repeat(begin[groups], size[groups])
+            end = first + np.repeat(size[groups], size[groups])
+            run = (where - first) // width
+            left = run % 2 == 0
+            pair = first + (run // 2) * 2 * width
+            middle = np.minimum(pair + width, end)
+            low = np.where(left, middle, pair)
+            high = np.where(left, np.minimum(pair + 2 * width, end), middle)
+            start, own = low.copy(), at[where]
+            for _ in range(width.bit_length()):
+                active = np.flatnonzero(low < high)
+                if not len(active):
+                    break
+                probe = (low[active] + high[active]) >> 1
+                mine, other, is_left = own[active], at[probe], left[active]
+                # Of the run merged with, a left suffix passes what sorts before it, a right one all it doesn't sort before.
+                smaller = self.before(np.where(is_left, other, mine), np.where(is_left, mine, other))
+                passes = smaller == is_left
+                low[active] = np.where(passes, probe + 1, low[active])
+                high[active] = np.where(passes, high[active], probe)
+            place = np.where(left, where + (low - start), where - (middle - pair) + (low - start))
+            at[place] = own
+            width *= 2
+        return at
+
+    def copies(self, at: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which of the sorted suffixes agree with a neighbour of their group for the whole length, byte by byte."""
+        out = np.zeros(len(at), bool)
+        inner = np.ones(len(at), bool)
+        inner[begin] = False
+        right = np.flatnonzero(inner)
+        right = right[self.common(at[right - 1], at[right]) == self.length]
+        if len(right):
+            rows = np.lib.stride_tricks.sliding_window_view(self.data, self.length)
+            for k in range(0, len(right), 4096):
+                part = right[k : k + 4096]
+                same = (rows[at[part - 1]] == rows[at[part]]).all(axis=1)
+                out[part[same]] = out[part[same] - 1] = True
+        return out
+
+
+def _end_run(anchor: np.ndarray, distance: np.ndarray, windows: np.ndarray, texts: list[bytes]) -> bytes:
+    head = R.pack_sorted(anchor)
+    rest = zstandard.ZstdCompressor(level=2).compress(distance.astype(np.uint32).tobytes() + windows.astype(np.uint32).tobytes() + b"".join(texts))
+    return np.array([len(anchor), len(head)], np.int64).tobytes() + head + rest
+
+
+def _merge_ends(length: int):
+    def merge(parts: list[tuple[int, int, bytes]]) -> list[bytes]:
+        """A bit for each string of each run: it stands in another extent too."""
+        anchors, distances, counts, texts = [], [], [], []
+        for _, _, r in parts:
+            n, head = map(int, np.frombuffer(r, np.int64, 2))
+            anchors.append(R.unpack_sorted(r[16 : 16 + head], n))
+            rest = zstandard.ZstdDecompressor().decompress(r[16 + head :])
+            distances.append(np.frombuffer(rest, np.uint32, n))
+            counts.append(np.frombuffer(rest, np.uint32, n, 4 * n))
+            texts.append(rest[8 * n :])
+        windows = np.concatenate(counts).astype(np.int64)
+        size = windows + length - 1
+        first = np.cumsum(size) - size
+        order = SuffixOrder(np.frombuffer(b"".join(texts), np.uint8), length)
+        at = spread(first, windows)
+        of = np.repeat(np.arange(len(windows)), windows)
+        distance = np.concatenate(distances)[of].astype(np.int64) - (at - first[of])
+        anchor = np.concatenate(anchors)[of]
+        grouped = np.lexsort((distance, anchor))
+        new = np.ones(len(grouped), bool)
+        new[1:] = (anchor[grouped][1:] != anchor[grouped][:-1]) | (distance[grouped][1:] != distance[grouped][:-1])
+        begin = np.flatnonzero(new)
+        members = np.diff(np.append(begin, len(grouped)))
+        ordered = order.sort(at[grouped], begin, members)
+        flag = np.zeros(len(order.data), bool)
+        flag[ordered] = order.copies(ordered, begin, members)
+        found, k, out = flag[at], 0, []
+        for _, n, _ in parts:
+            out.append(np.packbits(found[k : k + n]).tobytes())
+            k += n
+        return out
+
+    return merge
+
 
 def _string_run(h: np.ndarray, check: np.ndarray) -> bytes:
     head = R.pack_sorted(h)
@@ -196,16 +323,30 @@ class SuffixDedup:
                 first = x.begin[a:b]
                 yield bucket, b - a, _extent_run(x.deal[a:b], x.extent[first], x.hot[first])
 
-        def strings(block, row):
+        def ends(block, row):
             s = _Suffixes(block, length, gram)
-            t = _Strings(s, _Extents(s, row["a"]), row["b"])
+            x = _Extents(s, row["a"])
+            t = _Ends(s, x, row["b"])
+            for bucket, a, b in R.cuts(x.anchor[t.cold], bits):
+                e = t.cold[a:b]
+                texts = [bytes(block.data[i:j]) for i, j in zip(x.first[e].tolist(), (x.last[e] + length).tolist(), strict=True)]
+                yield bucket, int(t.windows[a:b].sum()), _end_run(x.anchor[e], x.distance[e], t.windows[a:b], texts)
             h, check = t.hash[t.begin], t.check[t.begin]
             for bucket, a, b in R.cuts(h, bits):
-                yield bucket, b - a, _string_run(h[a:b], check[a:b])
+                # Strings of hot anchors have buckets of their own, after the others.
+                yield (1 << bits) + bucket, b - a, _string_run(h[a:b], check[a:b])
+
+        by_text, by_hash = _merge_ends(length), _merge_strings
+
+        def merge_ends(parts):
+            return (by_hash if parts[0][2][:1] == b"H" else by_text)([(i, n, r[1:]) for i, n, r in parts])
+
+        def tagged(block, row):
+            return ((b, n, (b"H" if b >> bits else b"T") + r) for b, n, r in ends(block, row))
 
         a = R.with_replies(blocks, R.exchange(blocks, anchors, R.merge_repeated(HOT_RUNS)), "a")
         b = R.with_replies(a, R.exchange(a, extents, _merge_extents), "b")
-        return R.with_replies(b, R.exchange(b, strings, _merge_strings), "c")
+        return R.with_replies(b, R.exchange(b, tagged, merge_ends), "c")
 
     def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
         """doc_id, n_bytes, n_removed, n_spans, kept_sha256; kept_text (null where the text is) and the columns ``carry`` if ``with_text``."""
@@ -215,12 +356,9 @@ class SuffixDedup:
             for block, row in blocks_of(batches):
                 s = _Suffixes(block, length, gram)
                 x = _Extents(s, row["a"])
-                t = _Strings(s, x, row["b"])
-                begin = x.first[t.whole]
-                stop = x.last[t.whole] + length
-                if len(t.at):
-                    again = (R.flags(row["c"]) | t.several)[t.number]
-                    begin, stop = np.append(begin, t.at[again]), np.append(stop, t.at[again] + length)
+                t = _Ends(s, x, row["b"])
+                again = t.repeated(row["c"])
+                begin, stop = np.append(x.first[t.whole], again), np.append(x.last[t.whole], again) + length
                 gone = covered(s.n, begin, stop) if s.n else np.zeros(0, bool)
                 data = block.bytes
                 n_removed, n_spans, digests, texts = [], [], [], []
