@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 BLOCK_SCHEMA = "block_id long, n_docs int, payload binary"
 U = np.uint64
 _MULT, _WORD_MULT, _SECOND_MULT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.blocks import Block, blocks_of
+from corpusloom.llm.blocks import Block, blocks_of, mix
 
 U = np.uint64
 RUN_SCHEMA = "bucket int, block_id long, n int, run binary"
@@ -139,6 +139,7 @@ class Segments:
 
     Equal windows have equal owners at equal distance, so a window can only stand elsewhere if its
     owner's k-gram does. ``first``/``last``: the windows of a segment, all owned by the k-gram at ``owner``.
+    ``hash``: of that k-gram, mixed once more, as the smallest of many hashes is a small number and would deal all to a few buckets.
     """
 
     def __init__(self, grams: np.ndarray, owner: np.ndarray, valid: np.ndarray) -> None:
@@ -149,4 +150,4 @@ class Segments:
         begin = np.flatnonzero(new)
         self.first, self.owner = at[begin], own[begin]
         self.last = at[np.append(begin[1:], len(at)) - 1] if len(at) else at
-        self.hash = grams[self.owner]
+        self.hash = mix(grams[self.owner] * U(0x9FB21C651E98DF25))
