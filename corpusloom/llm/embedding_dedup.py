@@ -7,8 +7,11 @@
    New trees in every round bring together what no neighbour connects yet. A class keeps its ``k`` nearest
    and, where the list is saturated (the k-th still links), enlarges it to all that link: links are never cut off.
 4. Every round is audited: ``audit`` queries, the rows whose id is divisible by 100 (the first ``AUDIT`` by hash where
-   there are more), are compared with all rows in blocks. Rounds end when the graph has ``recall`` of their
-   links, or after ``rounds``; the recall reached is kept in ``last_recall``.
+   there are more), are compared with all rows in blocks. Recall is averaged over queries, apart for each power of
+   two of their links; the least of these averages counts, so no large cluster outweighs rare links. Rounds end when it is
+   ``recall``; with fewer than ``LINKED`` queries that have links, only after two rounds without a further link as well, or
+   after ``rounds``. Below ``recall``, rounds go on up to ``MORE`` times ``rounds``, and then the operator fails. The
+   recall reached is kept in ``last_recall``; None: no query has a link, and nothing is known.
 5. The edges of ``threshold`` or more are the links; components follow from them.
 
 A group or leaf of more than ``TILE`` classes is cut into tiles and its pairs of tiles are compared, each in a task of its
@@ -41,6 +44,12 @@ TILE, TILES, LEAF = 512, 8, 192
 CLOSING = 4
 #: Queries of an audit at most: their vectors go to every task.
 AUDIT = 2000
+#: With fewer queries that have links, an audit alone does not end the rounds.
+LINKED = 100
+#: Rounds at most, in multiples of ``rounds``, while the audit falls short.
+MORE = 4
+#: An audit leaves out links this close to the threshold: another order of summation may not see them.
+SLACK = 1e-9
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -90,18 +99,35 @@ class EmbeddingDedup:
         vectors = durable(classes.select("node", "dim", "x").mapInArrow(_to_binary, "node long, dim int, x binary"))
         n = classes.count()
         truth = self._audit(classes, vectors)
-        expected = truth.count()
-        graph = None
+        enough = truth.select("q").distinct().count() >= LINKED
+        graph, links, still = None, -1, 0
         for r in range(self.rounds):
-            found = self._compare(self._leaves(vectors, n, r), r)
-            if graph is not None:
-                found = found.unionByName(self._compare(self._hubs(graph, vectors, r), r)).unionByName(graph)
-            graph = durable(self._keep(found))
-            hit = truth.join(graph.where(F.col("sim") >= self.threshold), ["u", "v"], "left_semi").count() if expected else 0
-            self.last_recall = hit / expected if expected else 1.0
-            if r and self.last_recall >= self.recall:
+            graph = self._round(graph, vectors, n, r)
+            found = graph.where(F.col("sim") >= self.threshold).count()
+            links, still = found, still + 1 if found == links else 0
+            if r and self._met(truth, graph) and (enough or still >= 2):
                 break
-        return self._close(graph, vectors).where(F.col("sim") >= self.threshold)
+        graph = self._close(graph, vectors)
+        more = iter(range(self.rounds, MORE * self.rounds))
+        while not self._met(truth, graph):
+            if (r := next(more, None)) is None:
+                raise RuntimeError(f"recall {self.last_recall} of the audited links after {MORE * self.rounds} rounds, {self.recall} is asked for")
+            graph = self._round(graph, vectors, n, r)
+        return graph.where(F.col("sim") >= self.threshold)
+
+    def _round(self, graph: DataFrame | None, vectors: DataFrame, n: int, r: int) -> DataFrame:
+        found = self._compare(self._leaves(vectors, n, r), r)
+        if graph is not None:
+            found = found.unionByName(self._compare(self._hubs(graph, vectors, r), r)).unionByName(graph)
+        return durable(self._keep(found))
+
+    def _met(self, truth: DataFrame, graph: DataFrame) -> bool:
+        """Whether no audited query speaks against ``recall``; keeps ``last_recall``."""
+        hits = graph.where(F.col("sim") >= self.threshold).select("u", "v", F.lit(1).alias("hit"))
+        queries = truth.join(hits, ["u", "v"], "left").groupBy("q").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+        bands = queries.groupBy(F.floor(F.log2("n")).alias("band")).agg(F.avg(F.col("hits") / F.col("n")).alias("recall"))
+        self.last_recall = bands.agg(F.min("recall")).first()[0]
+        return self.last_recall is None or self.last_recall >= self.recall
 
     def _close(self, graph: DataFrame, vectors: DataFrame) -> DataFrame:
         """Where groups have many tiles: compare groups in full, until two rounds find no further link."""
@@ -192,8 +218,8 @@ class EmbeddingDedup:
         return links.unionByName(best)
 
     def _audit(self, classes: DataFrame, vectors: DataFrame) -> DataFrame:
-        """The links (u, v) of the audit's queries, by comparing each with every class."""
-        threshold = self.threshold
+        """The links (u, v) of each of the audit's queries q, by comparing it with every class."""
+        threshold = self.threshold + SLACK
         chosen = classes.where("query").orderBy(F.xxhash64("node"), "node").limit(AUDIT).select("node", "dim")
         queries = [(r["node"], r["dim"], bytes(r["x"])) for r in chosen.join(vectors.drop("dim"), "node").collect()]
         shared = vectors.sparkSession.sparkContext.broadcast(queries)
@@ -211,9 +237,9 @@ class EmbeddingDedup:
                     for at in range(0, len(nodes), 1000):
                         a, b = np.nonzero(q @ _unit(raw[at : at + 1000]).T >= threshold)
                         u, v = ids[a], nodes[at : at + 1000][b]
-                        yield pa.record_batch([pa.array(np.minimum(u, v)[u != v]), pa.array(np.maximum(u, v)[u != v])], ["u", "v"])
+                        yield pa.record_batch([pa.array(x[u != v]) for x in (u, np.minimum(u, v), np.maximum(u, v))], ["q", "u", "v"])
 
-        return durable(vectors.mapInArrow(compare, "u long, v long").distinct())
+        return durable(vectors.mapInArrow(compare, "q long, u long, v long"))
 
 
 def _to_binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

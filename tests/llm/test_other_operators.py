@@ -233,6 +233,23 @@ def test_a_group_of_many_tiles_is_compared_in_full(spark, monkeypatch):
     assert all((r["n_links"], r["component_id"]) == (29, 0) for r in got)
 
 
+@pytest.mark.parametrize("step", [(100, 0), (100, 1)], ids=["a cluster among the audited", "nothing audited"])
+def test_rare_links_are_found_too(spark, monkeypatch, step):
+    from corpusloom.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "LEAF", 4)
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    one, other = unit(rng.standard_normal((300, 64))), unit(rng.standard_normal((300, 64)))
+    other = unit(other - (other * one).sum(axis=1, keepdims=True) * one)
+    cluster = rng.standard_normal(64) + 0.01 * rng.standard_normal((250, 64))
+    x = np.concatenate([one, 0.92 * one + np.sqrt(1 - 0.92**2) * other, cluster])
+    df = spark.createDataFrame([(step[0] * i + step[1], v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    op = EmbeddingDedup(trees=2)
+    links = sorted(r["n_links"] for r in op.components(df).collect())
+    assert sum(n == 1 for n in links) >= 0.99 * 600 and (op.last_recall is None if step[1] else op.last_recall >= 0.99)
+
+
 def test_embedding_near_dedup(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((300, 16))
