@@ -1,6 +1,8 @@
 """License scans by conditional compression.
 
-A line with a word that licences use opens a candidate block: it and its neighbours, merged where they touch. Each
+A line with a word that licences use opens a candidate block: it and its neighbours, merged where they touch. What
+no such block confirms is looked for once more in wide blocks, which reach as many words to both sides of a cue as the longest
+template has: notices may be wrapped at any width. Each
 block is compressed with zstandard once alone and once with each template as a raw-content dictionary; what a
 dictionary saves says how much of the block's wording the template already holds. Templates are
 ranked by the saving, and the best are confirmed in order by the exact differences of wording: the
@@ -17,8 +19,10 @@ characters are read in overlapping pieces. Rows that share a doc_id are document
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -34,7 +38,8 @@ RESULT_SCHEMA = "doc_id long, first_line int, last_line int, license_id string,
 SHARE = 0.8
 #: Templates of a block that are confirmed at most before the next rank is given up: those that save anything at all.
 LINE, OVERLAP = 4000, 400
-_CUE = re.compile(r"licen[cs]e|copyright|warrant|redistribut|permission is hereby|spdx|creative commons|\bgnu\b|public domain", re.I)
+#: The words of a cue may stand on two lines, with a comment's marks between.
+_CUE = re.compile(r"licen[cs]e|copyright|warrant|redistribut|permission[\W_]{1,80}is[\W_]{1,80}hereby|spdx|creative[\W_]{1,80}commons|\bgnu\b|public[\W_]{1,80}domain", re.I)
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-+][a-z0-9]+)*")
 
 
@@ -70,33 +75,54 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def candidate_blocks(text: str, around: int = 1) -> Iterator[tuple[int, int, str]]:
-    """(first line, last line, block), lines from 1."""
-    if not _CUE.search(text):
+def candidate_blocks(text: str, around: int = 1, reach: int = 0, overlap: int = OVERLAP) -> Iterator[tuple[int, int, str]]:
+    """(first line, last line, block), lines from 1. A block has ``around`` lines on both sides of a cue's, and more until they hold ``reach`` words."""
+    cues = [m.span() for m in _CUE.finditer(text)]
+    if not cues:
         return
     lines = text.split("\n")
-    hits = [i for i, line in enumerate(lines) if _CUE.search(line)]
-    first = last = None
-    for i in [*hits, None]:
-        if i is not None and first is not None and i - around <= last + 1:
-            last = min(i + around, len(lines) - 1)
-            continue
+    starts = [0, *accumulate(len(line) + 1 for line in lines)]
+    sizes: dict[int, int] = {}
+
+    def size(i: int) -> int:
+        if i not in sizes:
+            sizes[i] = len(words(lines[i]))
+        return sizes[i]
+
+    def edge(i: int, step: int) -> int:
+        n = held = 0
+        while (n < around or held < reach) and 0 <= i + step < len(lines):
+            i, n = i + step, n + 1
+            held += size(i) if reach else 0
+        return i
+
+    first = last = done = None
+    for a, b in [*cues, (None, None)]:
+        if a is not None:
+            on = (bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1)
+            if on == done:
+                continue
+            done = on
+            begin, end = edge(on[0], -1), edge(on[1], 1)
+            if first is not None and begin <= last + 1:
+                last = max(last, end)
+                continue
         if first is not None:
             block = "\n".join(lines[first : last + 1])
             if len(block) <= LINE:
                 yield first + 1, last + 1, block
             else:
-                for m in _spans(block):
+                for m in _spans(block, overlap):
                     yield first + 1, last + 1, block[m[0] : m[1]]
-        if i is not None:
-            first, last = max(0, i - around), min(i + around, len(lines) - 1)
+        if a is not None:
+            first, last = begin, end
 
 
-def _spans(block: str) -> list[tuple[int, int]]:
-    """The stretches of a long block that lie within ``OVERLAP`` characters of a cue."""
+def _spans(block: str, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+    """The stretches of a long block that lie within ``overlap`` characters of a cue."""
     out: list[tuple[int, int]] = []
     for m in _CUE.finditer(block):
-        a, b = max(0, m.start() - OVERLAP), min(len(block), m.end() + OVERLAP)
+        a, b = max(0, m.start() - overlap), min(len(block), m.end() + overlap)
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], b)
         else:
@@ -110,6 +136,9 @@ class Scanner:
     def __init__(self, templates: tuple[Template, ...], share: float) -> None:
         self.templates, self.share = templates, share
         self.words = [words(t.text) for t in templates]
+        self.reach = max(map(len, self.words), default=0)
+        # A comment's marks and indents take place too.
+        self.overlap = max(OVERLAP, 2 * max((len(t.text) for t in templates), default=0))
         self.plain = zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False)
         self.primed = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(t.text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for t in templates]
 
@@ -126,28 +155,55 @@ class Scanner:
         if not set(template.keys) <= set(block_words):
             return None
         matcher = SequenceMatcher(None, own, block_words, autojunk=False)
-        parts = [m for m in matcher.get_matching_blocks() if m.size]
+        parts = self._nearest([m for m in matcher.get_matching_blocks() if m.size], len(own) * 2 + 5)
         matched = sum(m.size for m in parts)
         if matched < self.share * len(own):
             return None
         have = {own[i] for m in parts for i in range(m.a, m.a + m.size)}
         # What lies between the first and the last match is the block's wording of the template.
-        if not set(template.keys) <= have or parts[-1].b + parts[-1].size - parts[0].b > len(own) * 2 + 5:
+        if not set(template.keys) <= have:
             return None
         differences = [f"-{' '.join(own[a:b])}+{' '.join(block_words[c:d])}" for op, a, b, c, d in matcher.get_opcodes() if op != "equal" and c >= parts[0].b and d <= parts[-1].b + parts[-1].size]
         return matched, "; ".join(differences)
 
+    @staticmethod
+    def _nearest(parts: list, length: int) -> list:
+        """The matches in a row that lie within ``length`` words and hold most; words that happen to match far away are no wording of the template."""
+        best, most, i, held = (0, 0), 0, 0, 0
+        for j, m in enumerate(parts):
+            held += m.size
+            while m.b + m.size - parts[i].b > length:
+                held -= parts[i].size
+                i += 1
+            if held > most:
+                best, most = (i, j + 1), held
+        return parts[best[0] : best[1]]
+
+    def _licences(self, block: str, found: set[str]) -> Iterator[tuple]:
+        own = words(block)
+        have = set(own)
+        if not any(t.license_id not in found and set(t.keys) <= have for t in self.templates):
+            return
+        for rank, (saved, k) in enumerate(self.rank(block), 1):
+            name = self.templates[k].license_id
+            if name in found:
+                continue
+            good = self.confirm(own, k)
+            if good:
+                found.add(name)
+                yield name, rank, saved, len(self.words[k]), good[0], good[1]
+
     def scan(self, text: str) -> Iterator[tuple]:
+        near: list[tuple[int, int, str]] = []
         for first, last, block in candidate_blocks(text):
-            own, found = words(block), set()
-            for rank, (saved, k) in enumerate(self.rank(block), 1):
-                name = self.templates[k].license_id
-                if name in found:
-                    continue
-                good = self.confirm(own, k)
-                if good:
-                    found.add(name)
-                    yield first, last, name, rank, saved, len(self.words[k]), good[0], good[1]
+            for r in self._licences(block, set()):
+                near.append((first, last, r[0]))
+                yield first, last, *r
+        for first, last, block in candidate_blocks(text, 1, self.reach, self.overlap):
+            found = {name for a, b, name in near if first <= a and b <= last}
+            for r in self._licences(block, found):
+                near.append((first, last, r[0]))
+                yield first, last, *r
 
 
 class LicenseScan:

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import math
+import textwrap
 import zlib
 from collections import Counter
 
@@ -15,7 +16,7 @@ from corpusloom.llm import chat_format as C
 from corpusloom.llm import token_counts as T
 from corpusloom.llm.embedding_dedup import EmbeddingDedup
 from corpusloom.llm.language_id import CrossParser, LanguageId, held_out
-from corpusloom.llm.license_scan import LicenseScan, Template
+from corpusloom.llm.license_scan import TEMPLATES, LicenseScan, Scanner, Template
 from corpusloom.llm.mixing import PoissonMix, source_rates
 from tests.llm.brute import components, sha
 
@@ -128,6 +129,16 @@ def test_licenses(spark):
     assert [r["license_id"] for r in own.collect()] == ["own"] and LicenseScan().scan(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("width", [80, 72, 60, 50, 40, 30])
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_notices_are_found(width, mark):
+    scanner = Scanner(TEMPLATES, 0.8)
+    prose = textwrap.wrap("The river ran past the mill and the people of the village went to it in the morning. " * 9, width)
+    for t in TEMPLATES:
+        text = "\n".join(mark + line for line in [*prose, *textwrap.wrap(t.text, width, break_on_hyphens=False), *prose])
+        assert t.license_id in {r[2] for r in scanner.scan(text)}, t.text
+
+
 def test_license_lines_of_the_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     lines = docs.where("text rlike '(?i)licensed under|released under'").select("doc_id").distinct().count()
