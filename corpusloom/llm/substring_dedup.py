@@ -34,7 +34,8 @@ _CHECK_MULT = 0xA0761D6478BD642F
 WINDOW, GRAM = 20, 12
 #: Bits of an anchor's hash that are exchanged.
 ANCHOR_BITS = 44
-INDEX_SCHEMA = "kind int, bucket int, level int, n long, run binary"
+#: ``bits``: that many leading bits of a hash are its bucket. Batches of other sizes have other bits.
+INDEX_SCHEMA = "kind int, bits int, bucket int, level int, n long, run binary"
 RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -112,11 +113,37 @@ def _merge_windows(parts: list[tuple[int, int, bytes]]) -> list[bytes]:
     return out
 
 
+def _deal(index: DataFrame, bits: int) -> DataFrame:
+    """The runs of an index in buckets of ``bits``: finer ones are renamed, coarser ones are cut."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, level, n, run in zip(*(batch.column(c).to_pylist() for c in ("kind", "level", "n", "run")), strict=True):
+                rows = []
+                if kind == 0:
+                    values = R.unpack_sorted(run, n)
+                    rows = [(bucket, b - a, R.pack_sorted(values[a:b])) for bucket, a, b in R.cuts(values << U(64 - ANCHOR_BITS), bits)]
+                else:
+                    h, check, key = _decode(n, run)
+                    keys, doc = np.unique(key, return_inverse=True)
+                    keys = (keys ^ U(1 << 63)).view(np.int64)
+                    rows = [(bucket, b - a, _encode(h[a:b], check[a:b], doc[a:b], keys)) for bucket, a, b in R.cuts(h, bits)]
+                if rows:
+                    m, (bucket, size, runs) = len(rows), zip(*rows, strict=True)
+                    yield pa.record_batch([pa.array([kind] * m, pa.int32()), pa.array([bits] * m, pa.int32()), pa.array(bucket, pa.int32()), pa.array([level] * m, pa.int32()), pa.array(size, pa.int64()), pa.array(runs, pa.binary())], ["kind", "bits", "bucket", "level", "n", "run"])
+
+    index = index.select("kind", "bits", "bucket", "level", "n", "run")
+    renamed = F.expr(f"shiftright(bucket, bits - {bits})").alias("bucket")
+    fine = index.where(F.col("bits") >= bits).select("kind", F.lit(bits).alias("bits"), renamed, "level", "n", "run")
+    return fine.unionByName(index.where(F.col("bits") < bits).mapInArrow(cut, INDEX_SCHEMA))
+
+
 class SubstringDedup:
     """Removes repeated windows from batches of documents, keeping an index of those seen.
 
     ``dedup(batch, history)`` cleans one batch against itself and against the index of earlier batches;
     ``index_run(batch)`` is the batch's new run, and ``compact`` merges runs of the index into one level.
+    The number of buckets may differ from batch to batch, session to session: runs carry theirs, and are dealt anew.
     """
 
     def __init__(self, window: int = WINDOW, gram: int = GRAM, bucket_bits: int | None = None) -> None:
@@ -125,17 +152,20 @@ class SubstringDedup:
         self.window, self.gram, self.bits = window, gram, bucket_bits
 
     def _bits(self, blocks: DataFrame) -> int:
-        if self.bits is None:
-            n = blocks.select(F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()[0]
-            # A compressed byte stands for about three, a word for six: half a window for each.
-            self.bits = R.bucket_bits(n / 2 / 3, shuffle_partitions(blocks.sparkSession))
-        return self.bits
+        if self.bits is not None:
+            return self.bits
+        n = blocks.select(F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()[0]
+        # A compressed byte stands for about three, a word for six: half a window for each.
+        return R.bucket_bits(n / 2 / 3, shuffle_partitions(blocks.sparkSession))
 
     def annotate(self, docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Blocks with the answers of both rounds; what ``dedup`` and other renderings read."""
         prepare(docs.sparkSession)
         blocks = durable(pack(docs, id_col, text_col))
         window, gram, bits = self.window, self.gram, self._bits(blocks)
+        if history is not None:
+            # Never larger buckets than those of the history.
+            bits = max(bits, history.agg(F.max("bits")).first()[0] or 0)
 
         def anchors(block, row):
             return R.filter_runs(_Windows(block, window, gram).anchors(), bits, ANCHOR_BITS)
@@ -149,7 +179,7 @@ class SubstringDedup:
                 x = first[a:b]
                 yield bucket, b - a, _encode(h[x], check[x], w.words.doc[at[x]], block.order_key())
 
-        past = None if history is None else history.withColumn("block_id", F.lit(-1).cast("long"))
+        past = None if history is None else _deal(history, bits).withColumn("block_id", F.lit(-1).cast("long"))
         one = R.with_replies(blocks, self._round(blocks, anchors, R.merge_repeated(), past, 0), "a")
         return R.with_replies(one, self._round(one, windows, _merge_windows, past, 1), "b")
 
@@ -202,7 +232,7 @@ class SubstringDedup:
                     x = first[a:b]
                     rows.append((1, bucket, b - a, _encode(h[x], check[x], w.words.doc[at[x]], block.order_key())))
                 if rows:
-                    yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], ["kind", "bucket", "level", "n", "run"])
+                    yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([bits] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], ["kind", "bits", "bucket", "level", "n", "run"])
 
         return blocks.mapInArrow(send, INDEX_SCHEMA)
 
@@ -210,6 +240,7 @@ class SubstringDedup:
     def compact(index: DataFrame) -> DataFrame:
         """All runs of each kind and bucket merged into one, a level up; a window keeps its earliest document."""
         prepare(index.sparkSession)
+        bits = index.agg(F.max("bits")).first()[0] or 0
 
         def merge(table: pa.Table) -> pa.Table:
             kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
@@ -226,9 +257,9 @@ class SubstringDedup:
                 x = order[new]
                 keys, doc = np.unique(key[x], return_inverse=True)
                 n, run = len(x), _encode(h[x], check[x], doc, (keys ^ U(1 << 63)).view(np.int64))
-            return pa.table([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([level], pa.int32()), pa.array([n], pa.int64()), pa.array([run], pa.binary())], ["kind", "bucket", "level", "n", "run"])
+            return pa.table([pa.array([kind], pa.int32()), pa.array([bits], pa.int32()), pa.array([bucket], pa.int32()), pa.array([level], pa.int32()), pa.array([n], pa.int64()), pa.array([run], pa.binary())], ["kind", "bits", "bucket", "level", "n", "run"])
 
-        return index.groupBy("kind", "bucket").applyInArrow(merge, INDEX_SCHEMA)
+        return _deal(index, bits).groupBy("kind", "bucket").applyInArrow(merge, INDEX_SCHEMA)
 
 
 def kept_texts(words: Words, keep: np.ndarray, n_docs: int) -> list[bytes]:

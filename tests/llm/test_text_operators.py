@@ -89,6 +89,20 @@ def test_substring_dedup_by_batches_equals_one_batch(spark):
     assert index.groupBy("kind", "bucket").count().where("count > 1").count() == 0
 
 
+@pytest.mark.parametrize("bits", [(2, 5, 3), (5, 2, 4)])
+def test_substring_dedup_by_sessions_of_other_bucket_counts_equals_one_batch(spark, bits):
+    docs = sorted(d for d in unique_ids(odd_documents()) if d[0] is not None and d[0] != 501)
+    index, got = None, []
+    for b, part in zip(bits, [docs[:50], docs[50:80], docs[80:]], strict=True):
+        df = frame(spark, part)
+        op = SubstringDedup(bucket_bits=b)
+        got += rows(op.dedup(df, index))
+        run = op.index_run(df).localCheckpoint()
+        index = run if index is None else op.compact(index.unionByName(run)).localCheckpoint()
+    assert sorted(got, key=repr) == sorted(brute.substring_dedup(docs), key=repr)
+    assert index.groupBy("kind", "bucket").count().where("count > 1").count() == 0
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.sampled_from("ab"), max_size=60).map(" ".join), min_size=1, max_size=8))
 def test_substring_dedup_of_periodic_texts(spark, texts):
