@@ -7,7 +7,8 @@ cumulative probabilities that do not exceed it. Copies are exploded and shuffled
 and place of the output are random yet the same at every run.
 
 Rates above ``SPLIT`` are drawn as sums of independent parts of at most that mean (a sum of Poisson numbers is one),
-since exp(-rate) would underflow.
+since exp(-rate) would underflow. A row carries its source's rate, one number, until its count is drawn; nothing else is
+joined to the text.
 
 Defined cases: a null source is a source of its own; a null doc_id hashes as the empty string. Rows that share a doc_id
 get equal counts. Sources without a target weight are dropped if weights are given. Columns named mix_copy or
@@ -19,12 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import shuffle_partitions
+
 #: Default targets: a source's weight grows as this power of its size.
 ALPHA = 0.5
 SEED = "mix-1"
 SPLIT = 200.0
-#: Rates of up to so many sources (under 200 bytes each at usual rates) are broadcast; beyond, they are joined.
-BROADCAST_SOURCES = 20_000
+#: Names and rates of the sources are broadcast up to so many bytes; beyond, they are joined by source and salt.
+BROADCAST_BYTES = 4 << 20
+SALTS = 64
+#: Stored bytes of documents that one partition of the shuffle should take at most.
+PARTITION_BYTES = 64 << 20
 
 
 def uniform(*parts: Column) -> Column:
@@ -33,16 +39,17 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def cumulative(rate: Column) -> Column:
-    """The Poisson distribution's cumulative probabilities up to where they round to 1."""
-    n = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
+def poisson(rate: Column, u: Column) -> Column:
+    """How many of the Poisson distribution's cumulative probabilities do not exceed ``u``; summed up to where they round to 1."""
     first = F.exp(-rate)
-    walk = F.aggregate(
-        F.sequence(F.lit(1), n),
-        F.struct(first.alias("p"), F.array(first).alias("c")),
-        lambda a, k: F.struct((a["p"] * rate / k).alias("p"), F.concat(a["c"], F.array(F.element_at(a["c"], -1) + a["p"] * rate / k)).alias("c")),
-    )
-    return walk["c"]
+    step = F.struct(first.alias("p"), first.alias("c"), (first <= u).cast("int").alias("n"))
+
+    def following(a: Column, k: Column) -> Column:
+        p = a["p"] * rate / k
+        c = a["c"] + p
+        return F.struct(p.alias("p"), c.alias("c"), (a["n"] + (c <= u).cast("int")).alias("n"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")), step, following, lambda a: a["n"])
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "source", alpha: float = ALPHA, size: float = 1.0) -> DataFrame:
@@ -60,29 +67,42 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, source_col:
 class PoissonMix:
     """``mix(docs)``: documents repeated to target weights and shuffled; see the module."""
 
-    def __init__(self, alpha: float = ALPHA, size: float = 1.0, seed: str = SEED, broadcast_sources: int = BROADCAST_SOURCES) -> None:
-        self.alpha, self.size, self.seed, self.broadcast_sources = alpha, size, seed, broadcast_sources
+    def __init__(self, alpha: float = ALPHA, size: float = 1.0, seed: str = SEED, broadcast_bytes: int = BROADCAST_BYTES) -> None:
+        self.alpha, self.size, self.seed, self.broadcast_bytes = alpha, size, seed, broadcast_bytes
 
     def mix(self, docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
         """The columns of ``docs``, mix_copy (from 1) and mix_order (the shuffle's key)."""
         docs = docs.drop("mix_copy", "mix_order")
         names = docs.columns
-        rates = source_rates(docs, weights, source_col, self.alpha, self.size)
-        parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / SPLIT)).cast("int")
-        rates = rates.select("source", parts.alias("parts"), cumulative(F.col("rate") / parts).alias("cdf"))
-        n = docs.select(F.approx_count_distinct(source_col)).first()[0]
-        # The estimate is within a few hundredths; twice as many sources still are a small table.
-        rates = F.broadcast(rates) if n <= self.broadcast_sources else rates
+        rates = source_rates(docs, weights, source_col, self.alpha, self.size).select("source", "rate")
         held = docs.select(F.struct("*").alias("doc"))
-        joined = held.join(rates, F.col("doc")[source_col].eqNullSafe(F.col("source")))
-        doc_id = F.col("doc")[id_col]
+        source, doc_id = F.col("doc")[source_col], F.col("doc")[id_col]
+        of = source.eqNullSafe(F.col("source"))
+        if rates.agg(F.coalesce(F.sum(F.coalesce(F.length(F.col("source").cast("string")), F.lit(0)) + 32), F.lit(0))).first()[0] <= self.broadcast_bytes:
+            joined = held.join(F.broadcast(rates), of)
+        else:
+            # A source's rows are dealt over SALTS keys, so that no task gets a source whole.
+            salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            joined = held.withColumn("own", F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")).join(salted, of & (F.col("own") == F.col("salt")))
+        parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / SPLIT)).cast("int")
 
         def drawn(k: Column) -> Column:
-            u = uniform(F.lit(self.seed), k, doc_id)
-            return F.size(F.filter("cdf", lambda c: c <= u))
+            return poisson(F.col("rate") / parts, uniform(F.lit(self.seed), k, doc_id))
 
-        copies = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("parts")), drawn), F.lit(0), lambda a, b: a + b)
+        copies = F.aggregate(F.transform(F.sequence(F.lit(1), parts), drawn), F.lit(0), lambda a, b: a + b)
         copied = joined.select("doc", copies.alias("copies")).where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("mix_copy"))
         order = F.md5(F.concat_ws("|", F.lit(self.seed), F.lit("order"), F.coalesce(doc_id.cast("string"), F.lit("")), F.col("mix_copy").cast("string")))
-        keyed = copied.select("doc", "mix_copy", order.alias("mix_order"))
-        return keyed.repartition("mix_order").sortWithinPartitions("mix_order").select(*(F.col("doc")[c].alias(c) for c in names), "mix_copy", "mix_order")
+        # Rows are dealt and sorted by a number, 60 bits of their key.
+        key = F.conv(F.substring("mix_order", 1, 15), 16, 10).cast("long")
+        keyed = copied.select("doc", "mix_copy", order.alias("mix_order")).withColumn("key", key)
+        n = partitions_for(docs, self.size)
+        dealt = keyed.repartition(n, "key") if n else keyed.repartition("key")
+        return dealt.sortWithinPartitions("key").select(*(F.col("doc")[c].alias(c) for c in names), "mix_copy", "mix_order")
+
+
+def partitions_for(docs: DataFrame, times: float = 1.0) -> int | None:
+    """Partitions for ``times`` the stored size of ``docs`` at ``PARTITION_BYTES`` each, if the session's number is too small for it."""
+    stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # A plan without figures reports a size beyond all measure.
+    n = -(-int(stored * times) // PARTITION_BYTES) if stored < 1 << 60 else 0
+    return n if n > shuffle_partitions(docs.sparkSession) else None

@@ -166,11 +166,11 @@ def mix_by_hand(docs, alpha=0.5, seed="mix-1"):
     return out
 
 
-@pytest.mark.parametrize("bound", [20_000, 0])
+@pytest.mark.parametrize("bound", [1 << 20, 0])
 def test_mixing(spark, bound):
     docs = [(i, "hot" if i % 3 else f"s{i % 7}") for i in range(600)] + [(None, None), (7, None), (7, None)]
     df = spark.createDataFrame(docs, "doc_id long, source string").withColumn("rate", F.lit("x")).withColumn("mix_copy", F.lit(0))
-    got = PoissonMix(broadcast_sources=bound).mix(df)
+    got = PoissonMix(broadcast_bytes=bound).mix(df)
     assert sorted(((r["doc_id"], r["source"], r["mix_copy"]) for r in got.collect()), key=repr) == sorted(mix_by_hand(docs), key=repr)
     assert got.columns == ["doc_id", "source", "rate", "mix_copy", "mix_order"]
     plan = got._jdf.queryExecution().executedPlan().toString()
