@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import random
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 19
 BLOCK_SCHEMA = "block_id long, n_docs int, payload binary"
 U = np.uint64
-_MULT, _WORD_MULT, _SECOND_MULT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB
+#: Hashes are polynomials over the integers modulo this prime.
+PRIME = (1 << 61) - 1
+_P, _M30, _M31, _M32 = U(PRIME), U((1 << 30) - 1), U((1 << 31) - 1), U((1 << 32) - 1)
 
 
 def tidy() -> None:
@@ -45,12 +49,6 @@ def tidied(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return run
 
 
-def splitmix(n: int, seed: int) -> np.ndarray:
-    """``n`` pseudo-random 64-bit values."""
-    with np.errstate(over="ignore"):
-        return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread a polynomial hash over all 64 bits; a bijection."""
     x = x ^ (x >> U(30))
@@ -61,41 +59,129 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_VALUES = splitmix(256, 0x5EED)
-SECOND_VALUES = splitmix(256, 0xC0FFEE)
+class Bases(NamedTuple):
+    """Where the polynomials over bytes and, twice, over words are evaluated."""
+
+    byte: int
+    word: int
+    word2: int
+
+
+def draw_bases() -> Bases:
+    """Random bases. Whoever writes the texts can't know them, so no text is made to collide; all hashes that are compared need the same."""
+    rng = random.SystemRandom()
+    return Bases(*(rng.randrange(1 << 40, PRIME - 1) for _ in range(3)))
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Modulo PRIME."""
+    x = (x & _P) + (x >> U(61))
+    return x - (x >= _P) * _P
+
+
+def mulmod(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """a * b modulo PRIME, for numbers below it; 2**61 counts as 1."""
+    a_high, a_low, b_high, b_low = a >> U(31), a & _M31, b >> U(31), b & _M31
+    middle = a_low * b_high
+    middle += a_high * b_low
+    out = a_high * b_high
+    out <<= U(1)
+    out += middle >> U(30)
+    middle &= _M30
+    middle <<= U(31)
+    out += middle
+    out += a_low * b_low
+    return reduced(out)
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """low + high * 2**32 modulo PRIME."""
+    high = reduced(high)
+    return reduced(reduced(low) + ((high << U(32)) & _P) + (high >> U(29)))
+
+
+def _sums(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Running sums modulo PRIME of low + high * 2**32; neither's plain sum may exceed 64 bits."""
+    return _joined(np.cumsum(low, dtype=U), np.cumsum(high, dtype=U))
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(mult: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """mult**j and mult**-j modulo 2**64 for j in 0..n."""
-    have = _powers.get(mult)
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**j and base**-j modulo PRIME for j in 0..n."""
+    have = _powers.get(base)
     if have is None or len(have[0]) <= n:
         size = max(n + 1, 1 << 16)
-        a = np.full(size, mult, U)
-        b = np.full(size, pow(mult, -1, 1 << 64), U)
-        a[0] = b[0] = 1
-        have = (np.multiply.accumulate(a), np.multiply.accumulate(b))
+        have = tuple(_powers_of(b, size) for b in (base, pow(base, -1, PRIME)))
         if n <= 4 * BLOCK_BYTES:
-            _powers[mult] = have
+            _powers[base] = have
     return have
 
 
+def _powers_of(base: int, size: int) -> np.ndarray:
+    out = np.ones(size, U)
+    have = 1
+    while have < size:
+        m = min(have, size - have)
+        out[have : have + m] = mulmod(out[:m], U(pow(base, have, PRIME)))
+        have += m
+    return out
+
+
 class Rolling:
-    """Prefix polynomial hashes of a sequence: the hash of any range in constant time."""
+    """Prefix polynomial hashes of a sequence: the hash of any range in constant time.
+
+    ``values``: below PRIME. Two different sequences of n values agree at a random base with a chance of n / PRIME, whatever they are.
+    """
 
-    def __init__(self, values: np.ndarray, mult: int = _MULT) -> None:
+    def __init__(self, values: np.ndarray, base: int) -> None:
         n = len(values)
-        power, self.inverse = powers(mult, n)
+        self.power, self.inverse = powers(base, n)
         self.prefix = np.zeros(n + 1, U)
-        np.cumsum(values * power[:n], out=self.prefix[1:])
+        term = mulmod(values, self.power[:n])
+        self.prefix[1:] = _sums(term & _M32, term >> U(32))
+
+    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes below PRIME."""
+        return mulmod(reduced(self.prefix[end] + (_P - self.prefix[start])), self.inverse[start])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start])
+        """Hashes spread over 64 bits."""
+        return mix(self.raw(start, end))
 
     def windows(self, k: int) -> np.ndarray:
         """The hash of every run of ``k`` values."""
         n = len(self.prefix) - k
-        return mix((self.prefix[k:] - self.prefix[:-k]) * self.inverse[:n]) if n > 0 else np.zeros(0, U)
+        return mix(mulmod(reduced(self.prefix[k:] + (_P - self.prefix[:-k])), self.inverse[:n])) if n > 0 else np.zeros(0, U)
+
+    def agree(self, p: np.ndarray, q: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether the ranges of ``length`` at ``p`` and at ``q`` have one hash."""
+        a, b = np.minimum(p, q), np.maximum(p, q)
+        left = reduced(self.prefix[a + length] + (_P - self.prefix[a]))
+        right = reduced(self.prefix[b + length] + (_P - self.prefix[b]))
+        return mulmod(left, self.power[b - a]) == right
+
+
+_GRAM_BASE = 0x9E3779B97F4A7C15
+
+
+def filter_grams(data: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every run of ``k`` bytes, modulo 2**64: cheap, but texts can be made that collide. Fit for a filter alone, which then keeps more."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    have = _powers.get(-1)
+    if have is None or len(have[0]) < len(data):
+        size = max(len(data), 1 << 16)
+        a, b = np.full(size, _GRAM_BASE, U), np.full(size, pow(_GRAM_BASE, -1, 1 << 64), U)
+        a[0] = b[0] = 1
+        have = (np.multiply.accumulate(a), np.multiply.accumulate(b))
+        if size <= 4 * BLOCK_BYTES:
+            _powers[-1] = have
+    prefix = np.zeros(len(data) + 1, U)
+    np.cumsum((data.astype(U) + U(1)) * have[0][: len(data)], out=prefix[1:])
+    return mix((prefix[k:] - prefix[:-k]) * have[1][:n])
 
 
 class Block:
@@ -209,7 +295,8 @@ LOWER[0x41:0x5B] += 32
 class Words:
     """The words of a block: maximal runs of ``in_word`` bytes inside one document."""
 
-    def __init__(self, block: Block, in_word: np.ndarray = SPACES, lower: bool = False) -> None:
+    def __init__(self, block: Block, bases: Bases, in_word: np.ndarray = SPACES, lower: bool = False) -> None:
+        self.bases = bases
         data = block.bytes
         if lower:
             data = LOWER[data]
@@ -228,18 +315,38 @@ class Words:
         self.first = np.searchsorted(self.start, block.offsets)  # of each document, and one more
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
-        self.hash = Rolling(BYTE_VALUES[data]).ranges(self.start, self.end)
         self._rolling: Rolling | None = None
+        self._second: Rolling | None = None
+
+    def hashes(self) -> np.ndarray:
+        """Of each word, below PRIME: its bytes' polynomial."""
+        if not len(self.start):
+            return np.zeros(0, U)
+        size = self.end - self.start
+        first = np.cumsum(size) - size
+        at = spread(self.start, size)
+        power = powers(self.bases.byte, int(size.max()))[0][np.arange(len(at)) - np.repeat(first, size)]
+        values = self.data[at].astype(U) + U(1)
+        if size.max() <= 1 << 22:
+            return _joined(np.add.reduceat(values * (power & _M32), first), np.add.reduceat(values * (power >> U(32)), first))
+        term = mulmod(values, power)
+        return _joined(np.add.reduceat(term & _M32, first), np.add.reduceat(term >> U(32), first))
 
     @property
     def rolling(self) -> Rolling:
+        """Hashes of runs of words."""
         if self._rolling is None:
-            self._rolling = Rolling(self.hash, _WORD_MULT)
+            self._hashes = self.hashes()
+            self._rolling = Rolling(self._hashes, self.bases.word)
         return self._rolling
 
-    def second_hash(self) -> np.ndarray:
-        """Of each word, from other byte values and another multiplier than ``hash``."""
-        return Rolling(SECOND_VALUES[self.data], _SECOND_MULT).ranges(self.start, self.end)
+    @property
+    def second(self) -> Rolling:
+        """The same at another base."""
+        if self._second is None:
+            _ = self.rolling
+            self._second = Rolling(self._hashes, self.bases.word2)
+        return self._second
 
     def left(self) -> np.ndarray:
         """Words from each word to its document's end, itself included."""

@@ -4,7 +4,7 @@ Texts are lower-cased (A-Z) and cut into words of ASCII letters, digits and char
 window is 10 consecutive words of a benchmark item; an item with fewer words is one window. Both sides keep
 the smallest 5-gram hash of each 10-word window (winnowing): two texts that share a window share that
 fingerprint at equal distance. Fingerprints are joined, each hit is extended to the windows it stands for, and
-a window counts if 128 bits of two independent hashes agree. Windows of shorter items are fingerprints whole.
+a window counts if two hashes at random bases agree, and then its words. Windows of shorter items are fingerprints whole.
 
 A benchmark of at most ``broadcast_bytes`` of text goes to every task. A larger one is joined by
 fingerprint: blocks and items send runs of fingerprints, and each block gets back the items that it may
@@ -28,22 +28,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import runs as R
-from corpusloom.llm.blocks import ALNUM, BLOCK_BYTES, Block, Rolling, Words, blocks_of, covered, pack, sliding_owner, spread, with_carried
+from corpusloom.llm.blocks import ALNUM, BLOCK_BYTES, Bases, Block, Words, blocks_of, covered, draw_bases, pack, sliding_owner, spread, with_carried
 from corpusloom.session import durable, prepare, shuffle_partitions
 
 U = np.uint64
 WINDOW, GRAM = 10, 5
 BROADCAST_BYTES = 8 << 20
-_CHECK_MULT = 0xA0761D6478BD642F
 RESULT_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 Item = tuple[str, bytes | None]
 
 
-def _item_words(items: list[Item]) -> Words:
+def _item_words(items: list[Item], bases: Bases) -> Words:
     texts = [t or b"" for _, t in items]
     block = Block(0, np.zeros(len(items), np.int64), np.ones(len(items), bool), np.array([len(t) for t in texts], np.int64), b"".join(texts))
-    return Words(block, ALNUM, lower=True)
+    return Words(block, bases, ALNUM, lower=True)
 
 
 def _fingerprints(words: Words, length: int, gram: int, valid: np.ndarray) -> R.Segments:
@@ -57,10 +56,10 @@ def _fingerprints(words: Words, length: int, gram: int, valid: np.ndarray) -> R.
 class ItemIndex:
     """The windows of some items: by length their fingerprints, hashes and items."""
 
-    def __init__(self, items: list[Item], window: int = WINDOW, gram: int = GRAM) -> None:
+    def __init__(self, items: list[Item], bases: Bases, window: int = WINDOW, gram: int = GRAM) -> None:
         self.items, self.gram = items, gram
         self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
-        words = _item_words(items)
+        self.words = words = _item_words(items, bases)
         lengths = np.minimum(words.count, window)
         left = words.left()
         for length in sorted({int(x) for x in lengths if x > 0}):
@@ -68,18 +67,19 @@ class ItemIndex:
             prints = _fingerprints(words, length, gram, valid)
             at = np.flatnonzero(valid)
             h = words.rolling.ranges(at, at + length)
-            check = Rolling(words.second_hash(), _CHECK_MULT).ranges(at, at + length)
+            check = words.second.ranges(at, at + length)
             order = np.lexsort((check, h))
             new = np.ones(len(at), bool)
             new[1:] = (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])
             begin = np.flatnonzero(new)
-            self.by_length[length] = (np.unique(prints.hash), h[order][begin], check[order][begin], np.append(begin, len(at)), words.doc[at][order])
+            # The place of each distinct window's first occurrence tells its wording.
+            self.by_length[length] = (np.unique(prints.hash), h[order][begin], check[order][begin], np.append(begin, len(at)), words.doc[at][order], at[order][begin])
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows found in a block: first word, length, and for each (window, item) the pair of numbers."""
         starts, sizes, docs, found = [], [], [], []
-        left, second = words.left(), None
-        for length, (prints, h, check, begin, item) in self.by_length.items():
+        left = words.left()
+        for length, (prints, h, check, begin, item, place) in self.by_length.items():
             s = _fingerprints(words, length, self.gram, left >= length)
             keep = _member(s.hash, prints)
             at = spread(s.first[keep], s.last[keep] - s.first[keep] + 1)
@@ -90,12 +90,14 @@ class ItemIndex:
             at, lo, hi = (x[hi > lo] for x in (at, lo, hi))
             if not len(at):
                 continue
-            second = second if second is not None else Rolling(words.second_hash(), _CHECK_MULT)
-            mine = second.ranges(at, at + length)
+            mine = words.second.ranges(at, at + length)
             entry = spread(lo, hi - lo)
             which = np.repeat(np.arange(len(at)), hi - lo)
             good = check[entry] == mine[which]
             entry, which = entry[good], which[good]
+            # At last the words themselves.
+            good = same_words(words, at[which], self.words, place[entry], length)
+            entry, which = entry[good], which[good]
             starts.append(at[which])
             sizes.append(np.full(len(which), length))
             count = begin[entry + 1] - begin[entry]
@@ -105,6 +107,19 @@ class ItemIndex:
         return (np.concatenate(starts), np.concatenate(sizes), np.unique(np.stack([np.concatenate(docs), np.concatenate(found)]), axis=1)) if starts else (none, none, np.zeros((2, 0), np.int64))
 
 
+def same_words(a: Words, at: np.ndarray, b: Words, place: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` words from ``at`` in ``a`` are those from ``place`` in ``b``, byte by byte."""
+    k = np.arange(length)
+    i, j = (at[:, None] + k).reshape(-1), (place[:, None] + k).reshape(-1)
+    size = a.end[i] - a.start[i]
+    same = size == b.end[j] - b.start[j]
+    at_a, at_b = spread(a.start[i][same], size[same]), spread(b.start[j][same], size[same])
+    if len(at_a):
+        begin = np.cumsum(size[same]) - size[same]
+        same[same] = np.logical_and.reduceat(a.data[at_a] == b.data[at_b], begin)
+    return same.reshape(-1, length).all(axis=1)
+
+
 def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     if not len(among):
         return np.zeros(len(values), bool)
@@ -122,18 +137,18 @@ class Decontaminate:
     def annotate_hits(self, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_items: bool = False, with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
         """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; ``with_items``: the item ids; ``with_text``: text and the columns ``carry``."""
         prepare(docs.sparkSession)
-        window, gram = self.window, self.gram
+        window, gram, bases = self.window, self.gram, draw_bases()
         items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").cast("binary").alias("text")).where("text is not null")
         size = items.agg(F.coalesce(F.sum(F.length("text") + F.length("item") + 16), F.lit(0))).first()[0]
         if size <= self.broadcast_bytes:
             shared = docs.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in items.collect()])
-            blocks, index_of = pack(docs, id_col, text_col, carry), _shared_index(shared, window, gram)
+            blocks, index_of = pack(docs, id_col, text_col, carry), _shared_index(shared, bases, window, gram)
         else:
-            blocks, index_of = self._with_items(docs, items, id_col, text_col, carry), _own_index(window, gram)
+            blocks, index_of = self._with_items(docs, items, bases, id_col, text_col, carry), _own_index(bases, window, gram)
 
         def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block, row in blocks_of(batches):
-                words = Words(block, ALNUM, lower=True)
+                words = Words(block, bases, ALNUM, lower=True)
                 index = index_of(row)
                 start, length, pairs = index.hits(words)
                 hit = covered(len(words.start), start, start + length)
@@ -155,7 +170,7 @@ class Decontaminate:
         result = blocks.mapInArrow(render, RESULT_SCHEMA + (", items array<string>" if with_items else "") + (", text string, rest string" if with_text else ""))
         return with_carried(result, docs, carry) if with_text else result
 
-    def _with_items(self, docs: DataFrame, items: DataFrame, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
+    def _with_items(self, docs: DataFrame, items: DataFrame, bases: Bases, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
         """Blocks with the items that share a fingerprint with them, by a join on fingerprints."""
         spark = docs.sparkSession
         window, gram = self.window, self.gram
@@ -165,7 +180,7 @@ class Decontaminate:
 
         def send_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def run(part: list[Item]) -> Iterator[pa.RecordBatch]:
-                words = _item_words(part)
+                words = _item_words(part, bases)
                 left, lengths = words.left(), np.minimum(words.count, window)
                 buckets: dict[int, list[tuple[int, int, int]]] = {}
                 for length in sorted({int(x) for x in lengths if x > 0}):
@@ -193,7 +208,7 @@ class Decontaminate:
         lengths = sorted(r[0] for r in items.select(F.least(F.lit(window), F.size(F.regexp_extract_all(F.regexp_replace(F.col("text").cast("string"), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+", " "), F.lit("[^ ]+"), F.lit(0)))).alias("n")).distinct().collect() if r[0] > 0)
 
         def send(block: Block, row: dict):
-            words = Words(block, ALNUM, lower=True)
+            words = Words(block, bases, ALNUM, lower=True)
             left = words.left()
             for length in lengths:
                 h = np.unique(_fingerprints(words, length, gram, left >= length).hash)
@@ -221,23 +236,23 @@ class Decontaminate:
         return R.with_replies(blocks, R.exchange(blocks, send, merge, items.mapInArrow(send_items, R.RUN_SCHEMA)), "items")
 
 
-def _shared_index(shared, window: int, gram: int):
+def _shared_index(shared, bases: Bases, window: int, gram: int):
     held: list[ItemIndex] = []
 
     def index_of(row: dict) -> ItemIndex:
         if not held:
-            held.append(ItemIndex(shared.value, window, gram))
+            held.append(ItemIndex(shared.value, bases, window, gram))
         return held[0]
 
     return index_of
 
 
-def _own_index(window: int, gram: int):
+def _own_index(bases: Bases, window: int, gram: int):
     def index_of(row: dict) -> ItemIndex:
         items: dict[Item, None] = {}
         for r in row["items"] or []:
             if r["reply"]:
                 items.update(dict.fromkeys(pickle.loads(zstandard.ZstdDecompressor().decompress(r["reply"]))))
-        return ItemIndex(list(items), window, gram)
+        return ItemIndex(list(items), bases, window, gram)
 
     return index_of

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import runs as R
-from corpusloom.llm.blocks import Block, Words, blocks_of, mix, pack
+from corpusloom.llm.blocks import Bases, Block, Words, blocks_of, draw_bases, mix, pack
 from corpusloom.llm.components import UnionFind, connected_components
 from corpusloom.session import durable, prepare, release_shuffles, shuffle_partitions
 
@@ -49,8 +49,8 @@ SETS_SCHEMA = "doc_id long, n_shingles long, hi long, lo long, tokens binary, pr
 class _Shingles:
     """The distinct (shingle, document) of a block, in order of hash, then document."""
 
-    def __init__(self, block: Block, k: int) -> None:
-        words = Words(block, lower=True)
+    def __init__(self, block: Block, bases: Bases, k: int) -> None:
+        words = Words(block, bases, lower=True)
         at = np.flatnonzero(words.left() >= k)
         short = np.flatnonzero((words.count > 0) & (words.count < k))
         a = words.first[:-1][short]
@@ -85,17 +85,17 @@ def _need(percent: int, a: int, b: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def sets_of(blocks: DataFrame, k: int, percent: int) -> DataFrame:
+def sets_of(blocks: DataFrame, bases: Bases, k: int, percent: int) -> DataFrame:
     """Every document's set size and signature; for those that may link, the shared shingles in global order and the prefix."""
     stored = blocks.select(F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()[0]
     bits = R.bucket_bits(stored / 2, shuffle_partitions(blocks.sparkSession))
 
     def send(block: Block, row: dict):
-        return R.filter_runs(_Shingles(block, k).hash, bits, WIDTH)
+        return R.filter_runs(_Shingles(block, bases, k).hash, bits, WIDTH)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, row in blocks_of(batches):
-            s = _Shingles(block, k)
+            s = _Shingles(block, bases, k)
             _, inverse, local = np.unique(s.hash >> U(64 - WIDTH), return_inverse=True, return_counts=True)
             runs = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(r["reply"]), np.uint8, r["n"]) for r in row["counts"]]) if row["counts"] else np.zeros(len(local), np.uint8)
             shared = ((runs > 1) | (local > 1))[inverse]
@@ -263,7 +263,7 @@ class JaccardJoin:
     def components(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_shingles, component_id; one row per row of ``docs``."""
         prepare(docs.sparkSession)
-        rows = durable(sets_of(durable(pack(docs, id_col, text_col)), self.shingle, self.percent))
+        rows = durable(sets_of(durable(pack(docs, id_col, text_col)), draw_bases(), self.shingle, self.percent))
         release_shuffles(docs.sparkSession)
         classes = rows.where("tokens is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix"))
         classes = durable(classes.select(F.monotonically_increasing_id().alias("node"), "*"))

@@ -25,9 +25,9 @@ REPLY_SCHEMA = "block_id long, bucket int, n int, reply binary"
 BUCKET_HASHES = 1_500_000
 
 
-def bucket_bits(n_hashes: float, least: int = 8) -> int:
+def bucket_bits(n_hashes: float, least: int = 8, bucket_hashes: int = BUCKET_HASHES) -> int:
     """log2 of the number of buckets for about ``n_hashes`` hashes in all."""
-    return max((max(1, least) - 1).bit_length(), int(np.ceil(np.log2(max(1.0, n_hashes / BUCKET_HASHES)))))
+    return max((max(1, least) - 1).bit_length(), int(np.ceil(np.log2(max(1.0, n_hashes / bucket_hashes)))))
 
 
 def pack_sorted(values: np.ndarray) -> bytes:

@@ -1,265 +1,333 @@
 """Substring dedup over a log-structured index of window fingerprints.
 
-A window is 20 consecutive words of one document. Each block of documents writes sorted immutable runs
-of its window hashes; runs are merged bucket by bucket with one another and with the runs of earlier
-batches; a window whose words already started earlier is a repeat, and every word it covers is removed.
-A match is verified by a second, independent hash: 96 bits have to agree.
+A window is 20 consecutive words of one document. A window whose words already started earlier is a repeat, and every
+word that it covers is removed. Documents come in batches, each later than those before it:
 
-Two rounds keep what moves small. The first exchanges only winnowed 12-word anchors, one window in five;
-the second exchanges the windows owned by an anchor that stands elsewhere, as all others are unique.
+1. Each block of a batch writes its distinct window hashes as a sorted run, cut into buckets by their leading bits.
+2. A bucket's runs are merged with one another and with the immutable sorted runs that the index keeps of earlier batches.
+   Each block gets back which of its windows are repeats; what is new becomes the batch's own run of the index.
+3. A match is verified by a second hash at another random base, drawn for the index: 88 bits agree, whatever the words.
+4. When ``FANOUT`` runs stand on a level, they are compacted into one of the next level.
+
+The index is a folder: a table per run, bucketed by the buckets of the hashes, so that merging and compacting read the runs
+where they lie, without a shuffle; and a manifest that names the live runs. A manifest is written after its runs, so a batch
+that is broken off leaves the index as it was. A run holds only windows that no earlier one holds. When buckets would grow too
+large, the index is written anew with more of them.
 
 Defined cases: null text and text without words have n_words 0 and the hash of the empty string. Texts
 of fewer than 20 words lose nothing. A null doc_id counts as smaller than every other. Rows that share
 a doc_id are documents of their own; which of them is the earlier one follows their place in the input.
-Other columns of the input are ignored. An empty table gives an empty result.
+Other columns of the input are ignored. An empty table or batch gives an empty result. A document has to fit a worker.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import runs as R
-from corpusloom.llm.blocks import Block, Rolling, Words, blocks_of, covered, pack, sliding_owner, spread
-from corpusloom.session import durable, prepare, shuffle_partitions
+from corpusloom.llm.blocks import Bases, Block, Words, blocks_of, covered, draw_bases, pack, spread
+from corpusloom.session import checkpoint_folder, durable, prepare, release_shuffles, shuffle_partitions
 
 U = np.uint64
-_CHECK_MULT = 0xA0761D6478BD642F
-WINDOW, GRAM = 20, 12
-#: Bits of an anchor's hash that are exchanged.
-ANCHOR_BITS = 44
-#: ``bits``: that many leading bits of a hash are its bucket. Batches of other sizes have other bits.
-INDEX_SCHEMA = "kind int, bits int, bucket int, level int, n long, run binary"
+WINDOW = 20
+#: Bits kept of a window's hash; 32 of its second hash are kept beside them.
+HASH_BITS = 56
+#: Runs of one level that are compacted into one of the next.
+FANOUT = 2
+#: Batches in which ``SubstringDedup`` feeds a table to its index.
+BATCHES = 3
+#: A run's table: kind 1 are its buckets, kind 0 the answers that its batch got.
+RUN_SCHEMA = "kind int, bucket int, block_id long, n long, data binary"
 RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 class _Windows:
-    def __init__(self, block: Block, window: int, gram: int) -> None:
-        self.words = words = Words(block)
-        left = words.left()
-        self.starts = left >= window
-        grams = words.rolling.windows(gram)
-        owner = sliding_owner(grams, window - gram + 1)
-        self.segments = R.Segments(grams, owner, self.starts[: len(owner)])
-        self.window = window
-
-    def anchors(self) -> np.ndarray:
-        return self.segments.hash
-
-    def candidates(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The windows of the kept segments: first word, hash, second hash."""
-        s = self.segments
-        at = spread(s.first[keep], s.last[keep] - s.first[keep] + 1)
-        h = self.words.rolling.ranges(at, at + self.window)
-        # The second hash: other values for the words, another multiplier.
-        check = Rolling(self.words.second_hash(), _CHECK_MULT).ranges(at, at + self.window) >> U(32)
-        return at, h, check.astype(np.uint32)
-
-
-def _distinct(at: np.ndarray, h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by hash, second hash and place; where each distinct window begins in that order; its number for each place in it."""
-    order = np.lexsort((at, check, h))
-    new = np.ones(len(order), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])
-    return order, np.flatnonzero(new), np.cumsum(new) - 1
+    """The windows of a block, its distinct ones in order of hash, second hash and place."""
+
+    def __init__(self, block: Block, bases: Bases, window: int) -> None:
+        self.words = words = Words(block, bases)
+        self.at = np.flatnonzero(words.left() >= window)
+        h = words.rolling.ranges(self.at, self.at + window) >> U(64 - HASH_BITS) << U(64 - HASH_BITS)
+        check = (words.second.ranges(self.at, self.at + window) >> U(32)).astype(np.uint32)
+        self.order = np.lexsort((self.at, check, h))
+        h, check = h[self.order], check[self.order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
+        self.new, self.number = new, np.cumsum(new) - 1
+        self.hash, self.check, self.doc = h[new], check[new], words.doc[self.at[self.order[new]]]
 
 
 def _encode(h: np.ndarray, check: np.ndarray, doc: np.ndarray, keys: np.ndarray) -> bytes:
-    """A run: hashes, second hashes, and the document that each first starts in as a number into sorted ``keys``."""
+    """Hashes, second hashes, and the document that each first starts in as a number into sorted ``keys``."""
     own, number = np.unique(doc, return_inverse=True)
-    width = np.uint16 if len(own) < 1 << 16 else np.uint32
-    head = R.pack_sorted(h)
     ids = R.pack_sorted(keys[own].astype(np.int64).view(U) ^ U(1 << 63))
-    rest = zstandard.ZstdCompressor(level=1).compress(check.tobytes() + number.astype(width).tobytes())
-    return np.array([len(own), len(head), len(ids)], np.int64).tobytes() + head + ids + rest
+    rest = zstandard.ZstdCompressor(level=1).compress(number.astype(np.uint16 if len(own) < 1 << 16 else np.uint32).tobytes())
+    run = _stored(h, check)
+    return np.array([len(own), len(run), len(ids)], np.int64).tobytes() + run + ids + rest
 
 
-def _decode(n: int, run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _decode(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, second hashes, order keys (as unsigned) of the documents they first start in."""
-    docs, head, ids = map(int, np.frombuffer(run, np.int64, 3))
-    rest = zstandard.ZstdDecompressor().decompress(run[24 + head + ids :])
-    keys = R.unpack_sorted(run[24 + head : 24 + head + ids], docs)
-    number = np.frombuffer(rest, np.uint16 if docs < 1 << 16 else np.uint32, n, 4 * n)
-    return R.unpack_sorted(run[24 : 24 + head], n), np.frombuffer(rest, np.uint32, n), keys[number]
+    docs, run, ids = map(int, np.frombuffer(data, np.int64, 3))
+    keys = R.unpack_sorted(data[24 + run : 24 + run + ids], docs)
+    rest = zstandard.ZstdDecompressor().decompress(data[24 + run + ids :])
+    return *_unstored(n, data[24 : 24 + run]), keys[np.frombuffer(rest, np.uint16 if docs < 1 << 16 else np.uint32, n)]
+
+
+def _stored(h: np.ndarray, check: np.ndarray) -> bytes:
+    return check.tobytes() + R.pack_sorted(h >> U(64 - HASH_BITS))
 
 
-def _merge_windows(parts: list[tuple[int, int, bytes]]) -> list[bytes]:
-    """A bit per window of each run: it also starts earlier, in another run. History (block -1) is earlier than all."""
-    runs = [_decode(n, r) for _, n, r in parts]
+def _unstored(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return R.unpack_sorted(data[4 * n :], n) << U(64 - HASH_BITS), np.frombuffer(data, np.uint32, n)
+
+
+def _merge(batch: list[tuple[int, int, bytes]], past: list[tuple[int, bytes]]) -> tuple[list[bytes], int, bytes]:
+    """For each run of the batch a bit per window: it also starts earlier. And the new run: what no earlier one holds."""
+    runs = [_decode(n, r) for _, n, r in batch] + [(*_unstored(n, r), np.zeros(n, U)) for n, r in past]
+    size = [len(r[0]) for r in runs]
     h, check, key = (np.concatenate(x) for x in zip(*runs, strict=True))
-    batch = np.repeat([b >= 0 for b, _, _ in parts], [n for _, n, _ in parts])
-    block = np.repeat([b for b, _, _ in parts], [n for _, n, _ in parts])
-    order = np.argsort(h)
+    block = np.repeat([b for b, _, _ in batch] + [-1] * len(past), size)
+    order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     several = np.zeros(len(h), bool)
     several[1:] |= same
     several[:-1] |= same
     among = order[several]
-    among = among[np.lexsort((block[among], key[among], batch[among], check[among], h[among]))]
+    among = among[np.lexsort((block[among], key[among], block[among] >= 0, check[among], h[among]))]
     repeat = np.zeros(len(among), bool)
     repeat[1:] = (h[among][1:] == h[among][:-1]) & (check[among][1:] == check[among][:-1])
     earlier = np.zeros(len(h), bool)
     earlier[among] = repeat
-    at, out = 0, []
-    for _, n, _ in parts:
+    out, at = [], 0
+    for n in size[: len(batch)]:
         out.append(np.packbits(earlier[at : at + n]).tobytes())
         at += n
-    return out
-
-
-def _deal(index: DataFrame, bits: int) -> DataFrame:
-    """The runs of an index in buckets of ``bits``: finer ones are renamed, coarser ones are cut."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for kind, level, n, run in zip(*(batch.column(c).to_pylist() for c in ("kind", "level", "n", "run")), strict=True):
-                rows = []
-                if kind == 0:
-                    values = R.unpack_sorted(run, n)
-                    rows = [(bucket, b - a, R.pack_sorted(values[a:b])) for bucket, a, b in R.cuts(values << U(64 - ANCHOR_BITS), bits)]
-                else:
-                    h, check, key = _decode(n, run)
-                    keys, doc = np.unique(key, return_inverse=True)
-                    keys = (keys ^ U(1 << 63)).view(np.int64)
-                    rows = [(bucket, b - a, _encode(h[a:b], check[a:b], doc[a:b], keys)) for bucket, a, b in R.cuts(h, bits)]
-                if rows:
-                    m, (bucket, size, runs) = len(rows), zip(*rows, strict=True)
-                    yield pa.record_batch([pa.array([kind] * m, pa.int32()), pa.array([bits] * m, pa.int32()), pa.array(bucket, pa.int32()), pa.array([level] * m, pa.int32()), pa.array(size, pa.int64()), pa.array(runs, pa.binary())], ["kind", "bits", "bucket", "level", "n", "run"])
-
-    index = index.select("kind", "bits", "bucket", "level", "n", "run")
-    renamed = F.expr(f"shiftright(bucket, bits - {bits})").alias("bucket")
-    fine = index.where(F.col("bits") >= bits).select("kind", F.lit(bits).alias("bits"), renamed, "level", "n", "run")
-    return fine.unionByName(index.where(F.col("bits") < bits).mapInArrow(cut, INDEX_SCHEMA))
+    fresh = order[(~earlier & (block >= 0))[order]]
+    return out, len(fresh), _stored(h[fresh], check[fresh])
 
 
-class SubstringDedup:
-    """Removes repeated windows from batches of documents, keeping an index of those seen.
+def _combine(parts: list[tuple[int, bytes]]) -> tuple[int, bytes]:
+    h, check = (np.concatenate(x) for x in zip(*(_unstored(n, r) for n, r in parts), strict=True))
+    order = np.argsort(h, kind="stable")
+    return len(h), _stored(h[order], check[order])
+
 
-    ``dedup(batch, history)`` cleans one batch against itself and against the index of earlier batches;
-    ``index_run(batch)`` is the batch's new run, and ``compact`` merges runs of the index into one level.
-    The number of buckets may differ from batch to batch, session to session: runs carry theirs, and are dealt anew.
+def _rows(kind: int, bucket: list[int], block: list[int], n: list[int], data: list[bytes]) -> pa.RecordBatch:
+    m = len(bucket)
+    return pa.record_batch([pa.array([kind] * m, pa.int32()), pa.array(bucket, pa.int32()), pa.array(block, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["kind", "bucket", "block_id", "n", "data"])
+
+
+class FingerprintIndex:
+    """Window hashes of all batches so far, in ``folder``; ``add(batch)`` cleans the next one.
+
+    A folder that holds an index is opened as it is, with its own window, bases and buckets. ``bucket_hashes``: how many a
+    bucket should hold at most, over all runs. One writer at a time.
     """
 
-    def __init__(self, window: int = WINDOW, gram: int = GRAM, bucket_bits: int | None = None) -> None:
-        if not 1 <= gram <= window:
-            raise ValueError("gram must lie between 1 and window")
-        self.window, self.gram, self.bits = window, gram, bucket_bits
-
-    def _bits(self, blocks: DataFrame) -> int:
-        if self.bits is not None:
-            return self.bits
-        n = blocks.select(F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()[0]
-        # A compressed byte stands for about three, a word for six: half a window for each.
-        return R.bucket_bits(n / 2 / 3, shuffle_partitions(blocks.sparkSession))
-
-    def annotate(self, docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Blocks with the answers of both rounds; what ``dedup`` and other renderings read."""
-        prepare(docs.sparkSession)
-        blocks = durable(pack(docs, id_col, text_col))
-        window, gram, bits = self.window, self.gram, self._bits(blocks)
-        if history is not None:
-            # Never larger buckets than those of the history.
-            bits = max(bits, history.agg(F.max("bits")).first()[0] or 0)
-
-        def anchors(block, row):
-            return R.filter_runs(_Windows(block, window, gram).anchors(), bits, ANCHOR_BITS)
-
-        def windows(block, row):
-            w = _Windows(block, window, gram)
-            at, h, check = w.candidates(R.repeated(w.anchors(), ANCHOR_BITS, row["a"]))
-            order, new, _ = _distinct(at, h, check)
-            first = order[new]
-            for bucket, a, b in R.cuts(h[first], bits):
-                x = first[a:b]
-                yield bucket, b - a, _encode(h[x], check[x], w.words.doc[at[x]], block.order_key())
-
-        past = None if history is None else _deal(history, bits).withColumn("block_id", F.lit(-1).cast("long"))
-        one = R.with_replies(blocks, self._round(blocks, anchors, R.merge_repeated(), past, 0), "a")
-        return R.with_replies(one, self._round(one, windows, _merge_windows, past, 1), "b")
+    def __init__(self, spark: SparkSession, folder: str, window: int = WINDOW, fanout: int = FANOUT, bucket_hashes: int = R.BUCKET_HASHES) -> None:
+        if window < 1 or fanout < 2:
+            raise ValueError("a window has a word at least, a level takes two runs at least")
+        prepare(spark)
+        self.spark, self.folder, self.fanout, self.bucket_hashes = spark, folder.rstrip("/"), fanout, bucket_hashes
+        self.state = self._latest() or {"version": 0, "window": window, "bits": 0, "files": shuffle_partitions(spark), "bases": list(draw_bases()), "runs": []}
+        self.window, self.bases = self.state["window"], Bases(*self.state["bases"])
+
+    # --- the folder ---------------------------------------------------------------------------
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _fs(self):
+        return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, start: str) -> list[str]:
+        fs, root = self._fs(), self._path("x").getParent()
+        return sorted(n for n in (f.getPath().getName() for f in fs.listStatus(root)) if n.startswith(start)) if fs.exists(root) else []
+
+    def _latest(self) -> dict | None:
+        done = [n for n in self._names("manifest-") if self._fs().exists(self._path(f"{n}/_SUCCESS"))]
+        return json.loads(self.spark.read.text(f"{self.folder}/{done[-1]}").first()[0]) if done else None
+
+    def _publish(self, runs: list[dict]) -> None:
+        """Make ``runs`` the live ones; others and older manifests go."""
+        self.state = self.state | {"version": self.state["version"] + 1, "runs": runs}
+        name = f"manifest-{self.state['version']:08d}"
+        self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{name}")
+        live = {r["name"] for r in runs}
+        for old in [n for n in self._names("manifest-") if n != name] + [n for n in self._names("run-") if n not in live]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table_name(old)}")
+            self._fs().delete(self._path(old), True)
 
     @staticmethod
-    def _round(blocks, emit, merge, past, kind):
-        if past is not None:
-            past = past.where(F.col("kind") == kind).select("bucket", "block_id", F.col("n").cast("int").alias("n"), "run")
-        return R.exchange(blocks, emit, merge, past)
+    def _table_name(name: str) -> str:
+        return "corpusloom_" + name.replace("-", "_")
+
+    def _write(self, rows: DataFrame, level: int) -> dict:
+        """A new run from ``rows`` (RUN_SCHEMA), dealt out by bucket."""
+        name = f"run-{uuid.uuid4().hex}"
+        rows.write.format("parquet").bucketBy(self.state["files"], "bucket").option("path", f"{self.folder}/{name}").saveAsTable(self._table_name(name))
+        n = self._read({"name": name}).where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        return {"name": name, "level": level, "n": n}
+
+    def _read(self, run: dict) -> DataFrame:
+        table = self._table_name(run["name"])
+        if not self.spark.catalog.tableExists(table):
+            self.spark.sql(f"CREATE TABLE {table} (kind INT, bucket INT, block_id BIGINT, n BIGINT, data BINARY) USING parquet CLUSTERED BY (bucket) INTO {self.state['files']} BUCKETS LOCATION '{self.folder}/{run['name']}'")
+        return self.spark.table(table)
+
+    def drop(self) -> None:
+        """Delete the index."""
+        self._publish([])
+        self._fs().delete(self._path("x").getParent(), True)
+
+    # --- batches ------------------------------------------------------------------------------
+
+    def _grow(self, hashes: float) -> None:
+        """Buckets enough for so many hashes more; with more of them than now, all runs are written anew."""
+        runs = self.state["runs"]
+        bits = R.bucket_bits(hashes + sum(r["n"] for r in runs), self.state["files"], self.bucket_hashes)
+        if bits <= self.state["bits"]:
+            return
+        self.state["bits"] = bits
+        if not runs:
+            return
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                    h, check = _unstored(n, data)
+                    found = R.cuts(h, bits)
+                    if found:
+                        yield _rows(1, [b for b, _, _ in found], [-1] * len(found), [j - i for _, i, j in found], [_stored(h[i:j], check[i:j]) for _, i, j in found])
+
+        rows = None
+        for run in runs:
+            part = self._read(run).where("kind = 1").mapInArrow(cut, RUN_SCHEMA)
+            rows = part if rows is None else rows.unionByName(part)
+        new = self._write(self._combined(rows.repartition(self.state["files"], "bucket")), max(r["level"] for r in runs) + 1)
+        self._publish([new])
 
-    def dedup(self, docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-        """doc_id, n_words, n_removed, kept_sha256, and the kept text if ``with_text``."""
-        window, gram = self.window, self.gram
+    @staticmethod
+    def _combined(rows: DataFrame) -> DataFrame:
+        def combine(table: pa.Table) -> pa.Table:
+            n, data = _combine(list(zip(table["n"].to_pylist(), table["data"].to_pylist(), strict=True)))
+            return pa.Table.from_batches([_rows(1, [table["bucket"][0].as_py()], [-1], [n], [data])])
+
+        return rows.groupBy("bucket").applyInArrow(combine, RUN_SCHEMA)
+
+    def _joined(self, batch: DataFrame | None, runs: list[dict]) -> DataFrame:
+        """A row for each bucket: the batch's runs of it and, by join of tables dealt out alike, each run's."""
+        out = batch
+        for k, run in enumerate(runs):
+            past = self._read(run).where("kind = 1").select("bucket", F.struct("n", "data").alias(f"past{k}"))
+            out = past if out is None else out.join(past, "bucket", "left" if batch is not None else "full")
+        return out
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+        """The batch cleaned: doc_id, n_words, n_removed, kept_sha256, and the kept text if ``with_text``. Its windows join the index."""
+        window, bases, files = self.window, self.bases, self.state["files"]
+        blocks = durable(pack(docs, id_col, text_col))
+        stored = blocks.select(F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()[0]
+        # A compressed byte stands for about three, a word for six.
+        self._grow(stored / 2)
+        bits, runs = self.state["bits"], self.state["runs"]
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, _ in blocks_of(batches):
+                w = _Windows(block, bases, window)
+                found = R.cuts(w.hash, bits)
+                if found:
+                    keys = block.order_key()
+                    yield _rows(0, [b for b, _, _ in found], [block.block_id] * len(found), [j - i for _, i, j in found], [_encode(w.hash[i:j], w.check[i:j], w.doc[i:j], keys) for _, i, j in found])
+
+        sent = blocks.mapInArrow(send, RUN_SCHEMA).repartition(files, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("block_id", "n", "data")).alias("sent"))
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                past = [batch.column(c) for c in batch.schema.names if c.startswith("past")]
+                for i in range(batch.num_rows):
+                    bucket, parts = batch.column("bucket")[i].as_py(), [(r["block_id"], r["n"], r["data"]) for r in batch.column("sent")[i].as_py()]
+                    replies, n, run = _merge(parts, [(p["n"], p["data"]) for p in (c[i].as_py() for c in past) if p is not None])
+                    yield _rows(0, [bucket] * len(parts), [b for b, _, _ in parts], [m for _, m, _ in parts], replies)
+                    yield _rows(1, [bucket], [-1], [n], [run])
+
+        new = self._write(self._joined(sent, runs).mapInArrow(merge, RUN_SCHEMA), 0)
+        replies = self._read(new).where("kind = 0").groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", F.col("data").alias("reply")))).alias("replies"))
 
         def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block, row in blocks_of(batches):
-                w = _Windows(block, window, gram)
-                at, h, check = w.candidates(R.repeated(w.anchors(), ANCHOR_BITS, row["a"]))
-                order, new, number = _distinct(at, h, check)
-                gone = R.flags(row["b"])[number] if len(at) else np.zeros(0, bool)
-                local = np.ones(len(at), bool)
-                local[new] = False
-                start = at[order][gone | local]
+                w = _Windows(block, bases, window)
+                gone = R.flags(row["found"])[w.number] if len(w.at) else np.zeros(0, bool)
+                start = w.at[w.order][gone | ~w.new]
                 words = w.words
                 removed = covered(len(words.start), start, start + window)
-                keep = ~removed
                 n_removed = np.bincount(words.doc[removed], minlength=len(block.doc_ids))
-                texts = kept_texts(words, keep, len(block.doc_ids))
+                texts = kept_texts(words, ~removed, len(block.doc_ids))
                 cols = [pa.array(block.ids(), pa.int64()), pa.array(words.count, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
                 if with_text:
                     cols, names = [*cols, pa.array([t.decode("utf-8", "replace") for t in texts])], [*names, "kept_text"]
                 yield pa.record_batch(cols, names)
 
-        return self.annotate(docs, history, id_col, text_col).mapInArrow(render, RESULT_SCHEMA + (", kept_text string" if with_text else ""))
+        out = durable(R.with_replies(blocks, replies, "found").mapInArrow(render, RESULT_SCHEMA + (", kept_text string" if with_text else "")))
+        self._publish([*runs, new])
+        release_shuffles(self.spark)
+        self._compact()
+        return out
 
-    def index_run(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """The batch's runs for the index, level 0: anchors (kind 0) and windows (kind 1), one row per block and bucket."""
-        prepare(docs.sparkSession)
-        blocks = durable(pack(docs, id_col, text_col))
-        window, gram, bits = self.window, self.gram, self._bits(blocks)
+    def _compact(self) -> None:
+        """Merge the runs of every level that holds ``fanout``, the lowest first."""
+        while full := [k for k in {r["level"] for r in self.state["runs"]} if sum(r["level"] == k for r in self.state["runs"]) >= self.fanout]:
+            self._compact_level(min(full))
 
-        def send(batches):
-            for block, _ in blocks_of(batches):
-                w = _Windows(block, window, gram)
-                rows = [(0, *x) for x in R.filter_runs(w.anchors(), bits, ANCHOR_BITS)]
-                at, h, check = w.candidates(np.ones(len(w.anchors()), bool))
-                order, new, _ = _distinct(at, h, check)
-                first = order[new]
-                for bucket, a, b in R.cuts(h[first], bits):
-                    x = first[a:b]
-                    rows.append((1, bucket, b - a, _encode(h[x], check[x], w.words.doc[at[x]], block.order_key())))
-                if rows:
-                    yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([bits] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], ["kind", "bits", "bucket", "level", "n", "run"])
-
-        return blocks.mapInArrow(send, INDEX_SCHEMA)
+    def _compact_level(self, level: int) -> None:
+        old = [r for r in self.state["runs"] if r["level"] == level]
 
-    @staticmethod
-    def compact(index: DataFrame) -> DataFrame:
-        """All runs of each kind and bucket merged into one, a level up; a window keeps its earliest document."""
-        prepare(index.sparkSession)
-        bits = index.agg(F.max("bits")).first()[0] or 0
-
-        def merge(table: pa.Table) -> pa.Table:
-            kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
-            parts = list(zip(table["n"].to_pylist(), table["run"].to_pylist(), strict=True))
-            level = max(table["level"].to_pylist()) + 1
-            if kind == 0:
-                values = np.unique(np.concatenate([R.unpack_sorted(r, n) for n, r in parts]))
-                n, run = len(values), R.pack_sorted(values)
-            else:
-                h, check, key = (np.concatenate(x) for x in zip(*(_decode(n, r) for n, r in parts), strict=True))
-                order = np.lexsort((key, check, h))
-                new = np.ones(len(order), bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])
-                x = order[new]
-                keys, doc = np.unique(key[x], return_inverse=True)
-                n, run = len(x), _encode(h[x], check[x], doc, (keys ^ U(1 << 63)).view(np.int64))
-            return pa.table([pa.array([kind], pa.int32()), pa.array([bits], pa.int32()), pa.array([bucket], pa.int32()), pa.array([level], pa.int32()), pa.array([n], pa.int64()), pa.array([run], pa.binary())], ["kind", "bits", "bucket", "level", "n", "run"])
-
-        return _deal(index, bits).groupBy("kind", "bucket").applyInArrow(merge, INDEX_SCHEMA)
+        def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                past = [batch.column(c) for c in batch.schema.names if c.startswith("past")]
+                for i in range(batch.num_rows):
+                    n, data = _combine([(p["n"], p["data"]) for p in (c[i].as_py() for c in past) if p is not None])
+                    yield _rows(1, [batch.column("bucket")[i].as_py()], [-1], [n], [data])
+
+        new = self._write(self._joined(None, old).mapInArrow(combine, RUN_SCHEMA), level + 1)
+        self._publish([new, *(r for r in self.state["runs"] if r not in old)])
+
+
+class SubstringDedup:
+    """``dedup(docs)`` feeds a table to an index of its own in ``batches`` of rising doc_id, and deletes the index."""
+
+    def __init__(self, window: int = WINDOW, batches: int = BATCHES) -> None:
+        self.window, self.batches = window, batches
+
+    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+        """doc_id, n_words, n_removed, kept_sha256, and the kept text if ``with_text``; one row per row of ``docs``."""
+        spark = docs.sparkSession
+        index = FingerprintIndex(spark, f"{checkpoint_folder(spark)}/substring-index-{uuid.uuid4().hex}", self.window)
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        at = [k / self.batches for k in range(1, self.batches)]
+        cuts = sorted(set((rows.agg(F.percentile_approx("doc_id", at, 1000)).first()[0] if at else None) or []))
+        first = F.col("doc_id").isNull()
+        bounds = zip([None, *cuts], [*cuts, None], strict=True)
+        out = None
+        try:
+            for low, high in bounds:
+                inside = (F.lit(True) if low is None else F.col("doc_id") > low) & (F.lit(True) if high is None else F.col("doc_id") <= high)
+                part = index.add(rows.where(inside if low is not None else inside | first), with_text=with_text)
+                out = part if out is None else out.unionByName(part)
+        finally:
+            index.drop()
+        return out
 
 
 def kept_texts(words: Words, keep: np.ndarray, n_docs: int) -> list[bytes]:

@@ -10,13 +10,13 @@ A corpus has far more suffixes than have to be sorted. Two exchanges of hashes l
 1. Anchors: the smallest 320-byte hash in each window of 81 (winnowing), one place in about 41. Every 400-byte
    string holds one, and equal strings hold it at equal distance, so strings with an anchor that stands nowhere
    else are unique. This is a filter: a collision only keeps more.
-2. Extents: all bytes of the strings that share an anchor. An extent that stands elsewhere (128 bits of two hashes
-   agree) is repeated as a whole: the inside of long copies is settled without looking at single strings.
+2. Extents: all bytes of the strings that share an anchor. An extent that stands elsewhere (128 bits of a cryptographic
+   digest of its bytes agree) is repeated as a whole: the inside of long copies is settled without looking at single strings.
 3. What is left are the ends of copies. Extents that share an anchor meet in one task, one copy of each, and the
    suffixes that begin at equal distance from the anchor are sorted there, as above.
 
 An anchor that stands in ``HOT_RUNS`` blocks or more is never gathered: its strings are dealt out one by one by their
-hash instead, and are equal where 96 bits of two independent hashes agree.
+digest instead, 128 bits of it. All other hashes only choose what is compared.
 
 Defined cases: null text counts as empty; texts under 400 bytes lose nothing. Rows that share a doc_id or
 have none are documents of their own. Other columns are ignored, or kept with ``carry``. An empty table gives an
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import runs as R
-from corpusloom.llm.blocks import BYTE_VALUES, SECOND_VALUES, Block, Rolling, blocks_of, covered, mix, pack, sliding_owner, spread, with_carried
+from corpusloom.llm.blocks import Block, Rolling, blocks_of, covered, draw_bases, filter_grams, mix, pack, sliding_owner, spread, with_carried
 from corpusloom.session import durable, prepare, shuffle_partitions
 
 U = np.uint64
@@ -52,21 +52,28 @@ class _Suffixes:
         self.block, self.length = block, length
         data = block.bytes
         self.n = len(data)
-        self.rolling = Rolling(BYTE_VALUES[data])
-        grams = self.rolling.windows(gram)
+        grams = filter_grams(data, gram)
         owner = sliding_owner(grams, length - gram + 1)
         valid = np.zeros(len(owner), bool)
         for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True):
             if b - a >= length:
                 valid[a : b - length + 1] = True
         self.segments = R.Segments(grams, owner, valid)
-        self._second: Rolling | None = None
 
-    @property
-    def second(self) -> Rolling:
-        if self._second is None:
-            self._second = Rolling(SECOND_VALUES[self.block.bytes], _SECOND)
-        return self._second
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Two 64-bit halves of a cryptographic digest of each range of bytes."""
+        data, blake = self.block.data, hashlib.blake2b
+        raw = b"".join([blake(data[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        return np.frombuffer(raw, U).reshape(-1, 2)
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns differs from the row before; the first row always."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = False
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
 
 class _Extents:
@@ -79,12 +86,12 @@ class _Extents:
         self.first, self.last, self.anchor = g.first[keep], g.last[keep], g.hash[keep]
         self.distance = g.owner[keep] - self.first
         end = self.last + s.length
+        digest = s.digests(self.first, end)
         # The place of the strings about the anchor is part of the extent.
-        self.extent = mix(s.rolling.ranges(self.first, end) + (self.last - self.first).astype(U))
+        self.extent, self.check = mix(digest[:, 0] + (self.last - self.first).astype(U)), digest[:, 1]
         deal = np.where(self.hot, mix(self.anchor ^ self.extent), self.anchor)
-        order = np.lexsort((self.first, self.extent, deal))
-        new = np.ones(len(order), bool)
-        new[1:] = (deal[order][1:] != deal[order][:-1]) | (self.extent[order][1:] != self.extent[order][:-1])
+        order = np.lexsort((self.first, self.check, self.extent, deal))
+        new = changes(deal[order], self.extent[order], self.check[order])
         self.begin = order[new]  # the first segment of each distinct extent
         self.deal = deal[self.begin]
         self.number = np.empty(len(order), np.int64)
@@ -97,25 +104,25 @@ class _Extents:
         return ((state & 1 > 0) | self.several)[self.number], state & 2 > 0
 
 
-def _extent_run(deal: np.ndarray, extent: np.ndarray, hot: np.ndarray) -> bytes:
+def _extent_run(deal: np.ndarray, extent: np.ndarray, check: np.ndarray, hot: np.ndarray) -> bytes:
     head = R.pack_sorted(deal)
-    return np.int64(len(head)).tobytes() + head + extent.tobytes() + hot.astype(np.uint8).tobytes()
+    return np.int64(len(head)).tobytes() + head + extent.tobytes() + check.tobytes() + hot.astype(np.uint8).tobytes()
 
 
 def _merge_extents(parts: list[tuple[int, int, bytes]]) -> list[bytes]:
     """Per extent of each run, 1: it stands in another run; 2: its anchor has other extents, and this is the run that stands for it."""
-    deals, extents, hots = [], [], []
+    deals, extents, checks, hots = [], [], [], []
     for _, n, r in parts:
         head = int(np.frombuffer(r, np.int64, 1)[0])
         deals.append(R.unpack_sorted(r[8 : 8 + head], n))
         extents.append(np.frombuffer(r, U, n, 8 + head))
-        hots.append(np.frombuffer(r, np.uint8, n, 8 + head + 8 * n))
-    deal, extent, hot = np.concatenate(deals), np.concatenate(extents), np.concatenate(hots)
+        checks.append(np.frombuffer(r, U, n, 8 + head + 8 * n))
+        hots.append(np.frombuffer(r, np.uint8, n, 8 + head + 16 * n))
+    deal, extent, check, hot = map(np.concatenate, (deals, extents, checks, hots))
     run = np.repeat(np.arange(len(parts)), [n for _, n, _ in parts])
-    order = np.lexsort((run, extent, deal))
-    d, e = deal[order], extent[order]
-    new_deal = np.concatenate([[True], d[1:] != d[:-1]])
-    new = new_deal | np.concatenate([[True], e[1:] != e[:-1]])
+    order = np.lexsort((run, check, extent, deal))
+    new_deal = changes(deal[order])
+    new = changes(deal[order], extent[order], check[order])
     number = np.cumsum(new) - 1
     size = np.bincount(number)
     kinds = np.bincount(np.cumsum(new_deal) - 1, weights=new)[np.cumsum(new_deal) - 1]
@@ -139,11 +146,10 @@ class _Ends:
         self.cold_at = spread(x.first[self.cold], self.windows)
         send = x.begin[compare & hot]
         self.at = spread(x.first[send], x.last[send] - x.first[send] + 1)
-        self.hash = s.rolling.ranges(self.at, self.at + s.length)
-        self.check = (s.second.ranges(self.at, self.at + s.length) >> U(32)).astype(np.uint32) if len(self.at) else np.zeros(0, np.uint32)
+        digest = s.digests(self.at, self.at + s.length)
+        self.hash, self.check = digest[:, 0], digest[:, 1]
         order = np.lexsort((self.check, self.hash))
-        new = np.ones(len(order), bool)
-        new[1:] = (self.hash[order][1:] != self.hash[order][:-1]) | (self.check[order][1:] != self.check[order][:-1])
+        new = changes(self.hash[order], self.check[order])
         self.begin = order[new]
         self.number = np.empty(len(order), np.int64)
         self.number[order] = np.cumsum(new) - 1
@@ -159,18 +165,16 @@ class _Ends:
 class SuffixOrder:
     """Suffixes of ``data``, cut to ``length`` bytes, in lexicographic order within groups."""
 
-    def __init__(self, data: np.ndarray, length: int) -> None:
+    def __init__(self, data: np.ndarray, length: int, base: int) -> None:
         self.data, self.length = data, length
-        self.hashes = Rolling(BYTE_VALUES[data])
+        self.hashes = Rolling(data.astype(U) + U(1), base)
 
     def common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """How many bytes the suffixes at ``p`` and ``q`` share, by binary search over prefix hashes."""
-        prefix, inverse = self.hashes.prefix, self.hashes.inverse
-        at_p, at_q, back_p, back_q = prefix[p], prefix[q], inverse[p], inverse[q]
         low, high = np.zeros(len(p), np.int64), np.full(len(p), self.length)
         for _ in range(self.length.bit_length()):
             middle = (low + high + 1) >> 1
-            same = (prefix[p + middle] - at_p) * back_p == (prefix[q + middle] - at_q) * back_q
+            same = self.hashes.agree(p, q, middle)
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 
@@ -237,7 +241,7 @@ def _end_run(anchor: np.ndarray, distance: np.ndarray, windows: np.ndarray, text
     return np.array([len(anchor), len(head)], np.int64).tobytes() + head + rest
 
 
-def _merge_ends(length: int):
+def _merge_ends(length: int, base: int):
     def merge(parts: list[tuple[int, int, bytes]]) -> list[bytes]:
         """A bit for each string of each run: it stands in another extent too."""
         anchors, distances, counts, texts = [], [], [], []
@@ -251,7 +255,7 @@ def _merge_ends(length: int):
         windows = np.concatenate(counts).astype(np.int64)
         size = windows + length - 1
         first = np.cumsum(size) - size
-        order = SuffixOrder(np.frombuffer(b"".join(texts), np.uint8), length)
+        order = SuffixOrder(np.frombuffer(b"".join(texts), np.uint8), length, base)
         at = spread(first, windows)
         of = np.repeat(np.arange(len(windows)), windows)
         distance = np.concatenate(distances)[of].astype(np.int64) - (at - first[of])
@@ -283,7 +287,7 @@ def _merge_strings(parts: list[tuple[int, int, bytes]]) -> list[bytes]:
     for _, n, r in parts:
         head = int(np.frombuffer(r, np.int64, 1)[0])
         hashes.append(R.unpack_sorted(r[8 : 8 + head], n))
-        checks.append(np.frombuffer(r, np.uint32, n, 8 + head))
+        checks.append(np.frombuffer(r, U, n, 8 + head))
     h, check = np.concatenate(hashes), np.concatenate(checks)
     order = np.lexsort((check, h))
     same = (h[order][1:] == h[order][:-1]) & (check[order][1:] == check[order][:-1])
@@ -321,7 +325,7 @@ class SuffixDedup:
             x = _Extents(_Suffixes(block, length, gram), row["a"])
             for bucket, a, b in R.cuts(x.deal, bits):
                 first = x.begin[a:b]
-                yield bucket, b - a, _extent_run(x.deal[a:b], x.extent[first], x.hot[first])
+                yield bucket, b - a, _extent_run(x.deal[a:b], x.extent[first], x.check[first], x.hot[first])
 
         def ends(block, row):
             s = _Suffixes(block, length, gram)
@@ -336,7 +340,7 @@ class SuffixDedup:
                 # Strings of hot anchors have buckets of their own, after the others.
                 yield (1 << bits) + bucket, b - a, _string_run(h[a:b], check[a:b])
 
-        by_text, by_hash = _merge_ends(length), _merge_strings
+        by_text, by_hash = _merge_ends(length, draw_bases().byte), _merge_strings
 
         def merge_ends(parts):
             return (by_hash if parts[0][2][:1] == b"H" else by_text)([(i, n, r[1:]) for i, n, r in parts])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import blocks as B
 from corpusloom.llm.decontaminate import Decontaminate
 from corpusloom.llm.jaccard_join import JaccardJoin
-from corpusloom.llm.substring_dedup import SubstringDedup
+from corpusloom.llm.substring_dedup import FingerprintIndex, SubstringDedup
 from corpusloom.llm.suffix_dedup import SuffixDedup
 from tests.llm import brute
 
@@ -72,42 +72,43 @@ def test_substring_dedup_gives_rows_for_repeated_ids(odd):
     assert SubstringDedup().dedup(df).count() == len(docs)
 
 
-def test_substring_dedup_by_batches_equals_one_batch(spark):
-    docs = [d for d in unique_ids(odd_documents()) if d[0] is not None]
-    docs.sort()
-    op = SubstringDedup(bucket_bits=3)
-    half = [docs[:50], docs[50:80], docs[80:]]
-    index, got = None, []
-    for k, part in enumerate(half):
-        df = frame(spark, part)
-        got += rows(op.dedup(df, index))
-        run = op.index_run(df)
-        index = run if index is None else index.unionByName(run)
-        if k:
-            index = op.compact(index)
+@pytest.mark.parametrize("bucket_hashes", [10**6, 2000])
+def test_index_across_sessions_equals_one_batch(spark, tmp_path, bucket_hashes):
+    """Each batch opens the index anew, with another number of shuffle partitions; small buckets make it grow."""
+    docs = sorted(d for d in unique_ids(odd_documents()) if d[0] is not None)
+    got = []
+    for partitions, part in zip((4, 16, 3, 8), [docs[:30], docs[30:50], docs[50:80], docs[80:]], strict=True):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        index = FingerprintIndex(spark, str(tmp_path / "index"), bucket_hashes=bucket_hashes)
+        got += rows(index.add(frame(spark, part)))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sorted(got, key=repr) == sorted(brute.substring_dedup(docs), key=repr)
-    assert index.groupBy("kind", "bucket").count().where("count > 1").count() == 0
-
-
-@pytest.mark.parametrize("bits", [(2, 5, 3), (5, 2, 4)])
-def test_substring_dedup_by_sessions_of_other_bucket_counts_equals_one_batch(spark, bits):
-    docs = sorted(d for d in unique_ids(odd_documents()) if d[0] is not None and d[0] != 501)
-    index, got = None, []
-    for b, part in zip(bits, [docs[:50], docs[50:80], docs[80:]], strict=True):
-        df = frame(spark, part)
-        op = SubstringDedup(bucket_bits=b)
-        got += rows(op.dedup(df, index))
-        run = op.index_run(df).localCheckpoint()
-        index = run if index is None else op.compact(index.unionByName(run)).localCheckpoint()
-    assert sorted(got, key=repr) == sorted(brute.substring_dedup(docs), key=repr)
-    assert index.groupBy("kind", "bucket").count().where("count > 1").count() == 0
+    assert len(index.state["runs"]) < 4 and max(r["level"] for r in index.state["runs"]) >= 2
+    assert sum(r["n"] for r in index.state["runs"]) == len({tuple(w[i : i + 20]) for _, t in docs for w in [brute.SPACE_WORDS.findall(t or "")] for i in range(len(w) - 19)})
+    assert rows(index.add(frame(spark, [(9000, docs[0][1] + " tail"), (9001, "fresh words " * 3)]))) == sorted(brute.substring_dedup([*docs, (9000, docs[0][1] + " tail"), (9001, "fresh words " * 3)])[-2:], key=repr)
+    plan = index._joined(spark.createDataFrame([(0, 1)], "bucket int, sent int").repartition(index.state["files"], "bucket"), index.state["runs"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+    index.drop()
+    assert not (tmp_path / "index").exists()
+
+
+def test_a_batch_that_fails_leaves_the_index_as_it_was(spark, tmp_path, monkeypatch):
+    docs = sorted(d for d in unique_ids(odd_documents()) if d[0] is not None)[:60]
+    index = FingerprintIndex(spark, str(tmp_path / "index"))
+    index.add(frame(spark, docs[:30]))
+    monkeypatch.setattr(FingerprintIndex, "_publish", lambda self, runs: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        index.add(frame(spark, docs[30:]))
+    monkeypatch.undo()
+    again = FingerprintIndex(spark, str(tmp_path / "index"))
+    assert rows(again.add(frame(spark, docs[30:]))) == sorted(brute.substring_dedup(docs)[30:], key=repr)
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.sampled_from("ab"), max_size=60).map(" ".join), min_size=1, max_size=8))
 def test_substring_dedup_of_periodic_texts(spark, texts):
     docs = list(enumerate(texts))
-    assert rows(SubstringDedup(window=6, gram=4).dedup(frame(spark, docs))) == sorted(brute.substring_dedup(docs, 6), key=repr)
+    assert rows(SubstringDedup(window=6).dedup(frame(spark, docs))) == sorted(brute.substring_dedup(docs, 6), key=repr)
 
 
 def test_suffix_dedup(odd):
@@ -178,6 +179,40 @@ def test_a_common_line_links_nothing(spark):
     assert all(r[0] == r[2] for r in rows(JaccardJoin(tile=16).components(frame(spark, docs, 6))))
 
 
+def twins():
+    """Two words of 1024 letters that polynomials modulo a power of two can't tell apart, whatever the multiplier."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    one, other = twins()
+    same = " ".join(f"w{i}" for i in range(19))
+    docs = [(1, f"{same} {one}"), (2, f"{same} {other}")]
+    assert [r[2] for r in rows(SubstringDedup().dedup(frame(spark, docs)))] == [0, 0]
+    assert [r[2] for r in rows(JaccardJoin().components(frame(spark, docs[:0] + [(1, one), (2, other)])))] == [1, 2]
+    bench = spark.createDataFrame([(1, one)], "item_id long, text string")
+    for bound in (1 << 20, 0):
+        assert [r[5] for r in rows(Decontaminate(broadcast_bytes=bound).annotate_hits(frame(spark, [(1, other), (2, one)]), bench))] == [False, True]
+    assert [r[2] for r in rows(SuffixDedup().dedup(frame(spark, [(1, one), (2, other)])))] == [r[2] for r in sorted(brute.suffix_dedup([(1, one), (2, other)]))]
+
+
+def test_hashes_are_those_of_plain_arithmetic():
+    import numpy as np
+
+    rng = random.Random(4)
+    bases = B.draw_bases()
+    texts = [rng.randbytes(rng.randrange(300)).replace(b" ", b"") + b" " + rng.randbytes(50) for _ in range(5)]
+    block = B.Block(0, np.arange(5), np.ones(5, bool), np.array([len(t) for t in texts]), b"".join(texts))
+    words = B.Words(block, bases)
+    plain = [sum((c + 1) * pow(bases.byte, i, B.PRIME) for i, c in enumerate(block.bytes[s:e].tolist())) % B.PRIME for s, e in zip(words.start, words.end)]
+    assert words.hashes().tolist() == plain
+    n = len(plain)
+    a = np.array([rng.randrange(n) for _ in range(40)])
+    b = np.array([rng.randrange(i, n + 1) for i in a])
+    assert words.rolling.raw(a, b).tolist() == [sum(x * pow(bases.word, k, B.PRIME) for k, x in enumerate(plain[i:j])) % B.PRIME for i, j in zip(a, b)]
+
+
 @pytest.mark.parametrize("run", [lambda d, b: SubstringDedup().dedup(d), lambda d, b: SuffixDedup().dedup(d), lambda d, b: JaccardJoin().components(d), lambda d, b: Decontaminate().annotate_hits(d, b)])
 def test_empty_tables(spark, run):
     docs, bench = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id long, text string")
