@@ -7,9 +7,11 @@ Texts are lower-cased (A-Z); words are what white space separates; a document's
 1. Blocks exchange runs of shingle hashes and learn in how many blocks each stands. A document fewer than
    3/4 of whose shingles stand in any other document links with nothing and is done here.
 2. Equal sets are one class. All sets are ordered globally: rare shingles first, then by hash. Two sets that link
-   share a shingle of their prefixes (the first |A| - ceil(3/4 |A|) + 1), so classes that share one fall into one
-   candidate group, by connected components over stars; most groups hold a handful of classes.
-3. A group is cut into tiles of about 128 classes. In a tile, sets go into a trie in the global order and each
+   share a shingle of their prefixes (the first |A| - ceil(3/4 |A|) + 1). The sets that have a shingle in their prefixes
+   form its list, and a list goes to the group of its smallest member: every member of a group shares a shingle with that
+   one, nothing is closed transitively, and lists of the same sets fall together. A list of more than ``HOT`` sets is
+   split by a second shingle: sets that link share two in prefixes that are longer by one.
+3. A group is cut into tiles of about 128 classes, its smallest member in each. In a tile, sets go into a trie in the global order and each
    set traverses it, sharing the overlap counted so far between all sets of a subtree and pruning the
    subtree once the remaining lengths cannot reach 3/4. Classes that are already connected need no further
    link, so each tile gives a spanning forest, not all pairs.
@@ -43,6 +45,10 @@ SHINGLE, PERCENT = 5, 75
 #: Bits of a shingle's hash that are exchanged; a collision only keeps a shingle that stands nowhere else.
 WIDTH = 40
 TILE = 128
+#: A shingle in the prefixes of more sets is taken together with a second one.
+HOT = 4096
+#: Rows of one key are dealt over so many tasks where they meet what is known of the key.
+SALTS = 16
 SETS_SCHEMA = "doc_id long, n_shingles long, hi long, lo long, tokens binary, prefix int"
 
 
@@ -239,6 +245,23 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([node] * n, pa.int64()), pa.array(np.frombuffer(tokens, np.int64, n))], ["node", "token"])
 
 
+def _second_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each hot token of a set's prefix a row for it with each later token of the prefix that is longer by one."""
+    for batch in batches:
+        for node, tokens, n, hot in zip(*(batch.column(c).to_pylist() for c in ("node", "tokens", "prefix", "hot")), strict=True):
+            prefix = np.frombuffer(tokens, np.int64, min(n + 1, len(tokens) // 8)).view(U)
+            where = {t: i for i, t in enumerate(prefix.view(np.int64).tolist())}
+            for t in hot:
+                keys = mix(prefix[where[t] + 1 :] ^ mix(prefix[where[t] : where[t] + 1]))
+                yield pa.record_batch([pa.array([node] * len(keys), pa.int64()), pa.array(keys.view(np.int64))], ["node", "token"])
+
+
+def _meet(rows: DataFrame, known: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with what is known of their ``key``; rows of one key are dealt over ``SALTS`` tasks."""
+    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+
+
 def _tile_blob(table: pa.Table) -> bytes:
     rows = zip(table["node"].to_pylist(), table["label"].to_pylist(), table["n_shingles"].to_pylist(), table["tokens"].to_pylist(), strict=True)
     return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(sorted(rows, key=lambda r: (r[2], r[0]))))
@@ -255,10 +278,10 @@ def _links_table(links: list[tuple[int, int]]) -> pa.Table:
 class JaccardJoin:
     """``components(docs)``: each document's set size and component; see the module."""
 
-    def __init__(self, shingle: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> None:
+    def __init__(self, shingle: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, hot: int = HOT) -> None:
         if not 1 <= percent <= 100:
             raise ValueError("percent must lie between 1 and 100")
-        self.shingle, self.percent, self.tile = shingle, percent, tile
+        self.shingle, self.percent, self.tile, self.hot = shingle, percent, tile, hot
 
     def components(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_shingles, component_id; one row per row of ``docs``."""
@@ -278,16 +301,29 @@ class JaccardJoin:
         grouped = rows.where("tokens is not null").select("doc_id", "n_shingles", "hi", "lo").join(members, ["hi", "lo"], "left").select("doc_id", "n_shingles", "component_id")
         return alone.unionByName(grouped)
 
+    def _groups(self, classes: DataFrame) -> DataFrame:
+        """(group, node): the classes that share a token of their prefixes (two, if one is hot) with the class ``group`` and no smaller one."""
+        postings = durable(classes.select("node", "tokens", "prefix").mapInArrow(_prefixes, "node long, token long"))
+        hot = postings.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > self.hot).select("token")
+        if not hot.isEmpty():
+            of = _meet(postings, hot, "token").groupBy("node").agg(F.collect_list("token").alias("hot"))
+            second = classes.select("node", "tokens", "prefix").join(of, "node").mapInArrow(_second_tokens, "node long, token long")
+            postings = durable(_meet(postings, hot, "token", "left_anti").select("node", "token").unionByName(second))
+        least = postings.groupBy("token").agg(F.min("node").alias("group"), F.count("*").alias("n")).where("n > 1").select("token", "group")
+        found = _meet(postings, least, "token").select("group", "node").distinct()
+        return durable(found)
+
     def _links(self, classes: DataFrame) -> DataFrame:
         """Links (u, v) that connect every component of the classes."""
-        shared = classes.select("node", "tokens", "prefix").mapInArrow(_prefixes, "node long, token long")
-        least = shared.groupBy("token").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("token", "v")
-        edges = shared.join(least, "token").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-        group = connected_components(edges).withColumnRenamed("label", "group")
+        groups = self._groups(classes)
         tile = self.tile
-        size = group.groupBy("group").agg(F.count("*").alias("members"))
-        sets = durable(group.join(size, "group").join(classes.select("node", "n_shingles", "tokens"), "node").withColumn("label", F.col("node")))
-        links = durable(self._within(sets.withColumn("tile", self._deal("members"))))
+        size = groups.groupBy("group").agg(F.count("*").alias("members"))
+        sized = _meet(groups, size, "group")
+        sets = durable(sized.join(classes.select("node", "n_shingles", "tokens"), "node").withColumn("label", F.col("node")))
+        dealt = sets.where("node <> group").withColumn("tile", self._deal("members"))
+        # The group's smallest member stands in every tile.
+        leaders = sets.where("node = group").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / tile) - 1))).select(dealt.columns)
+        links = durable(self._within(dealt.unionByName(leaders)))
         release_shuffles(classes.sparkSession)
         large = sets.where(F.col("members") > tile)
         if large.isEmpty():
@@ -296,7 +332,7 @@ class JaccardJoin:
         labelled = self._label(large, links)
         chosen = labelled.withColumn("tile", self._deal("members")).groupBy("group", "tile", "label").agg(F.min("node").alias("node"))
         counted = chosen.groupBy("group").agg(F.count("*").alias("members"))
-        again = chosen.select("group", "node").join(counted, "group").join(labelled.drop("members", "group"), "node").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("members") / tile)))
+        again = _meet(chosen.select("group", "node"), counted, "group").join(labelled.drop("members"), ["group", "node"]).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("members") / tile)))
         links = durable(links.unionByName(self._within(again)))
         return links.unionByName(self._across(self._label(large, links)))
 
@@ -322,21 +358,26 @@ class JaccardJoin:
         percent, tile = self.percent, self.tile
         several = sets.groupBy("group", "label").agg(F.count("*").alias("own"))
         open_groups = several.groupBy("group").agg(F.count("*").alias("labels")).where("labels > 1").select("group")
-        sets = sets.join(open_groups, "group", "left_semi").join(several, ["group", "label"])
+        sets = _meet(sets, open_groups, "group").withColumn("_key", F.struct("group", "label"))
+        sets = _meet(sets, several.select(F.struct("group", "label").alias("_key"), "own"), "_key").drop("_key")
         # A component of half a tile or more has tiles of its own; the small ones share tiles.
         home = F.when(F.col("own") * 2 >= tile, F.col("label")).otherwise(F.lit(-1))
         sets = sets.withColumn("home", home)
-        homes = sets.groupBy("group", "home").agg(F.count("*").alias("in_home"))
-        sets = sets.join(homes, ["group", "home"]).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(11)), F.ceil(F.col("in_home") / tile)))
+        sets = sets.withColumn("_key", F.struct("group", "home"))
+        homes = sets.groupBy("_key").agg(F.count("*").alias("in_home"))
+        sets = _meet(sets, homes, "_key").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(11)), F.ceil(F.col("in_home") / tile)))
 
         def blob(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             group, home_, tile_ = (k.as_py() for k in key)
             return pa.table([pa.array([group], pa.int64()), pa.array([home_], pa.int64()), pa.array([tile_], pa.int64()), pa.array([_tile_blob(table)], pa.binary())], ["group", "home", "tile", "blob"])
 
         tiles = durable(sets.select("group", "home", "tile", "node", "label", "n_shingles", "tokens").groupBy("group", "home", "tile").applyInArrow(blob, "group long, home long, tile long, blob binary"))
-        a, b = tiles.alias("a"), tiles.alias("b")
+        # Of two tiles that meet, one is dealt over the tasks, the other stands in all of them.
+        salt = F.pmod(F.xxhash64("home", "tile"), F.lit(SALTS)).cast("int")
+        a = tiles.withColumn("salt", salt).alias("a")
+        b = tiles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("b")
         ahead = (F.col("a.home") < F.col("b.home")) | ((F.col("a.home") == F.col("b.home")) & (F.col("a.home") == -1) & (F.col("a.tile") <= F.col("b.tile")))
-        pairs = a.join(b, (F.col("a.group") == F.col("b.group")) & ahead).select(F.col("a.blob").alias("x"), F.col("b.blob").alias("y"), (F.col("a.home") == F.col("b.home")).alias("mixed"), (F.col("a.tile") == F.col("b.tile")).alias("same"))
+        pairs = a.join(b, (F.col("a.group") == F.col("b.group")) & (F.col("a.salt") == F.col("b.salt")) & ahead).select(F.col("a.blob").alias("x"), F.col("b.blob").alias("y"), (F.col("a.home") == F.col("b.home")).alias("mixed"), (F.col("a.tile") == F.col("b.tile")).alias("same"))
         pairs = pairs.repartition(max(shuffle_partitions(tiles.sparkSession), 8))
 
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.llm import blocks as B
+from corpusloom.llm import jaccard_join
+from corpusloom.llm.blocks import pack
 from corpusloom.llm.decontaminate import Decontaminate
 from corpusloom.llm.jaccard_join import JaccardJoin
 from corpusloom.llm.substring_dedup import FingerprintIndex, SubstringDedup
@@ -162,14 +164,30 @@ def test_jaccard_join(odd):
 def test_jaccard_join_of_groups_over_many_tiles(odd):
     """Tiles of four: members of tiles meet, and what stays apart is compared across tiles."""
     docs, df = odd
-    assert rows(JaccardJoin(tile=4).components(df)) == sorted(brute.jaccard_join(docs), key=repr)
+    wanted = sorted(brute.jaccard_join(docs), key=repr)
+    assert rows(JaccardJoin(tile=4).components(df)) == wanted
+    assert rows(JaccardJoin(tile=4, hot=3).components(df)) == wanted
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "d"]), max_size=14).map(" ".join), min_size=2, max_size=25))
 def test_jaccard_join_of_small_sets(spark, texts):
     docs = list(enumerate(texts))
-    assert rows(JaccardJoin(tile=3).components(frame(spark, docs))) == sorted(brute.jaccard_join(docs), key=repr)
+    assert rows(JaccardJoin(tile=3, hot=4).components(frame(spark, docs))) == sorted(brute.jaccard_join(docs), key=repr)
+
+
+@pytest.mark.parametrize("n", [40, 160])
+def test_a_chain_of_sets_that_share_but_do_not_link_is_no_group(spark, n):
+    """Each text is half its neighbour's: all share prefixes along the chain, none links; pairs that are compared grow with n."""
+    rng = random.Random(3)
+    halves = [prose(rng, 30, 10**6) for _ in range(n + 1)]
+    docs = [(i, f"{halves[i]} {halves[i + 1]}") for i in range(n)]
+    df = frame(spark, docs)
+    op = JaccardJoin(percent=40)
+    sets = jaccard_join.sets_of(pack(df), B.draw_bases(), 5, 40).where("tokens is not null").withColumn("node", F.col("doc_id"))
+    sizes = [r["count"] for r in op._groups(sets).groupBy("group").count().collect()]
+    assert sum(k * (k - 1) // 2 for k in sizes) <= 2 * n
+    assert rows(op.components(df)) == sorted(brute.jaccard_join(docs, 40), key=repr)
 
 
 def test_a_common_line_links_nothing(spark):
