@@ -41,6 +41,8 @@ U = np.uint64
 WINDOW = 20
 #: Bits kept of a window's hash; 32 of its second hash are kept beside them.
 HASH_BITS = 56
+#: Windows of a run that one row holds at most: rows of a megabyte would be hard on the collector.
+CHUNK = 1 << 14
 #: Runs of one level that are compacted into one of the next.
 FANOUT = 2
 #: Batches in which ``SubstringDedup`` feeds a table to its index.
@@ -91,7 +93,7 @@ def _unstored(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return R.unpack_sorted(data[4 * n :], n) << U(64 - HASH_BITS), np.frombuffer(data, np.uint32, n)
 
 
-def _merge(batch: list[tuple[int, int, bytes]], past: list[tuple[int, bytes]]) -> tuple[list[bytes], int, bytes]:
+def _merge(batch: list[tuple[int, int, bytes]], past: list[tuple[int, bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """For each run of the batch a bit per window: it also starts earlier. And the new run: what no earlier one holds."""
     runs = [_decode(n, r) for _, n, r in batch] + [(*_unstored(n, r), np.zeros(n, U)) for n, r in past]
     size = [len(r[0]) for r in runs]
@@ -113,13 +115,13 @@ def _merge(batch: list[tuple[int, int, bytes]], past: list[tuple[int, bytes]]) -
         out.append(np.packbits(earlier[at : at + n]).tobytes())
         at += n
     fresh = order[(~earlier & (block >= 0))[order]]
-    return out, len(fresh), _stored(h[fresh], check[fresh])
+    return out, h[fresh], check[fresh]
 
 
-def _combine(parts: list[tuple[int, bytes]]) -> tuple[int, bytes]:
-    h, check = (np.concatenate(x) for x in zip(*(_unstored(n, r) for n, r in parts), strict=True))
-    order = np.argsort(h, kind="stable")
-    return len(h), _stored(h[order], check[order])
+def _chunks(bucket: int, h: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
+    """A bucket of a run as rows of at most ``CHUNK`` windows, in order of hash."""
+    at = range(0, len(h), CHUNK)
+    return _rows(1, [bucket] * len(at), [-1] * len(at), [len(h[i : i + CHUNK]) for i in at], [_stored(h[i : i + CHUNK], check[i : i + CHUNK]) for i in at])
 
 
 def _rows(kind: int, bucket: list[int], block: list[int], n: list[int], data: list[bytes]) -> pa.RecordBatch:
@@ -206,33 +208,29 @@ class FingerprintIndex:
             for batch in batches:
                 for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist(), strict=True):
                     h, check = _unstored(n, data)
-                    found = R.cuts(h, bits)
-                    if found:
-                        yield _rows(1, [b for b, _, _ in found], [-1] * len(found), [j - i for _, i, j in found], [_stored(h[i:j], check[i:j]) for _, i, j in found])
+                    for b, i, j in R.cuts(h, bits):
+                        yield _chunks(b, h[i:j], check[i:j])
+
+        rows = self._past(runs).mapInArrow(cut, RUN_SCHEMA).repartition(self.state["files"], "bucket")
+        self._publish([self._write(self._combined(rows), max(r["level"] for r in runs) + 1)])
 
-        rows = None
+    def _past(self, runs: list[dict]) -> DataFrame:
+        """The buckets of some runs. Their tables are dealt out alike, and a union of them still is."""
+        out = None
         for run in runs:
-            part = self._read(run).where("kind = 1").mapInArrow(cut, RUN_SCHEMA)
-            rows = part if rows is None else rows.unionByName(part)
-        new = self._write(self._combined(rows.repartition(self.state["files"], "bucket")), max(r["level"] for r in runs) + 1)
-        self._publish([new])
+            part = self._read(run).where("kind = 1")
+            out = part if out is None else out.unionByName(part)
+        return out
 
     @staticmethod
     def _combined(rows: DataFrame) -> DataFrame:
         def combine(table: pa.Table) -> pa.Table:
-            n, data = _combine(list(zip(table["n"].to_pylist(), table["data"].to_pylist(), strict=True)))
-            return pa.Table.from_batches([_rows(1, [table["bucket"][0].as_py()], [-1], [n], [data])])
+            h, check = (np.concatenate(x) for x in zip(*map(_unstored, table["n"].to_pylist(), table["data"].to_pylist()), strict=True))
+            order = np.argsort(h, kind="stable")
+            return pa.Table.from_batches([_chunks(table["bucket"][0].as_py(), h[order], check[order])])
 
         return rows.groupBy("bucket").applyInArrow(combine, RUN_SCHEMA)
 
-    def _joined(self, batch: DataFrame | None, runs: list[dict]) -> DataFrame:
-        """A row for each bucket: the batch's runs of it and, by join of tables dealt out alike, each run's."""
-        out = batch
-        for k, run in enumerate(runs):
-            past = self._read(run).where("kind = 1").select("bucket", F.struct("n", "data").alias(f"past{k}"))
-            out = past if out is None else out.join(past, "bucket", "left" if batch is not None else "full")
-        return out
-
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
         """The batch cleaned: doc_id, n_words, n_removed, kept_sha256, and the kept text if ``with_text``. Its windows join the index."""
         window, bases, files = self.window, self.bases, self.state["files"]
@@ -250,18 +248,17 @@ class FingerprintIndex:
                     keys = block.order_key()
                     yield _rows(0, [b for b, _, _ in found], [block.block_id] * len(found), [j - i for _, i, j in found], [_encode(w.hash[i:j], w.check[i:j], w.doc[i:j], keys) for _, i, j in found])
 
-        sent = blocks.mapInArrow(send, RUN_SCHEMA).repartition(files, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("block_id", "n", "data")).alias("sent"))
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                past = [batch.column(c) for c in batch.schema.names if c.startswith("past")]
-                for i in range(batch.num_rows):
-                    bucket, parts = batch.column("bucket")[i].as_py(), [(r["block_id"], r["n"], r["data"]) for r in batch.column("sent")[i].as_py()]
-                    replies, n, run = _merge(parts, [(p["n"], p["data"]) for p in (c[i].as_py() for c in past) if p is not None])
-                    yield _rows(0, [bucket] * len(parts), [b for b, _, _ in parts], [m for _, m, _ in parts], replies)
-                    yield _rows(1, [bucket], [-1], [n], [run])
-
-        new = self._write(self._joined(sent, runs).mapInArrow(merge, RUN_SCHEMA), 0)
+        def merge(table: pa.Table) -> pa.Table:
+            rows = list(zip(*(table[c].to_pylist() for c in ("kind", "block_id", "n", "data")), strict=True))
+            batch, bucket = [r[1:] for r in rows if r[0] == 0], table["bucket"][0].as_py()
+            if not batch:
+                return _rows(0, [], [], [], []).schema.empty_table()
+            replies, h, check = _merge(batch, [r[2:] for r in rows if r[0] == 1])
+            return pa.Table.from_batches([_rows(0, [bucket] * len(batch), [b for b, _, _ in batch], [m for _, m, _ in batch], replies), _chunks(bucket, h, check)])
+
+        sent = blocks.mapInArrow(send, RUN_SCHEMA).repartition(files, "bucket")
+        both = sent.unionByName(self._past(runs)) if runs else sent
+        new = self._write(both.groupBy("bucket").applyInArrow(merge, RUN_SCHEMA), 0)
         replies = self._read(new).where("kind = 0").groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", F.col("data").alias("reply")))).alias("replies"))
 
         def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,15 +289,7 @@ class FingerprintIndex:
 
     def _compact_level(self, level: int) -> None:
         old = [r for r in self.state["runs"] if r["level"] == level]
-
-        def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                past = [batch.column(c) for c in batch.schema.names if c.startswith("past")]
-                for i in range(batch.num_rows):
-                    n, data = _combine([(p["n"], p["data"]) for p in (c[i].as_py() for c in past) if p is not None])
-                    yield _rows(1, [batch.column("bucket")[i].as_py()], [-1], [n], [data])
-
-        new = self._write(self._joined(None, old).mapInArrow(combine, RUN_SCHEMA), level + 1)
+        new = self._write(self._combined(self._past(old)), level + 1)
         self._publish([new, *(r for r in self.state["runs"] if r not in old)])
 
 
