@@ -233,6 +233,13 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
         """The batch cleaned: doc_id, n_words, n_removed, kept_sha256, and the kept text if ``with_text``. Its windows join the index."""
+        out = self._add(docs, id_col, text_col, with_text)
+        # Nothing refers to the batch's shuffles any more: they go before runs are merged.
+        release_shuffles(self.spark)
+        self._compact()
+        return out
+
+    def _add(self, docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> DataFrame:
         window, bases, files = self.window, self.bases, self.state["files"]
         blocks = durable(pack(docs, id_col, text_col))
         stored = blocks.select(F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()[0]
@@ -278,8 +285,6 @@ class FingerprintIndex:
 
         out = durable(R.with_replies(blocks, replies, "found").mapInArrow(render, RESULT_SCHEMA + (", kept_text string" if with_text else "")))
         self._publish([*runs, new])
-        release_shuffles(self.spark)
-        self._compact()
         return out
 
     def _compact(self) -> None:
