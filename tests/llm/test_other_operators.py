@@ -232,16 +232,25 @@ def test_whole_tokens_are_proved():
 # --- embeddings ------------------------------------------------------------------------------
 
 
-def test_a_group_of_many_tiles_is_compared_in_full(spark, monkeypatch):
+def test_links_of_a_large_cluster_are_counted_in_full(spark, monkeypatch):
+    """Many tiles to a group and many cells to a component: every link counts, and a list's length doesn't matter."""
     from corpusloom.llm import embedding_dedup
 
-    monkeypatch.setattr(embedding_dedup, "TILE", 4)
-    monkeypatch.setattr(embedding_dedup, "TILES", 1)
+    for name, value in (("TILE", 4), ("TILES", 1), ("CELL", 4)):
+        monkeypatch.setattr(embedding_dedup, name, value)
     rng = np.random.default_rng(6)
     centre = rng.standard_normal(16)
-    rows = [(i, [float(x) for x in centre + 0.01 * rng.standard_normal(16)]) for i in range(30)]
-    got = EmbeddingDedup(rounds=3).components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert all((r["n_links"], r["component_id"]) == (29, 0) for r in got)
+    rows = [(i, [float(x) for x in centre + 0.01 * rng.standard_normal(16)]) for i in range(60)]
+    op = EmbeddingDedup(k=1)
+    got = op.components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert all((r["n_links"], r["component_id"]) == (59, 0) for r in got) and op.last_recall == 1.0
+
+
+def test_an_audit_that_falls_short_fails(spark, monkeypatch):
+    monkeypatch.setattr(EmbeddingDedup, "_compare", lambda self, grouped, r: grouped.sparkSession.createDataFrame([], "u long, v long, sim double, tree boolean"))
+    rows = [(100 * i, [1.0, 0.01 * i]) for i in range(3)]
+    with pytest.raises(RuntimeError, match="recall"):
+        EmbeddingDedup(rounds=1).components(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
 
 
 @pytest.mark.parametrize("step", [(100, 0), (100, 1)], ids=["a cluster among the audited", "nothing audited"])
@@ -256,7 +265,7 @@ def test_rare_links_are_found_too(spark, monkeypatch, step):
     cluster = rng.standard_normal(64) + 0.01 * rng.standard_normal((250, 64))
     x = np.concatenate([one, 0.92 * one + np.sqrt(1 - 0.92**2) * other, cluster])
     df = spark.createDataFrame([(step[0] * i + step[1], v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    op = EmbeddingDedup(trees=2)
+    op = EmbeddingDedup()
     links = sorted(r["n_links"] for r in op.components(df).collect())
     assert sum(n == 1 for n in links) >= 0.99 * 600 and (op.last_recall is None if step[1] else op.last_recall >= 0.99)
 
