@@ -1,28 +1,30 @@
 """License scans by conditional compression.
 
-A line with a word that licences use opens a candidate block: it and its neighbours, merged where they touch. What
-no such block confirms is looked for once more in wide blocks, which reach as many words to both sides of a cue as the longest
-template has: notices may be wrapped at any width. Each
+A word that licences use is a cue and opens a candidate block: its line and the lines beside it, at most ``NEAR`` words to
+either side, merged with those it touches. What no such block confirms is looked for once more in wide blocks, which reach
+as many words to both sides of a cue as the longest template has, whatever the lines: notices may be wrapped at any width.
+A wide block is read in overlapping windows, each of which holds any wording it could hold a part of. Each
 block is compressed with zstandard once alone and once with each template as a raw-content dictionary; what a
 dictionary saves says how much of the block's wording the template already holds. Templates are
-ranked by the saving, and the best are confirmed in order by the exact differences of wording: the
+ranked by the saving, and confirmed in order by the exact differences of wording: the
 template's words are aligned with the block's, and few enough may be missing or changed, none of them a key word
-(names and versions that tell licences apart).
+(names and versions that tell licences apart). Nor may a word be added within or offered as a choice behind it that tells another licence: a
+version, "or later", a further clause. Of two licences confirmed in one place, the one of which more is there stays.
 
-Templates are a parameter: (license_id, text, key words). The defaults are short notices in common use.
+Templates are a parameter: (license_id, text, key words). The defaults are whole short licences and the notices by which the long
+ones are applied.
 
 Defined cases: null, empty and cue-less texts give no finding. A document gives a finding for each licence
-confirmed in each block, so rows repeat a doc_id. Long texts are read whole, line by line; lines over ``LINE``
-characters are read in overlapping pieces. Rows that share a doc_id are documents of their own. Other columns are ignored.
+confirmed in each block, so rows repeat a doc_id; equal savings rank the shorter template first, then the earlier one. Long texts
+are read whole. Rows that share a doc_id are documents of their own. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -36,11 +38,14 @@ from corpusloom.session import prepare
 RESULT_SCHEMA = "doc_id long, first_line int, last_line int, license_id string, rank int, saved_bytes int, template_words int, matched_words int, differences string"
 #: Share of a template's words that have to be there.
 SHARE = 0.8
-#: Templates of a block that are confirmed at most before the next rank is given up: those that save anything at all.
-LINE, OVERLAP = 4000, 400
+#: Words to either side of a cue that a narrow block takes at most.
+NEAR = 64
 #: The words of a cue may stand on two lines, with a comment's marks between.
 _CUE = re.compile(r"licen[cs]e|copyright|warrant|redistribut|permission[\W_]{1,80}is[\W_]{1,80}hereby|spdx|creative[\W_]{1,80}commons|\bgnu\b|public[\W_]{1,80}domain", re.I)
-_WORD = re.compile(r"[a-z0-9]+(?:[.\-+][a-z0-9]+)*")
+_WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-+][A-Za-z0-9]+)*")
+#: Words that tell another licence where they are added to a template's wording; versions do too.
+_TELLING = frozenset("later only lesser affero neither endorse nc sa nd by-nc by-sa by-nd by-nc-sa by-nc-nd appear misrepresented".split())
+_VERSION = re.compile(r"v?\d{1,2}(\.\d+)*\Z")
 
 
 class Template(NamedTuple):
@@ -49,85 +54,104 @@ class Template(NamedTuple):
     keys: tuple[str, ...]
 
 
-# Notices by which works are commonly put under a licence.
+# Licences and the notices by which works are commonly put under one.
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'
+_MIT_END = ', and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_END = ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+_APACHE_END = ' You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+_FREE = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
 TEMPLATES = (
     Template("MIT", "Released under the MIT License.", ("mit",)),
     Template("MIT", "Licensed under the MIT license.", ("mit",)),
-    Template("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ("permission", "sublicense")),
+    Template("MIT", _MIT, ("permission", "sublicense")),
+    Template("MIT", _MIT + _MIT_END, ("permission", "sublicense", "noninfringement")),
     Template("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache", "2.0")),
-    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", ("apache", "2.0", "compliance")),
+    Template("Apache-2.0", _APACHE, ("apache", "2.0", "compliance")),
+    Template("Apache-2.0", _APACHE + _APACHE_END, ("apache", "2.0", "compliance", "governing")),
     Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ("gnu", "general", "public", "3")),
+    Template("GPL-3.0-or-later", "This work is licensed under the GNU General Public License, version 3 or later.", ("gnu", "general", "public", "3", "later")),
+    Template("GPL-3.0-or-later", _FREE.format("program", "General Public", "3"), ("gnu", "general", "public", "3", "later")),
     Template("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", ("gnu", "general", "public", "2")),
+    Template("GPL-2.0-or-later", "This work is licensed under the GNU General Public License, version 2 or later.", ("gnu", "general", "public", "2", "later")),
+    Template("GPL-2.0-or-later", _FREE.format("program", "General Public", "2"), ("gnu", "general", "public", "2", "later")),
+    Template("LGPL-2.1-or-later", _FREE.format("library", "Lesser General Public", "2.1"), ("gnu", "lesser", "2.1", "later")),
     Template("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", ("gnu", "lesser", "3")),
+    Template("LGPL-3.0-or-later", _FREE.format("library", "Lesser General Public", "3"), ("gnu", "lesser", "3", "later")),
     Template("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", ("gnu", "affero", "3")),
+    Template("AGPL-3.0-or-later", _FREE.format("program", "Affero General Public", "3"), ("gnu", "affero", "3", "later")),
     Template("CC-BY-4.0", "Licensed under CC BY 4.0.", ("cc", "by", "4.0")),
     Template("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ("cc", "by-sa", "4.0")),
     Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ("cc", "by-nc", "4.0")),
     Template("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0.", ("cc", "by-nc-sa", "4.0")),
     Template("CC0-1.0", "To the extent possible under law, all copyright and related rights to this work have been waived under CC0 1.0.", ("cc0", "1.0")),
-    Template("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution", "source", "binary")),
+    Template("BSD-2-Clause", f"{_BSD} {_BSD_END}", ("redistributions", "source", "binary", "disclaimer")),
+    Template("BSD-3-Clause", f"{_BSD} {_BSD_THIRD} {_BSD_END}", ("redistributions", "source", "binary", "disclaimer", "neither", "endorse")),
+    Template("ISC", f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies.{_ISC_END}", ("permission", "fee", "provided", "appear")),
+    Template("0BSD", f"{_ISC}.{_ISC_END}", ("permission", "fee")),
+    Template("Zlib", _ZLIB, ("misrepresented", "altered", "origin")),
     Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla", "2.0")),
     Template("Unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered", "domain")),
 )
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
-
-
-def candidate_blocks(text: str, around: int = 1, reach: int = 0, overlap: int = OVERLAP) -> Iterator[tuple[int, int, str]]:
-    """(first line, last line, block), lines from 1. A block has ``around`` lines on both sides of a cue's, and more until they hold ``reach`` words."""
-    cues = [m.span() for m in _CUE.finditer(text)]
-    if not cues:
-        return
-    lines = text.split("\n")
-    starts = [0, *accumulate(len(line) + 1 for line in lines)]
-    sizes: dict[int, int] = {}
-
-    def size(i: int) -> int:
-        if i not in sizes:
-            sizes[i] = len(words(lines[i]))
-        return sizes[i]
-
-    def edge(i: int, step: int) -> int:
-        n = held = 0
-        while (n < around or held < reach) and 0 <= i + step < len(lines):
-            i, n = i + step, n + 1
-            held += size(i) if reach else 0
-        return i
-
-    first = last = done = None
-    for a, b in [*cues, (None, None)]:
-        if a is not None:
-            on = (bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1)
-            if on == done:
-                continue
-            done = on
-            begin, end = edge(on[0], -1), edge(on[1], 1)
-            if first is not None and begin <= last + 1:
-                last = max(last, end)
-                continue
-        if first is not None:
-            block = "\n".join(lines[first : last + 1])
-            if len(block) <= LINE:
-                yield first + 1, last + 1, block
-            else:
-                for m in _spans(block, overlap):
-                    yield first + 1, last + 1, block[m[0] : m[1]]
-        if a is not None:
-            first, last = begin, end
+    return [w.lower() for w in _WORD.findall(text)]
+
 
+class _Text:
+    """A text's words with their places, its cues and lines."""
 
-def _spans(block: str, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """The stretches of a long block that lie within ``overlap`` characters of a cue."""
-    out: list[tuple[int, int]] = []
-    for m in _CUE.finditer(block):
-        a, b = max(0, m.start() - overlap), min(len(block), m.end() + overlap)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.cues = [m.span() for m in _CUE.finditer(text)]
+        if not self.cues:
+            return
+        found = [m.span() for m in _WORD.finditer(text)]
+        self.start, self.end = [a for a, _ in found], [b for _, b in found]
+        self.words = [text[a:b].lower() for a, b in found]
+        self.lines = [0, *(m.end() for m in re.finditer("\n", text))]
+
+    def line(self, at: int) -> int:
+        """From 1."""
+        return bisect_right(self.lines, at)
+
+    def _cue_words(self) -> Iterator[tuple[int, int, int, int]]:
+        """Words i..j and lines of each cue."""
+        for a, b in self.cues:
+            i = min(bisect_right(self.end, a), len(self.words) - 1)
+            yield i, max(i + 1, bisect_left(self.start, b)), self.line(a), self.line(b - 1)
+
+    def near(self) -> list[tuple[int, int, int, int]]:
+        """Narrow blocks: words i..j, first and last line."""
+        out: list[list[int]] = []
+        for i, j, first, last in self._cue_words():
+            first, last = max(1, first - 1), min(len(self.lines), last + 1)
+            stop = self.lines[last] if last < len(self.lines) else len(self.text) + 1
+            i, j = max(i - NEAR, bisect_left(self.start, self.lines[first - 1])), min(j + NEAR, bisect_left(self.start, stop))
+            if out and first <= out[-1][3] + 1 and i <= out[-1][1]:
+                out[-1][1], out[-1][3] = max(out[-1][1], j), max(out[-1][3], last)
+            else:
+                out.append([i, j, first, last])
+        return [tuple(x) for x in out]
+
+    def wide(self, reach: int) -> list[tuple[int, int, int, int]]:
+        """Wide blocks, in windows of four times ``reach`` that overlap by more than half."""
+        spans: list[list[int]] = []
+        for i, j, _, _ in self._cue_words():
+            i, j = max(0, i - reach), min(len(self.words), j + reach)
+            if spans and i <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], j)
+            else:
+                spans.append([i, j])
+        size, step = 4 * reach + 8, 2 * reach
+        cut = [(k, min(k + size, j)) for i, j in spans for k in range(i, max(i + 1, j - size + step), step)]
+        return [(i, j, self.line(self.start[i]), self.line(self.end[j - 1] - 1)) for i, j in cut]
 
 
 class Scanner:
@@ -136,21 +160,24 @@ class Scanner:
     def __init__(self, templates: tuple[Template, ...], share: float) -> None:
         self.templates, self.share = templates, share
         self.words = [words(t.text) for t in templates]
+        self.known = [frozenset(w) for w in self.words]
         self.reach = max(map(len, self.words), default=0)
-        # A comment's marks and indents take place too.
-        self.overlap = max(OVERLAP, 2 * max((len(t.text) for t in templates), default=0))
         self.plain = zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False)
         self.primed = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(t.text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for t in templates]
 
-    def rank(self, block: str) -> list[tuple[int, int]]:
+    def rank(self, block: str, among: list[int] | None = None) -> list[tuple[int, int]]:
         """(bytes saved, template) of those that save any, the best first; per template byte where savings are equal."""
-        raw = block.encode()
+        raw = block.encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(raw))
-        saved = [(alone - len(c.compress(raw)), k) for k, c in enumerate(self.primed)]
+        saved = [(alone - len(self.primed[k].compress(raw)), k) for k in (range(len(self.templates)) if among is None else among)]
         return sorted(((s, k) for s, k in saved if s > 0), key=lambda x: (-x[0], len(self.templates[x[1]].text), x[1]))
 
-    def confirm(self, block_words: list[str], k: int) -> tuple[int, str] | None:
-        """(words matched, differences) if the template's wording is there."""
+    def tells(self, added: list[str], k: int) -> bool:
+        """Whether words that a block adds to a template's wording tell another licence."""
+        return any((w in _TELLING or _VERSION.match(w)) and w not in self.known[k] for w in added)
+
+    def confirm(self, block_words: list[str], k: int, behind: list[str]) -> tuple[int, str, int, int] | None:
+        """(words matched, differences, from, to) if the template's wording is there. ``behind``: the words after the block."""
         template, own = self.templates[k], self.words[k]
         if not set(template.keys) <= set(block_words):
             return None
@@ -160,11 +187,17 @@ class Scanner:
         if matched < self.share * len(own):
             return None
         have = {own[i] for m in parts for i in range(m.a, m.a + m.size)}
-        # What lies between the first and the last match is the block's wording of the template.
         if not set(template.keys) <= have:
             return None
-        differences = [f"-{' '.join(own[a:b])}+{' '.join(block_words[c:d])}" for op, a, b, c, d in matcher.get_opcodes() if op != "equal" and c >= parts[0].b and d <= parts[-1].b + parts[-1].size]
-        return matched, "; ".join(differences)
+        # What lies between the first and the last match is the block's wording of the template.
+        begin, end = parts[0].b, parts[-1].b + parts[-1].size
+        changes = [(own[a:b], block_words[c:d]) for op, a, b, c, d in matcher.get_opcodes() if op != "equal" and c >= begin and d <= end]
+        if any(self.tells(new, k) for _, new in changes):
+            return None
+        after = (block_words[end : end + 8] + behind)[:8]
+        if after[:1] == ["or"] and self.tells(after, k):
+            return None
+        return matched, "; ".join(f"-{' '.join(old)}+{' '.join(new)}" for old, new in changes), begin, end
 
     @staticmethod
     def _nearest(parts: list, length: int) -> list:
@@ -179,31 +212,38 @@ class Scanner:
                 best, most = (i, j + 1), held
         return parts[best[0] : best[1]]
 
-    def _licences(self, block: str, found: set[str]) -> Iterator[tuple]:
-        own = words(block)
+    def licences(self, t: _Text, i: int, j: int) -> list[tuple]:
+        """(license_id, rank, saved, template's words, matched, differences, from, to) of the licences confirmed in words i..j of a text."""
+        own = t.words[i:j]
         have = set(own)
-        if not any(t.license_id not in found and set(t.keys) <= have for t in self.templates):
-            return
-        for rank, (saved, k) in enumerate(self.rank(block), 1):
+        among = [k for k, x in enumerate(self.templates) if set(x.keys) <= have]
+        if not among:
+            return []
+        found: dict[str, tuple] = {}
+        for rank, (saved, k) in enumerate(self.rank(t.text[t.start[i] : t.end[j - 1]], among), 1):
+            good = self.confirm(own, k, t.words[j : j + 8])
             name = self.templates[k].license_id
-            if name in found:
-                continue
-            good = self.confirm(own, k)
-            if good:
-                found.add(name)
-                yield name, rank, saved, len(self.words[k]), good[0], good[1]
+            if good and (name not in found or found[name][4] < good[0]):
+                found[name] = (name, rank, saved, len(self.words[k]), good[0], good[1], i + good[2], i + good[3])
+        rows = list(found.values())
+        return [x for x in rows if not any(y[4] > x[4] and y[6] <= x[6] and x[7] <= y[7] for y in rows)]
 
     def scan(self, text: str) -> Iterator[tuple]:
-        near: list[tuple[int, int, str]] = []
-        for first, last, block in candidate_blocks(text):
-            for r in self._licences(block, set()):
-                near.append((first, last, r[0]))
-                yield first, last, *r
-        for first, last, block in candidate_blocks(text, 1, self.reach, self.overlap):
-            found = {name for a, b, name in near if first <= a and b <= last}
-            for r in self._licences(block, found):
-                near.append((first, last, r[0]))
-                yield first, last, *r
+        """(first line, last line, license_id, rank, saved, template's words, matched, differences)."""
+        t = _Text(text)
+        if not t.cues or not t.words:
+            return
+        found: list[tuple] = []
+        for blocks in (t.near(), t.wide(self.reach)):
+            for i, j, first, last in blocks:
+                for r in self.licences(t, i, j):
+                    # What stands in the same place is the same finding, or less of it.
+                    same = [f for f in found if f[8] < r[7] and r[6] < f[9] and (f[2] == r[0] or (f[6] >= r[4]))]
+                    if not same:
+                        found.append((first, last, *r))
+        for f in found:
+            if not any(g[6] > f[6] and g[8] <= f[8] and f[9] <= g[9] for g in found):
+                yield f[:8]
 
 
 class LicenseScan:
