@@ -6,15 +6,18 @@ the bits that point into the sample (log2 of its length); the language that need
 
 The automaton is a dense table of state by character, in which a missing transition already leads to the state
 of a new phrase and carries a mark; so a parse is one table lookup per character, made for thousands of
-texts at once. Texts are cut into pieces of ``PIECE`` characters that are parsed side by side and summed; all
-characters of every text count.
+pieces of text at once. Pieces are parsed side by side as if each began a phrase; where the piece before ends within one,
+the parse is repeated from the state it ends in until both parses stand in one state, as all that follows is then the same. So
+the phrases are those of the whole text, wherever it is cut.
 
 Training reads a bounded sample: ``sample_docs`` labelled texts a language (those of the smallest hash), the first
-``sample_chars`` characters of each. Prediction sees the text only.
+``sample_chars`` characters of each. The commonest ``ALPHABET`` characters of all samples have codes of their own; what is rarer,
+as in scripts of thousands of characters, shares ``SHARED`` codes by hash. Prediction sees the text only.
 
-Defined cases: null text and text without a letter give ``und`` and score 0; so does every text if nothing is
+Defined cases: null text and text without a letter (Unicode category L) give ``und`` and score 0; so does every text if nothing is
 labelled. The score is 1 - best / second best, 1 if one language is known. Ties go to the first language
-by name. Other columns are ignored by ``predict`` and kept by ``annotate``.
+by name. Rows that repeat get the same answer. Other columns are ignored by ``predict`` and kept by ``annotate``. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -34,13 +38,10 @@ from corpusloom.llm.blocks import tidied
 from corpusloom.session import prepare
 
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 400
-#: Characters of a language's sample that its automaton takes at most.
-AUTOMATON_CHARS = 20_000
-ALPHABET = 48
+ALPHABET, SHARED = 160, 32
 PIECE = 256
 PIECES_AT_ONCE = 1 << 13
-_LETTER = re.compile(r"[^\W\d_]")
-_BREAK = np.int32(-(1 << 31))
+_LETTER = regex.compile(r"\p{L}")
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -78,13 +79,18 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.languages = sorted(samples)
-        texts = {k: self.normal(samples[k])[:AUTOMATON_CHARS] for k in self.languages}
-        common = [c for c, _ in Counter("".join(texts.values())).most_common() if c != " "][: ALPHABET - 3]
-        # Codes: the common characters, white space and punctuation as one, any other, padding.
-        self.other, self.pad, self.space = ALPHABET - 2, ALPHABET - 1, ALPHABET - 3
+        texts = {k: self.normal(samples[k]) for k in self.languages}
+        found = [c for c, _ in sorted(Counter("".join(texts.values())).items(), key=lambda x: (-x[1], x[0])) if c != " "]
+        common, rare = found[:ALPHABET], found[ALPHABET:]
+        # Codes: the common characters, those that rarer ones share, white space and punctuation as one, one that no sample holds, padding.
+        shared = len(common)
+        self.space = shared + (SHARED if rare else 0)
+        self.other, self.pad, self.width = self.space + 1, self.space + 2, self.space + 3
         self.code = np.full(0x110000, self.other, np.uint8)
         for i, c in enumerate(common):
             self.code[ord(c)] = i
+        for c in rare:
+            self.code[ord(c)] = shared + ord(c) * 2654435761 % (1 << 32) * SHARED // (1 << 32)
         self.code[ord(" ")] = self.space
         self.tables = [self._table(self.codes(texts[k])) for k in self.languages]
         self.bits = np.array([math.log2(max(len(texts[k]), 4096)) for k in self.languages])
@@ -98,14 +104,14 @@ class CrossParser:
 
     def _table(self, codes: np.ndarray) -> np.ndarray:
         states = suffix_automaton(codes.tolist())
-        table = np.full((len(states), ALPHABET), -1, np.int64)
+        table = np.full((len(states), self.width), -1, np.int64)
         for s, following in enumerate(states):
             for c, t in following.items():
                 table[s, c] = t
         start = np.maximum(table[0], 0)  # a character that the sample lacks is a phrase of its own
-        fresh = np.broadcast_to(start * ALPHABET, table.shape)
-        out = np.where(table >= 0, table * ALPHABET, fresh | (1 << 31))
-        out[:, self.pad] = np.arange(len(states)) * ALPHABET
+        fresh = np.broadcast_to(start * self.width, table.shape)
+        out = np.where(table >= 0, table * self.width, fresh | (1 << 31))
+        out[:, self.pad] = np.arange(len(states)) * self.width
         return (out & 0xFFFFFFFF).astype(np.uint32).view(np.int32).reshape(-1)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
@@ -119,18 +125,45 @@ class CrossParser:
             flat[b : b + len(a)] = a
         rows = flat.reshape(-1, PIECE)
         out = np.zeros((len(texts), len(self.languages)), np.int64)
-        for at in range(0, len(rows), PIECES_AT_ONCE):
-            part = np.ascontiguousarray(rows[at : at + PIECES_AT_ONCE].T).astype(np.int32)
-            for k, table in enumerate(self.tables):
-                state = np.zeros(part.shape[1], np.int32)
-                count = np.ones(part.shape[1], np.int64)
-                for step in part:
-                    state = table[state + step]
-                    count += state < 0
-                    state &= 0x7FFFFFFF
-                np.add.at(out[:, k], of[at : at + PIECES_AT_ONCE], count)
+        goes_on = np.ones(len(rows), bool)
+        goes_on[(np.cumsum(pieces) - pieces)[pieces > 0]] = False
+        for k, table in enumerate(self.tables):
+            count, end = np.empty(len(rows), np.int64), np.empty(len(rows), np.int32)
+            for at in range(0, len(rows), PIECES_AT_ONCE):
+                part = np.ascontiguousarray(rows[at : at + PIECES_AT_ONCE].T).astype(np.int32)
+                count[at : at + part.shape[1]], end[at : at + part.shape[1]] = _parse(table, part)
+            self._carry(table, rows, goes_on, count, end)
+            np.add.at(out[:, k], of, count)
         return out
 
+    @staticmethod
+    def _carry(table: np.ndarray, rows: np.ndarray, goes_on: np.ndarray, count: np.ndarray, end: np.ndarray) -> None:
+        """Correct the pieces' phrases and end states: a piece goes on in the state that the one before ends in."""
+        entered = np.zeros(len(rows), np.int32)
+        count[goes_on] -= 1  # its first phrase began before, unless the parse says otherwise
+        todo = np.flatnonzero(goes_on)
+        while len(todo):
+            now = end[todo - 1]
+            moved = now != entered[todo]
+            todo, now = todo[moved], now[moved]
+            was, old, new = todo, entered[todo].copy(), now.copy()
+            entered[todo] = now
+            changed = []
+            for step in range(rows.shape[1]):
+                if not len(was):
+                    break
+                c = rows[was, step].astype(np.int32)
+                old, new = table[old + c], table[new + c]
+                count[was] += (new < 0).astype(np.int64) - (old < 0)
+                old &= 0x7FFFFFFF
+                new &= 0x7FFFFFFF
+                apart = old != new
+                was, old, new = was[apart], old[apart], new[apart]
+            end[was] = new
+            changed = was + 1
+            changed = changed[changed < len(rows)]
+            todo = changed[goes_on[changed]]
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         result: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         which = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
@@ -145,6 +178,17 @@ class CrossParser:
         return result
 
 
+def _parse(table: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases and end states of the columns of ``part``, each from the start."""
+    state = np.zeros(part.shape[1], np.int32)
+    count = np.ones(part.shape[1], np.int64)
+    for step in part:
+        state = table[state + step]
+        count += state < 0
+        state &= 0x7FFFFFFF
+    return count, state
+
+
 _NOT_WORD = re.compile(r"[\W\d_]+")
 _parsers: dict[int, CrossParser] = {}
 
@@ -175,12 +219,12 @@ class LanguageId:
             self.samples[r["lang"]] = self.samples.get(r["lang"], "") + " " + r["part"]
         return self
 
-    def annotate(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """``docs`` with lang_pred and score; columns of these names are replaced."""
+    def annotate(self, docs: DataFrame, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+        """``docs`` with the language and its score; columns of these ``names`` are replaced."""
         prepare(docs.sparkSession)
-        docs = docs.drop("lang_pred", "score")
+        docs = docs.drop(*names)
         samples = self.samples
-        schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+        schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
         place = docs.columns.index(text_col)
 
         def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +232,7 @@ class LanguageId:
                 for at in range(0, batch.num_rows, 500):
                     part = batch.slice(at, 500)
                     found = _parser(samples).predict(part.column(place).to_pylist())
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*part.schema.names, *names])
 
         return docs.mapInArrow(tidied(predict), schema)
 

@@ -238,11 +238,10 @@ class Scanner:
             for i, j, first, last in blocks:
                 for r in self.licences(t, i, j):
                     # What stands in the same place is the same finding, or less of it.
-                    same = [f for f in found if f[8] < r[7] and r[6] < f[9] and (f[2] == r[0] or (f[6] >= r[4]))]
-                    if not same:
+                    if not any(f[8] < r[7] and r[6] < f[9] and f[6] >= r[4] for f in found):
                         found.append((first, last, *r))
         for f in found:
-            if not any(g[6] > f[6] and g[8] <= f[8] and f[9] <= g[9] for g in found):
+            if not any(g[6] > f[6] and g[8] < f[9] and f[8] < g[9] and (g[2] == f[2] or (g[8] <= f[8] and f[9] <= g[9])) for g in found):
                 yield f[:8]
 
 

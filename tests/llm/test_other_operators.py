@@ -16,7 +16,7 @@ from corpusloom.llm import chat_format as C
 from corpusloom.llm import token_counts as T
 from corpusloom.llm.embedding_dedup import EmbeddingDedup
 from corpusloom.llm.language_id import CrossParser, LanguageId, held_out
-from corpusloom.llm.license_scan import TEMPLATES, LicenseScan, Scanner, Template
+from corpusloom.llm.license_scan import TEMPLATES, LicenseScan, Scanner, Template, words
 from corpusloom.llm.mixing import PoissonMix, source_rates
 from tests.llm.brute import components, sha
 
@@ -50,24 +50,70 @@ def test_language_id_of_odd_rows(spark):
     assert LanguageId().fit(train.where("lang = 'en'")).predict(docs).where("doc_id = 4").first()["score"] == 1.0
 
 
-@settings(max_examples=60, deadline=None)
+def phrases_by_hand(known, normal):
+    count = i = 0
+    while i < len(normal):
+        n = 1
+        while i + n < len(normal) and normal[i : i + n + 1] in known:
+            n += 1
+        i += n
+        count += 1
+    return count
+
+
+@settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="abc ", max_size=40), st.text(alphabet="abcd ", max_size=600))
 def test_phrases_are_the_longest_that_occur(sample, text):
     parser = CrossParser({"x": sample})
-    known = parser.normal(sample)
-    normal = parser.normal(text)
-    count = 0
-    for at in range(0, len(normal), 256):
-        piece = normal[at : at + 256]
-        i = 0
-        while i < len(piece):
-            n = 1
-            while i + n < len(piece) and piece[i : i + n + 1] in known:
-                n += 1
-            i += n
-            count += 1
+    known, normal = parser.normal(sample), parser.normal(text)
     # A phrase that begins with an unknown character ends at once: one of its own.
-    assert parser.phrases([text])[0][0] == count or any(c not in known for c in normal)
+    if all(c in known for c in normal):
+        assert parser.phrases([text])[0][0] == max(1, phrases_by_hand(known, normal)) or not normal
+
+
+@pytest.mark.parametrize("sample", ["ab" * 700, "a" * 900, "abcabcab" * 90])
+def test_phrases_go_on_over_many_pieces(sample):
+    """Phrases longer than a piece: every cut falls into one."""
+    parser = CrossParser({"x": sample})
+    for text in (sample, sample[5:] + "c" + sample, sample[::-1] + " " + sample):
+        known, normal = parser.normal(sample), parser.normal(text)
+        if all(c in known for c in normal):
+            assert parser.phrases([text, text[3:]])[:, 0].tolist() == [phrases_by_hand(known, t) for t in (normal, normal[3:])]
+    assert parser.phrases([sample])[0][0] == 1
+
+
+def test_predictions_are_those_of_the_plain_parse(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = LanguageId(sample_docs=8, sample_chars=200).fit(docs.where(~held_out()))
+    parser = CrossParser(model.samples)
+    samples = {k: parser.normal(v) for k, v in model.samples.items()}
+    rows = [r for r in docs.select("doc_id", "text").collect() if r["text"] and len(r["text"]) < 3000]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in model.predict(docs).collect()}
+    assert len(rows) > 50
+    for r in rows[:60]:
+        if not any(c.isalpha() for c in r["text"]):
+            continue
+        normal = parser.normal(r["text"])
+        cost = sorted((phrases_by_hand(v, normal) * math.log2(max(len(v), 4096)), k) for k, v in samples.items())
+        if all(c in v for v in samples.values() for c in normal):
+            assert got[r["doc_id"]] == (cost[0][1], pytest.approx(1 - cost[0][0] / cost[1][0]))
+        else:
+            assert got[r["doc_id"]][0] == cost[0][1]
+
+
+def test_only_letters_tell_a_language():
+    parser = CrossParser({"de": "der hund und die katze", "en": "the dog and the cat"})
+    assert [x for x, _ in parser.predict(["²", "½ ①", "٣٤", "_", "the cat²"])] == ["und"] * 4 + ["en"]
+    tie = CrossParser({"b": "one sample", "a": "one sample"})
+    assert tie.predict(["one sample"]) == [("a", 0.0)]
+
+
+def test_scripts_of_many_characters_keep_apart():
+    rng = np.random.default_rng(1)
+    text = lambda lo, hi, n: "".join(chr(c) for c in rng.integers(lo, hi, n))
+    samples = {"x": text(0x4E00, 0x5000, 6000), "y": text(0x5100, 0x5300, 6000), "z": text(0xAC00, 0xAE00, 6000)}
+    parser = CrossParser(samples)
+    assert [x for x, _ in parser.predict([v[100:400] for v in samples.values()])] == ["x", "y", "z"]
 
 
 # --- chat formatting -------------------------------------------------------------------------
@@ -139,6 +185,77 @@ def test_wrapped_notices_are_found(width, mark):
         assert t.license_id in {r[2] for r in scanner.scan(text)}, t.text
 
 
+def wrapped(text, width=60):
+    return "\n".join(textwrap.wrap(text, width, break_on_hyphens=False))
+
+
+def template(name, k=-1):
+    return [t.text for t in TEMPLATES if t.license_id == name][k]
+
+
+@pytest.mark.parametrize("before, after", [("", ""), ("Copyright (c) 2021, Some One\nAll rights reserved.\n\n", "\n\nThe end of it.")])
+@pytest.mark.parametrize("name", sorted({t.license_id for t in TEMPLATES}))
+def test_a_whole_licence_is_that_licence_alone(name, before, after):
+    scanner = Scanner(TEMPLATES, 0.8)
+    for t in TEMPLATES:
+        if t.license_id == name:
+            assert {r[2] for r in scanner.scan(before + wrapped(t.text) + after)} == {name}, t.text
+
+
+@pytest.mark.parametrize(
+    "text, wanted",
+    [
+        ("This work is licensed under the GNU General Public License, version 2 or, at your option, version 3.", set()),
+        ("This work is licensed under the GNU General Public License, version 2, or (at your option) any later version.", {"GPL-2.0-or-later"}),
+        ("This work is licensed under the GNU General Public License, version 2 or later.", {"GPL-2.0-or-later"}),
+        ("This work is licensed under the GNU General Public License, version 2. Or call 3 friends.", set()),
+        ("This work is licensed under the GNU General Public License, version 2. Call 3 friends.", {"GPL-2.0"}),
+        ("Licensed under CC BY 4.0. Released under the MIT License.", {"CC-BY-4.0", "MIT"}),
+    ],
+)
+def test_added_words_that_tell_another_licence(text, wanted):
+    assert {r[2] for r in Scanner(TEMPLATES, 0.8).scan(text)} == wanted
+
+
+def test_licences_in_one_line_of_any_length():
+    scanner = Scanner(TEMPLATES, 0.8)
+    prose = "the river ran past the mill and the licence of the people was long " * 700
+    text = f"{prose} {template('BSD-3-Clause')} {prose} {template('MIT')} {prose} {template('BSD-2-Clause')}"
+    assert [r[2] for r in sorted(scanner.scan(text), key=lambda r: r[0])].count("BSD-3-Clause") == 1
+    assert {r[2] for r in scanner.scan(text)} == {"BSD-2-Clause", "BSD-3-Clause", "MIT"} and {r[7] for r in scanner.scan(text)} == {""}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sampled_from(range(len(TEMPLATES))), st.lists(st.tuples(st.floats(0, 1), st.sampled_from(["drop", "change", "add"])), max_size=4))
+def test_ranks_and_differences_by_hand(k, edits):
+    """Savings against a compressor without the dictionary; differences as a plain alignment of words gives them."""
+    import difflib
+
+    import zstandard
+
+    own = words(TEMPLATES[k].text)
+    said = list(own)
+    for at, kind in edits:
+        i = int(at * (len(said) - 1))
+        if said[i] not in TEMPLATES[k].keys:
+            said[i : i + 1] = {"drop": [], "change": ["river"], "add": [said[i], "mill"]}[kind]
+    scanner = Scanner(TEMPLATES, 0.8)
+    block = " ".join(said)
+    plain = len(zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False).compress(block.encode()))
+    for saved, j in scanner.rank(block):
+        d = zstandard.ZstdCompressionDict(TEMPLATES[j].text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        assert saved == plain - len(zstandard.ZstdCompressor(level=9, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(block.encode())) > 0
+    got = scanner.confirm(said, k, [])
+    ops = difflib.SequenceMatcher(None, own, said, autojunk=False).get_opcodes()
+    kept = [(a, b, c, d) for op, a, b, c, d in ops if op == "equal"]
+    matched = sum(b - a for a, b, _, _ in kept)
+    if matched < 0.8 * len(own) or not set(TEMPLATES[k].keys) <= {w for a, b, _, _ in kept for w in own[a:b]}:
+        assert got is None
+    else:
+        inner = [f"-{' '.join(own[a:b])}+{' '.join(said[c:d])}" for op, a, b, c, d in ops if op != "equal" and c >= kept[0][2] and d <= kept[-1][3]]
+        assert got[:2] == (matched, "; ".join(inner))
+
+
 def test_license_lines_of_the_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     lines = docs.where("text rlike '(?i)licensed under|released under'").select("doc_id").distinct().count()
