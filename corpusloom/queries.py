@@ -33,15 +33,24 @@ _SYMBOLS = f"""symbols AS (
   SELECT s_suppkey + {SUPPLIERS}, s_nationkey::BIGINT, 'supply/core.hpp', 1::TINYINT, n_name || '::' || s_name, '', s_suppkey, s_suppkey
   FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 _NAMED = "named AS (SELECT symbol_id, file_path, module_name, module_path, kind, qualified_name, signature, start_line, end_line FROM symbols JOIN modules USING (module_id))"
-_CALLS = f"""calls AS (SELECT DISTINCT o_custkey AS caller, l_suppkey + {SUPPLIERS} AS callee FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_quantity = 50 AND l_linenumber = 1 AND l_returnflag = 'R')"""
-_BASES = f"""bases AS (SELECT DISTINCT l_suppkey + {SUPPLIERS} AS derived, o_custkey AS base FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_quantity = 49 AND l_linenumber = 2 AND l_returnflag = 'A')"""
-_INCLUDES = """raw_includes AS (SELECT DISTINCT o_custkey AS source_symbol_id, 'inc/' || CASE WHEN l_partkey % 2 = 0 THEN n_name ELSE p_brand END || '.hpp' AS include_path
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN nation ON l_partkey % 25 = n_nationkey
-  WHERE l_quantity = 48 AND l_linenumber = 3 AND l_returnflag = 'N'),
+
+
+def _edge_tables(sparse: bool) -> tuple[str, str, str]:
+    """Calls, bases and includes; ``sparse``: of the lineitems of one quantity and line number each."""
+
+    def where(flag: str, quantity: int, line: int) -> str:
+        return f"l_returnflag = '{flag}'" + (f" AND l_quantity = {quantity} AND l_linenumber = {line}" if sparse else "")
+
+    calls = f"calls AS (SELECT DISTINCT o_custkey AS caller, l_suppkey + {SUPPLIERS} AS callee FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {where('R', 50, 1)})"
+    bases = f"bases AS (SELECT DISTINCT l_suppkey + {SUPPLIERS} AS derived, o_custkey AS base FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {where('A', 49, 2)})"
+    includes = f"""raw_includes AS (SELECT DISTINCT o_custkey AS source_symbol_id, 'inc/' || CASE WHEN l_partkey % 2 = 0 THEN n_name ELSE p_brand END || '.hpp' AS include_path
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN nation ON l_partkey % 25 = n_nationkey WHERE {where('N', 48, 3)}),
 includes AS (SELECT source_symbol_id, include_path, s.module_id AS source_module_id, m.module_id AS target_module_id
   FROM raw_includes JOIN symbols s ON source_symbol_id = symbol_id LEFT JOIN modules m ON module_name = regexp_replace(regexp_replace(include_path, '^.*/', ''), '\\.[^.]*$', ''))"""
+    return calls, bases, includes
+
+
+_CALLS, _BASES, _INCLUDES = _edge_tables(sparse=False)
 _EDGES = """edges AS (SELECT a.module_id AS src, b.module_id AS dst FROM calls JOIN symbols a ON caller = a.symbol_id JOIN symbols b ON callee = b.symbol_id
   UNION SELECT a.module_id, b.module_id FROM bases JOIN symbols a ON derived = a.symbol_id JOIN symbols b ON base = b.symbol_id
   UNION SELECT source_module_id, target_module_id FROM includes WHERE target_module_id IS NOT NULL)"""
@@ -199,13 +208,13 @@ def vector_upsert(spark, sf_dir):
 
 
 def _closure_sql(depth: int) -> str:
-    return f"""WITH RECURSIVE {_GRAPH}, {_BASES}, {_INCLUDES}, {_EDGES},
+    return f"""WITH RECURSIVE {_MODULES}, {_SYMBOLS}, {", ".join(_edge_tables(sparse=True))}, {_EDGES},
 r(id, d) AS (SELECT module_id, 0 FROM modules WHERE module_name = 'NATION_0' UNION SELECT dst, d + 1 FROM r JOIN edges ON src = id WHERE d < {depth})
 SELECT module_id, module_name, module_path, d AS depth FROM (SELECT id, min(d)::INT AS d FROM r GROUP BY id) JOIN modules ON id = module_id WHERE d > 0"""
 
 
 def _closure(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
-    c = StarCorpus(spark, sf_dir)
+    c = StarCorpus(spark, sf_dir, sparse=True)
     return graph.module_closure("NATION_0", depth, c.modules, graph.module_edges(c.calls, c.includes, c.inheritance))
 
 
@@ -293,7 +302,7 @@ def hierarchical_search(spark, sf_dir):
     return found.select("symbol_id", "module_name", "qualified_name", F.round("score", 6).alias("score"))
 
 
-_HITS = "hits AS (SELECT * FROM named WHERE symbol_id % 10 = 3)"
+_HITS = "hits AS (SELECT * FROM named)"
 _RELATED = """related AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hit_id, direction ORDER BY qualified_name, file_path, symbol_id)::INT AS rank FROM (
   SELECT h.symbol_id AS hit_id, 'callers' AS direction, n.* FROM hits h JOIN calls ON callee = h.symbol_id JOIN named n ON n.symbol_id = caller
   UNION ALL SELECT h.symbol_id, 'callees', n.* FROM hits h JOIN calls ON caller = h.symbol_id JOIN named n ON n.symbol_id = callee)) WHERE rank <= 4)"""
@@ -302,7 +311,7 @@ _RELATED = """related AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION
 @query(f"WITH {_GRAPH}, {_HITS}, {_RELATED} SELECT hit_id, direction, rank, symbol_id, qualified_name FROM related")
 def related_topn(spark, sf_dir):
     c = StarCorpus(spark, sf_dir)
-    return search.related(c.named_symbols.where("symbol_id % 10 = 3"), c.calls, c.named_symbols).select("hit_id", "direction", "rank", "symbol_id", "qualified_name")
+    return search.related(c.named_symbols, c.calls, c.named_symbols).select("hit_id", "direction", "rank", "symbol_id", "qualified_name")
 
 
 _CONTEXT_LIMIT = 24
@@ -321,7 +330,7 @@ sums AS (SELECT *, tokens, sum(tokens) OVER (PARTITION BY symbol_id ORDER BY par
 SELECT symbol_id, string_agg(line, chr(10) ORDER BY part, rank) AS context, sum(tokens)::BIGINT AS token_count FROM sums WHERE used <= {_CONTEXT_LIMIT} GROUP BY symbol_id""")
 def retrieve_context(spark, sf_dir):
     c = StarCorpus(spark, sf_dir)
-    hits = c.named_symbols.where("symbol_id % 10 = 3").withColumn("source_text", F.concat_ws(" ", "file_path", F.col("start_line").cast("string")))
+    hits = c.named_symbols.withColumn("source_text", F.concat_ws(" ", "file_path", F.col("start_line").cast("string")))
     return search.retrieve(hits, c.calls, c.named_symbols, token_limit=_CONTEXT_LIMIT).select("symbol_id", "context", "token_count")
 
 

@@ -1,6 +1,7 @@
 """The star-schema tables seen as the relational model of a code corpus.
 
-Nations are modules; customers and suppliers are symbols; orders give calls, inheritance and includes.
+Nations are modules; customers and suppliers are symbols; all lineitems give edges: returned ones calls, accepted ones
+inheritance, the others includes.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ SUPPLIERS = 1_000_000_000_000
 
 @dataclass
 class StarCorpus:
+    """``sparse``: edges from one quantity and line number of each kind only, for closures: from all lineitems every module is reached in one step."""
+
     spark: SparkSession
     sf_dir: str
+    sparse: bool = False
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
@@ -63,7 +67,9 @@ class StarCorpus:
         return with_modules(self.symbols, F.broadcast(self.modules))
 
     def _orders(self, flag: str, quantity: int, line: int) -> DataFrame:
-        picked = self.table("lineitem").where((F.col("l_quantity") == quantity) & (F.col("l_linenumber") == line) & (F.col("l_returnflag") == flag))
+        picked = self.table("lineitem").where(F.col("l_returnflag") == flag)
+        if self.sparse:
+            picked = picked.where((F.col("l_quantity") == quantity) & (F.col("l_linenumber") == line))
         o = self.table("orders").select("o_orderkey", "o_custkey")
         return picked.join(o, picked.l_orderkey == o.o_orderkey)
 
