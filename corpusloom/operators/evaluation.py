@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import durable
+
 # The group that each tool's queries count for.
 TOOL_GROUPS = {"semantic_search": "semantic", "search": "semantic", "explain": "auxiliary", "module": "auxiliary", "callers": "structural", "deps": "structural"}
 
@@ -39,12 +41,18 @@ def precision_at(ranked: DataFrame, k: int = 5) -> DataFrame:
 def nearest_rank_percentiles(rows: DataFrame, key: str, value: str, quantiles: dict[str, float]) -> DataFrame:
     """Percentiles by nearest rank: place (n - 1) * q, halves to even, of the sorted values; nulls don't count.
 
-    Values are first counted by (key, value), so a group is sorted as its distinct values with their numbers, by a
-    window; no group is gathered in one row.
+    Values are first counted by (key, value) and sorted by range over all tasks; running sums within a part start from what the
+    parts before it hold. A key of many values is many parts: no group is gathered in one row or task.
     """
     counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
-    by = Window.partitionBy(key)
-    placed = counted.withColumn("_upto", F.sum("_n").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(by))
+    # Kept, as parts and sums have to come from one sorting.
+    ranged = durable(counted.repartitionByRange(key, value).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_of")).agg(F.sum("_n").alias("_sum"))
+    by = Window.partitionBy("_key")
+    parts = parts.select("_key", "_of", (F.sum("_sum").over(by.orderBy("_of").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")).alias("_before"), F.sum("_sum").over(by).alias("_all"))
+    placed = ranged.join(parts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
+    own = Window.partitionBy(key, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("_upto", F.col("_before") + F.sum("_n").over(own))
     picks = []
     for name, q in quantiles.items():
         at = F.greatest(F.lit(0), F.least(F.bround((F.col("_all") - 1) * F.lit(q)).cast("long"), F.col("_all") - 1))

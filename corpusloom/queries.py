@@ -6,6 +6,7 @@ written apart from the operator. ``round`` in either is on sums of floating-poin
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -408,7 +409,8 @@ def module_normalize(spark, sf_dir):
     return c.select("c_custkey", X.module_text(name, fallback).alias("module_name"))
 
 
-_PROBES = "probes AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS q, CASE vec_id % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'structural' ELSE 'auxiliary' END AS tool_group FROM embeddings WHERE vec_id % 25 = 0)"
+# The evaluation's queries are a list of 20 vectors, whatever the table's size.
+_PROBES = "probes AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS q, CASE vec_id % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'structural' ELSE 'auxiliary' END AS tool_group FROM embeddings WHERE vec_id < 500 AND vec_id % 25 = 0)"
 _RANKED = f"""ranked AS (SELECT query_id, name, rank FROM (SELECT query_id, vec_id AS name, row_number() OVER (PARTITION BY query_id ORDER BY round({_COSINE}, 9) DESC, vec_id) AS rank FROM probes, (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) WHERE vec_id <> query_id) WHERE rank <= 10),
 ranks AS (SELECT query_id, tool_group, min(rank) FILTER (WHERE e.label = p.label) AS first_rank FROM probes p LEFT JOIN ranked USING (query_id) LEFT JOIN embeddings e ON e.vec_id = name GROUP BY ALL)"""
 
@@ -416,12 +418,14 @@ ranks AS (SELECT query_id, tool_group, min(rank) FILTER (WHERE e.label = p.label
 def _first_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = StarCorpus(spark, sf_dir).table("embeddings")
     group = F.when(F.col("vec_id") % 3 == 0, "semantic").when(F.col("vec_id") % 3 == 1, "structural").otherwise("auxiliary")
-    probes = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"), group.alias("tool_group"))
-    # The probes are the evaluation's queries, compared with all rows.
+    probes = e.where("vec_id < 500 AND vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"), group.alias("tool_group"))
     scores = e.join(F.broadcast(probes.select("query_id", "q")), F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("name"), F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "name")
+    # Each task keeps its ten best of a probe before anything is shuffled.
     ranked = scores.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
-    expected = probes.select("query_id", "label").join(e.select(F.col("vec_id").alias("name"), "label"), "label").select("query_id", "name")
+    # What is expected of a probe is all of its label; only what was ranked needs to be looked up.
+    labels = e.join(F.broadcast(ranked.select(F.col("name").alias("vec_id")).distinct()), "vec_id", "left_semi").select(F.col("vec_id").alias("name"), "label")
+    expected = labels.join(probes.select("query_id", "label"), "label").select("query_id", "name")
     return evaluation.first_ranks(ranked, expected, probes.select("query_id", "tool_group"))
 
 
@@ -482,14 +486,44 @@ def status_snapshot(spark, sf_dir):
     return out.groupBy().pivot("name", ["symbols", "modules", "calls", "includes", "inheritance"]).agg(F.first("n"))
 
 
-@query()
+_SYSTEM = "You know this code base. Say which of the symbols found answer the query, and why."
+_PROMPT_LIMIT = 3072
+_ROOM = _PROMPT_LIMIT - len(_SYSTEM.split())
+_LINES = "string_split(CASE WHEN ends_with({0}, chr(10)) THEN left({0}, length({0}) - 1) ELSE {0} END, chr(10))"
+
+
+# The symbols' section is a walk over its lines: one that overflows ends the section, or only its context if it is one of that.
+@query(f"""WITH RECURSIVE turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS item FROM conversations),
+convs AS (SELECT conv_id, count(*) AS n_turns, arg_min(text, item) AS q FROM turns GROUP BY conv_id),
+raw AS (SELECT conv_id, item, 0 AS part, 0 AS k, '- ' || role || ' [chat] score=0.5' AS line FROM turns WHERE item <= 8
+  UNION ALL SELECT conv_id, item, 1, 0, '  context:' FROM turns WHERE item <= 8 AND text <> ''
+  UNION ALL SELECT conv_id, item, 2, k, '    ' || line FROM (SELECT conv_id, item, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM (SELECT conv_id, item, {_LINES.format('text')} AS l FROM turns WHERE item <= 8 AND text <> ''))),
+listed AS (SELECT conv_id, item, part, line, {_TOKENS.format('line')} AS n, row_number() OVER (PARTITION BY conv_id ORDER BY item, part, k) AS pos FROM raw),
+walk(conv_id, pos, used, body, ended, skipped) AS (SELECT conv_id, 0::BIGINT, 0::BIGINT, '', false, 0::BIGINT FROM convs
+  UNION ALL SELECT conv_id, place, CASE WHEN fits THEN used + n ELSE used END,
+    CASE WHEN fits OR blank THEN body || CASE WHEN body <> '' AND NOT ends_with(body, chr(10)) THEN chr(10) ELSE '' END || CASE WHEN fits THEN line ELSE '' END ELSE body END,
+    ended OR (n > 0 AND NOT fits AND part < 2 AND NOT passed), CASE WHEN n > 0 AND NOT fits AND part = 2 AND NOT passed THEN item ELSE skipped END
+  FROM (SELECT *, n = 0 AND NOT passed AS blank, n > 0 AND NOT passed AND used + n <= 2048 AS fits FROM (
+    SELECT w.conv_id, l.pos AS place, used, body, ended, skipped, item, part, line, n, ended OR (part = 2 AND skipped = item) AS passed FROM walk w JOIN listed l ON l.conv_id = w.conv_id AND l.pos = w.pos + 1))),
+symbols AS (SELECT conv_id, CASE WHEN arg_max(body, pos) = '' THEN '  none' ELSE arg_max(body, pos) END AS section FROM walk GROUP BY conv_id),
+summaries AS (SELECT conv_id, n_turns, q, list_filter(regexp_split_to_array(q, '[ \\t\\n\\x0B\\f\\r]+'), lambda t: t <> '') AS w FROM convs),
+whole AS (SELECT conv_id, 'Request: search' || chr(10) || 'Query: ' || q || chr(10) || chr(10) || 'Modules:' || chr(10) || '- chat score=0.99 public=' || n_turns || ' headers=0'
+    || CASE WHEN q = '' THEN '' WHEN len(w) > 24 THEN chr(10) || '  summary: ' || array_to_string(w[1:24], ' ') || ' ...' ELSE chr(10) || '  summary: ' || q END
+    || chr(10) || chr(10) || 'Symbols:' || chr(10) || section || chr(10) || chr(10) || 'Files at hand:' || chr(10) || '  none' || chr(10) AS text FROM summaries JOIN symbols USING (conv_id)),
+sized AS (SELECT *, {_TOKENS.format('text')} AS n FROM whole),
+split AS (SELECT conv_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT conv_id, {_LINES.format('text')} AS l FROM sized WHERE n > {_ROOM})),
+kept AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT *, {_TOKENS.format('line')} AS n FROM split)),
+cut AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE n > 0) AS body, max(used)::BIGINT AS used, arg_max(n, pos) AS last FROM kept WHERE used <= {_ROOM} GROUP BY conv_id),
+final AS (SELECT conv_id, CASE WHEN n <= {_ROOM} THEN text WHEN body IS NULL THEN '' WHEN used < {_ROOM} THEN body || chr(10) || '[truncated]' WHEN last = 0 THEN body || chr(10) ELSE body END AS user_text FROM sized LEFT JOIN cut USING (conv_id))
+SELECT conv_id AS request_id, 'search' AS template_name, {_PROMPT_LIMIT}::BIGINT AS context_token_limit, ({len(_SYSTEM.split())} + {_TOKENS.format('user_text')})::BIGINT AS token_count, '{_SYSTEM}' AS system_text, user_text FROM final""")
 def prompt_sections(spark, sf_dir):
     c = StarCorpus(spark, sf_dir)
-    rows = c.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = c.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     first = F.element_at("turns", 1)
     symbols = F.transform("turns", lambda t: F.struct(t["role"].alias("qualified_name"), F.lit("chat").alias("module_name"), F.lit("").alias("signature"), t["text"].alias("context"), F.lit(0.5).alias("score")))
-    modules = F.array(F.struct(F.lit("chat").alias("module_name"), F.lit("").alias("module_path"), F.coalesce(first["text"], F.lit("")).alias("summary"), F.lit(0.99).alias("score"), F.size("turns").alias("public_symbol_count"), F.lit(0).alias("header_count")))
-    return prompts.prompts(rows.select(F.col("conv_id").alias("request_id"), F.lit("search").alias("request_type"), F.coalesce(first["text"], F.lit("")).alias("query"), modules.alias("modules"), symbols.alias("symbols")))
+    modules = F.array(F.struct(F.lit("chat").alias("module_name"), F.lit("").alias("module_path"), first["text"].alias("summary"), F.lit(0.99).alias("score"), F.size("turns").alias("public_symbol_count"), F.lit(0).alias("header_count")))
+    return prompts.prompts(rows.select(F.col("conv_id").alias("request_id"), F.lit("search").alias("request_type"), first["text"].alias("query"), modules.alias("modules"), symbols.alias("symbols")))
 
 
 @query()
@@ -500,11 +534,54 @@ def hash_embed_search(spark, sf_dir):
     return search.top_symbols(rows, hash_vector("the and of in que de la"), 20).select("symbol_id", F.round("score", 6).alias("score"))
 
 
-@query()
+# A file for each symbol: M its module, I its id, L its line.
+_CPP = """#include "M.hpp"
+#include <vector>
+namespace M {
+// class Hidden { };
+enum class ModeI { Off, On = L };
+template <typename T>
+T pickI(T a, T b) { return a < b ? first(a) : std::max<T>(a, b); }
+class CI : public Base, private other::Thing<int> {
+public:
+  explicit CI(int x) : x_(x) { init(x); }
+  int run(int x) { return helper(x) + std::max(x, L); }
+  bool operator==(const CI& o) const;
+private:
+  int x_;
+};
+bool CI::operator==(const CI& o) const { return same(o) && o.x_ == x_; }
+}
+int mainI() {
+  return M::pickI(1, 2);
+}
+"""
+_CPP_ROWS = (
+    ("namespace", "M", "", 3, 17, "", ""),
+    ("enum", "M::ModeI", "", 5, 5, "", ""),
+    ("template", "M::pickI", "template <typename T>", 6, 7, "", ""),
+    ("function", "M::pickI", "T pickI(T a, T b)", 7, 7, "first,std::max", ""),
+    ("class", "M::CI", "", 8, 15, "", "M::Base,other::Thing<int>"),
+    ("method", "M::CI::CI", "explicit CI(int x) : x_(x)", 10, 10, "init", ""),
+    ("method", "M::CI::run", "int run(int x)", 11, 11, "helper,std::max", ""),
+    ("method", "M::CI::operator==", "bool operator==(const CI& o) const", 12, 12, "", ""),
+    ("method", "M::CI::operator==", "bool CI::operator==(const CI& o) const", 16, 16, "same", ""),
+    ("function", "mainI", "int mainI()", 18, 20, "M::pickI", ""),
+)
+
+
+def _filled(text: str) -> str:
+    """SQL of ``text`` with M and I replaced by a symbol's module and id."""
+    text = re.sub(r"\b(Mode|pick|main|C)I\b", r"\1' || symbol_id || '", re.sub(r"\bM\b", "' || module_name || '", text))
+    return f"'{text}'"
+
+
+@query(f"""WITH {_GRAPH}, made AS (SELECT 'gen/' || symbol_id || '.cpp' AS path, module_name, symbol_id FROM named)
+{" UNION ALL ".join(f"SELECT path, {i} AS ordinal, '{kind}' AS kind, {_filled(name)} AS qualified_name, {_filled(text)} AS signature, {a} AS start_line, {b} AS end_line, module_name || '.hpp,vector' AS includes, {_filled(calls)} AS calls, {_filled(bases)} AS bases FROM made" for i, (kind, name, text, a, b, calls, bases) in enumerate(_CPP_ROWS))}""")
 def parse_cpp(spark, sf_dir):
     c = StarCorpus(spark, sf_dir)
-    made = c.named_symbols.select(
-        F.concat(F.lit("gen/"), F.col("symbol_id").cast("string"), F.lit(".cpp")).alias("path"),
-        F.concat(F.lit('#include "'), "module_name", F.lit('.hpp"\nnamespace '), "module_name", F.lit(" {\nclass C"), F.col("symbol_id").cast("string"), F.lit(" : public Base {\npublic:\n  int run(int x) { return helper(x) + std::max(x, "), F.col("start_line").cast("string"), F.lit("); }\n};\n}\n")).alias("text"),
-    )
+    text = F.lit(_CPP)
+    for mark, value in ((r"\bM\b", "module_name"), (r"(?<=\b(Mode|pick|main|C))I\b", "symbol_id"), (r"\bL\b", "start_line")):
+        text = F.regexp_replace(text, F.lit(mark), F.col(value).cast("string"))
+    made = c.named_symbols.select(F.concat(F.lit("gen/"), F.col("symbol_id").cast("string"), F.lit(".cpp")).alias("path"), text.alias("text"))
     return parse_files(made).select("path", "ordinal", "kind", "qualified_name", "signature", "start_line", "end_line", F.array_join("includes", ",").alias("includes"), F.array_join("outgoing_calls", ",").alias("calls"), F.array_join("base_classes", ",").alias("bases"))

@@ -209,7 +209,7 @@ class Scanner:
             rest = code[inner:head_end]
             kind_at = inner + len(rest) - len(rest.lstrip())
             before = len(self.symbols)
-            self._declaration(kind_at, stop, body, close, scope, depth, begin)
+            self._declaration(kind_at, stop, body, close, scope, depth, kind_at)
             found = self.symbols[before:]
             if found:
                 self.symbols[before:] = [Symbol("template", found[0].qualified_name, signature(self.text[at:inner]), self.line(begin), found[0].end_line), *found]

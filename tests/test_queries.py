@@ -1,3 +1,7 @@
+import hashlib
+import math
+import re
+
 import pytest
 
 from corpusloom.queries import QUERIES, SQL
@@ -24,3 +28,26 @@ def test_entry(spark, sf):
 
     assert entry.entry(spark).columns == ["symbol_id", "module_name", "qualified_name", "score"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_hash_embed_search_by_hand(spark, sf):
+    """The embedder and the ranking stated plainly, one text at a time."""
+
+    def embed(text):
+        v = [0.0] * 128
+        for token in re.findall(r"[A-Za-z0-9_]+", text):
+            for weight, salt in ((1.0, ""), (0.5, "secondary:"), (0.25, "tertiary:")):
+                d = hashlib.blake2b((salt + token.lower()).encode(), digest_size=16).digest()
+                v[int.from_bytes(d[:4], "big") % 128] += weight * (1 - 2 * (d[4] & 1))
+        return v
+
+    def cosine(a, b):
+        norm = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / norm if norm else 0.0
+
+    query = embed("the and of in que de la")
+    rows = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    best = sorted(((cosine(embed(r["text"] or ""), query), r["item_id"]) for r in rows), key=lambda x: (-x[0], str(x[1])))[:20]
+    got = [(r["score"], r["symbol_id"]) for r in QUERIES["hash_embed_search"](spark, sf).collect()]
+    assert [round(s, 5) for s, _ in got] == [round(s, 5) for s, _ in best]
+    assert {i for s, i in got if s > best[-1][0] + 1e-5} == {i for s, i in best if s > best[-1][0] + 1e-5}
