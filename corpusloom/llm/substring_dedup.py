@@ -44,9 +44,9 @@ HASH_BITS = 56
 #: Windows of a run that one row holds at most: rows of a megabyte would be hard on the collector.
 CHUNK = 1 << 14
 #: Runs of one level that are compacted into one of the next.
-FANOUT = 2
+FANOUT = 3
 #: Batches in which ``SubstringDedup`` feeds a table to its index.
-BATCHES = 3
+BATCHES = 4
 #: A run's table: kind 1 are its buckets, kind 0 the answers that its batch got.
 RUN_SCHEMA = "kind int, bucket int, block_id long, n long, data binary"
 RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"

@@ -81,7 +81,7 @@ def test_index_across_sessions_equals_one_batch(spark, tmp_path, bucket_hashes):
     got = []
     for partitions, part in zip((4, 16, 3, 8), [docs[:30], docs[30:50], docs[50:80], docs[80:]], strict=True):
         spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
-        index = FingerprintIndex(spark, str(tmp_path / "index"), bucket_hashes=bucket_hashes)
+        index = FingerprintIndex(spark, str(tmp_path / "index"), fanout=2, bucket_hashes=bucket_hashes)
         got += rows(index.add(frame(spark, part)))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sorted(got, key=repr) == sorted(brute.substring_dedup(docs), key=repr)
