@@ -24,3 +24,12 @@ def resolve_names(references: DataFrame, symbols: DataFrame) -> DataFrame:
         .join(short, (F.col("target") == F.col("short")) & plain, "left")
         .select(*references.columns, F.coalesce("exact_id", "short_id").alias("resolved_id"))
     )
+
+
+def touched(references: DataFrame, names: DataFrame) -> DataFrame:
+    """Symbols with a reference that may resolve otherwise once symbols of ``names`` (qualified_name) come or go.
+
+    All candidates of a reference end in its target's short name, so only symbols of that one matter. One column of the references is read.
+    """
+    short = names.select(X.short_name(F.col("qualified_name")).alias("short")).distinct()
+    return references.where("relation <> 'include'").join(short, X.short_name(F.col("target")) == F.col("short"), "left_semi").select("symbol_id").distinct()

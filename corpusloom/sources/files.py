@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 from typing import Any
@@ -28,13 +29,36 @@ def scan_files(spark: SparkSession, root: str, extensions: Sequence[str] = SOURC
     """
     glob = "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(root)
+    kept = _source_files(files, root, extensions)
+    return kept if recursive else kept.where(~F.contains("relative_path", F.lit("/")))
+
+
+def _source_files(files: DataFrame, root: str, extensions: Sequence[str]) -> DataFrame:
     path, base = _local(F.col("path")), X.normal_path(F.lit(root.rstrip("/")).cast("string"))
     base = F.regexp_replace(base, "^file:/+", "/")
     relative = F.substring(path, F.length(base) + 2, F.lit(1 << 30))
     rows = files.select(path.alias("path"), relative.alias("relative_path"), F.decode("content", "UTF-8").alias("text"))
     folders = F.slice(F.split("relative_path", "/"), 1, F.size(F.split("relative_path", "/")) - 1)
-    kept = rows.where(~F.arrays_overlap(folders, F.array(*map(F.lit, SKIPPED_FOLDERS)))).where(X.extension(F.col("path")).isin(*extensions))
-    return kept if recursive else kept.where(~F.contains("relative_path", F.lit("/")))
+    return rows.where(~F.arrays_overlap(folders, F.array(*map(F.lit, SKIPPED_FOLDERS)))).where(X.extension(F.col("path")).isin(*extensions))
+
+
+def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Those of some paths that are there."""
+    out = []
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            out.append(p)
+    return out
+
+
+def read_files(spark: SparkSession, root: str, relative: Sequence[str], extensions: Sequence[str] = SOURCE_EXTENSIONS) -> DataFrame:
+    """As ``scan_files``, of the given files only; those that aren't there have no row. Nothing else of the tree is listed."""
+    there = existing(spark, [f"{root.rstrip('/')}/{p}" for p in relative])
+    if not there:
+        return spark.createDataFrame([], "path string, relative_path string, text string")
+    plain = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in there]  # a path is no pattern
+    return _source_files(spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(plain), root, extensions)
 
 
 def path_order(path: str = "path") -> Column:

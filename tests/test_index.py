@@ -8,7 +8,7 @@ from corpusloom.plans.evaluate import evaluate, write_report
 from corpusloom.plans.facade import Engine, ranked_names
 from corpusloom.plans.index import Indexer
 from corpusloom.sources.files import evaluation_queries
-from corpusloom.sources.store import SnapshotStore
+from corpusloom.sources.store import ConflictError, SnapshotStore
 from corpusloom.streaming.reindex import reindex_stream
 
 FILES = {
@@ -103,3 +103,85 @@ def test_transactions(spark, tmp_path):
     store.begin()
     store.publish({"modules": modules})
     assert store.commit() == 1 and store.read()["modules"].count() == 1
+
+
+def named(tables):
+    """Tables by names, as ids differ between a full index and an updated one."""
+    name = {r["symbol_id"]: (r["file_path"], r["qualified_name"], r["kind"], r["start_line"]) for r in tables["symbols"].collect()}
+    plain = {i: n[1] for i, n in name.items()}
+    module = {r["module_id"]: r["module_name"] for r in tables["modules"].collect()}
+    calls = sorted((plain[r["caller_symbol_id"]], plain[r["callee_symbol_id"]], module[r["caller_module_id"]], module[r["callee_module_id"]]) for r in tables["calls"].collect())
+    bases = sorted((plain[r["derived_symbol_id"]], plain[r["base_symbol_id"]]) for r in tables["inheritance"].collect())
+    includes = sorted((plain[r["source_symbol_id"]], r["include_path"], module.get(r["target_module_id"])) for r in tables["includes"].collect())
+    return sorted(name.values()), calls, bases, includes, sorted((r["qualified_name"], r["start_line"], r["source_text"]) for r in tables["vectors"].collect())
+
+
+# No unqualified name is left to choose among symbols of several scopes: the smallest id is chosen, and ids differ.
+CHANGES = [
+    {"a/one.cpp": "namespace a { int run() { return go(); } int fresh() { return b::run(); } }\n"},
+    {"c/late.cpp": "namespace c { int go() { return a::fresh(); } struct Root {}; }\n", "b/two.cpp": None},
+    {"b/two.cpp": "namespace b { struct Leaf : public c::Root { int run() { return stop(); } }; int stop() { return 1; } }\n", "x[1].cpp": "int odd() { return c::go(); }\n"},
+]
+
+
+def test_updates_equal_a_full_index(spark, tmp_path, monkeypatch):
+    """Files added, changed and removed; an update lists nothing of the tree, and writes parts, not tables."""
+    from corpusloom.plans import index as I
+
+    root = tmp_path / "tree"
+    files = {"a/one.cpp": "namespace a { int run() { return b::run(); } }\n", "b/two.cpp": "namespace b { int run() { return go(); } int go() { return 2; } }\n", "b/CMakeLists.txt": ""}
+    for name, text in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    indexer = Indexer(store, str(root))
+    indexer.index()
+    scan = I.scan_files
+    for k, change in enumerate(CHANGES, 1):
+        for name, text in change.items():
+            (root / name).parent.mkdir(parents=True, exist_ok=True)
+            (root / name).write_text(text) if text is not None else (root / name).unlink()
+        monkeypatch.setattr(I, "scan_files", lambda *a: pytest.fail("the tree was listed"))
+        indexer.update(spark.createDataFrame([(n,) for n in change], "path string"))
+        monkeypatch.setattr(I, "scan_files", scan)
+        full = Indexer(SnapshotStore(spark, str(tmp_path / f"full{k}")), str(root))
+        full.index()
+        assert named(store.read()) == named(full.store.read())
+        assert len(store.parts()) == k + 1
+    monkeypatch.setattr(I, "LISTED", 0)
+    assert indexer.update(spark.createDataFrame([("a/one.cpp",)], "path string")).files_indexed == 1
+    assert named(store.read()) == named(full.store.read())
+
+
+def test_parts_are_written_whole_again_in_time(spark, tmp_path, monkeypatch):
+    from corpusloom.sources import store as S
+
+    monkeypatch.setattr(S, "MAX_PARTS", 3)
+    (tmp_path / "tree").mkdir()
+    indexer = Indexer(SnapshotStore(spark, str(tmp_path / "store")), str(tmp_path / "tree"))
+    (tmp_path / "tree/f.cpp").write_text("int f() { return 0; }\n")
+    indexer.index()
+    for k in range(3):
+        (tmp_path / "tree/f.cpp").write_text(f"int f() {{ return {k}; }}\nint g{k}() {{ return f(); }}\n")
+        indexer.update(spark.createDataFrame([("f.cpp",)], "path string"))
+        assert len(indexer.store.parts()) <= 2
+    indexer.store.vacuum()
+    _, calls, _, _, texts = named(indexer.store.read())
+    assert [c[:2] for c in calls] == [("g2", "f")] and len(texts) == 2 and len(list((tmp_path / "store").glob("part-*"))) <= 3
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    one, other = (SnapshotStore(spark, str(tmp_path / "s")) for _ in range(2))
+    module = lambda i: spark.createDataFrame([(i, f"m{i}", "m")], "module_id long, module_name string, module_path string")
+    one.begin()
+    other.begin()
+    one.publish({"modules": module(1)})
+    other.publish({"modules": module(2)})
+    assert one.commit() == 1
+    with pytest.raises(ConflictError):
+        other.commit()
+    assert [r["module_id"] for r in other.read()["modules"].collect()] == [1]
+    none = spark.createDataFrame([], "symbol_id long")
+    with pytest.raises(ConflictError):
+        other.change({"modules": module(3)}, none, none, base=0)
+    assert other.change({"modules": module(3)}, none, none) == 2 and one.read()["modules"].count() == 2

@@ -49,5 +49,5 @@ def test_hash_embed_search_by_hand(spark, sf):
     rows = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
     best = sorted(((cosine(embed(r["text"] or ""), query), r["item_id"]) for r in rows), key=lambda x: (-x[0], str(x[1])))[:20]
     got = [(r["score"], r["symbol_id"]) for r in QUERIES["hash_embed_search"](spark, sf).collect()]
-    assert [round(s, 5) for s, _ in got] == [round(s, 5) for s, _ in best]
+    assert [s for s, _ in got] == pytest.approx([s for s, _ in best], abs=1e-5)
     assert {i for s, i in got if s > best[-1][0] + 1e-5} == {i for s, i in best if s > best[-1][0] + 1e-5}
