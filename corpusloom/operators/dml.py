@@ -86,18 +86,32 @@ def missing_symbols(edges: DataFrame, ends: list[str], symbols: DataFrame) -> Da
     return ids.distinct().join(symbols, "symbol_id", "left_anti")
 
 
-def call_edges(pairs: DataFrame, symbols: DataFrame, first: int) -> DataFrame:
-    """Call edges of (caller_symbol_id, callee_symbol_id, ord), with modules and ids; repeated calls stay."""
+def require_symbols(edges: DataFrame, ends: list[str], symbols: DataFrame) -> DataFrame:
+    """``edges``, if all their ends are symbols; an error that names some ids if not."""
+    unknown = [r["symbol_id"] for r in missing_symbols(edges, ends, symbols).orderBy("symbol_id").limit(5).collect()]
+    if unknown:
+        raise ValueError(f"edges to unknown symbols: {', '.join(map(str, unknown))}")
+    return edges
+
+
+def call_edges(pairs: DataFrame, symbols: DataFrame, first: int, strict: bool = False) -> DataFrame:
+    """Call edges of (caller_symbol_id, callee_symbol_id, ord), with modules and ids; repeated calls stay. ``strict``: an end that is no symbol is an error."""
+    if strict:
+        require_symbols(pairs, ["caller_symbol_id", "callee_symbol_id"], symbols)
     return assign_ids(edge_modules(pairs, "caller", "callee", symbols), "call_id", first, "ord", "caller_symbol_id", "callee_symbol_id").select("call_id", "caller_symbol_id", "callee_symbol_id", "caller_module_id", "callee_module_id")
 
 
-def inheritance_edges(pairs: DataFrame, symbols: DataFrame, first: int) -> DataFrame:
-    """Inheritance edges of (derived_symbol_id, base_symbol_id, ord), with modules and ids."""
+def inheritance_edges(pairs: DataFrame, symbols: DataFrame, first: int, strict: bool = False) -> DataFrame:
+    """Inheritance edges of (derived_symbol_id, base_symbol_id, ord), with modules and ids; ``strict`` as in ``call_edges``."""
+    if strict:
+        require_symbols(pairs, ["derived_symbol_id", "base_symbol_id"], symbols)
     return assign_ids(edge_modules(pairs, "derived", "base", symbols), "inheritance_id", first, "ord", "derived_symbol_id", "base_symbol_id").select("inheritance_id", "derived_symbol_id", "base_symbol_id", "derived_module_id", "base_module_id")
 
 
-def include_edges(rows: DataFrame, symbols: DataFrame, modules: DataFrame, first: int) -> DataFrame:
+def include_edges(rows: DataFrame, symbols: DataFrame, modules: DataFrame, first: int, strict: bool = False) -> DataFrame:
     """Include edges of (source_symbol_id, include_path, target_module, ord); the target is null where no module has that name."""
+    if strict:
+        require_symbols(rows, ["source_symbol_id"], symbols)
     named = modules.select(F.col("module_name").alias("target_module"), F.col("module_id").alias("target_module_id"))
     source = symbols.select(F.col("symbol_id").alias("source_symbol_id"), F.col("module_id").alias("source_module_id"))
     full = rows.withColumn("include_path", X.include_path(F.col("include_path"))).join(source, "source_symbol_id").join(named, "target_module", "left")

@@ -7,9 +7,15 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
+
+from corpusloom.session import prepare
+from corpusloom.sources.transport import Send, post
+
 # Names under which one backend answers.
 MODEL_ALIASES = ("fast", "balanced", "deep", "moe")
-Send = Callable[[str], tuple[int, str]]
 
 
 def request_body(messages: Sequence[dict[str, str]], model: str, stream: bool = False, **options: Any) -> str:
@@ -38,27 +44,50 @@ def stream_chunks(body: str) -> Iterator[str]:
 
 
 def complete(send: Send, body: str, retries: int = 3, first_wait: float = 0.25, longest_wait: float = 4.0, sleep: Callable[[float], None] = time.sleep) -> str:
-    """The completion that ``send`` (body to status and answer) gives; failures of transport, 429 and 5xx are tried again.
-
-    Waits double up to the longest. An answer without content is an error.
-    """
-    wait = first_wait
-    for left in range(retries, -1, -1):
-        try:
-            status, answer = send(body)
-            problem = f"status {status}"
-        except OSError as e:
-            status, answer, problem = 0, "", str(e)
-        if 200 <= status < 300:
-            text = content_of(json.loads(answer))
-            if not text:
-                raise RuntimeError("the completion has no content")
-            return text
-        if not left or (status and status != 429 and status < 500):
-            raise RuntimeError(f"completion failed: {problem}")
-        sleep(wait)
-        wait = min(2 * wait, longest_wait)
-    raise AssertionError
+    """The completion that ``send`` (body to status and answer) gives; see ``sources.transport.post``. An answer without content is an error."""
+    text = content_of(json.loads(post(send, body, "completion", retries, first_wait, longest_wait, sleep)))
+    if not text:
+        raise RuntimeError("the completion has no content")
+    return text
+
+
+class Completer:
+    """What an ``Engine`` asks for completions: messages and a model to a text. A model is one of ``aliases``, or the default."""
+
+    def __init__(self, send: Send, default: str = MODEL_ALIASES[0], aliases: Sequence[str] = MODEL_ALIASES, **options: Any) -> None:
+        if default not in aliases:
+            raise ValueError(f"unknown model {default!r}")
+        self.send, self.default, self.aliases, self.options = send, default, tuple(aliases), options
+
+    def __call__(self, messages: Sequence[dict[str, str]], model: str | None = None) -> str:
+        name = (model or "").strip() or self.default
+        if name not in self.aliases:
+            raise ValueError(f"unknown model {name!r}, there are {', '.join(self.aliases)}")
+        return complete(self.send, request_body(messages, name, **self.options))
+
+
+def with_completions(requests: DataFrame, completer: Callable[[], Completer], out: str = "completion") -> DataFrame:
+    """``requests`` (system_text, user_text, ...) with their completions, asked from the tasks; a request that fails has null and ``<out>_error``."""
+    prepare(requests.sparkSession)
+    requests = requests.drop(out, f"{out}_error")
+    at = requests.columns.index("system_text"), requests.columns.index("user_text")
+    schema = StructType([*requests.schema.fields, StructField(out, StringType()), StructField(f"{out}_error", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = completer()
+        for batch in batches:
+            texts: list[str | None] = []
+            errors: list[str | None] = []
+            for system, user in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                try:
+                    texts.append(ask([{"role": "system", "content": system or ""}, {"role": "user", "content": user or ""}]))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001  one request's failure must not stop the others
+                    texts.append(None)
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, out, f"{out}_error"])
+
+    return requests.mapInArrow(run, schema)
 
 
 def complete_stream(body: str, each: Callable[[str], bool]) -> str:

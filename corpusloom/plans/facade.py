@@ -16,8 +16,12 @@ from corpusloom.operators.prompts import PromptBuilder
 from corpusloom.plans.index import Indexer
 from corpusloom.session import durable
 from corpusloom.sources.embedding import with_embeddings
+from corpusloom.sources.files import parse_local_files
 from corpusloom.sources.git import changed_table
+from corpusloom.sources.vector_store import VectorStore
 
+#: Steps of a closure and symbols of a search that a request may ask for.
+MAX_DEPTH, SEARCH_LIMIT = 8, 100
 Complete = Callable[[list[dict[str, str]], str | None], str]
 
 
@@ -35,6 +39,17 @@ def _field(body: dict[str, Any], *names: str) -> str:
     raise RequestError(400, f"missing field: {names[0]}")
 
 
+def _number(body: dict[str, Any], name: str, default: int, least: int, most: int) -> int:
+    value = body.get(name, default)
+    try:
+        n = int(value)
+    except (TypeError, ValueError) as e:
+        raise RequestError(400, f"{name}: {value!r} is no number") from e
+    if not least <= n <= most:
+        raise RequestError(400, f"{name}: {n} is not between {least} and {most}")
+    return n
+
+
 def symbol_json(row: Row | dict[str, Any]) -> dict[str, Any]:
     r = row.asDict() if isinstance(row, Row) else dict(row)
     out = {k: r[k] for k in ("symbol_id", "file_path", "module_name", "module_path", "qualified_name", "signature", "start_line", "end_line")}
@@ -44,8 +59,9 @@ def symbol_json(row: Row | dict[str, Any]) -> dict[str, Any]:
 class Engine:
     """``handle(method, target, body)``, or the request methods by name. ``load`` makes it ready."""
 
-    def __init__(self, indexer: Indexer, complete: Complete | None = None, prompts: PromptBuilder | None = None) -> None:
-        self.indexer, self.complete, self.prompts = indexer, complete, prompts or PromptBuilder()
+    def __init__(self, indexer: Indexer, complete: Complete | None = None, prompts: PromptBuilder | None = None, vector_store: VectorStore | None = None) -> None:
+        """``vector_store``: if it is ready, its nearest symbols come first; the search by modules is used where it finds none."""
+        self.indexer, self.complete, self.prompts, self.vector_store = indexer, complete, prompts or PromptBuilder(), vector_store
         self.tables: dict[str, DataFrame] | None = None
         self.modules: DataFrame | None = None
         self.indexed_at: int | None = None
@@ -112,25 +128,42 @@ class Engine:
         query = _field(body, "query")
         vector = [float(x) for x in self.indexer.embed([query])[0]]
         modules = search.top_modules(self.modules, vector).drop("embedding").collect()
-        found = durable(search.hierarchical_search(t["vectors"], self.modules, vector))
+        limit = _number(body, "limit", search.SYMBOL_TOP_K, 1, SEARCH_LIMIT)
+        found = self._flat(vector, limit) if self.vector_store is not None else None
+        if found is None:
+            found = durable(search.hierarchical_search(t["vectors"], self.modules, vector, symbol_k=limit))
         hits = self._hits(found, search.RELATED_LIMIT, search.CONTEXT_TOKENS)
         return {"query": query, "modules": [m.asDict() for m in modules], "symbols": [symbol_json(h) | {"score": h["score"], "context": h["context"], "token_count": h["token_count"]} for h in hits]}
 
+    def _flat(self, vector: list[float], limit: int) -> DataFrame | None:
+        """What the vector store finds, with the current rows of its symbols; None if it finds none."""
+        scores = {p["symbol_id"]: score for p, score in self.vector_store.search(vector, limit)}
+        if not scores:
+            return None
+        ranked = self.indexer.spark.createDataFrame(list(scores.items()), "symbol_id long, score double")
+        found = durable(self._ready()["vectors"].join(F.broadcast(ranked), "symbol_id"))
+        return None if found.isEmpty() else found
+
     def explain(self, body: dict[str, Any], header_model: str | None = None) -> dict[str, Any]:
         t = self._ready()
         found = self._find(_field(body, "name", "symbol_name"))
         hit = t["vectors"].where(F.col("symbol_id") == found["symbol_id"]).withColumn("score", F.lit(1.0))
         hits = self._hits(hit, None, None, "-")
         module = self._module_record(found["module_name"])
-        prompt = self.prompts.build("explain", found["qualified_name"], [module | {"score": 1.0}] if module else [], hits, body.get("local_files") or [])
+        prompt = self.prompts.build("explain", found["qualified_name"], [module | {"score": 1.0}] if module else [], hits, self._local_files(body))
         model = body.get("model") or header_model
         answer = self.complete(prompt["messages"], model) if self.complete else None
         return {"symbol": symbol_json(found), "prompt": prompt, "model": model, "completion": answer}
 
+    @staticmethod
+    def _local_files(body: dict[str, Any]) -> list[dict[str, str]]:
+        given = body.get("local_files") or []
+        return parse_local_files(given if isinstance(given, str) else json.dumps(given))
+
     def deps(self, body: dict[str, Any]) -> dict[str, Any]:
         t = self._ready()
         found = self._find(_field(body, "name", "symbol_name"))
-        depth = int(body.get("depth", 2))
+        depth = _number(body, "depth", 2, 1, MAX_DEPTH)
         near = {k: [symbol_json(r) for r in f(found["symbol_id"], t["calls"], t["symbols"], t["modules"]).collect()] for k, f in (("callers", graph.callers_of), ("callees", graph.callees_from))}
         return {"symbol": symbol_json(found), **near, "modules": self._closure(found["module_name"], depth)}
 
@@ -153,7 +186,7 @@ class Engine:
             raise RequestError(404, f"unknown module {name}")
         own = graph.with_modules(t["symbols"], t["modules"]).where((F.col("module_name") == name) | (F.col("module_path") == name))
         rows = own.orderBy("symbol_id").collect()
-        return {"module": record, "symbols": [symbol_json(r) for r in rows], "dependencies": self._closure(record["module_name"], int(body.get("depth", 1)))}
+        return {"module": record, "symbols": [symbol_json(r) for r in rows], "dependencies": self._closure(record["module_name"], _number(body, "depth", 1, 1, MAX_DEPTH))}
 
     def reindex(self, body: dict[str, Any]) -> dict[str, Any]:
         spark = self.indexer.spark

@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import re
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from corpusloom.session import prepare
+from corpusloom.sources.transport import post
 
 Embed = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 DIMENSION = 128
@@ -71,3 +73,25 @@ def parse_embeddings(body: str, expected: int) -> list[list[float]]:
     if len(rows) != expected:
         raise ValueError(f"{len(rows)} vectors for {expected} texts")
     return [r["embedding"] for _, r in sorted(enumerate(rows), key=lambda x: (x[1].get("index", x[0]), x[0]))]
+
+
+class EndpointEmbed:
+    """An ``Embed`` that posts to an embeddings endpoint through ``send`` (body to status and answer).
+
+    Failures of transport, 429 and 5xx are tried again; as many vectors of one dimension must come back as texts were sent. No text makes no
+    request. ``dimension``: checked if given.
+    """
+
+    def __init__(self, send: Callable[[str], tuple[int, str]], model: str, dimension: int | None = None, retries: int = 3, first_wait: float = 0.25, longest_wait: float = 4.0, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.send, self.model, self.dimension, self.retries = send, model, dimension, retries
+        self.first_wait, self.longest_wait, self.sleep = first_wait, longest_wait, sleep
+
+    def __call__(self, texts: Sequence[str]) -> list[list[float]]:
+        if not texts:
+            return []
+        answer = post(self.send, embedding_request(texts, self.model), "embedding", self.retries, self.first_wait, self.longest_wait, self.sleep)
+        vectors = parse_embeddings(answer, len(texts))
+        wanted = self.dimension or len(vectors[0])
+        if any(len(v) != wanted for v in vectors):
+            raise ValueError(f"vectors of {sorted({len(v) for v in vectors})} dimensions where {wanted} were expected")
+        return vectors
