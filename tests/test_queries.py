@@ -51,3 +51,18 @@ def test_hash_embed_search_by_hand(spark, sf):
     got = [(r["score"], r["symbol_id"]) for r in QUERIES["hash_embed_search"](spark, sf).collect()]
     assert [s for s, _ in got] == pytest.approx([s for s, _ in best], abs=1e-5)
     assert {i for s, i in got if s > best[-1][0] + 1e-5} == {i for s, i in best if s > best[-1][0] + 1e-5}
+
+
+def test_checkpoints_need_a_shared_folder_outside_local_mode():
+    from types import SimpleNamespace as N
+
+    from corpusloom.session import checkpoint_folder
+
+    class Unset:
+        def isEmpty(self):
+            return True
+
+    jsc = N(sc=lambda: N(getCheckpointDir=Unset))
+    cluster = N(sparkContext=N(master="spark://host:7077", getConf=lambda: {}, _jsc=jsc))
+    with pytest.raises(RuntimeError, match="share"):
+        checkpoint_folder(cluster)
