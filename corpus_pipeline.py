@@ -2,7 +2,11 @@
 
 STAGES run in this order, each on what the one before kept: language identification, near duplicates, repeated
 passages, benchmark leaks, mixing. Each stage's result is written as Parquet to the shared folder and read again as
-the documents of the next, so that a lost executor costs one stage at most.
+the documents of the next, so that a lost executor costs one stage at most; what the stage before it wrote is deleted then.
+
+Defined cases: a null in any column passes every stage but the first, which drops null texts. Rows that share a doc_id, or have
+none, are documents of their own. Other columns are kept whatever their names, but for those two that the first stage adds for itself
+(``_language``, ``_language_score``) and mix_copy and mix_order, which the last replaces. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from corpusloom.llm.jaccard_join import JaccardJoin
 from corpusloom.llm.language_id import LanguageId, held_out
 from corpusloom.llm.mixing import PoissonMix
 from corpusloom.llm.suffix_dedup import SuffixDedup
-from corpusloom.session import checkpoint_folder, durable, read_table
+from corpusloom.session import checkpoint_folder, delete_folder, durable, read_table
 
 #: Each stage but the last returns the columns of the table ``documents``.
 ORACLE_SQL = None  # the stages' suffix comparisons and trained model have no SQL; tests compare with brute force
@@ -26,7 +30,8 @@ ORACLE_SQL = None  # the stages' suffix comparisons and trained model have no SQ
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; null texts and texts without a letter go."""
     model = LanguageId().fit(docs.where(~held_out() & F.col("doc_id").isNotNull()))
-    return model.annotate(docs).where(F.col("lang_pred") != "und").select(*docs.columns)
+    told = model.annotate(docs, names=("_language", "_language_score"))
+    return told.where(F.col("_language") != "und").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte passages that stand elsewhere too; n_chars follows the text."""
+    """Documents without the 400-byte passages that stand elsewhere too; n_chars follows the text. Shorter passages stay, as the operator's contract has it."""
     carry = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     kept = SuffixDedup().dedup(docs, with_text=True, carry=carry)
     return kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*docs.columns)
@@ -80,5 +85,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{folder}/{k}")
+        if k:
+            delete_folder(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
