@@ -57,20 +57,18 @@ def trim_to_token_limit(x: Column, limit: Column | int) -> Column:
     """
     limit = F.lit(limit) if isinstance(limit, int) else limit
 
-    def ended(text: Column) -> Column:
-        return F.when((text == "") | text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
-
-    def step(a: Column, s: Column) -> Column:
-        n = token_count(s)
-        return (
-            F.when(~a["open"], a)
-            .when(n == 0, F.struct(ended(a["text"]).alias("text"), a["used"].alias("used"), F.lit(True).alias("open")))
-            .when(a["used"] + n <= limit, F.struct(F.concat(ended(a["text"]), s).alias("text"), (a["used"] + n).alias("used"), F.lit(True).alias("open")))
-            .otherwise(F.struct(a["text"].alias("text"), a["used"].alias("used"), F.lit(False).alias("open")))
-        )
-
-    fold = F.aggregate(F.split(x, "\n"), F.struct(F.lit("").alias("text"), F.lit(0).alias("used"), F.lit(True).alias("open")), step)
-    cut = F.when((fold["text"] != "") & (fold["used"] < limit), F.concat(ended(fold["text"]), F.lit("[truncated]"))).otherwise(fold["text"])
+    split = F.split(x, "\n")
+    counts = F.transform(split, token_count)
+
+    def step(a: Column, n: Column) -> Column:
+        fits = a["open"] & (a["used"] + n <= limit)
+        return F.struct((a["lines"] + fits.cast("int")).alias("lines"), F.when(fits, a["used"] + n).otherwise(a["used"]).alias("used"), fits.alias("open"))
+
+    # Only numbers are folded; the text is cut once.
+    end = F.aggregate(counts, F.struct(F.lit(0).alias("lines"), F.lit(0).alias("used"), F.lit(True).alias("open")), step)
+    kept = F.array_join(F.filter(F.slice(split, F.lit(1), end["lines"]), lambda s: token_count(s) > 0), "\n")
+    blank_end = (end["lines"] > 0) & (F.try_element_at(counts, end["lines"]) == 0)
+    cut = F.when(kept == "", kept).when(end["used"] < limit, F.concat(kept, F.lit("\n[truncated]"))).when(blank_end, F.concat(kept, F.lit("\n"))).otherwise(kept)
     return F.when(token_count(x) <= limit, x).otherwise(cut)
 
 

@@ -7,6 +7,7 @@ written apart from the operator. ``round`` in either is on sums of floating-poin
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,10 +16,13 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.functions.vectors import centroids, cosine
 from corpusloom.operators import dml, evaluation, graph, profile, prompts, resolve, search
+from corpusloom.plans.index import Indexer
+from corpusloom.session import checkpoint_folder, delete_folder, durable
 from corpusloom.sources.adapters import SUPPLIERS, StarCorpus
 from corpusloom.sources.cpp import parse_files
 from corpusloom.sources.embedding import hash_vector, with_embeddings
-from corpusloom.sources.files import changed_files, module_identities
+from corpusloom.sources.files import changed_files, module_identities, write_file
+from corpusloom.sources.store import SnapshotStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -467,6 +471,52 @@ def incremental_update(spark, sf_dir):
     return dml.upsert(dml.delete_files(delta.select("file_path"), have)["symbols"], delta, "symbol_id")
 
 
+_CLEAN = "regexp_replace({}, '[^A-Za-z0-9_]', '_', 'g')"
+
+
+@query(f"""WITH n AS (SELECT n_nationkey AS k, {_CLEAN.format('n_name')} AS name, {_CLEAN.format('r_name')} AS region FROM nation JOIN region ON n_regionkey = r_regionkey),
+live AS (SELECT n.*, p.k AS pk, p.name AS prev, CASE WHEN n.k % 5 = 0 THEN n.name || '::fresh' ELSE n.name || '::own' END AS second FROM n JOIN n p ON p.k = (n.k + 24) % 25 WHERE n.k <> 7)
+SELECT *, true AS in_full FROM (SELECT 'call' AS relation, name || '::run' AS source, prev || '::run' AS target FROM live WHERE pk <> 7
+  UNION ALL SELECT 'call', name || '::run', second FROM live UNION ALL SELECT 'call', second, prev || '::own' FROM live WHERE k % 5 = 0
+  UNION ALL SELECT 'include', unnest([name, name || '::run', second]), region FROM live)""")
+def index_update(spark, sf_dir):
+    """A tree of a file for each nation is indexed; one in five changes, one goes; after the update the edges are those of a full index."""
+    c = StarCorpus(spark, sf_dir)
+    clean = lambda x: re.sub("[^A-Za-z0-9_]", "_", x)
+    nations = {r["module_id"]: (clean(r["module_name"]), clean(r["module_path"])) for r in c.modules.collect()}
+    folder = f"{checkpoint_folder(spark)}/index-update-{uuid.uuid4().hex}"
+    root = f"{folder}/tree"
+
+    def write(k: int, second: str, body: str) -> str:
+        name, region = nations[k]
+        text = f'#include "{region}.hpp"\nnamespace {name} {{\nint run(int x) {{ return {nations[(k + 24) % 25][0]}::run(x) + {second}(x); }}\nint {second}(int x) {{ return {body}; }}\n}}\n'
+        write_file(spark, f"{root}/{region}/{name}.cpp", text)
+        return f"{region}/{name}.cpp"
+
+    for k in nations:
+        write(k, "own", "x")
+    indexer = Indexer(SnapshotStore(spark, f"{folder}/store"), root)
+    indexer.index()
+    changed = [write(k, "fresh", f"{nations[(k + 24) % 25][0]}::own(x)") for k in nations if k % 5 == 0]
+    delete_folder(spark, f"{root}/{nations[7][1]}/{nations[7][0]}.cpp")
+    indexer.update(spark.createDataFrame([(p,) for p in [*changed, f"{nations[7][1]}/{nations[7][0]}.cpp"]], "path string"))
+    full = Indexer(SnapshotStore(spark, f"{folder}/full"), root)
+    full.index()
+    edges = [durable(_edges_by_name(i.store.read())) for i in (indexer, full)]
+    delete_folder(spark, folder)
+    same = edges[1].withColumn("in_full", F.lit(True))
+    return edges[0].join(same, ["relation", "source", "target"], "full").select("relation", "source", "target", F.coalesce("in_full", F.lit(False)).alias("in_full"))
+
+
+def _edges_by_name(t: dict[str, DataFrame]) -> DataFrame:
+    name = t["symbols"].select("symbol_id", "qualified_name")
+    source, target = name.select(F.col("symbol_id").alias("s"), F.col("qualified_name").alias("source")), name.select(F.col("symbol_id").alias("t"), F.col("qualified_name").alias("target"))
+    calls = t["calls"].select(F.lit("call").alias("relation"), F.col("caller_symbol_id").alias("s"), F.col("callee_symbol_id").alias("t")).join(source, "s").join(target, "t")
+    modules = t["modules"].select(F.col("module_id").alias("t"), F.col("module_name").alias("target"))
+    includes = t["includes"].select(F.lit("include").alias("relation"), F.col("source_symbol_id").alias("s"), F.col("target_module_id").alias("t")).join(source, "s").join(modules, "t")
+    return calls.unionByName(includes).select("relation", "source", "target")
+
+
 @query("SELECT event_id, event_type || ' ' || (props->>'k') AS content FROM events")
 def sse_delta_extract(spark, sf_dir):
     e = StarCorpus(spark, sf_dir).table("events")

@@ -52,6 +52,14 @@ def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return out
 
 
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in any store; one of that name is replaced."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def read_files(spark: SparkSession, root: str, relative: Sequence[str], extensions: Sequence[str] = SOURCE_EXTENSIONS) -> DataFrame:
     """As ``scan_files``, of the given files only; those that aren't there have no row. Nothing else of the tree is listed."""
     there = existing(spark, [f"{root.rstrip('/')}/{p}" for p in relative])
