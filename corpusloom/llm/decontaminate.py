@@ -7,8 +7,8 @@ fingerprint at equal distance. Fingerprints are joined, each hit is extended to
 a window counts if two hashes at random bases agree, and then its words. Windows of shorter items are fingerprints whole.
 
 A benchmark of at most ``broadcast_bytes`` of text goes to every task. A larger one is joined by
-fingerprint: blocks and items send runs of fingerprints, and each block gets back the items that it may
-hold. Both ways end in the same check.
+fingerprint: blocks and items send runs of fingerprints, each block gets back the numbers of the items that it may
+hold, and then their texts. Both ways end in the same check.
 
 Defined cases: null or wordless texts have no words, no hits and the hash of the empty string as
 ``items_sha256``. An item with a null item_id counts and is listed as the empty string; rows that share an
@@ -18,12 +18,10 @@ item_id are one item. An empty benchmark hits nothing. Other columns are ignored
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +32,8 @@ from corpusloom.session import durable, prepare, shuffle_partitions
 U = np.uint64
 WINDOW, GRAM = 10, 5
 BROADCAST_BYTES = 8 << 20
+#: Tasks that the blocks of one item are dealt over.
+SALTS = 16
 RESULT_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 Item = tuple[str, bytes | None]
@@ -178,32 +178,31 @@ class Decontaminate:
         stored = blocks.select(F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()[0]
         bits = R.bucket_bits(stored / 6, shuffle_partitions(spark))
 
+        # An item goes by its number until it is known which blocks it may stand in.
+        items = durable(items.select(F.monotonically_increasing_id().alias("number"), "item", "text"))
+
         def send_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def run(part: list[Item]) -> Iterator[pa.RecordBatch]:
+            def run(numbers: list[int], part: list[Item]) -> Iterator[pa.RecordBatch]:
                 words = _item_words(part, bases)
                 left, lengths = words.left(), np.minimum(words.count, window)
-                buckets: dict[int, list[tuple[int, int, int]]] = {}
                 for length in sorted({int(x) for x in lengths if x > 0}):
                     prints = _fingerprints(words, length, gram, (lengths[words.doc] == length) & (left >= length))
-                    for h, item in set(zip(prints.hash.tolist(), words.doc[prints.first].tolist(), strict=True)):
-                        buckets.setdefault(h >> (64 - bits), []).append((length, h, item))
-                blobs = []
-                for b, found in buckets.items():
-                    own = sorted({i for _, _, i in found})
-                    blobs.append((b, len(found), pickle.dumps((found, {i: part[i] for i in own}))))
-                if blobs:
-                    yield pa.record_batch([pa.array([b for b, _, _ in blobs], pa.int32()), pa.array([-1] * len(blobs), pa.int64()), pa.array([n for _, n, _ in blobs], pa.int32()), pa.array([x for _, _, x in blobs], pa.binary())], ["bucket", "block_id", "n", "run"])
-
-            part, size = [], 0
+                    pairs = np.unique(np.stack([prints.hash, np.array(numbers, np.int64)[words.doc[prints.first]].view(U)]), axis=1)
+                    rows = [(b, j - i, bytes([length]) + pairs[:, i:j].tobytes()) for b, i, j in R.cuts(pairs[0], bits)]
+                    if rows:
+                        yield pa.record_batch([pa.array([b for b, _, _ in rows], pa.int32()), pa.array([-1] * len(rows), pa.int64()), pa.array([n for _, n, _ in rows], pa.int32()), pa.array([x for _, _, x in rows], pa.binary())], ["bucket", "block_id", "n", "run"])
+
+            numbers, part, size = [], [], 0
             for batch in batches:
-                for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for number, item, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    numbers.append(number)
                     part.append((item, text))
                     size += len(text)
                     if size >= BLOCK_BYTES:
-                        yield from run(part)
-                        part, size = [], 0
+                        yield from run(numbers, part)
+                        numbers, part, size = [], [], 0
             if part:
-                yield from run(part)
+                yield from run(numbers, part)
 
         lengths = sorted(r[0] for r in items.select(F.least(F.lit(window), F.size(F.regexp_extract_all(F.regexp_replace(F.col("text").cast("string"), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+", " "), F.lit("[^ ]+"), F.lit(0)))).alias("n")).distinct().collect() if r[0] > 0)
 
@@ -216,24 +215,39 @@ class Decontaminate:
                     yield bucket, b - a, bytes([length]) + R.pack_sorted(h[a:b])
 
         def merge(parts: list[tuple[int, int, bytes]]) -> list[bytes]:
-            known: dict[int, dict[int, list[Item]]] = {}
-            for block, _, run in parts:
+            """For each run of a block the numbers of the items that share a fingerprint with it."""
+            known: dict[int, list[np.ndarray]] = {}
+            for block, n, run in parts:
                 if block < 0:
-                    found, texts = pickle.loads(run)
-                    for length, h, i in found:
-                        known.setdefault(length, {}).setdefault(h, []).append(texts[i])
-            tables = {length: np.sort(np.fromiter(m, U, len(m))) for length, m in known.items()}
+                    known.setdefault(run[0], []).append(np.frombuffer(run, U, 2 * n, 1).reshape(2, n))
+            tables = {}
+            for length, found in known.items():
+                h, number = np.concatenate(found, axis=1)
+                order = np.argsort(h, kind="stable")
+                tables[length] = h[order], number[order]
             out = []
             for block, n, run in parts:
-                hits: dict[Item, None] = {}
+                numbers = np.zeros(0, U)
                 if block >= 0 and run[0] in tables:
-                    h = R.unpack_sorted(run[1:], n)
-                    for x in h[_member(h, tables[run[0]])].tolist():
-                        hits.update(dict.fromkeys(known[run[0]][x]))
-                out.append(zstandard.ZstdCompressor(level=1).compress(pickle.dumps(list(hits))) if hits else b"")
+                    h, number = tables[run[0]]
+                    mine = R.unpack_sorted(run[1:], n)
+                    lo, hi = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")
+                    numbers = np.unique(number[spread(lo[hi > lo], (hi - lo)[hi > lo])])
+                out.append(numbers.tobytes())
             return out
 
-        return R.with_replies(blocks, R.exchange(blocks, send, merge, items.mapInArrow(send_items, R.RUN_SCHEMA)), "items")
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, replies in zip(batch.column("block_id").to_pylist(), batch.column("replies").to_pylist(), strict=True):
+                    numbers = np.unique(np.concatenate([np.frombuffer(r["reply"], np.int64) for r in replies]))
+                    yield pa.record_batch([pa.array([block] * len(numbers), pa.int64()), pa.array(numbers, pa.int64())], ["block_id", "number"])
+
+        replies = R.exchange(blocks, send, merge, items.mapInArrow(send_items, R.RUN_SCHEMA))
+        wanted = replies.mapInArrow(pairs, "block_id long, number long").withColumn("salt", F.pmod("block_id", F.lit(SALTS)).cast("int"))
+        # An item that stands in many blocks meets them in several tasks.
+        salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        held = wanted.join(salted, ["number", "salt"]).groupBy("block_id").agg(F.collect_list(F.struct("item", "text")).alias("items"))
+        return blocks.join(held, "block_id", "left")
 
 
 def _shared_index(shared, bases: Bases, window: int, gram: int):
@@ -249,10 +263,6 @@ def _shared_index(shared, bases: Bases, window: int, gram: int):
 
 def _own_index(bases: Bases, window: int, gram: int):
     def index_of(row: dict) -> ItemIndex:
-        items: dict[Item, None] = {}
-        for r in row["items"] or []:
-            if r["reply"]:
-                items.update(dict.fromkeys(pickle.loads(zstandard.ZstdDecompressor().decompress(r["reply"]))))
-        return ItemIndex(list(items), bases, window, gram)
+        return ItemIndex([(r["item"], bytes(r["text"])) for r in row["items"] or []], bases, window, gram)
 
     return index_of
