@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from corpusloom.functions import text as X
 from corpusloom.model import KINDS, SOURCE_EXTENSIONS
 from corpusloom.operators import dml
 from corpusloom.operators.resolve import resolve_names, touched
-from corpusloom.session import durable
+from corpusloom.session import at_once, durable
 from corpusloom.sources.cpp import parse_files
 from corpusloom.sources.embedding import Embed, hash_embed, with_embeddings
 from corpusloom.sources.files import existing, module_identities, path_order, read_files, scan_files
@@ -87,7 +88,8 @@ class Indexer:
         old = have["references"].join(gone, "symbol_id", "left_anti")
         resolved = durable(touched(old, names))
         again = durable(old.where("relation <> 'include'").join(resolved, "symbol_id", "left_semi").unionByName(new["references"]))
-        starts = {t: dml.next_id(have[t], c) for t, c in (("calls", "call_id"), ("inheritance", "inheritance_id"), ("includes", "include_id"))}
+        ids = {"calls": "call_id", "inheritance": "inheritance_id", "includes": "include_id"}
+        starts = dict(zip(ids, at_once(*(partial(dml.next_id, have[t], c) for t, c in ids.items())), strict=True))
         modules = have["modules"].unionByName(new["modules"])
         self.store.change(new | edges_of(again, symbols, symbols, modules, starts), gone.select("symbol_id"), resolved, base)
         return stats
@@ -151,4 +153,9 @@ def edges_of(references: DataFrame, known: DataFrame, symbols: DataFrame, module
     bases = found.where("relation = 'base'").select(F.col("symbol_id").alias("derived_symbol_id"), F.col("resolved_id").alias("base_symbol_id"), order)
     included = references.where("relation = 'include'").select(F.col("symbol_id").alias("source_symbol_id"), F.col("target").alias("include_path"), X.include_target(X.include_path(F.col("target"))).alias("target_module"), order)
     first = first or {}
-    return {"calls": dml.call_edges(calls, symbols, first.get("calls", 1)), "inheritance": dml.inheritance_edges(bases, symbols, first.get("inheritance", 1)), "includes": dml.include_edges(included, symbols, modules, first.get("includes", 1))}
+    edges = at_once(
+        lambda: dml.call_edges(calls, symbols, first.get("calls", 1)),
+        lambda: dml.inheritance_edges(bases, symbols, first.get("inheritance", 1)),
+        lambda: dml.include_edges(included, symbols, modules, first.get("includes", 1)),
+    )
+    return dict(zip(("calls", "inheritance", "includes"), edges, strict=True))

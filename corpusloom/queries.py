@@ -17,7 +17,7 @@ from corpusloom.functions import text as X
 from corpusloom.functions.vectors import centroids, cosine
 from corpusloom.operators import dml, evaluation, graph, profile, prompts, resolve, search
 from corpusloom.plans.index import Indexer
-from corpusloom.session import checkpoint_folder, delete_folder, durable
+from corpusloom.session import at_once, checkpoint_folder, delete_folder, durable
 from corpusloom.sources.adapters import SUPPLIERS, StarCorpus
 from corpusloom.sources.cpp import parse_files
 from corpusloom.sources.embedding import hash_vector, with_embeddings
@@ -499,10 +499,10 @@ def index_update(spark, sf_dir):
     indexer.index()
     changed = [write(k, "fresh", f"{nations[(k + 24) % 25][0]}::own(x)") for k in nations if k % 5 == 0]
     delete_folder(spark, f"{root}/{nations[7][1]}/{nations[7][0]}.cpp")
-    indexer.update(spark.createDataFrame([(p,) for p in [*changed, f"{nations[7][1]}/{nations[7][0]}.cpp"]], "path string"))
+    paths = spark.createDataFrame([(p,) for p in [*changed, f"{nations[7][1]}/{nations[7][0]}.cpp"]], "path string")
     full = Indexer(SnapshotStore(spark, f"{folder}/full"), root)
-    full.index()
-    edges = [durable(_edges_by_name(i.store.read())) for i in (indexer, full)]
+    at_once(lambda: indexer.update(paths), full.index)
+    edges = at_once(*(lambda i=i: durable(_edges_by_name(i.store.read())) for i in (indexer, full)))
     delete_folder(spark, folder)
     same = edges[1].withColumn("in_full", F.lit(True))
     return edges[0].join(same, ["relation", "source", "target"], "full").select("relation", "source", "target", F.coalesce("in_full", F.lit(False)).alias("in_full"))

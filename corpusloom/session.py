@@ -9,10 +9,15 @@ import re
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 _SHIPPED: set[str] = set()
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 ARROW_BYTES = 8 << 20
@@ -92,6 +97,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def at_once(*steps: Callable[[], T]) -> list[T]:
+    """What some steps give, run from threads of their own: small jobs of a change needn't wait for one another."""
+    with ThreadPoolExecutor(max(1, len(steps))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(step)) for step in steps]]
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files that no DataFrame refers to any more.
 

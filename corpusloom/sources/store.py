@@ -10,11 +10,13 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.model import TABLES
+from corpusloom.session import at_once
 
 MAX_PARTS = 16
 #: The columns that name a table's symbols: a row goes with any of them, and with the first one's edges.
@@ -124,9 +126,12 @@ class SnapshotStore:
 
     def _write(self, tables: Mapping[str, DataFrame]) -> dict:
         folder = f"part-{uuid.uuid4().hex}"
-        for name, rows in tables.items():
+
+        def write(name: str, rows: DataFrame) -> None:
             columns = TABLES[name].names if name in TABLES else ["symbol_id"]
             rows.select(*columns).write.parquet(f"{self.root}/{folder}/{name}")
+
+        at_once(*(partial(write, name, rows) for name, rows in tables.items()))
         return {"folder": folder, "tables": sorted(tables)}
 
     def publish(self, tables: Mapping[str, DataFrame]) -> int:
