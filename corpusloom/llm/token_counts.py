@@ -9,7 +9,7 @@ with another character, a control character, or a string of an added token is co
 whole, so that all counts are the library's.
 
 Defined cases: null text counts as empty: 0 bytes, 0 tokens. Rows that share an id are texts of their own.
-Other columns are ignored.
+Texts are counted whole, whatever their length. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

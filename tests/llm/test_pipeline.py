@@ -51,3 +51,14 @@ def test_stages_take_odd_rows(spark, sf):
         if name == "ngram_jaccard_join":
             assert sorted((r["text"] or "") for r in kept.collect()) == ["", "", "another text about the and of", "the cat sat on the mat today"]
         kept.collect()
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    names = ["lang_pred", "score", "label", "node", "group", "block_id", "rest", "items", "gone", "copies", "key", "rate", "a", "x"]
+    rows = [(i, f"the cat sat on the mat and the dog {i} ran to the house of {'x' * i}", "en", "s", 1, *([None] * 7), *range(7)) for i in range(1, 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` {'string' if k < 7 else 'int'}" for k, n in enumerate(names))
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in P.STAGES:
+        kept = stage(spark, docs, sf)
+        assert kept.columns[: len(docs.columns)] == docs.columns, name
+        assert {tuple(r)[4:][-14 + (0 if name != "mix_sources" else -2) :][7:14] for r in kept.collect()} <= {tuple(range(7))}, name
