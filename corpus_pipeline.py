@@ -36,16 +36,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of the smallest doc_id."""
-    names = docs.columns
     unclear = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    key = "doc_id"
+    held = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("key"))
     if not unclear.isEmpty():
         # doc_id doesn't tell rows apart: number them, and keep the numbers.
-        key = "row_key"
-        docs = durable(docs.select(F.monotonically_increasing_id().alias(key), *names))
-    groups = JaccardJoin().components(docs, id_col=key)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs[key] == F.col("gone"), "left_anti").select(*names)
+        held = durable(held.withColumn("key", F.monotonically_increasing_id()))
+    groups = JaccardJoin().components(held.select("key", F.col("doc")["text"].alias("text")), id_col="key")
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("key"))
+    return held.join(gone, "key", "left_anti").select("doc.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
