@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.llm import blocks as B
-from corpusloom.llm import jaccard_join
+from corpusloom.llm import jaccard_join, suffix_dedup
 from corpusloom.llm.blocks import pack
 from corpusloom.llm.decontaminate import Decontaminate
 from corpusloom.llm.jaccard_join import JaccardJoin
@@ -258,3 +258,15 @@ def test_winnowing_picks_the_leftmost_smallest():
     w = 3
     assert B.sliding_owner(values, w).tolist() == [min(range(i, i + w), key=lambda j: (values[j], j)) for i in range(len(values) - w + 1)]
     assert len(B.sliding_owner(values[:2], 3)) == 0
+
+
+def test_suffix_dedup_of_a_passage_in_many_blocks(spark):
+    """The default bound for hot anchors: a passage in 100 documents, each a block of its own, and two of its parts."""
+    rng = random.Random(9)
+    passage = prose(rng, 130, 10**6)
+    docs = [(i, f"{prose(rng, 20, 10**6)}\n{passage}\n{prose(rng, 20, 10**6)}") for i in range(100)]
+    docs += [(200, passage[:450]), (201, "x" + passage[30:500]), (202, passage[:399]), (203, prose(rng, 150, 10**6))]
+    df = spark.createDataFrame([(i, t, None, "s", 0) for i, t in docs], SCHEMA).repartitionByRange(104, "doc_id")
+    assert pack(df).count() > 2 * suffix_dedup.HOT_RUNS - 30
+    got = rows(SuffixDedup().dedup(df))
+    assert got == sorted(brute.suffix_dedup(docs), key=repr) and sum(r[2] > 0 for r in got) == 102
