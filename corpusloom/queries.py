@@ -419,14 +419,19 @@ _RANKED = f"""ranked AS (SELECT query_id, name, rank FROM (SELECT query_id, vec_
 ranks AS (SELECT query_id, tool_group, min(rank) FILTER (WHERE e.label = p.label) AS first_rank FROM probes p LEFT JOIN ranked USING (query_id) LEFT JOIN embeddings e ON e.vec_id = name GROUP BY ALL)"""
 
 
-def _first_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = StarCorpus(spark, sf_dir).table("embeddings")
+def _ranked(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ten nearest vectors of each probe, and the probes."""
     group = F.when(F.col("vec_id") % 3 == 0, "semantic").when(F.col("vec_id") % 3 == 1, "structural").otherwise("auxiliary")
     probes = e.where("vec_id < 500 AND vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"), group.alias("tool_group"))
     scores = e.join(F.broadcast(probes.select("query_id", "q")), F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("name"), F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "name")
     # Each task keeps its ten best of a probe before anything is shuffled.
-    ranked = scores.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    return scores.withColumn("rank", F.row_number().over(order)).where("rank <= 10"), probes
+
+
+def _first_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = StarCorpus(spark, sf_dir).table("embeddings")
+    ranked, probes = _ranked(e)
     # What is expected of a probe is all of its label; only what was ranked needs to be looked up.
     labels = e.join(F.broadcast(ranked.select(F.col("name").alias("vec_id")).distinct()), "vec_id", "left_semi").select(F.col("vec_id").alias("name"), "label")
     expected = labels.join(probes.select("query_id", "label"), "label").select("query_id", "name")
@@ -576,6 +581,64 @@ def prompt_sections(spark, sf_dir):
     return prompts.prompts(rows.select(F.col("conv_id").alias("request_id"), F.lit("search").alias("request_type"), first["text"].alias("query"), modules.alias("modules"), symbols.alias("symbols")))
 
 
+@query("SELECT c_custkey, c_name AS field FROM customer")
+def field_trim(spark, sf_dir):
+    c = StarCorpus(spark, sf_dir).table("customer")
+    return c.select("c_custkey", X.trim_api(F.concat(F.lit(" \t"), "c_name", F.lit("\r\n "))).alias("field"))
+
+
+@query("SELECT page_id, split_part(url, '?', 1) AS path FROM pages")
+def request_path(spark, sf_dir):
+    return StarCorpus(spark, sf_dir).table("pages").select("page_id", X.request_path(F.col("url")).alias("path"))
+
+
+@query(f"WITH {_GRAPH} SELECT symbol_id, qualified_name AS name FROM named")
+def query_prefix_strip(spark, sf_dir):
+    s = StarCorpus(spark, sf_dir).named_symbols
+    prefix = F.element_at(F.array(*map(F.lit, ("Explain ", "Dependencies of ", "Who calls ", "Overview of the "))), (F.col("symbol_id") % 4 + 1).cast("int"))
+    return s.select("symbol_id", X.strip_question(F.concat(prefix, "qualified_name", F.lit("?"))).alias("name"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 7 > 0 THEN floor(o_orderkey::DOUBLE / (o_custkey % 7) * (o_custkey % 11))::BIGINT END AS eta FROM orders")
+def eta_ms(spark, sf_dir):
+    o = StarCorpus(spark, sf_dir).table("orders")
+    return o.select("o_orderkey", X.eta_ms(F.col("o_orderkey").cast("double"), F.col("o_custkey") % 7, F.col("o_custkey") % 11).alias("eta"))
+
+
+@query(f"WITH {_PROBES}, {_RANKED} SELECT query_id, count(*) FILTER (WHERE rank <= 5 AND e.label = p.label) / 5.0::DOUBLE AS precision FROM probes p JOIN ranked USING (query_id) JOIN embeddings e ON e.vec_id = name GROUP BY query_id")
+def eval_precision_at_5(spark, sf_dir):
+    e = StarCorpus(spark, sf_dir).table("embeddings")
+    ranked, probes = _ranked(e)
+    labels = e.join(F.broadcast(ranked.select(F.col("name").alias("vec_id")).distinct()), "vec_id", "left_semi").select(F.col("vec_id").alias("name"), F.col("label").alias("found"))
+    judged = ranked.join(labels, "name").join(F.broadcast(probes.select("query_id", "label")), "query_id").withColumn("relevant", F.col("found") == F.col("label"))
+    return evaluation.precision_at(judged)
+
+
+@query("SELECT vec_id AS symbol_id, 'f' || vec_id % 7 || '.cpp' AS file_path FROM embeddings WHERE vec_id % 7 NOT IN (2, 5)")
+def vector_delete_by_file(spark, sf_dir):
+    c = StarCorpus(spark, sf_dir)
+    paths = spark.createDataFrame([("f2.cpp",), ("x/../f5.cpp",), ("f9.cpp",)], "file_path string")
+    edges = {k: getattr(c, k).limit(0) for k in ("calls", "includes", "inheritance")}
+    return dml.delete_files(paths, {"symbols": c.vectors.select("symbol_id", "file_path"), "vectors": c.vectors, **edges})["vectors"].select("symbol_id", "file_path")
+
+
+@query(f"WITH {_GRAPH} SELECT DISTINCT c_custkey + 1 AS symbol_id FROM customer WHERE c_custkey + 1 NOT IN (SELECT symbol_id FROM symbols) UNION SELECT DISTINCT ps.l_partkey FROM lineitem ps WHERE ps.l_partkey NOT IN (SELECT symbol_id FROM symbols)")
+def edges_to_unknown(spark, sf_dir):
+    c = StarCorpus(spark, sf_dir)
+    ends = c.table("customer").select((F.col("c_custkey") + 1).alias("a"), (F.col("c_custkey") + 1).alias("b")).unionByName(c.table("lineitem").select(F.col("l_partkey").alias("a"), F.col("l_partkey").alias("b")))
+    return dml.missing_symbols(ends, ["a", "b"], c.symbols.select("symbol_id"))
+
+
+@query(f"""WITH {_GRAPH}, hits AS (SELECT * FROM named WHERE symbol_id >= {SUPPLIERS}), related AS (SELECT h.symbol_id AS hit_id, row_number() OVER (PARTITION BY h.symbol_id ORDER BY n.qualified_name, n.file_path, n.symbol_id) AS rank, n.*
+  FROM hits h JOIN calls ON callee = h.symbol_id JOIN named n ON n.symbol_id = caller)
+SELECT h.symbol_id, 'Symbol: ' || h.qualified_name || chr(10) || 'Module: ' || h.module_name || chr(10) || 'Source: ' || h.file_path || ' ' || h.start_line || coalesce(chr(10) || 'Callers:' || chr(10) || listed, '') AS context
+FROM hits h LEFT JOIN (SELECT hit_id, string_agg('- ' || qualified_name || CASE WHEN signature <> '' THEN ' :: ' || signature ELSE '' END || ' [' || module_name || ']', chr(10) ORDER BY rank) AS listed FROM related GROUP BY hit_id) ON hit_id = h.symbol_id""")
+def unbudgeted_context(spark, sf_dir):
+    c = StarCorpus(spark, sf_dir)
+    hits = c.named_symbols.where(F.col("symbol_id") >= SUPPLIERS).withColumn("source_text", F.concat_ws(" ", "file_path", F.col("start_line").cast("string")))
+    return search.retrieve(hits, c.calls, c.named_symbols, None, None, "-").select("symbol_id", "context")
+
+
 @query()
 def hash_embed_search(spark, sf_dir):
     c = StarCorpus(spark, sf_dir)
