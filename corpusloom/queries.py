@@ -17,6 +17,7 @@ from corpusloom.functions import text as X
 from corpusloom.functions.vectors import centroids, cosine
 from corpusloom.operators import dml, evaluation, graph, profile, prompts, resolve, search
 from corpusloom.plans.index import Indexer
+from corpusloom.plans.requests import parsed_requests
 from corpusloom.session import at_once, checkpoint_folder, delete_folder, durable
 from corpusloom.sources.adapters import SUPPLIERS, StarCorpus
 from corpusloom.sources.cpp import parse_files
@@ -599,6 +600,23 @@ def query_prefix_strip(spark, sf_dir):
     return s.select("symbol_id", X.strip_question(F.concat(prefix, "qualified_name", F.lit("?"))).alias("name"))
 
 
+@query("""WITH r AS (SELECT event_id, (['/search', '/explain', '/deps', '/callers', '/module', '/else'])[event_id % 6 + 1] AS path, event_type AS subject, event_id % 11 AS n, event_id % 7 AS form FROM events),
+s AS (SELECT *, CASE WHEN form IN (2, 3) OR path = '/else' THEN NULL ELSE subject END AS kept FROM r)
+SELECT event_id, path, kept AS subject, CASE WHEN path NOT IN ('/deps', '/module') THEN NULL WHEN form IN (1, 3) THEN CASE WHEN path = '/deps' THEN 2 ELSE 1 END ELSE n END::BIGINT AS depth,
+  CASE WHEN path <> '/search' THEN NULL WHEN form IN (1, 3) THEN 5 ELSE n END::BIGINT AS "limit",
+  CASE WHEN path = '/else' THEN 404 WHEN form IN (2, 3) THEN 400 WHEN form <> 1 AND path IN ('/deps', '/module') AND NOT n BETWEEN 1 AND 8 THEN 400 WHEN form <> 1 AND path = '/search' AND n = 0 THEN 400 ELSE 200 END AS status FROM s""")
+def parse_requests(spark, sf_dir):
+    """Bodies of seven forms: one without numbers, one with a blank subject, one that is no JSON."""
+    e = StarCorpus(spark, sf_dir).table("events")
+    path = F.element_at(F.array(*map(F.lit, ("/search", "/explain", "/deps", "/callers", "/module", "/else"))), (F.col("event_id") % 6 + 1).cast("int"))
+    field = F.when(path == "/search", "query").when(path == "/module", "module_name").when(path == "/deps", "symbol_name").otherwise("name")
+    form, n = F.col("event_id") % 7, (F.col("event_id") % 11).cast("string")
+    named = F.concat(F.lit('{"'), field, F.lit('": " '), F.when(form == 2, "").otherwise(F.col("event_type")), F.lit('\\t"'))
+    body = F.when(form == 3, F.lit('{"query": ')).when(form == 1, F.concat(named, F.lit("}"))).otherwise(F.concat(named, F.lit(', "depth": '), n, F.lit(', "limit": '), n, F.lit("}")))
+    rows = e.select("event_id", F.concat(path, F.when(form == 4, "?x=1").otherwise("")).alias("target"), body.alias("body"))
+    return parsed_requests(rows).select("event_id", "path", "subject", "depth", "limit", "status")
+
+
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 7 > 0 THEN floor(o_orderkey::DOUBLE / (o_custkey % 7) * (o_custkey % 11))::BIGINT END AS eta FROM orders")
 def eta_ms(spark, sf_dir):
     o = StarCorpus(spark, sf_dir).table("orders")
