@@ -89,7 +89,7 @@ class Indexer:
         resolved = durable(touched(old, names))
         again = durable(old.where("relation <> 'include'").join(resolved, "symbol_id", "left_semi").unionByName(new["references"]))
         ids = {"calls": "call_id", "inheritance": "inheritance_id", "includes": "include_id"}
-        starts = dict(zip(ids, at_once(*(partial(dml.next_id, have[t], c) for t, c in ids.items())), strict=True))
+        starts = dict(zip(ids, at_once(self.spark, *(partial(dml.next_id, have[t], c) for t, c in ids.items())), strict=True))
         modules = have["modules"].unionByName(new["modules"])
         self.store.change(new | edges_of(again, symbols, symbols, modules, starts), gone.select("symbol_id"), resolved, base)
         return stats
@@ -154,6 +154,7 @@ def edges_of(references: DataFrame, known: DataFrame, symbols: DataFrame, module
     included = references.where("relation = 'include'").select(F.col("symbol_id").alias("source_symbol_id"), F.col("target").alias("include_path"), X.include_target(X.include_path(F.col("target"))).alias("target_module"), order)
     first = first or {}
     edges = at_once(
+        references.sparkSession,
         lambda: dml.call_edges(calls, symbols, first.get("calls", 1)),
         lambda: dml.inheritance_edges(bases, symbols, first.get("inheritance", 1)),
         lambda: dml.include_edges(included, symbols, modules, first.get("includes", 1)),

@@ -507,8 +507,8 @@ def index_update(spark, sf_dir):
     delete_folder(spark, f"{root}/{nations[7][1]}/{nations[7][0]}.cpp")
     paths = spark.createDataFrame([(p,) for p in [*changed, f"{nations[7][1]}/{nations[7][0]}.cpp"]], "path string")
     full = Indexer(SnapshotStore(spark, f"{folder}/full"), root)
-    at_once(lambda: indexer.update(paths), full.index)
-    edges = at_once(*(lambda i=i: durable(_edges_by_name(i.store.read())) for i in (indexer, full)))
+    at_once(spark, lambda: indexer.update(paths), full.index)
+    edges = at_once(spark, *(lambda i=i: durable(_edges_by_name(i.store.read())) for i in (indexer, full)))
     delete_folder(spark, folder)
     same = edges[1].withColumn("in_full", F.lit(True))
     return edges[0].join(same, ["relation", "source", "target"], "full").select("relation", "source", "target", F.coalesce("in_full", F.lit(False)).alias("in_full"))

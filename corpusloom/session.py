@@ -97,10 +97,10 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def at_once(*steps: Callable[[], T]) -> list[T]:
+def at_once(spark: SparkSession, *steps: Callable[[], T]) -> list[T]:
     """What some steps give, run from threads of their own: small jobs of a change needn't wait for one another."""
     with ThreadPoolExecutor(max(1, len(steps))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(step)) for step in steps]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]]
 
 
 def release_shuffles(spark: SparkSession) -> None:

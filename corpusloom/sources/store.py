@@ -131,7 +131,7 @@ class SnapshotStore:
             columns = TABLES[name].names if name in TABLES else ["symbol_id"]
             rows.select(*columns).write.parquet(f"{self.root}/{folder}/{name}")
 
-        at_once(*(partial(write, name, rows) for name, rows in tables.items()))
+        at_once(self.spark, *(partial(write, name, rows) for name, rows in tables.items()))
         return {"folder": folder, "tables": sorted(tables)}
 
     def publish(self, tables: Mapping[str, DataFrame]) -> int:
