@@ -466,14 +466,15 @@ def changed_files_normalize(spark, sf_dir):
     return changed_files(c.select(path.alias("path")), "/repo")
 
 
-@query("""WITH delta AS (FROM orders WHERE o_orderkey % 100 = 1 AND o_orderpriority < '3')
-SELECT o_orderkey AS symbol_id, o_custkey AS module_id, o_orderpriority AS file_path, 'base' AS origin FROM orders WHERE o_orderkey % 100 <> 1 AND o_orderpriority NOT IN (SELECT o_orderpriority FROM delta)
-UNION ALL SELECT o_orderkey, o_custkey, o_orderpriority, 'delta' FROM delta""")
+@query(f"""WITH delta AS (SELECT o_orderkey + {SUPPLIERS} AS symbol_id, o_custkey AS module_id, o_orderpriority AS file_path FROM orders WHERE o_orderpriority < '3')
+SELECT o_orderkey AS symbol_id, o_custkey AS module_id, o_orderpriority AS file_path, 'base' AS origin FROM orders WHERE o_orderpriority NOT IN (SELECT file_path FROM delta)
+UNION ALL SELECT symbol_id, module_id, file_path, 'delta' FROM delta""")
 def incremental_update(spark, sf_dir):
+    """All orders as symbols; the files of the first two priorities are deleted with all that hangs on them, and come back with new ids."""
     c = StarCorpus(spark, sf_dir)
     rows = c.table("orders").select(F.col("o_orderkey").alias("symbol_id"), F.col("o_custkey").alias("module_id"), F.col("o_orderpriority").alias("file_path"))
-    delta = rows.where("symbol_id % 100 = 1 AND file_path < '3'").withColumn("origin", F.lit("delta"))
-    have = {"symbols": rows.where("symbol_id % 100 <> 1").withColumn("origin", F.lit("base")), "calls": c.calls, "includes": c.includes, "inheritance": c.inheritance}
+    delta = rows.where("file_path < '3'").withColumn("symbol_id", F.col("symbol_id") + SUPPLIERS).withColumn("origin", F.lit("delta"))
+    have = {"symbols": rows.withColumn("origin", F.lit("base")), "calls": c.calls, "includes": c.includes, "inheritance": c.inheritance}
     return dml.upsert(dml.delete_files(delta.select("file_path"), have)["symbols"], delta, "symbol_id")
 
 
