@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
@@ -99,3 +99,27 @@ def module_closure(name: str, max_depth: int, modules: DataFrame, edges: DataFra
         seen = seen.unionByName(frontier)
     found = seen.where("depth > 0").join(modules, F.col("id") == F.col("module_id"))
     return found.select("module_id", "module_name", "module_path", "depth").orderBy("depth", "module_id")
+
+
+def by_id_or_name(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``wanted`` (ref, symbol_id, qualified_name) with the symbol of that id, else the first by id of that name, as ``found_id``; null if there is neither."""
+    ids = symbols.select(F.col("symbol_id").alias("_id"))
+    names = symbols.groupBy("qualified_name").agg(F.min("symbol_id").alias("_by_name"))
+    joined = wanted.join(ids, F.col("symbol_id") == F.col("_id"), "left").join(names, "qualified_name", "left")
+    return joined.select(*wanted.columns, F.coalesce("_id", "_by_name").alias("found_id"))
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """``rows`` as results show them: null texts are empty."""
+    return rows.select(*(F.coalesce(F.col(f.name), F.lit("")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in rows.schema.fields))
+
+
+def symbol_json() -> Column:
+    """A row of ``SYMBOL_COLUMNS`` as a JSON object, its kind by name."""
+    plain = [c for c in SYMBOL_COLUMNS if c != "kind"]
+    return F.to_json(F.struct(*plain, X.kind_name(F.col("kind")).alias("kind")))
+
+
+def first_seen(rows: DataFrame, column: str, order: str) -> DataFrame:
+    """The distinct values of a column, those that were seen first before the others: (column, first)."""
+    return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("first")).orderBy("first", column)

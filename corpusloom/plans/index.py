@@ -25,6 +25,7 @@ from corpusloom.sources.store import SnapshotStore
 _BUILD_FILE = "CMakeLists.txt"
 #: Up to so many changed paths are looked up one by one; of more, the tree is listed.
 LISTED = 10_000
+EMBED_BATCH = 64
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,7 @@ class IndexStats:
     symbols_indexed: int
     parse_errors: int
     elapsed_ms: int
+    batches: int = 0
 
 
 def _kind_code(name: Column) -> Column:
@@ -131,8 +133,10 @@ class Indexer:
         references = durable(self._references(numbered))
         text = symbol_text(F.col("text"), F.col("start_line"), F.col("end_line"), F.col("signature"), F.col("qualified_name"))
         new_vectors = full.select("symbol_id", F.col("module").alias("module_name"), F.col("module").alias("module_path"), F.col("path").alias("file_path"), "qualified_name", "signature", text.alias("source_text"), _kind_code(F.col("kind")).alias("kind"), "start_line", "end_line")
-        vectors = with_embeddings(new_vectors, "source_text", self.embed)
-        stats = IndexStats(scanned, files.count() - errors, numbered.count(), errors, int((time.time() - began) * 1000))
+        vectors = with_embeddings(new_vectors, "source_text", self.embed, batch=EMBED_BATCH)
+        n = numbered.count()
+        # Texts go to the embedder ``EMBED_BATCH`` at a time; tasks' last batches may be smaller, so this is the least number.
+        stats = IndexStats(scanned, files.count() - errors, n, errors, int((time.time() - began) * 1000), -(-n // EMBED_BATCH))
         return {"modules": modules.join(have, "module_id", "left_anti"), "symbols": symbols, "references": references, "vectors": vectors}, stats
 
     @staticmethod

@@ -583,6 +583,32 @@ def prompt_sections(spark, sf_dir):
     return prompts.prompts(rows.select(F.col("conv_id").alias("request_id"), F.lit("search").alias("request_type"), first["text"].alias("query"), modules.alias("modules"), symbols.alias("symbols")))
 
 
+@query(f"""WITH {_GRAPH}, w AS (SELECT o_orderkey AS ref, o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 5000000000 END AS symbol_id, CASE WHEN o_orderkey % 3 = 2 THEN 'nobody' ELSE s.qualified_name END AS qualified_name FROM orders JOIN symbols s ON (o_orderkey * 7) % (SELECT count(*) FROM customer) = s.symbol_id)
+SELECT w.*, coalesce(s.symbol_id, n.id) AS found_id FROM w LEFT JOIN symbols s ON s.symbol_id = w.symbol_id LEFT JOIN (SELECT qualified_name, min(symbol_id) AS id FROM symbols GROUP BY 1) n ON n.qualified_name = w.qualified_name""")
+def symbol_by_id_or_name(spark, sf_dir):
+    c = StarCorpus(spark, sf_dir)
+    key, customers = F.col("o_orderkey"), c.table("customer").count()
+    named = c.symbols.select(F.col("symbol_id").alias("of"), F.col("qualified_name").alias("name"))
+    rows = c.table("orders").join(named, (key * 7) % customers == F.col("of"))
+    wanted = rows.select(key.alias("ref"), (F.col("o_custkey") + F.when(key % 3 == 0, 0).otherwise(F.lit(5_000_000_000))).alias("symbol_id"), F.when(key % 3 == 2, "nobody").otherwise(F.col("name")).alias("qualified_name"))
+    return graph.by_id_or_name(wanted, c.symbols)
+
+
+@query("SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, n_chars FROM documents")
+def null_texts_decoded(spark, sf_dir):
+    return graph.decoded(StarCorpus(spark, sf_dir).table("documents"))
+
+
+@query(f"WITH {_GRAPH} SELECT symbol_id, to_json({{'symbol_id': symbol_id, 'file_path': file_path, 'module_name': module_name, 'module_path': module_path, 'qualified_name': qualified_name, 'signature': signature, 'start_line': start_line, 'end_line': end_line, 'kind': {_KIND}}})::VARCHAR AS body FROM named")
+def symbols_as_json(spark, sf_dir):
+    return StarCorpus(spark, sf_dir).named_symbols.select("symbol_id", graph.symbol_json().alias("body"))
+
+
+@query(f"WITH {_GRAPH} SELECT file_path, min(symbol_id) AS first FROM symbols GROUP BY 1")
+def changed_files_first_seen(spark, sf_dir):
+    return graph.first_seen(StarCorpus(spark, sf_dir).symbols, "file_path", "symbol_id")
+
+
 @query("SELECT c_custkey, c_name AS field FROM customer")
 def field_trim(spark, sf_dir):
     c = StarCorpus(spark, sf_dir).table("customer")
