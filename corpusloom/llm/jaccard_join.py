@@ -9,8 +9,9 @@ Texts are lower-cased (A-Z); words are what white space separates; a document's
 2. Equal sets are one class. All sets are ordered globally: rare shingles first, then by hash. Two sets that link
    share a shingle of their prefixes (the first |A| - ceil(3/4 |A|) + 1). The sets that have a shingle in their prefixes
    form its list, and a list goes to the group of its smallest member: every member of a group shares a shingle with that
-   one, nothing is closed transitively, and lists of the same sets fall together. A list of more than ``HOT`` sets is
-   split by a second shingle: sets that link share two in prefixes that are longer by one.
+   one, nothing is closed transitively, and lists of the same sets fall together. Lists of more than ``HOT`` sets have groups
+   of their own: tiles (3.) connect what they hold of copies, and where components stay apart their sets are
+   grouped by a second shingle too, as sets that link share two in prefixes that are longer by one.
 3. A group is cut into tiles of about 128 classes, its smallest member in each. In a tile, sets go into a trie in the global order and each
    set traverses it, sharing the overlap counted so far between all sets of a subtree and pruning the
    subtree once the remaining lengths cannot reach 3/4. Classes that are already connected need no further
@@ -301,40 +302,64 @@ class JaccardJoin:
         grouped = rows.where("tokens is not null").select("doc_id", "n_shingles", "hi", "lo").join(members, ["hi", "lo"], "left").select("doc_id", "n_shingles", "component_id")
         return alone.unionByName(grouped)
 
-    def _groups(self, classes: DataFrame) -> DataFrame:
-        """(group, node): the classes that share a token of their prefixes (two, if one is hot) with the class ``group`` and no smaller one."""
+    def _postings(self, classes: DataFrame) -> DataFrame:
+        """(token, node, hot): the tokens of the classes' prefixes that several have; ``hot``: more than ``self.hot`` do."""
         postings = durable(classes.select("node", "tokens", "prefix").mapInArrow(_prefixes, "node long, token long"))
-        hot = postings.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > self.hot).select("token")
-        if not hot.isEmpty():
-            of = _meet(postings, hot, "token").groupBy("node").agg(F.collect_list("token").alias("hot"))
-            second = classes.select("node", "tokens", "prefix").join(of, "node").mapInArrow(_second_tokens, "node long, token long")
-            postings = durable(_meet(postings, hot, "token", "left_anti").select("node", "token").unionByName(second))
+        shared = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", (F.col("n") > self.hot).alias("hot"))
+        return durable(_meet(postings, shared, "token"))
+
+    @staticmethod
+    def _groups(postings: DataFrame) -> DataFrame:
+        """(group, node): the classes that share a token with the class ``group`` and with no smaller one."""
         least = postings.groupBy("token").agg(F.min("node").alias("group"), F.count("*").alias("n")).where("n > 1").select("token", "group")
-        found = _meet(postings, least, "token").select("group", "node").distinct()
-        return durable(found)
+        return durable(_meet(postings, least, "token").select("group", "node").distinct())
 
     def _links(self, classes: DataFrame) -> DataFrame:
         """Links (u, v) that connect every component of the classes."""
-        groups = self._groups(classes)
-        tile = self.tile
+        postings = self._postings(classes)
+        cold = self._sets(self._groups(postings.where("not hot")), classes)
+        links = self._across(*self._near(cold))
+        hot = postings.where("hot")
+        if hot.isEmpty():
+            return links
+        # Most of what a hot token gathers are copies of one another: tiles connect them.
+        _, found = self._near(self._sets(self._groups(hot), classes))
+        links = durable(links.unionByName(found))
+        labels = connected_components(links)
+        named = hot.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        apart = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("token")
+        if apart.isEmpty():
+            return links
+        # What stays apart under a hot token is looked at by a second one.
+        of = _meet(hot, apart, "token").groupBy("node").agg(F.collect_list("token").alias("hot"))
+        second = durable(classes.select("node", "tokens", "prefix").join(of, "node").mapInArrow(_second_tokens, "node long, token long"))
+        return self._across(*self._near(self._sets(self._groups(second), classes), links))
+
+    @staticmethod
+    def _sets(groups: DataFrame, classes: DataFrame) -> DataFrame:
+        """The members of groups with their sets and the size of the group."""
         size = groups.groupBy("group").agg(F.count("*").alias("members"))
-        sized = _meet(groups, size, "group")
-        sets = durable(sized.join(classes.select("node", "n_shingles", "tokens"), "node").withColumn("label", F.col("node")))
+        return durable(_meet(groups, size, "group").join(classes.select("node", "n_shingles", "tokens"), "node"))
+
+    def _near(self, sets: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The members of groups of several tiles, and links (with those given) that connect what stands in one tile."""
+        tile = self.tile
+        sets = sets.withColumn("label", F.col("node")) if links is None else self._label(sets.withColumn("label", F.col("node")), links)
         dealt = sets.where("node <> group").withColumn("tile", self._deal("members"))
         # The group's smallest member stands in every tile.
         leaders = sets.where("node = group").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / tile) - 1))).select(dealt.columns)
-        links = durable(self._within(dealt.unionByName(leaders)))
-        release_shuffles(classes.sparkSession)
+        found = self._within(dealt.unionByName(leaders))
+        links = durable(found if links is None else found.unionByName(links))
+        release_shuffles(sets.sparkSession)
         large = sets.where(F.col("members") > tile)
         if large.isEmpty():
-            return links
+            return large, links
         # One member of each component of a tile meets those of the other tiles.
         labelled = self._label(large, links)
         chosen = labelled.withColumn("tile", self._deal("members")).groupBy("group", "tile", "label").agg(F.min("node").alias("node"))
         counted = chosen.groupBy("group").agg(F.count("*").alias("members"))
         again = _meet(chosen.select("group", "node"), counted, "group").join(labelled.drop("members"), ["group", "node"]).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("members") / tile)))
-        links = durable(links.unionByName(self._within(again)))
-        return links.unionByName(self._across(self._label(large, links)))
+        return large, durable(links.unionByName(self._within(again)))
 
     def _deal(self, members: str):
         return F.pmod(F.xxhash64("node"), F.ceil(F.col(members) / self.tile))
@@ -353,9 +378,12 @@ class JaccardJoin:
 
         return sets.select("group", "tile", "node", "label", "n_shingles", "tokens").groupBy("group", "tile").applyInArrow(join, "u long, v long")
 
-    def _across(self, sets: DataFrame) -> DataFrame:
-        """Links between components of a group that has several, by pairs of tiles that hold different ones."""
+    def _across(self, sets: DataFrame, links: DataFrame) -> DataFrame:
+        """``links``, and those between components of a group that has several, by pairs of tiles that hold different ones."""
+        if sets.isEmpty():
+            return links
         percent, tile = self.percent, self.tile
+        sets = self._label(sets, links)
         several = sets.groupBy("group", "label").agg(F.count("*").alias("own"))
         open_groups = several.groupBy("group").agg(F.count("*").alias("labels")).where("labels > 1").select("group")
         sets = _meet(sets, open_groups, "group").withColumn("_key", F.struct("group", "label"))
@@ -391,4 +419,4 @@ class JaccardJoin:
                     if links:
                         yield from _links_table(links).to_batches()
 
-        return pairs.mapInArrow(join, "u long, v long")
+        return durable(pairs.mapInArrow(join, "u long, v long").unionByName(links))

@@ -185,7 +185,7 @@ def test_a_chain_of_sets_that_share_but_do_not_link_is_no_group(spark, n):
     df = frame(spark, docs)
     op = JaccardJoin(percent=40)
     sets = jaccard_join.sets_of(pack(df), B.draw_bases(), 5, 40).where("tokens is not null").withColumn("node", F.col("doc_id"))
-    sizes = [r["count"] for r in op._groups(sets).groupBy("group").count().collect()]
+    sizes = [r["count"] for r in op._groups(op._postings(sets)).groupBy("group").count().collect()]
     assert sum(k * (k - 1) // 2 for k in sizes) <= 2 * n
     assert rows(op.components(df)) == sorted(brute.jaccard_join(docs, 40), key=repr)
 
