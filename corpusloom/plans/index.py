@@ -20,6 +20,7 @@ from corpusloom.sources.cpp import parse_files
 from corpusloom.sources.embedding import Embed, hash_embed, with_embeddings
 from corpusloom.sources.files import existing, module_identities, path_order, read_files, scan_files
 from corpusloom.sources.store import SnapshotStore
+from corpusloom.sources.vector_store import checked
 
 
 _BUILD_FILE = "CMakeLists.txt"
@@ -59,8 +60,9 @@ class Indexer:
     the new rows only.
     """
 
-    def __init__(self, store: SnapshotStore, root: str, embed: Embed = hash_embed, extensions: Sequence[str] = SOURCE_EXTENSIONS) -> None:
-        self.store, self.root, self.embed, self.extensions = store, root.rstrip("/"), embed, tuple(extensions)
+    def __init__(self, store: SnapshotStore, root: str, embed: Embed = hash_embed, extensions: Sequence[str] = SOURCE_EXTENSIONS, dimension: int | None = None) -> None:
+        """``dimension``: vectors of another one fail the index, if given."""
+        self.store, self.root, self.embed, self.extensions, self.dimension = store, root.rstrip("/"), embed, tuple(extensions), dimension
         self.spark = store.spark
 
     def index(self) -> IndexStats:
@@ -134,6 +136,7 @@ class Indexer:
         text = symbol_text(F.col("text"), F.col("start_line"), F.col("end_line"), F.col("signature"), F.col("qualified_name"))
         new_vectors = full.select("symbol_id", F.col("module").alias("module_name"), F.col("module").alias("module_path"), F.col("path").alias("file_path"), "qualified_name", "signature", text.alias("source_text"), _kind_code(F.col("kind")).alias("kind"), "start_line", "end_line")
         vectors = with_embeddings(new_vectors, "source_text", self.embed, batch=EMBED_BATCH)
+        vectors = vectors if self.dimension is None else checked(vectors, self.dimension)
         n = numbered.count()
         # Texts go to the embedder ``EMBED_BATCH`` at a time; tasks' last batches may be smaller, so this is the least number.
         stats = IndexStats(scanned, files.count() - errors, n, errors, int((time.time() - began) * 1000), -(-n // EMBED_BATCH))

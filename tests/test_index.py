@@ -185,3 +185,14 @@ def test_of_two_writers_one_fails(spark, tmp_path):
     with pytest.raises(ConflictError):
         other.change({"modules": module(3)}, none, none, base=0)
     assert other.change({"modules": module(3)}, none, none) == 2 and one.read()["modules"].count() == 2
+
+
+def test_vectors_of_another_dimension_fail_the_index(spark, tmp_path):
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree/f.cpp").write_text("int f() { return 0; }\n")
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    with pytest.raises(Exception, match="expected 64 dimensions"):
+        Indexer(store, str(tmp_path / "tree"), dimension=64).index()
+    assert store.version() == 0
+    Indexer(store, str(tmp_path / "tree"), dimension=128).index()
+    assert store.version() == 1
