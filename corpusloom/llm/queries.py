@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm.chat_format import ChatFormat
 from corpusloom.llm.decontaminate import Decontaminate
 from corpusloom.llm.embedding_dedup import EmbeddingDedup
+from corpusloom.llm.fill_in_middle import FillInMiddle, restored
 from corpusloom.llm.jaccard_join import JaccardJoin
 from corpusloom.llm.language_id import LanguageId, held_out
 from corpusloom.llm.license_scan import LicenseScan
@@ -67,6 +69,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return Decontaminate().annotate_hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = FillInMiddle().transform(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -79,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
+        "op11_fill_in_middle": op11_fill_in_middle,
     }
 
 
@@ -135,6 +144,15 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+_OP11 = """WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+h AS (SELECT *, len(u)::BIGINT AS n, list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(d, k, 8))::BIGINT) AS h FROM u),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL has no suffix automata, byte-pair merges, compression or byte strings at this scale: 2, 5, 7 and 9 are tested by brute force."""
     return {
@@ -144,4 +162,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_mix_sources": _OP6,
         "op8_embedding_near_dedup": _OP8,
         "op10_benchmark_decontamination": _OP10,
+        "op11_fill_in_middle": _OP11,
     }
