@@ -19,6 +19,7 @@ from corpusloom.llm.mixing import SEED, PoissonMix
 from corpusloom.llm.substring_dedup import SubstringDedup
 from corpusloom.llm.suffix_dedup import SuffixDedup
 from corpusloom.llm.token_counts import TokenCounts
+from corpusloom.llm.url_filter import ENTRIES, MAX_TOKENS, MIN_CONFIDENCE, MIN_COUNT, MIN_SUPPORT, UrlFilter, labelled_pages
 from corpusloom.session import read_table
 
 
@@ -75,6 +76,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = UrlFilter().fit(labelled_pages(pages, read_table(spark, sf_dir, "labels")))
+    return UrlFilter().judge(pages, rules).drop("url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -88,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_url_filters": op12_url_filters,
     }
 
 
@@ -153,6 +161,36 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
   sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 
 
+_NAMED_TOKENS = "list_transform(list_filter({1}, lambda v: v <> ''), lambda v: '{0}:' || regexp_replace(v, '[0-9]+', '#', 'g'))"
+_URL_TOKENS = "list_sort(list_distinct(" + " || ".join(
+    [
+        _NAMED_TOKENS.format("s", "[" + _LOWER.format("regexp_extract(url, '(?s)^(.*?)://', 1)") + "]"),
+        "list_filter(list_transform(list_reverse(string_split(host, '.')), lambda v, i: 'h' || i || ':' || v), lambda v: NOT ends_with(v, ':'))",
+        _NAMED_TOKENS.format("p", f"string_split({_LOWER.format('path')}, '/')"),
+        _NAMED_TOKENS.format("x", f"[regexp_extract({_LOWER.format('path')}, '\\.([^./]+)$', 1)]"),
+        _NAMED_TOKENS.format("q", "list_transform(string_split(regexp_extract(url, '(?s)^[^#]*?\\?([^#]*)', 1), '&'), lambda v: split_part(v, '=', 1))"),
+        _NAMED_TOKENS.format("f", "[regexp_extract(url, '(?s)#(.*)$', 1)]"),
+    ]
+) + "))"
+_FITTING = ", ".join(f"CASE WHEN ('.' || host) LIKE '%.{e.host}' AND starts_with(path, '{e.path}') THEN {{{{n: {len(e.name)}, h: {len(e.host)}, name: '{e.name}', verdict: '{e.verdict}'}}}} END" for e in ENTRIES).replace("{{", "{").replace("}}", "}")
+#: Every subset of the chosen tokens of every labelled url is counted.
+_OP12 = f"""WITH u AS (SELECT page_id, url, coalesce({_LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT u.*, CASE WHEN url IS NULL THEN [] ELSE {_URL_TOKENS} END AS tokens, list_max(list_filter([{_FITTING}], lambda e: e IS NOT NULL)) AS entry FROM u),
+told AS (SELECT doc_id, max(toxic) > 0 AS b FROM labels WHERE toxic IS NOT NULL GROUP BY doc_id),
+l AS (SELECT row_number() OVER () AS id, tokens, b FROM r JOIN told ON page_id = doc_id),
+t AS (SELECT count(*) AS total, count(*) FILTER (WHERE b) AS total_b, greatest({MIN_COUNT}, ceil({MIN_SUPPORT}::DOUBLE * count(*))) AS least FROM l),
+stats AS (SELECT token, count(*) AS n, abs(count(*) FILTER (WHERE b) * total::HUGEINT - count(*) * total_b) AS telling FROM (SELECT unnest(tokens) AS token, b FROM l), t GROUP BY token, total, total_b, least HAVING count(*) >= least),
+ranked AS (SELECT id, b, token, row_number() OVER (PARTITION BY id ORDER BY telling DESC, token) AS k FROM (SELECT id, b, unnest(tokens) AS token FROM l) JOIN stats USING (token)),
+chosen AS (SELECT id, b, list(token ORDER BY token) AS c FROM ranked WHERE k <= {MAX_TOKENS} GROUP BY ALL),
+subsets AS (SELECT b, list_filter(c, lambda v, i: (mask >> (i - 1)) & 1 = 1) AS s FROM (SELECT b, c, unnest(range(1, 1 << len(c))) AS mask FROM chosen)),
+sets AS (SELECT s, count(*) AS n, count(*) FILTER (WHERE b) AS nb FROM subsets, t GROUP BY s, least HAVING count(*) >= least),
+sided AS (SELECT s, true AS b, nb AS freq, n, total_b AS prior FROM sets, t UNION ALL SELECT s, false, n - nb, n, total - total_b FROM sets, t),
+rules AS (SELECT s, b, freq, freq * 1000000 // n AS ppm FROM sided, t WHERE freq >= least AND freq * 100 >= n * {MIN_CONFIDENCE} AND freq::HUGEINT * total > n::HUGEINT * prior),
+pruned AS (SELECT * FROM rules a WHERE NOT EXISTS (SELECT 1 FROM rules p WHERE p.b = a.b AND p.ppm >= a.ppm AND len(p.s) < len(a.s) AND list_has_all(a.s, p.s))),
+best AS (SELECT url, s, b, ppm, row_number() OVER (PARTITION BY url ORDER BY ppm DESC, freq DESC, len(s), s, b) AS k FROM (SELECT DISTINCT url, tokens FROM r WHERE entry IS NULL) JOIN pruned ON list_has_all(tokens, s))
+SELECT page_id, host, path, entry.name AS rule, coalesce(entry.verdict, CASE WHEN b THEN 'block' ELSE 'allow' END) AS verdict, array_to_string(s, ' ') AS pattern, ppm AS pattern_ppm FROM r LEFT JOIN best ON r.url = best.url AND k = 1 AND entry IS NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL has no suffix automata, byte-pair merges, compression or byte strings at this scale: 2, 5, 7 and 9 are tested by brute force."""
     return {
@@ -163,4 +201,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_embedding_near_dedup": _OP8,
         "op10_benchmark_decontamination": _OP10,
         "op11_fill_in_middle": _OP11,
+        "op12_url_filters": _OP12,
     }
