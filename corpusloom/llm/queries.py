@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.chat_format import ChatFormat
+from corpusloom.llm.collocations import MIN_COUNT as PHRASE_COUNT
+from corpusloom.llm.collocations import TOP, WITHIN, Collocations
 from corpusloom.llm.decontaminate import Decontaminate
 from corpusloom.llm.embedding_dedup import EmbeddingDedup
 from corpusloom.llm.fill_in_middle import FillInMiddle, restored
@@ -82,6 +84,10 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return UrlFilter().judge(pages, rules).drop("url")
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Collocations().mine(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
         "op11_fill_in_middle": op11_fill_in_middle,
         "op12_url_filters": op12_url_filters,
+        "op13_phrase_collocations": op13_phrase_collocations,
     }
 
 
@@ -191,6 +198,19 @@ best AS (SELECT url, s, b, ppm, row_number() OVER (PARTITION BY url ORDER BY ppm
 SELECT page_id, host, path, entry.name AS rule, coalesce(entry.verdict, CASE WHEN b THEN 'block' ELSE 'allow' END) AS verdict, array_to_string(s, ' ') AS pattern, ppm AS pattern_ppm FROM r LEFT JOIN best ON r.url = best.url AND k = 1 AND entry IS NULL"""
 
 
+_OP13 = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda v: v <> '') AS w FROM p),
+g AS (SELECT lang, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i:i])) AS g FROM w UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) FROM w UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) FROM w),
+f AS (SELECT lang, g, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= {PHRASE_COUNT}),
+cuts AS (SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, 1000000 * c.f * c.f // (x.f * y.f) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM f) c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS place FROM cuts),
+longer AS (SELECT lang, s AS g, max(f) AS f FROM (SELECT lang, f, unnest([g[1:2], g[2:3]]) AS s FROM f WHERE len(g) = 3) GROUP BY ALL),
+kept AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.g = b.g WHERE place = 1 AND (o.f IS NULL OR 100 * o.f < {WITHIN} * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang) USING (lang) WHERE rank <= {TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL has no suffix automata, byte-pair merges, compression or byte strings at this scale: 2, 5, 7 and 9 are tested by brute force."""
     return {
@@ -202,4 +222,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_benchmark_decontamination": _OP10,
         "op11_fill_in_middle": _OP11,
         "op12_url_filters": _OP12,
+        "op13_phrase_collocations": _OP13,
     }
