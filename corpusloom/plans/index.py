@@ -110,7 +110,7 @@ class Indexer:
         return durable(files), self.spark.createDataFrame([(m,) for m in marked], "folder string")
 
     def _markers(self) -> DataFrame:
-        found = scan_files(self.spark, self.root, (".txt",)).where(F.substring_index("path", "/", -1) == _BUILD_FILE)
+        found = scan_files(self.spark, self.root, (".txt",), read=False).where(F.substring_index("path", "/", -1) == _BUILD_FILE)
         return found.select(F.concat(F.lit(self.root), F.lit("/"), F.col("relative_path")).alias("at")).select(F.regexp_replace("at", "/[^/]*$", "").alias("folder"))
 
     def _process(self, files: DataFrame, markers: DataFrame, have: DataFrame, first: int, scanned: int, began: float) -> tuple[dict[str, DataFrame], IndexStats]:

@@ -4,42 +4,30 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.model import SKIPPED_FOLDERS, SOURCE_EXTENSIONS
+from corpusloom.model import SOURCE_EXTENSIONS
+from corpusloom.sources.tree import NAME, register
 
 
-def _local(path: Column) -> Column:
-    """A file URI's path."""
-    return F.regexp_replace(path, "^file:/+", "/")
+def scan_files(spark: SparkSession, root: str, extensions: Sequence[str] = SOURCE_EXTENSIONS, recursive: bool = True, read: bool = True) -> DataFrame:
+    """(path, relative_path, text) of the files of a tree, folders of builds and tools left out; see ``sources.tree``.
 
-
-def scan_files(spark: SparkSession, root: str, extensions: Sequence[str] = SOURCE_EXTENSIONS, recursive: bool = True) -> DataFrame:
-    """(path, relative_path, text) of the files of a tree, folders of builds and tools left out.
-
-    Listing and reading are Spark's, so the root can be in any store. Order by ``path_order`` for the order of path
+    The text of a file that can't be read is null; so is every text unless ``read``. Order by ``path_order`` for the order of path
     components.
     """
-    glob = "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(root)
-    kept = _source_files(files, root, extensions)
-    return kept if recursive else kept.where(~F.contains("relative_path", F.lit("/")))
+    return _tree(spark, extensions).options(recursive=recursive, read=read).load(root).drop("error")
 
 
-def _source_files(files: DataFrame, root: str, extensions: Sequence[str]) -> DataFrame:
-    path, base = _local(F.col("path")), X.normal_path(F.lit(root.rstrip("/")).cast("string"))
-    base = F.regexp_replace(base, "^file:/+", "/")
-    relative = F.substring(path, F.length(base) + 2, F.lit(1 << 30))
-    rows = files.select(path.alias("path"), relative.alias("relative_path"), F.decode("content", "UTF-8").alias("text"))
-    folders = F.slice(F.split("relative_path", "/"), 1, F.size(F.split("relative_path", "/")) - 1)
-    return rows.where(~F.arrays_overlap(folders, F.array(*map(F.lit, SKIPPED_FOLDERS)))).where(X.extension(F.col("path")).isin(*extensions))
+def _tree(spark: SparkSession, extensions: Sequence[str]) -> DataFrameReader:
+    register(spark)
+    return spark.read.format(NAME).option("extensions", json.dumps(list(extensions)))
 
 
 def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
@@ -61,12 +49,8 @@ def write_file(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_files(spark: SparkSession, root: str, relative: Sequence[str], extensions: Sequence[str] = SOURCE_EXTENSIONS) -> DataFrame:
-    """As ``scan_files``, of the given files only; those that aren't there have no row. Nothing else of the tree is listed."""
-    there = existing(spark, [f"{root.rstrip('/')}/{p}" for p in relative])
-    if not there:
-        return spark.createDataFrame([], "path string, relative_path string, text string")
-    plain = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in there]  # a path is no pattern
-    return _source_files(spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(plain), root, extensions)
+    """As ``scan_files``, of the given files only; those that aren't there have no row. Nothing of the tree is listed."""
+    return _tree(spark, extensions).option("only", json.dumps(list(relative))).load(root).drop("error")
 
 
 def path_order(path: str = "path") -> Column:
