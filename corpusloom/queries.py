@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.functions.vectors import centroids, cosine
-from corpusloom.operators import dml, evaluation, graph, profile, prompts, resolve, search
+from corpusloom.functions.vectors import centroids
+from corpusloom.operators import dml, evaluation, graph, profile, prompts, resolve, search, topk
 from corpusloom.plans.index import Indexer
 from corpusloom.plans.requests import parsed_requests
 from corpusloom.session import at_once, checkpoint_folder, delete_folder, durable
@@ -24,6 +24,7 @@ from corpusloom.sources.cpp import parse_files
 from corpusloom.sources.embedding import hash_vector, with_embeddings
 from corpusloom.sources.files import changed_files, module_identities, write_file
 from corpusloom.sources.store import SnapshotStore
+from corpusloom.sources.vector_index import VectorIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -415,19 +416,60 @@ def module_normalize(spark, sf_dir):
 
 
 # The evaluation's queries are a list of 20 vectors, whatever the table's size.
-_PROBES = "probes AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS q, CASE vec_id % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'structural' ELSE 'auxiliary' END AS tool_group FROM embeddings WHERE vec_id < 500 AND vec_id % 25 = 0)"
+_PROBES = "probes AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS q, CASE vec_id % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'structural' ELSE 'auxiliary' END AS tool_group FROM embeddings WHERE vec_id % 100 = 0)"
 _RANKED = f"""ranked AS (SELECT query_id, name, rank FROM (SELECT query_id, vec_id AS name, row_number() OVER (PARTITION BY query_id ORDER BY round({_COSINE}, 9) DESC, vec_id) AS rank FROM probes, (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) WHERE vec_id <> query_id) WHERE rank <= 10),
 ranks AS (SELECT query_id, tool_group, min(rank) FILTER (WHERE e.label = p.label) AS first_rank FROM probes p LEFT JOIN ranked USING (query_id) LEFT JOIN embeddings e ON e.vec_id = name GROUP BY ALL)"""
 
 
 def _ranked(e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The ten nearest vectors of each probe, and the probes."""
+    """The ten nearest vectors of each probe, and the probes: every vector whose id is divisible by 100."""
     group = F.when(F.col("vec_id") % 3 == 0, "semantic").when(F.col("vec_id") % 3 == 1, "structural").otherwise("auxiliary")
-    probes = e.where("vec_id < 500 AND vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"), group.alias("tool_group"))
-    scores = e.join(F.broadcast(probes.select("query_id", "q")), F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("name"), F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "name")
-    # Each task keeps its ten best of a probe before anything is shuffled.
-    return scores.withColumn("rank", F.row_number().over(order)).where("rank <= 10"), probes
+    probes = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", group.alias("tool_group"))
+    return _nearest(e, 10).select("query_id", F.col("id").alias("name"), "rank", "score"), probes
+
+
+def _nearest(e: DataFrame, k: int, others: bool = True) -> DataFrame:
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return topk.nearest(queries, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), k, others)
+
+
+_MANY = f"""WITH probes AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+scored AS (SELECT query_id, vec_id AS id, round({_COSINE}, 9) AS score FROM probes, (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings))"""
+
+
+@query(f"{_MANY} SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored WHERE id <> query_id) WHERE rank <= 10")
+def blocked_topk(spark, sf_dir):
+    """Ten neighbours of every vector whose id is divisible by 100, among all others."""
+    return _nearest(StarCorpus(spark, sf_dir).table("embeddings"), 10).withColumn("score", F.round("score", 6))
+
+
+def _vector_index(spark: SparkSession, e: DataFrame) -> tuple[VectorIndex, str]:
+    folder = f"{checkpoint_folder(spark)}/vector-index-{uuid.uuid4().hex}"
+    index = VectorIndex(spark, folder)
+    index.build(e, "vec_id", "embedding")
+    return index, folder
+
+
+@query(f"WITH {_VECTORS}, {_QUERY_VECTOR} SELECT symbol_id, module_name, score FROM (SELECT symbol_id, module_name, round({_COSINE}, 9) AS score FROM vectors, q ORDER BY 3 DESC, 1 LIMIT 10)")
+def vector_index_topk(spark, sf_dir):
+    """All vectors are indexed; the ten nearest of one are found exactly, reading only cells and vectors that can hold them."""
+    c = StarCorpus(spark, sf_dir)
+    index, folder = _vector_index(spark, c.vectors.select(F.col("symbol_id").alias("vec_id"), "embedding", "module_name"))
+    found = index.search_rows(_query_vector(c), 10, exact=True)
+    out = durable(found.select(F.col("id").alias("symbol_id"), "module_name", "score")) if found is not None else spark.createDataFrame([], "symbol_id long, module_name string, score double")
+    delete_folder(spark, folder)
+    return out
+
+
+@query(f"{_MANY} SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 5")
+def vector_index_topk_many(spark, sf_dir):
+    """Five neighbours of every vector whose id is divisible by 100, itself among them, exactly by the index."""
+    e = StarCorpus(spark, sf_dir).table("embeddings")
+    index, folder = _vector_index(spark, e)
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    out = durable(index.search_many(queries, 5, exact=True).withColumn("score", F.round("score", 6)))
+    delete_folder(spark, folder)
+    return out
 
 
 def _first_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -494,19 +536,24 @@ def index_update(spark, sf_dir):
     folder = f"{checkpoint_folder(spark)}/index-update-{uuid.uuid4().hex}"
     root = f"{folder}/tree"
 
+    def path(k: int) -> str:
+        """Names of files and folders begin with _ or . too."""
+        name, region = nations[k]
+        return (f"{region}/_{name}.cpp", f".{region}/{name}.cpp", f"{region}/{name}.cpp")[k % 3]
+
     def write(k: int, second: str, body: str) -> str:
         name, region = nations[k]
         text = f'#include "{region}.hpp"\nnamespace {name} {{\nint run(int x) {{ return {nations[(k + 24) % 25][0]}::run(x) + {second}(x); }}\nint {second}(int x) {{ return {body}; }}\n}}\n'
-        write_file(spark, f"{root}/{region}/{name}.cpp", text)
-        return f"{region}/{name}.cpp"
+        write_file(spark, f"{root}/{path(k)}", text)
+        return path(k)
 
     for k in nations:
         write(k, "own", "x")
     indexer = Indexer(SnapshotStore(spark, f"{folder}/store"), root)
     indexer.index()
     changed = [write(k, "fresh", f"{nations[(k + 24) % 25][0]}::own(x)") for k in nations if k % 5 == 0]
-    delete_folder(spark, f"{root}/{nations[7][1]}/{nations[7][0]}.cpp")
-    paths = spark.createDataFrame([(p,) for p in [*changed, f"{nations[7][1]}/{nations[7][0]}.cpp"]], "path string")
+    delete_folder(spark, f"{root}/{path(7)}")
+    paths = spark.createDataFrame([(p,) for p in [*changed, path(7)]], "path string")
     full = Indexer(SnapshotStore(spark, f"{folder}/full"), root)
     at_once(spark, lambda: indexer.update(paths), full.index)
     edges = at_once(spark, *(lambda i=i: durable(_edges_by_name(i.store.read())) for i in (indexer, full)))
