@@ -198,10 +198,10 @@ class UrlFilter:
         rows = pages.select(F.struct("*").alias("doc"))
         rows = rows.select("doc", url.alias("url"), url_host(url).alias("host"), url_path(url).alias("path"))
         name, verdict = listed(F.col("host"), F.col("path"), self.entries)
-        # The key of a url that the list decides is null: it is asked for no rule.
+        # Urls that the list decides are asked for no rule; they and null ones have keys all the same, or they would meet in one task.
         rows = rows.select("doc", "url", "host", "path", name.alias("rule"), verdict.alias("told"))
-        rows = rows.withColumn("key", F.when(F.col("rule").isNull(), F.sha2("url", 256)))
-        asked = rows.where("key is not null").select("key", url_tokens(F.col("url")).alias("tokens"))
+        rows = rows.withColumn("key", F.coalesce(F.sha2("url", 256), F.monotonically_increasing_id().cast("string")))
+        asked = rows.where("url is not null and rule is null").select("key", url_tokens(F.col("url")).alias("tokens"))
         joined = rows.join(self.matches(asked, rules), "key", "left")
         mined = F.when(F.col("best.blocked"), "block").otherwise("allow")
         return joined.select(
