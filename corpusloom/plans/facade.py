@@ -18,6 +18,8 @@ from corpusloom.session import durable
 from corpusloom.sources.embedding import with_embeddings
 from corpusloom.sources.files import parse_local_files
 from corpusloom.sources.git import changed_table
+from corpusloom.sources.suffix_index import SuffixIndex
+from corpusloom.sources.vector_index import VectorIndex
 from corpusloom.sources.vector_store import VectorStore
 
 #: Steps of a closure and symbols of a search that a request may ask for.
@@ -59,9 +61,10 @@ def symbol_json(row: Row | dict[str, Any]) -> dict[str, Any]:
 class Engine:
     """``handle(method, target, body)``, or the request methods by name. ``load`` makes it ready."""
 
-    def __init__(self, indexer: Indexer, complete: Complete | None = None, prompts: PromptBuilder | None = None, vector_store: VectorStore | None = None) -> None:
-        """``vector_store``: if it is ready, its nearest symbols come first; the search by modules is used where it finds none."""
-        self.indexer, self.complete, self.prompts, self.vector_store = indexer, complete, prompts or PromptBuilder(), vector_store
+    def __init__(self, indexer: Indexer, complete: Complete | None = None, prompts: PromptBuilder | None = None, vector_store: VectorStore | VectorIndex | None = None, names: SuffixIndex | None = None) -> None:
+        """``vector_store``: if it is ready, its nearest symbols come first; the search by modules is used where it finds none. ``names``: an index
+        of the symbols' names, asked in place of a scan."""
+        self.indexer, self.complete, self.prompts, self.vector_store, self.names = indexer, complete, prompts or PromptBuilder(), vector_store, names
         self.tables: dict[str, DataFrame] | None = None
         self.modules: DataFrame | None = None
         self.indexed_at: int | None = None
@@ -103,7 +106,11 @@ class Engine:
 
     def _find(self, name: str) -> Row:
         t = self._ready()
-        found = graph.lookup(name, t["symbols"], t["modules"]).first() or graph.lookup_any_suffix(name, t["symbols"], t["modules"]).first()
+        if self.names is not None:
+            ids = self.names.find(name).select("symbol_id")
+            found = graph.with_modules(t["symbols"].join(F.broadcast(ids), "symbol_id", "left_semi"), t["modules"]).first()
+        else:
+            found = graph.lookup(name, t["symbols"], t["modules"]).first() or graph.lookup_any_suffix(name, t["symbols"], t["modules"]).first()
         if found is None:
             raise RequestError(404, f"unknown symbol {name}")
         return found

@@ -24,6 +24,7 @@ from corpusloom.sources.cpp import parse_files
 from corpusloom.sources.embedding import hash_vector, with_embeddings
 from corpusloom.sources.files import changed_files, module_identities, write_file
 from corpusloom.sources.store import SnapshotStore
+from corpusloom.sources.suffix_index import SuffixIndex
 from corpusloom.sources.vector_index import VectorIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +126,32 @@ def symbol_lookup_any_suffix(spark, sf_dir):
     return graph.lookup_any_suffix("0005", c.symbols, c.modules)
 
 
+_WANTED = """wanted AS (SELECT 's' || s_suppkey AS ref, s_name AS name FROM supplier UNION ALL SELECT 'c' || c_custkey, right(c_name, 4) FROM customer
+  UNION ALL SELECT 'q' || symbol_id, qualified_name FROM named UNION ALL SELECT 'p' || p_partkey, p_brand FROM part UNION ALL SELECT 'n' || n_nationkey, n_name || '::Supplier' FROM nation)"""
+
+
+@query(f"""WITH {_GRAPH}, {_WANTED}, names AS (SELECT DISTINCT name FROM wanted),
+exact AS (SELECT qualified_name AS name, min(symbol_id) AS id FROM named GROUP BY 1),
+scoped AS (SELECT name, arg_min(symbol_id, (length(qualified_name), qualified_name, symbol_id)) AS id FROM names JOIN named ON ends_with(qualified_name, '::' || name) WHERE NOT contains(name, '::') GROUP BY name),
+ends AS (SELECT name, min(symbol_id) AS id FROM names JOIN named ON ends_with(qualified_name, name) WHERE name NOT IN (SELECT name FROM exact) GROUP BY name)
+SELECT ref, name, coalesce(e.id, s.id, n.id) AS found_id FROM wanted LEFT JOIN exact e USING (name) LEFT JOIN scoped s USING (name) LEFT JOIN ends n USING (name)""")
+def suffix_index_lookups(spark, sf_dir):
+    """Names, short names, ends of names and names that nothing has, looked up together in an index of all symbols' names."""
+    c = StarCorpus(spark, sf_dir)
+    key = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string")).alias("ref")
+    wanted = c.table("supplier").select(key("s", "s_suppkey"), F.col("s_name").alias("name"))
+    wanted = wanted.unionByName(c.table("customer").select(key("c", "c_custkey"), F.right("c_name", F.lit(4)).alias("name")))
+    wanted = wanted.unionByName(c.named_symbols.select(key("q", "symbol_id"), F.col("qualified_name").alias("name")))
+    wanted = wanted.unionByName(c.table("part").select(key("p", "p_partkey"), F.col("p_brand").alias("name")))
+    wanted = wanted.unionByName(c.table("nation").select(key("n", "n_nationkey"), F.concat("n_name", F.lit("::Supplier")).alias("name")))
+    folder = f"{checkpoint_folder(spark)}/suffix-index-{uuid.uuid4().hex}"
+    index = SuffixIndex(spark, folder)
+    index.build(c.symbols.select("symbol_id", "qualified_name"))
+    out = durable(index.find_many(wanted))
+    delete_folder(spark, folder)
+    return out.select("ref", "name", "found_id")
+
+
 @query(f"WITH {_GRAPH} SELECT symbol_id, qualified_name FROM named WHERE qualified_name LIKE '%::Customer#00000001_' OR qualified_name LIKE '%::Cust\\_mer#%' ESCAPE '\\'")
 def symbol_like_suffix(spark, sf_dir):
     c = StarCorpus(spark, sf_dir)
