@@ -116,7 +116,7 @@ def _block(group: int, block: int, part: int, kind: int, ids: np.ndarray, m: np.
     return pa.record_batch([pa.array([group], pa.int64()), *ints, pa.array([ids.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(m).tobytes()], pa.binary())], ["grp", "block", "part", "kind", "n", "dim", "ids", "vectors"])
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, others: bool = False, broadcast_bytes: int = BROADCAST_BYTES, query_rows: int = QUERY_ROWS) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, others: bool = False, broadcast_bytes: int = BROADCAST_BYTES, query_rows: int = QUERY_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` vectors of ``corpus`` (id, vector) nearest to each of ``queries`` (query_id, vector), ranks from 1.
 
     ``others``: a query's own id doesn't count. With a column ``groups`` of arrays in ``queries`` and ``grp`` in ``corpus``, only vectors of a named group do.
@@ -129,12 +129,12 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, others: bool = False,
     asked = durable(asked.select("query_id", "q.vector", "q.groups"))
     rows = corpus.where("id is not null").select((F.col("grp") if grouped else F.lit(0)).cast("long").alias("grp"), F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     size = asked.agg(F.coalesce(F.sum(8 * F.greatest(F.size("vector"), F.lit(0)) + 8 * F.greatest(F.size("groups"), F.lit(0)) + 32), F.lit(0))).first()[0]
-    part = _sent(spark, asked, rows, k, others) if size <= broadcast_bytes else _dealt(spark, asked, rows, k, others, query_rows)
+    part = _sent(spark, asked, rows, k, others, tile_rows) if size <= broadcast_bytes else _dealt(spark, asked, rows, k, others, query_rows, tile_rows)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def _sent(spark: SparkSession, asked: DataFrame, rows: DataFrame, k: int, others: bool) -> DataFrame:
+def _sent(spark: SparkSession, asked: DataFrame, rows: DataFrame, k: int, others: bool, tile_rows: int) -> DataFrame:
     """Every task has all queries, and reads its part of the corpus."""
     table = asked.toArrow()  # at most ``broadcast_bytes``
     blocks = [(table["query_id"].to_numpy()[at], m, table["groups"].take(pa.array(at)).to_pylist()) for _, at, m in unit_rows(table["vector"])] if table.num_rows else []
@@ -149,7 +149,7 @@ def _sent(spark: SparkSession, asked: DataFrame, rows: DataFrame, k: int, others
             for g, i in pairs:
                 by.setdefault(g, []).append(i)
             of.append({g: np.array(i) for g, i in by.items()})
-        for group, ids, m in _tiles(batches, TILE_ROWS):
+        for group, ids, m in _tiles(batches, tile_rows):
             for b, by in zip(best, of, strict=True):
                 if group in by:
                     b.add(ids, m, by[group])
@@ -159,7 +159,7 @@ def _sent(spark: SparkSession, asked: DataFrame, rows: DataFrame, k: int, others
     return rows.mapInArrow(run, FOUND)
 
 
-def _dealt(spark: SparkSession, asked: DataFrame, rows: DataFrame, k: int, others: bool, query_rows: int) -> DataFrame:
+def _dealt(spark: SparkSession, asked: DataFrame, rows: DataFrame, k: int, others: bool, query_rows: int, tile_rows: int) -> DataFrame:
     """Blocks of queries and tiles of the corpus meet by (group, block, part)."""
     each = asked.select("query_id", "vector", F.explode("groups").alias("grp"))
     blocks = durable(each.groupBy("grp").agg(F.count("*").alias("n"))).select("grp", F.ceil(F.col("n") / query_rows).cast("int").alias("blocks"))
@@ -177,7 +177,7 @@ def _dealt(spark: SparkSession, asked: DataFrame, rows: DataFrame, k: int, other
     everywhere = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, ids, m in _tiles(batches, TILE_ROWS):
+        for group, ids, m in _tiles(batches, tile_rows):
             yield _block(group, -1, int(np.abs(ids[0] ^ (ids[-1] * 31)) % parts), 1, ids, m)
 
     tiles = rows.mapInArrow(tile, BLOCKS).join(blocks, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.functions.vectors import centroids
-from corpusloom.operators import dml, evaluation, graph, profile, prompts, resolve, search, topk
+from corpusloom.operators import dml, evaluation, graph, profile, prompts, reach, resolve, search, topk
 from corpusloom.plans.index import Indexer
 from corpusloom.plans.requests import parsed_requests
 from corpusloom.session import at_once, checkpoint_folder, delete_folder, durable
@@ -262,6 +262,30 @@ def module_closure_depth5(spark, sf_dir):
     return _closure(spark, sf_dir, 5)
 
 
+def _closure_all_sql(sparse: bool) -> str:
+    return f"""WITH RECURSIVE {_MODULES}, {_SYMBOLS}, {", ".join(_edge_tables(sparse))}, {_EDGES},
+pairs AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE src <> dst),
+r(source, id, d) AS (SELECT src, dst, 1 FROM pairs UNION SELECT source, dst, d + 1 FROM r JOIN pairs ON src = id WHERE d < 24)
+SELECT source, id AS target, min(d)::INT AS depth FROM r GROUP BY ALL"""
+
+
+def _closure_all(spark: SparkSession, sf_dir: str, sparse: bool) -> DataFrame:
+    c = StarCorpus(spark, sf_dir, sparse=sparse)
+    return reach.closure(graph.module_edges(c.calls, c.includes, c.inheritance), loops=True)
+
+
+@query(_closure_all_sql(False))
+def module_closure_all(spark, sf_dir):
+    """What each module reaches, over all edges, in one run for all modules."""
+    return _closure_all(spark, sf_dir, False)
+
+
+@query(_closure_all_sql(True))
+def module_closure_all_sparse(spark, sf_dir):
+    """The same over the sparse edges of the other closures, where paths are longer."""
+    return _closure_all(spark, sf_dir, True)
+
+
 @query(f"WITH {_GRAPH} SELECT count(*) AS symbol_count, max(symbol_id) + 1 AS next_id FROM symbols")
 def symbol_count(spark, sf_dir):
     s = StarCorpus(spark, sf_dir).symbols

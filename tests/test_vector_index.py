@@ -42,14 +42,13 @@ def same(got, want):
 
 
 @pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
-def test_blocks_give_what_pairs_give(spark, monkeypatch, broadcast_bytes):
-    monkeypatch.setattr(topk, "TILE_ROWS", 16)
+def test_blocks_give_what_pairs_give(spark, broadcast_bytes):
     corpus = clustered(300, 1) + [(900, None), (901, []), (902, [0.0] * 12), (903, [float("nan")] * 12), (904, [1.0, 2.0]), (905, [None] * 12), (None, [1.0] * 12)]
     corpus += [(1000 + i, corpus[i][1]) for i in range(20)] + corpus[:3]
     queries = [*{i: v for i, v in corpus if i is not None and i % 7 == 0 and i < 300}.items()] + [(904, [1.0, 2.0]), (-5, None), (-6, [0.0] * 12)]
     q, c = spark.createDataFrame(queries, QUERIES), spark.createDataFrame(corpus, CORPUS).repartition(5)
     for others in (False, True):
-        same(rows(topk.nearest(q, c, 4, others, broadcast_bytes, query_rows=8)), by_hand(queries, corpus, 4, others))
+        same(rows(topk.nearest(q, c, 4, others, broadcast_bytes, query_rows=8, tile_rows=16)), by_hand(queries, corpus, 4, others))
     same(rows(topk.nearest(q.limit(2), c.where("id in (3, 4)"), 9, broadcast_bytes=broadcast_bytes)), by_hand(queries[:2], [x for x in corpus if x[0] in (3, 4)], 9))
     assert rows(topk.nearest(q.limit(0), c, 3, broadcast_bytes=broadcast_bytes)) == rows(topk.nearest(q, c.limit(0), 3, broadcast_bytes=broadcast_bytes)) == []
 
