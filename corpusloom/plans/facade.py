@@ -70,10 +70,14 @@ class Engine:
         self.indexed_at: int | None = None
 
     def load(self) -> Engine:
-        """Read the current snapshot and profile its modules."""
+        """Read the current snapshot and its modules' profiles: those of the indexer's views, if they are up to it."""
         self.tables = t = self.indexer.store.read()
-        records = profile.module_profiles(graph.with_modules(t["symbols"], t["modules"]))
-        self.modules = durable(with_embeddings(records, "summary", self.indexer.embed))
+        views = self.indexer.views
+        if views is not None and views.brought_to() == self.indexer.store.version() > 0:
+            self.modules = durable(views.profiles())
+        else:
+            records = profile.module_profiles(graph.with_modules(t["symbols"], t["modules"]))
+            self.modules = durable(with_embeddings(records, "summary", self.indexer.embed))
         self.indexed_at = int(time.time() * 1000)
         return self
 

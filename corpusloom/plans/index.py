@@ -15,6 +15,7 @@ from corpusloom.functions import text as X
 from corpusloom.model import KINDS, SOURCE_EXTENSIONS
 from corpusloom.operators import dml
 from corpusloom.operators.resolve import resolve_names, touched
+from corpusloom.plans.views import ModuleViews
 from corpusloom.session import at_once, durable
 from corpusloom.sources.cpp import parse_files
 from corpusloom.sources.embedding import Embed, hash_embed, with_embeddings
@@ -60,9 +61,9 @@ class Indexer:
     the new rows only.
     """
 
-    def __init__(self, store: SnapshotStore, root: str, embed: Embed = hash_embed, extensions: Sequence[str] = SOURCE_EXTENSIONS, dimension: int | None = None) -> None:
-        """``dimension``: vectors of another one fail the index, if given."""
-        self.store, self.root, self.embed, self.extensions, self.dimension = store, root.rstrip("/"), embed, tuple(extensions), dimension
+    def __init__(self, store: SnapshotStore, root: str, embed: Embed = hash_embed, extensions: Sequence[str] = SOURCE_EXTENSIONS, dimension: int | None = None, views: ModuleViews | None = None) -> None:
+        """``dimension``: vectors of another one fail the index, if given. ``views``: kept in step with the snapshots, if given."""
+        self.store, self.root, self.embed, self.extensions, self.dimension, self.views = store, root.rstrip("/"), embed, tuple(extensions), dimension, views
         self.spark = store.spark
 
     def index(self) -> IndexStats:
@@ -72,7 +73,9 @@ class Indexer:
         modules = self.store.read()["modules"]
         new, stats = self._process(files, self._markers(), modules, 1, files.count(), began)
         new["modules"] = modules.unionByName(new["modules"])
-        self.store.publish(new | edges_of(new["references"], new["symbols"], new["symbols"], new["modules"]))
+        version = self.store.publish(new | edges_of(new["references"], new["symbols"], new["symbols"], new["modules"]))
+        if self.views is not None:
+            self.views.rebuild(self.store.read(), version)
         return stats
 
     def update(self, paths: DataFrame) -> IndexStats:
@@ -95,7 +98,14 @@ class Indexer:
         ids = {"calls": "call_id", "inheritance": "inheritance_id", "includes": "include_id"}
         starts = dict(zip(ids, at_once(self.spark, *(partial(dml.next_id, have[t], c) for t, c in ids.items())), strict=True))
         modules = have["modules"].unionByName(new["modules"])
-        self.store.change(new | edges_of(again, symbols, symbols, modules, starts), gone.select("symbol_id"), resolved, base)
+        new |= edges_of(again, symbols, symbols, modules, starts)
+        version = self.store.change(new, gone.select("symbol_id"), resolved, base)
+        if self.views is not None:
+            after = self.store.read()
+            if self.views.brought_to() == base:
+                self.views.change(have, new, gone.select("symbol_id"), resolved, after, version)
+            else:  # a change broke off between snapshot and views
+                self.views.rebuild(after, version)
         return stats
 
     def _changed(self, changed: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:

@@ -18,6 +18,7 @@ from corpusloom.functions.vectors import centroids
 from corpusloom.operators import dml, evaluation, graph, profile, prompts, reach, resolve, search, topk
 from corpusloom.plans.index import Indexer
 from corpusloom.plans.requests import parsed_requests
+from corpusloom.plans.views import ModuleViews
 from corpusloom.session import at_once, checkpoint_folder, delete_folder, durable
 from corpusloom.sources.adapters import SUPPLIERS, StarCorpus
 from corpusloom.sources.cpp import parse_files
@@ -571,6 +572,65 @@ def incremental_update(spark, sf_dir):
     return dml.upsert(dml.delete_files(delta.select("file_path"), have)["symbols"], delta, "symbol_id")
 
 
+_GONE = "gone AS (SELECT symbol_id FROM symbols WHERE file_path IN ('src/building.hpp', 'src/machinery.cpp')), resolved AS (SELECT s_suppkey + 1000000000000 AS symbol_id FROM supplier WHERE s_suppkey % 10 = 0)"
+_MOVED = 5_000_000_000_000
+
+
+@query(f"""WITH {_GRAPH}, {_BASES}, {_INCLUDES}, {_GONE},
+final AS (SELECT symbol_id, module_id, file_path FROM symbols WHERE symbol_id NOT IN (FROM gone) UNION ALL SELECT symbol_id + {_MOVED}, (module_id + 1) % 25, file_path FROM symbols WHERE symbol_id IN (FROM gone)),
+pairs AS (SELECT a.module_id AS src, b.module_id AS dst FROM calls JOIN symbols a ON caller = a.symbol_id JOIN symbols b ON callee = b.symbol_id WHERE caller NOT IN (FROM gone) AND callee NOT IN (FROM gone) AND caller NOT IN (FROM resolved)
+  UNION ALL SELECT (a.module_id + 1) % 25, b.module_id FROM calls JOIN symbols a ON caller = a.symbol_id JOIN symbols b ON callee = b.symbol_id WHERE caller IN (FROM gone) AND callee NOT IN (FROM gone)
+  UNION ALL SELECT a.module_id, b.module_id FROM bases JOIN symbols a ON derived = a.symbol_id JOIN symbols b ON base = b.symbol_id WHERE derived NOT IN (FROM gone) AND base NOT IN (FROM gone) AND derived NOT IN (FROM resolved)
+  UNION ALL SELECT source_module_id, target_module_id FROM includes WHERE source_symbol_id NOT IN (FROM gone))
+SELECT 'edge' AS view, src AS a, dst AS b, count(*) AS n FROM pairs WHERE src <> dst GROUP BY ALL
+UNION ALL SELECT 'symbols', module_id, count(DISTINCT file_path), count(*) FROM final GROUP BY ALL
+UNION ALL SELECT 'headers', module_id, count(DISTINCT file_path) FILTER (WHERE {_HEADER}), 0 FROM final GROUP BY ALL""")
+def module_views_after_change(spark, sf_dir):
+    """Edges between modules with their support, and counts of files and symbols, kept through a change: two files' symbols go and come back in other
+    modules with the calls they made, some others' outgoing edges are resolved to nothing."""
+    views, folder = _changed_views(spark, sf_dir)
+    counts = views.counts()
+    out = views.edges().select(F.lit("edge").alias("view"), F.col("src").alias("a"), F.col("dst").alias("b"), "n")
+    out = out.unionByName(counts.select(F.lit("symbols").alias("view"), F.col("module_id").alias("a"), F.col("file_count").alias("b"), F.col("symbol_count").alias("n")))
+    out = durable(out.unionByName(counts.select(F.lit("headers").alias("view"), F.col("module_id").alias("a"), F.col("header_count").alias("b"), F.lit(0).cast("long").alias("n"))))
+    delete_folder(spark, folder)
+    return out
+
+
+def _changed_views(spark: SparkSession, sf_dir: str) -> tuple[ModuleViews, str]:
+    c = StarCorpus(spark, sf_dir)
+    files = ["src/building.hpp", "src/machinery.cpp"]
+    vectors = c.vectors.select((F.col("symbol_id") - (1 << 40)).alias("symbol_id"), "module_name", "module_path", "embedding")
+    tables = {"modules": c.modules, "symbols": c.symbols, "calls": c.calls, "inheritance": c.inheritance, "includes": c.includes, "vectors": vectors}
+    own = c.symbols.where(F.col("file_path").isin(files))
+    # One vector in five moves to the next module, as its symbol goes and comes back.
+    moving = vectors.where((F.col("symbol_id") + (1 << 40)) % 5 == 0)
+    gone = own.select("symbol_id").unionByName(moving.select("symbol_id"))
+    resolved = c.symbols.where(f"symbol_id >= {SUPPLIERS} and (symbol_id - {SUPPLIERS}) % 10 = 0").select("symbol_id")
+    moved = own.withColumn("symbol_id", F.col("symbol_id") + _MOVED).withColumn("module_id", (F.col("module_id") + 1) % 25)
+    calls = c.calls.join(own.select(F.col("symbol_id").alias("caller_symbol_id")), "caller_symbol_id", "left_semi").join(own.select(F.col("symbol_id").alias("callee_symbol_id")), "callee_symbol_id", "left_anti")
+    calls = calls.withColumn("caller_symbol_id", F.col("caller_symbol_id") + _MOVED).withColumn("caller_module_id", (F.col("caller_module_id") + 1) % 25)
+    label = ((F.substring("module_name", F.lit(2), F.lit(9)).cast("long") + 1) % 10).cast("string")
+    new = {"symbols": moved, "calls": calls, "vectors": moving.withColumn("symbol_id", F.col("symbol_id") + _MOVED).select("symbol_id", F.concat(F.lit("m"), label).alias("module_name"), F.concat(F.lit("path/"), label).alias("module_path"), "embedding")}
+    after = {"modules": c.modules, "symbols": c.symbols.join(gone, "symbol_id", "left_anti").unionByName(moved.select(*c.symbols.columns))}
+    folder = f"{checkpoint_folder(spark)}/module-views-{uuid.uuid4().hex}"
+    views = ModuleViews(spark, folder)
+    views.rebuild(tables, 1)
+    views.change(tables, new, gone, resolved, after, 2)
+    return views, folder
+
+
+@query("""WITH v AS (SELECT CASE WHEN vec_id % 5 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings),
+d AS (SELECT label, generate_subscripts(embedding, 1) AS dim, round(unnest(embedding)::DOUBLE * 1073741824)::BIGINT AS x FROM v)
+SELECT 'm' || label AS module_name, (dim - 1)::INT AS dim, count(*) AS vectors, round(sum(x)::DOUBLE / 1073741824 / count(*), 9) AS mean FROM d GROUP BY label, dim""")
+def module_centroids_after_change(spark, sf_dir):
+    """Each module's mean vector, kept through a change that moves one vector in five to the next module."""
+    views, folder = _changed_views(spark, sf_dir)
+    out = durable(views.centroids().select("module_name", "vectors", F.posexplode("centroid").alias("dim", "mean")))
+    delete_folder(spark, folder)
+    return out
+
+
 _CLEAN = "regexp_replace({}, '[^A-Za-z0-9_]', '_', 'g')"
 
 
