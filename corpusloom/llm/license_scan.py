@@ -9,10 +9,12 @@ dictionary saves says how much of the block's wording the template already holds
 ranked by the saving, and confirmed in order by the exact differences of wording: the
 template's words are aligned with the block's, and few enough may be missing or changed, none of them a key word
 (names and versions that tell licences apart). Nor may a word be added within or offered as a choice behind it that tells another licence: a
-version, "or later", a further clause. Of two licences confirmed in one place, the one of which more is there stays.
+version, "or later", a further clause; what names another licence and so belongs to that one (as in dual licences) doesn't count. A wording that a word before it in the
+sentence denies ("not released under") is none. Of two licences confirmed in one place, the one of which more is there stays, unless the other's key words are no
+part of its wording: then both are offered.
 
-Templates are a parameter: (license_id, text, key words). The defaults are whole short licences and the notices by which the long
-ones are applied.
+Every block that holds some template's key words is ranked against all templates. Templates are a parameter: (license_id, text, key words). The defaults are whole
+short licences, the notices by which the long ones are applied, the openings of the long ones' full texts, and SPDX lines.
 
 Defined cases: null, empty and cue-less texts give no finding. A document gives a finding for each licence
 confirmed in each block, so rows repeat a doc_id; equal savings rank the shorter template first, then the earlier one. Long texts
@@ -42,10 +44,15 @@ SHARE = 0.8
 NEAR = 64
 #: The words of a cue may stand on two lines, with a comment's marks between.
 _CUE = re.compile(r"licen[cs]e|copyright|warrant|redistribut|permission[\W_]{1,80}is[\W_]{1,80}hereby|spdx|creative[\W_]{1,80}commons|\bgnu\b|public[\W_]{1,80}domain", re.I)
-_WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-+][A-Za-z0-9]+)*")
+_WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-+][A-Za-z0-9]+)*\+?")
 #: Words that tell another licence where they are added to a template's wording; versions do too.
 _TELLING = frozenset("later only lesser affero neither endorse nc sa nd by-nc by-sa by-nd by-nc-sa by-nc-nd appear misrepresented".split())
 _VERSION = re.compile(r"v?\d{1,2}(\.\d+)*\Z")
+#: Words that deny what follows them, within ``DENIED`` words.
+_DENIAL = frozenset("not never no cannot neither nor without t".split())
+DENIED = 6
+#: Words that name a licence, alone or before a hyphen.
+_NAMES = frozenset("mit x11 apache gnu gpl lgpl agpl mozilla mpl cc cc0 bsd 0bsd isc zlib unlicense boost eclipse epl artistic".split())
 
 
 class Template(NamedTuple):
@@ -66,7 +73,46 @@ _ZLIB = "This software is provided 'as-is', without any express or implied warra
 _APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
 _APACHE_END = ' You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
 _FREE = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+_X11 = " Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium."
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_APACHE_FULL = 'Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.'
+_MPL_FULL = 'Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.'
+_SPDX = {
+    "MIT": ("MIT",),
+    "X11": ("X11",),
+    "Apache-2.0": ("Apache-2.0",),
+    "GPL-2.0": ("GPL-2.0-only", "GPL-2.0"),
+    "GPL-2.0-or-later": ("GPL-2.0-or-later", "GPL-2.0+"),
+    "GPL-3.0": ("GPL-3.0-only", "GPL-3.0"),
+    "GPL-3.0-or-later": ("GPL-3.0-or-later", "GPL-3.0+"),
+    "LGPL-2.1": ("LGPL-2.1-only", "LGPL-2.1"),
+    "LGPL-2.1-or-later": ("LGPL-2.1-or-later", "LGPL-2.1+"),
+    "LGPL-3.0": ("LGPL-3.0-only", "LGPL-3.0"),
+    "LGPL-3.0-or-later": ("LGPL-3.0-or-later", "LGPL-3.0+"),
+    "AGPL-3.0": ("AGPL-3.0-only", "AGPL-3.0"),
+    "AGPL-3.0-or-later": ("AGPL-3.0-or-later", "AGPL-3.0+"),
+    "BSD-2-Clause": ("BSD-2-Clause",),
+    "BSD-3-Clause": ("BSD-3-Clause",),
+    "ISC": ("ISC",),
+    "0BSD": ("0BSD",),
+    "Zlib": ("Zlib",),
+    "MPL-2.0": ("MPL-2.0",),
+    "Unlicense": ("Unlicense",),
+    "CC0-1.0": ("CC0-1.0",),
+    "CC-BY-4.0": ("CC-BY-4.0",),
+    "CC-BY-SA-4.0": ("CC-BY-SA-4.0",),
+    "CC-BY-NC-4.0": ("CC-BY-NC-4.0",),
+    "CC-BY-NC-SA-4.0": ("CC-BY-NC-SA-4.0",),
+}
 TEMPLATES = (
+    *(Template(name, f"SPDX-License-Identifier: {x}", ("spdx-license-identifier", x.lower())) for name, known in _SPDX.items() for x in known),
+    Template("GPL-2.0", f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. {_VERBATIM}", ("gnu", "general", "2", "1991", "verbatim")),
+    Template("GPL-3.0", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}", ("gnu", "general", "3", "2007", "verbatim")),
+    Template("LGPL-2.1", f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. {_VERBATIM}", ("gnu", "lesser", "2.1", "1999", "verbatim")),
+    Template("LGPL-3.0", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}", ("gnu", "lesser", "3", "2007", "verbatim")),
+    Template("AGPL-3.0", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}", ("gnu", "affero", "3", "2007", "verbatim")),
+    Template("Apache-2.0", _APACHE_FULL, ("apache", "2.0", "definitions", "sections")),
+    Template("MPL-2.0", _MPL_FULL, ("mozilla", "2.0", "definitions", "contributor")),
     Template("MIT", "Released under the MIT License.", ("mit",)),
     Template("MIT", "Licensed under the MIT license.", ("mit",)),
     Template("MIT", _MIT, ("permission", "sublicense")),
@@ -97,6 +143,7 @@ TEMPLATES = (
     Template("Zlib", _ZLIB, ("misrepresented", "altered", "origin")),
     Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla", "2.0")),
     Template("Unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered", "domain")),
+    Template("X11", _MIT + _MIT_END + _X11, ("permission", "sublicense", "noninfringement", "except", "advertising")),
 )
 
 
@@ -154,6 +201,23 @@ class _Text:
         return [(i, j, self.line(self.start[i]), self.line(self.end[j - 1] - 1)) for i, j in cut]
 
 
+class _Found(NamedTuple):
+    license_id: str
+    rank: int
+    saved: int
+    words: int
+    matched: int
+    differences: str
+    begin: int
+    end: int
+    places: frozenset[int]
+    keys: frozenset[int]
+
+    def holds(self, other: _Found) -> bool:
+        """Whether ``other`` is the same licence in the same place, or its key words are part of this one's wording."""
+        return self.begin < other.end and other.begin < self.end and (self.license_id == other.license_id or other.keys <= self.places)
+
+
 class Scanner:
     """Ranks and confirms templates for blocks, in one worker."""
 
@@ -172,12 +236,25 @@ class Scanner:
         saved = [(alone - len(self.primed[k].compress(raw)), k) for k in (range(len(self.templates)) if among is None else among)]
         return sorted(((s, k) for s, k in saved if s > 0), key=lambda x: (-x[0], len(self.templates[x[1]].text), x[1]))
 
-    def tells(self, added: list[str], k: int) -> bool:
-        """Whether words that a block adds to a template's wording tell another licence."""
-        return any((w in _TELLING or _VERSION.match(w)) and w not in self.known[k] for w in added)
-
-    def confirm(self, block_words: list[str], k: int, behind: list[str]) -> tuple[int, str, int, int] | None:
-        """(words matched, differences, from, to) if the template's wording is there. ``behind``: the words after the block."""
+    def tells(self, added: list[str], k: int, denials: frozenset[str] = frozenset()) -> bool:
+        """Whether words that a block adds to a template's wording tell another licence, or are among ``denials``."""
+        return any((w in _TELLING or w in denials or _VERSION.match(w)) and w not in self.known[k] for w in added)
+
+    def own(self, added: list[str], k: int, again: bool = False) -> list[str]:
+        """``added`` without what belongs to another licence that it names: from the name up to the last "or" or "and" behind it, or to the end. ``again``: a name that the template has too is another's."""
+        first = next((i for i, w in enumerate(added) if w.split("-")[0] in _NAMES and (again or w not in self.known[k])), None)
+        if first is None:
+            return added
+        last = max((i for i, w in enumerate(added) if i > first and w in ("or", "and")), default=len(added))
+        return added[:first] + added[last + 1 :]
+
+    def confirm(self, block_words: list[str], k: int, behind: list[str]) -> tuple[int, str, int, int, frozenset[int], frozenset[int]] | None:
+        """(words matched, differences, from, to, places matched, places of key words) if the template's wording is there. ``behind``: the words after the block."""
+        placed = self._placed(block_words, k, behind)
+        return placed and placed[2]
+
+    def _placed(self, block_words: list[str], k: int, behind: list[str]) -> tuple[int, int, tuple | None] | None:
+        """(from, to, what ``confirm`` gives) of the place whose words are most like the template's; None if none are enough like them."""
         template, own = self.templates[k], self.words[k]
         if not set(template.keys) <= set(block_words):
             return None
@@ -186,18 +263,28 @@ class Scanner:
         matched = sum(m.size for m in parts)
         if matched < self.share * len(own):
             return None
-        have = {own[i] for m in parts for i in range(m.a, m.a + m.size)}
-        if not set(template.keys) <= have:
-            return None
+        at = {m.b + i: own[m.a + i] for m in parts for i in range(m.size)}
         # What lies between the first and the last match is the block's wording of the template.
         begin, end = parts[0].b, parts[-1].b + parts[-1].size
+        if not set(template.keys) <= set(at.values()):
+            return begin, end, None
         changes = [(own[a:b], block_words[c:d]) for op, a, b, c, d in matcher.get_opcodes() if op != "equal" and c >= begin and d <= end]
-        if any(self.tells(new, k) for _, new in changes):
-            return None
         after = (block_words[end : end + 8] + behind)[:8]
-        if after[:1] == ["or"] and self.tells(after, k):
-            return None
-        return matched, "; ".join(f"-{' '.join(old)}+{' '.join(new)}" for old, new in changes), begin, end
+        if any(self.tells(self.own(new, k), k, _DENIAL) for _, new in changes) or (after[:1] == ["or"] and self.tells(self.own(after, k, again=True), k)):
+            return begin, end, None
+        differences = "; ".join(f"-{' '.join(old)}+{' '.join(new)}" for old, new in changes)
+        return begin, end, (matched, differences, begin, end, frozenset(at), frozenset(i for i, w in at.items() if w in template.keys))
+
+    def _places(self, block_words: list[str], k: int, behind: list[str]) -> Iterator[tuple[int, tuple]]:
+        """(offset, what ``confirm`` gives) of every place of a template's wording: before and behind one there may be others."""
+        waiting = [(0, len(block_words))]
+        while waiting:
+            i, j = waiting.pop()
+            placed = self._placed(block_words[i:j], k, (block_words[j : j + 8] + behind)[:8])
+            if placed is not None:
+                if placed[2]:
+                    yield i, placed[2]
+                waiting += [(i, i + placed[0]), (i + placed[1], j)]
 
     @staticmethod
     def _nearest(parts: list, length: int) -> list:
@@ -212,37 +299,47 @@ class Scanner:
                 best, most = (i, j + 1), held
         return parts[best[0] : best[1]]
 
-    def licences(self, t: _Text, i: int, j: int) -> list[tuple]:
-        """(license_id, rank, saved, template's words, matched, differences, from, to) of the licences confirmed in words i..j of a text."""
+    @staticmethod
+    def denied(t: _Text, at: int) -> bool:
+        """Whether a word shortly before word ``at``, in its sentence, denies what follows."""
+        for i in range(at - 1, max(-1, at - 1 - DENIED), -1):
+            if re.search(r"[.;:!?]\s|\n\s*\n", t.text[t.end[i] : t.start[i + 1]]):
+                return False
+            if t.words[i] in _DENIAL:
+                return t.words[i] != "t" or t.text[t.end[i - 1] : t.start[i]] in ("'", "’")
+        return False
+
+    def licences(self, t: _Text, i: int, j: int) -> list[_Found]:
+        """The licences confirmed in words i..j of a text."""
         own = t.words[i:j]
         have = set(own)
-        among = [k for k, x in enumerate(self.templates) if set(x.keys) <= have]
+        among = {k for k, x in enumerate(self.templates) if set(x.keys) <= have}
         if not among:
             return []
-        found: dict[str, tuple] = {}
-        for rank, (saved, k) in enumerate(self.rank(t.text[t.start[i] : t.end[j - 1]], among), 1):
-            good = self.confirm(own, k, t.words[j : j + 8])
-            name = self.templates[k].license_id
-            if good and (name not in found or found[name][4] < good[0]):
-                found[name] = (name, rank, saved, len(self.words[k]), good[0], good[1], i + good[2], i + good[3])
-        rows = list(found.values())
-        return [x for x in rows if not any(y[4] > x[4] and y[6] <= x[6] and x[7] <= y[7] for y in rows)]
+        found = []
+        for rank, (saved, k) in enumerate(self.rank(t.text[t.start[i] : t.end[j - 1]]), 1):
+            for at, good in self._places(own, k, t.words[j : j + 8]) if k in among else ():
+                at += i
+                if not self.denied(t, at + good[2]):
+                    found.append(_Found(self.templates[k].license_id, rank, saved, len(self.words[k]), *good[:2], at + good[2], at + good[3], frozenset(at + x for x in good[4]), frozenset(at + x for x in good[5])))
+        # Of one licence in one place the wording of which most is there, of such the first by rank.
+        return [x for x in found if not any(y.holds(x) and (y.matched > x.matched or (y.matched == x.matched and y.license_id == x.license_id and (y.rank, y.begin) < (x.rank, x.begin))) for y in found)]
 
     def scan(self, text: str) -> Iterator[tuple]:
         """(first line, last line, license_id, rank, saved, template's words, matched, differences)."""
         t = _Text(text)
         if not t.cues or not t.words:
             return
-        found: list[tuple] = []
+        found: list[tuple[int, int, _Found]] = []
         for blocks in (t.near(), t.wide(self.reach)):
             for i, j, first, last in blocks:
                 for r in self.licences(t, i, j):
                     # What stands in the same place is the same finding, or less of it.
-                    if not any(f[8] < r[7] and r[6] < f[9] and f[6] >= r[4] for f in found):
-                        found.append((first, last, *r))
-        for f in found:
-            if not any(g[6] > f[6] and g[8] < f[9] and f[8] < g[9] and (g[2] == f[2] or (g[8] <= f[8] and f[9] <= g[9])) for g in found):
-                yield f[:8]
+                    if not any(f.matched >= r.matched and f.holds(r) for _, _, f in found):
+                        found.append((first, last, r))
+        for first, last, f in found:
+            if not any(g.matched > f.matched and g.holds(f) for _, _, g in found):
+                yield first, last, *f[:6]
 
 
 class LicenseScan:

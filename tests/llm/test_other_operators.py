@@ -217,6 +217,64 @@ def test_added_words_that_tell_another_licence(text, wanted):
     assert {r[2] for r in Scanner(TEMPLATES, 0.8).scan(text)} == wanted
 
 
+@pytest.mark.parametrize(
+    "text, wanted",
+    [
+        ("Licensed under the MIT license or the Apache License, Version 2.0.", {"MIT", "Apache-2.0"}),
+        ("Licensed under the Apache License, Version 2.0 or the MIT license.", {"MIT", "Apache-2.0"}),
+        ("Licensed under the Apache License, Version 2.0, or, at your choice, released under the MIT License.", {"MIT", "Apache-2.0"}),
+        ("This work is licensed under the GNU General Public License, version 2, or licensed under CC BY-SA 4.0.", {"GPL-2.0", "CC-BY-SA-4.0"}),
+        ("SPDX-License-Identifier: MIT", {"MIT"}),
+        ("// SPDX-License-Identifier: Apache-2.0", {"Apache-2.0"}),
+        ("/* SPDX-License-Identifier: GPL-2.0+ */", {"GPL-2.0-or-later"}),
+        ("SPDX-License-Identifier: GPL-2.0-only", {"GPL-2.0"}),
+        ("# SPDX-License-Identifier: MIT OR Apache-2.0", {"MIT", "Apache-2.0"}),
+        ("SPDX-License-Identifier: (BSD-3-Clause AND ISC)", {"BSD-3-Clause", "ISC"}),
+        ("This project is not released under the MIT License.", set()),
+        ("It isn't licensed under the MIT license.", set()),
+        ("Some of it was never, as people say, released under the MIT License.", set()),
+        ("This is not ours. Released under the MIT License.", {"MIT"}),
+        ("That is not so\n\nReleased under the MIT License.", {"MIT"}),
+        ("Released, but not under the MIT License.", set()),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n\nPreamble", {"GPL-3.0"}),
+        ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.", {"LGPL-3.0"}),
+    ],
+)
+def test_dual_licences_spdx_lines_denials_and_full_texts(text, wanted):
+    for around in ("", "prose of a river and a mill\n" * 40):
+        assert {r[2] for r in Scanner(TEMPLATES, 0.8).scan(f"{around}{text}\n{around}")} == wanted
+
+
+def test_a_name_clause_tells_another_licence():
+    mit = wrapped(template("MIT"))
+    clause = wrapped(template("X11")[len(template("MIT")) :].replace("the X Consortium", "the Mill Owners"))
+    assert {r[2] for r in Scanner(TEMPLATES, 0.8).scan(f"{mit}\n\n{clause}")} == {"X11"}
+    assert {r[2] for r in Scanner(TEMPLATES, 0.8).scan(mit)} == {"MIT"}
+
+
+def test_of_any_two_licences_side_by_side_none_is_lost():
+    """Every pair of whole wordings with "or", "and" or a line between; equal names, and wordings that contain one another, give the one."""
+    scanner = Scanner(TEMPLATES, 0.8)
+    chosen = {}
+    for t in TEMPLATES:
+        if not t.text.startswith("SPDX") and not t.text.startswith("GNU "):
+            chosen.setdefault(t.license_id, t)
+    for a in chosen.values():
+        for b in chosen.values():
+            if a.license_id == b.license_id:
+                continue
+            for between in ("\n\n", ".\nOr: "):
+                got = {r[2] for r in scanner.scan(a.text.rstrip(".") + "." * (between == "\n\n") + between + b.text)}
+                assert got == {a.license_id, b.license_id}, (a.text[-60:], between, b.text[:60])
+
+
+def test_ranks_are_among_all_templates():
+    scanner = Scanner(TEMPLATES, 0.8)
+    text = "Released under the MIT License."
+    order = [k for _, k in scanner.rank(text)]
+    assert [r[3] - 1 for r in scanner.scan(text)] == [next(i for i, k in enumerate(order) if TEMPLATES[k].license_id == "MIT" and scanner.confirm(words(text), k, []) and len(scanner.words[k]) == 5)]
+
+
 def test_licences_in_one_line_of_any_length():
     scanner = Scanner(TEMPLATES, 0.8)
     prose = "the river ran past the mill and the licence of the people was long " * 700
