@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from corpusloom.functions import text as X
 from corpusloom.functions.vectors import cosine, vector_literal
 
 MODULE_TOP_K, SYMBOL_TOP_K, RELATED_LIMIT, CONTEXT_TOKENS = 3, 5, 4, 256
+#: Shares of a hub's neighbours.
+SALTS = 16
 MODULE_KEYS = ("module_name", "module_path")
 SYMBOL_TIES = ("module_name", "qualified_name", "file_path", "start_line", "symbol_id")
 
@@ -50,9 +54,22 @@ def related(hits: DataFrame, calls: DataFrame, symbols: DataFrame, limit: int |
         return pairs.join(symbols, "symbol_id").withColumn("direction", F.lit(direction))
 
     both = side("callers", "callee_symbol_id", "caller_symbol_id").unionByName(side("callees", "caller_symbol_id", "callee_symbol_id"))
-    order = Window.partitionBy("hit_id", "direction").orderBy("qualified_name", "file_path", "symbol_id")
-    ranked = both.withColumn("rank", F.row_number().over(order))
-    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    order = ("qualified_name", "file_path", "symbol_id")
+    if limit is not None:
+        return top_rows(both, ("hit_id", "direction"), order, limit)
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("hit_id", "direction").orderBy(*order)))
+
+
+def top_rows(rows: DataFrame, key: Sequence[str], order: Sequence[str], limit: int, salts: int = SALTS, salt: str = "symbol_id") -> DataFrame:
+    """The first ``limit`` rows of each key in an order, with their ``rank`` from 1, however many rows a key has.
+
+    What a key's rows leave is a table of ``limit`` rows: each task makes one before the shuffle, tasks of ``salts`` shares of the key merge those, and one
+    merges the shares' tables. So a key of any size hands no task more than ``limit`` rows a share and task. ``order`` has to tell rows apart.
+    """
+    share = F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")
+    by = Window.partitionBy(*key, "_share").orderBy(*order)
+    shares = rows.withColumn("_share", share).withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= limit).drop("_rank", "_share")
+    return shares.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= limit)
 
 
 def context_lines(hits: DataFrame, relations: DataFrame, gap: str = "- ") -> DataFrame:

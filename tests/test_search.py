@@ -75,3 +75,36 @@ def test_metrics(spark):
     assert got["structural"]["mrr"] == 0.0 and got["overall"]["queries"] == 3
     assert got["overall"]["mrr"] == pytest.approx((1 / 2 + 1 / 7) / 3)
     assert evaluation.precision_at(spark.createDataFrame([(1, 1, True), (1, 6, True), (1, 2, False)], "query_id int, rank int, relevant boolean")).first()["precision"] == 0.2
+
+
+def largest_task(spark, action):
+    """The most rows that a task read from a shuffle while ``action`` ran, from Spark's own status store."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    seen = {s.stageId() for s in _stages(store)}
+    action()
+    most = 0
+    for s in _stages(store):
+        if s.stageId() not in seen and s.numCompleteTasks():
+            tasks = store.taskList(s.stageId(), s.attemptId(), 100_000)
+            for k in range(tasks.size()):
+                m = tasks.apply(k).taskMetrics()
+                if m.isDefined():
+                    most = max(most, m.get().shuffleReadMetrics().recordsRead())
+    return most
+
+
+def _stages(store):
+    found = store.stageList(None, *(getattr(store, f"stageList$default${k}")() for k in (2, 3, 4, 5)))
+    return [found.apply(k) for k in range(found.size())]
+
+
+def test_a_hub_of_a_million_rows_is_in_no_task_whole(spark):
+    """A key's million rows are merged as tables of a few."""
+    rows = spark.range(0, 1_000_000, 1, 16).select(F.lit(7).alias("hit_id"), F.lit("callers").alias("direction"), F.concat(F.lit("n"), (F.col("id") * 7919 % 1_000_003).cast("string")).alias("qualified_name"), F.lit("f").alias("file_path"), F.col("id").alias("symbol_id"))
+    few = spark.createDataFrame([(8, "callees", f"z{i}", "f", -i) for i in range(3)], "hit_id int, direction string, qualified_name string, file_path string, symbol_id long")
+    got = []
+    top = search.top_rows(rows.unionByName(few), ("hit_id", "direction"), ("qualified_name", "file_path", "symbol_id"), 4)
+    most = largest_task(spark, lambda: got.extend(top.collect()))
+    names = sorted(f"n{i * 7919 % 1_000_003}" for i in range(1_000_000))[:4]
+    assert sorted((r["hit_id"], r["rank"], r["qualified_name"]) for r in got) == [(7, k, n) for k, n in enumerate(names, 1)] + [(8, k, f"z{k - 1}") for k in (1, 2, 3)]
+    assert 0 < most < 5000
