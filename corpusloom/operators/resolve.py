@@ -1,29 +1,99 @@
-"""Names to symbols: the innermost scope that has the name wins, then any symbol of that short name."""
+"""Names to symbols: the innermost scope that has the name wins, then any symbol of that short name.
+
+A reference may mean as many names as its scope is deep, and most of those exist nowhere. A Bloom filter of the known names, built by partial aggregates
+and of bounded size, passes over the candidates before they are shuffled, so that little more moves than what resolves. A name that very many
+references share would be one task's work in a join: such names are counted first, and their rows dealt over salts, those of the other side copied to each.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.session import durable, prepare
+
+#: Rows of one name that a task may get.
+HOT_ROWS = 1_000_000
+#: log2 of the filter's bits at most (16 MB), and bits to a name; with more names than that allows nothing is filtered.
+MOST_BITS, NAME_BITS = 27, 12
+
+
+def _places(name: Column, bits: int) -> list[Column]:
+    """Three places of a name in a filter of 2 ** bits bits."""
+    return [F.pmod(F.xxhash64(F.lit(k), name), F.lit(1 << bits)) for k in range(3)]
+
+
+def name_filter(names: DataFrame, column: str = "qualified_name") -> tuple[int, np.ndarray] | None:
+    """(log2 of its bits, bits packed in bytes) of a Bloom filter of distinct names; None if there are too many."""
+    n = names.count()
+    bits = max(15, (max(1, n) * NAME_BITS - 1).bit_length())
+    if bits > MOST_BITS:
+        return None
+    places = names.select(F.explode(F.array(*_places(F.col(column), bits))).alias("at"))
+    # Pages of 2 ** 15 bits, made map-side first: 2 ** (bits - 3) bytes in all.
+    page = F.bitmap_bucket_number("at")
+    pages = places.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in pages.collect():
+        # Pages count from 1; page 0 holds place 0 alone.
+        held = np.frombuffer(r["bits"], np.uint8)
+        at = np.flatnonzero(np.unpackbits(held, bitorder="little")) + (max(0, r["page"] - 1) << 15) + (r["page"] > 0)
+        np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return bits, out
+
+
+def maybe_known(candidates: DataFrame, known: tuple[int, np.ndarray], column: str = "qualified_name") -> DataFrame:
+    """``candidates`` without those whose name the filter has not."""
+    spark = candidates.sparkSession
+    prepare(spark)
+    bits, packed = known
+    held = spark.sparkContext.broadcast(packed)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.ones(batch.num_rows, bool)
+            for column in batch.columns[-3:]:
+                at = column.to_numpy(zero_copy_only=False)
+                good &= (held.value[at >> 3] >> (at & 7)) & 1 > 0
+            out = batch.filter(pa.array(good))
+            yield out.select(out.schema.names[:-3])
+
+    placed = candidates.select("*", *(c.alias(f"_place{k}") for k, c in enumerate(_places(F.col(column), bits))))
+    return placed.mapInArrow(keep, candidates.schema)
+
+
+def join_hot(left: DataFrame, right: DataFrame, column: str, by: str, how: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``left`` joined with ``right``, where ``column`` is unique; names of ``hot_rows`` rows of ``left`` or more are dealt over salts of ``by``."""
+    counts = left.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n")).where(F.col("_n") >= hot_rows)
+    # At most one row for each ``hot_rows`` rows of ``left``.
+    hot = durable(counts.select(column, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")))
+    if hot.isEmpty():
+        return left.join(right, column, how)
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = left.join(F.broadcast(hot), column, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
+    copied = right.join(F.broadcast(hot), column, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(copied, [column, "_salt"], how).drop("_salt")
 
 
-def resolve_names(references: DataFrame, symbols: DataFrame) -> DataFrame:
+def resolve_names(references: DataFrame, symbols: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each reference (ref_id, source_name, target) with ``resolved_id``, null if nothing has the name.
 
     ``symbols``: (symbol_id, qualified_name); of several with one name the smallest id counts. Unqualified
     targets that no scope has fall back to the first symbol of that short name.
     """
-    exact = symbols.groupBy("qualified_name").agg(F.min("symbol_id").alias("exact_id"))
-    short = symbols.groupBy(X.short_name(F.col("qualified_name")).alias("short")).agg(F.min("symbol_id").alias("short_id"))
+    exact = symbols.where("qualified_name is not null").groupBy("qualified_name").agg(F.min("symbol_id").alias("exact_id"))
+    short = symbols.where("qualified_name is not null").groupBy(X.short_name(F.col("qualified_name")).alias("short")).agg(F.min("symbol_id").alias("short_id"))
     candidates = references.select("ref_id", F.posexplode(X.candidate_names(F.col("source_name"), F.col("target"))).alias("pos", "qualified_name"))
-    first = candidates.join(exact, "qualified_name").groupBy("ref_id").agg(F.min_by("exact_id", "pos").alias("exact_id"))
-    plain = ~F.contains(F.col("target"), F.lit("::"))
-    return (
-        references.join(first, "ref_id", "left")
-        .join(short, (F.col("target") == F.col("short")) & plain, "left")
-        .select(*references.columns, F.coalesce("exact_id", "short_id").alias("resolved_id"))
-    )
+    known = name_filter(exact)
+    likely = candidates if known is None else maybe_known(candidates, known)
+    first = join_hot(likely, exact, "qualified_name", "ref_id", "inner", hot_rows).groupBy("ref_id").agg(F.min_by("exact_id", "pos").alias("exact_id"))
+    found = references.join(first, "ref_id", "left").withColumn("short", F.when(~F.contains("target", F.lit("::")) & F.col("exact_id").isNull(), F.col("target")))
+    return join_hot(found, short, "short", "ref_id", "left", hot_rows).select(*references.columns, F.coalesce("exact_id", "short_id").alias("resolved_id"))
 
 
 def touched(references: DataFrame, names: DataFrame) -> DataFrame:
