@@ -14,8 +14,8 @@
    vectors has m x m of those.
 5. The result is audited: all rows whose id is divisible by 100, in slices of ``AUDIT_BYTES``, are compared with all rows. Recall is
    links counted to links there are, averaged over queries, apart for each power of two of their links; the least of these
-   averages counts, so no large cluster outweighs rare links. Below ``recall`` rounds go on, up to ``MORE`` times ``rounds``,
-   then the operator fails. The recall reached is kept in ``last_recall``; None: no query has a link, and nothing is known.
+   averages counts, so no large cluster outweighs rare links. Where none of those rows links, one slice more is drawn from all rows by a hash. Below ``recall``
+   rounds go on, up to ``MORE`` times ``rounds``, then the operator fails. The recall reached is kept in ``last_recall``; None: none of either has a link.
 
 A group or leaf of more than ``TILE`` classes is cut into tiles and its pairs of tiles are compared, each in a task of its
 own; over ``TILES`` tiles, a round compares only within tiles, dealt anew in each: the rest is left to other rounds and, within a
@@ -121,6 +121,8 @@ class EmbeddingDedup:
         vectors = classes.select("node", "n", "dim", "x")
         n = classes.count()
         truth = self._audit(classes)
+        if truth.isEmpty():
+            truth = self._audit(self._drawn(classes))
         graph, forest, last = None, None, self.rounds
         before, still = -1, 0
         for r in range(MORE * self.rounds):
@@ -295,6 +297,13 @@ class EmbeddingDedup:
         counts = sides.mapInArrow(tidied(count), "node long, others long").groupBy("node").agg(F.sum("others").alias("others"))
         return durable(labels.join(counts, "node", "left").select("node", "label", F.coalesce("others", F.lit(0)).alias("others")))
 
+    @staticmethod
+    def _drawn(classes: DataFrame) -> DataFrame:
+        """``classes`` with about ``AUDIT_BYTES`` of them as queries, by a hash of their keys; all if there are no more."""
+        total = classes.agg(F.coalesce(F.sum(F.length("x") + 16), F.lit(0))).first()[0]
+        share = min(1 << 30, math.ceil(AUDIT_BYTES / max(1, total) * (1 << 30)))
+        return classes.withColumn("query", F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share)
+
     def _audit(self, classes: DataFrame) -> DataFrame:
         """(q, n): for each audited class that links, the rows of other classes that do, by comparing it with all."""
         threshold = self.threshold + SLACK
