@@ -832,13 +832,16 @@ def edges_to_unknown(spark, sf_dir):
     return dml.missing_symbols(ends, ["a", "b"], c.symbols.select("symbol_id"))
 
 
-@query(f"""WITH {_GRAPH}, hits AS (SELECT * FROM named WHERE symbol_id >= {SUPPLIERS}), related AS (SELECT h.symbol_id AS hit_id, row_number() OVER (PARTITION BY h.symbol_id ORDER BY n.qualified_name, n.file_path, n.symbol_id) AS rank, n.*
-  FROM hits h JOIN calls ON callee = h.symbol_id JOIN named n ON n.symbol_id = caller)
-SELECT h.symbol_id, 'Symbol: ' || h.qualified_name || chr(10) || 'Module: ' || h.module_name || chr(10) || 'Source: ' || h.file_path || ' ' || h.start_line || coalesce(chr(10) || 'Callers:' || chr(10) || listed, '') AS context
-FROM hits h LEFT JOIN (SELECT hit_id, string_agg('- ' || qualified_name || CASE WHEN signature <> '' THEN ' :: ' || signature ELSE '' END || ' [' || module_name || ']', chr(10) ORDER BY rank) AS listed FROM related GROUP BY hit_id) ON hit_id = h.symbol_id""")
+@query(f"""WITH {_GRAPH}, ends AS (SELECT callee AS hit_id, caller AS other, 'callers' AS direction FROM calls UNION ALL SELECT caller, callee, 'callees' FROM calls),
+listed AS (SELECT hit_id, direction, string_agg('- ' || qualified_name || CASE WHEN signature <> '' THEN ' :: ' || signature ELSE '' END || ' [' || module_name || ']', chr(10) ORDER BY qualified_name, file_path, symbol_id) AS lines
+  FROM ends JOIN named n ON n.symbol_id = other GROUP BY ALL)
+SELECT symbol_id, 'Symbol: ' || qualified_name || chr(10) || 'Module: ' || module_name || CASE WHEN signature <> '' THEN chr(10) || 'Signature: ' || signature ELSE '' END || chr(10) || 'Source: ' || file_path || ' ' || start_line
+  || coalesce(chr(10) || 'Callers:' || chr(10) || a.lines, '') || coalesce(chr(10) || 'Callees:' || chr(10) || b.lines, '') AS context
+FROM named LEFT JOIN listed a ON a.hit_id = symbol_id AND a.direction = 'callers' LEFT JOIN listed b ON b.hit_id = symbol_id AND b.direction = 'callees'""")
 def unbudgeted_context(spark, sf_dir):
+    """Everything about every symbol: a line for each caller and callee, without a limit."""
     c = StarCorpus(spark, sf_dir)
-    hits = c.named_symbols.where(F.col("symbol_id") >= SUPPLIERS).withColumn("source_text", F.concat_ws(" ", "file_path", F.col("start_line").cast("string")))
+    hits = c.named_symbols.withColumn("source_text", F.concat_ws(" ", "file_path", F.col("start_line").cast("string")))
     return search.retrieve(hits, c.calls, c.named_symbols, None, None, "-").select("symbol_id", "context")
 
 
