@@ -10,6 +10,9 @@ Centres and code books are fitted on ``sample`` vectors at most, chosen by a has
 square root of the number of vectors, up to MAX_CELLS: their centres are held by every task while vectors are dealt out. A cell of any size is written in files of
 limited size, sorted by id.
 
+A change adds a part: its vectors are dealt to the cells there are, and ids that go or come again void the rows of earlier parts. After MAX_PARTS changes
+the index is built anew, with centres for what it holds by then.
+
 Scores are cosines, rounded and ordered as in ``operators.topk``. Vectors without direction (null, zero, non-finite, of another dimension than most) are in no
 cell and never found; nor are rows without an id. Without vectors an index is empty and finds nothing.
 """
@@ -19,12 +22,14 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.functions.vectors import cosine, vector_literal
 from corpusloom.operators import topk
@@ -33,6 +38,7 @@ from corpusloom.sources.vector_store import PAYLOAD
 
 SAMPLE, MAX_CELLS, PARTS, CODES, ROUNDS = 65_536, 4096, 16, 256, 12
 PROBES, REFINE = 8, 20
+MAX_PARTS = 16
 _OWN = ("cell", "id", "code", "off", "near", "vector")
 #: Bounds are loosened by this much, as sums are rounded.
 _SLACK = 1e-6
@@ -89,13 +95,22 @@ def cuts_of(dimension: int, parts: int) -> list[tuple[int, int]]:
     return list(zip(at, at[1:], strict=False))
 
 
+def _rows(vectors: DataFrame, id_col: str, vector_col: str, carry: Sequence[str]) -> DataFrame:
+    return vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), *carry)
+
+
+def _partitioned(dealt: DataFrame) -> StructType:
+    """The schema of stored rows: the partition's column comes last."""
+    return StructType([f for f in dealt.schema if f.name != "cell"] + [dealt.schema["cell"]])
+
+
 class VectorIndex:
     """An index below ``root``, any path that Spark reads; ``build`` replaces it, readers see the old or the new one."""
 
     def __init__(self, spark: SparkSession, root: str, parts: int = PARTS, sample: int = SAMPLE, cells: int | None = None) -> None:
         """``cells``: their number, by the number of vectors if None."""
         self.spark, self.root, self.parts, self.sample, self.cells = spark, root.rstrip("/"), parts, sample, cells
-        self._state: tuple[str, Model, np.ndarray, np.ndarray] | None = None
+        self._state: tuple[dict, Model, np.ndarray, np.ndarray] | None = None
 
     # --- building ------------------------------------------------------------------------------
 
@@ -103,7 +118,7 @@ class VectorIndex:
         """Index ``vectors``; other columns are kept beside them. Returns the number of vectors indexed."""
         prepare(self.spark)
         carry = [c for c in vectors.columns if c not in (id_col, vector_col) and c not in _OWN]
-        rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), *carry)
+        rows = _rows(vectors, id_col, vector_col, carry)
         usual = rows.where(F.size("vector") > 0).groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
         folder = f"build-{uuid.uuid4().hex}"
         n = 0
@@ -112,7 +127,27 @@ class VectorIndex:
             model = self._fit(rows, usual["d"], usual["n"])
             if model is not None:
                 n = self._write(rows, model, folder)
-        self._publish(folder, n)
+        self._publish({"folder": folder, "vectors": n, "parts": []})
+        return n
+
+    def update(self, vectors: DataFrame, gone: DataFrame | None = None, id_col: str = "id", vector_col: str = "vector") -> int:
+        """Put ``vectors`` (with the columns of the build) in place of rows of the same ids, and take away the ids of ``gone``. Returns the number of vectors then indexed."""
+        state = self._open()
+        if state is None:
+            return self.build(vectors, id_col, vector_col)
+        prepare(self.spark)
+        current, model = state[:2]
+        carry = [c for c in self.rows().columns if c not in _OWN]
+        rows = _rows(vectors, id_col, vector_col, carry)
+        part = f"part-{uuid.uuid4().hex}"
+        void = rows.select("id") if gone is None else rows.select("id").unionByName(gone.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")))
+        void.distinct().write.parquet(f"{self.root}/{part}/gone")
+        self._store(self._dealt(rows.where(F.size("vector") == model.dimension), model), part)
+        self._publish(current | {"parts": [*current["parts"], part]})
+        if len(current["parts"]) + 1 >= MAX_PARTS:
+            return self.build(self.rows().select("id", "vector", *carry))
+        n = self.rows().select("id").count()
+        self._publish(self._current() | {"vectors": n})
         return n
 
     def _fit(self, rows: DataFrame, dimension: int, n: int) -> Model | None:
@@ -143,6 +178,13 @@ class VectorIndex:
         return Model(np.array(by[-1]), [np.array(by[p]) for p in range(parts)]) if by[-1] else None
 
     def _write(self, rows: DataFrame, model: Model, folder: str) -> int:
+        n = self._store(self._dealt(rows, model), folder)
+        centres = [(-1, k, c.tolist()) for k, c in enumerate(model.centres)] + [(p, k, c.tolist()) for p, book in enumerate(model.books) for k, c in enumerate(book)]
+        self.spark.createDataFrame(centres, "part int, number int, centre array<double>").coalesce(1).write.parquet(f"{self.root}/{folder}/model")
+        return n
+
+    def _dealt(self, rows: DataFrame, model: Model) -> DataFrame:
+        """``rows`` with their cells and codes; those without direction go."""
         held = self.spark.sparkContext.broadcast(model)
         carry = [c for c in rows.columns if c not in ("id", "vector")]
 
@@ -162,31 +204,31 @@ class VectorIndex:
 
         kinds = dict(rows.dtypes)
         schema = ", ".join(["cell int", "id long", "code binary", "off double", "near double", "vector array<float>", *(f"`{c}` {kinds[c]}" for c in carry)])
-        dealt = rows.mapInArrow(deal, schema)
+        return rows.mapInArrow(deal, schema)
+
+    def _store(self, dealt: DataFrame, folder: str) -> int:
         # Cells of any size make files of limited size: large ones are split, small ones share a task.
         dealt.hint("rebalance", "cell").sortWithinPartitions("cell", "id").write.partitionBy("cell").parquet(f"{self.root}/{folder}/rows")
-        stats = self.spark.read.parquet(f"{self.root}/{folder}/rows").groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("near"))
+        stats = self.spark.read.schema(_partitioned(dealt)).parquet(f"{self.root}/{folder}/rows").groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("near"))
         stats.coalesce(1).write.parquet(f"{self.root}/{folder}/cells")
-        centres = [(-1, k, c.tolist()) for k, c in enumerate(model.centres)] + [(p, k, c.tolist()) for p, book in enumerate(model.books) for k, c in enumerate(book)]
-        self.spark.createDataFrame(centres, "part int, number int, centre array<double>").coalesce(1).write.parquet(f"{self.root}/{folder}/model")
         return self.spark.read.parquet(f"{self.root}/{folder}/cells").agg(F.sum("n")).first()[0] or 0
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def _publish(self, folder: str, n: int) -> None:
-        """Make a build current; what was before is deleted."""
-        at, new = self._path("current.json"), self._path(f"{folder}.json")
+    def _publish(self, manifest: dict) -> None:
+        """Make a manifest current; folders that it doesn't name any more are deleted."""
+        at, new = self._path("current.json"), self._path(f"writing-{uuid.uuid4().hex}.json")
         fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
         before = self._current()
         out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"folder": folder, "vectors": n}).encode()))
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
         fs.delete(at, False)
         if not fs.rename(new, at):
             raise RuntimeError(f"{self.root} could not be published")
-        if before is not None:
-            delete_folder(self.spark, f"{self.root}/{before['folder']}")
+        for old in {before["folder"], *before["parts"]} - {manifest["folder"], *manifest["parts"]} if before else ():
+            delete_folder(self.spark, f"{self.root}/{old}")
         self._state = None
 
     # --- reading -------------------------------------------------------------------------------
@@ -202,18 +244,19 @@ class VectorIndex:
         finally:
             stream.close()
 
-    def _open(self) -> tuple[str, Model, np.ndarray, np.ndarray] | None:
-        """The current build's folder, model, cells that have vectors and how close to its centre each reaches."""
+    def _open(self) -> tuple[dict, Model, np.ndarray, np.ndarray] | None:
+        """The current manifest, model, cells that have vectors and how close to its centre each reaches."""
         current = self._current()
         if current is None or not current["vectors"]:
             return None
-        if self._state is None or self._state[0] != current["folder"]:
+        if self._state is None or self._state[0] != current:
             folder = f"{self.root}/{current['folder']}"
             rows = sorted(self.spark.read.parquet(f"{folder}/model").collect())  # centres of cells and code books: bounded
             of = lambda p: np.array([r["centre"] for r in rows if r["part"] == p])
             model = Model(of(-1), [of(p) for p in range(max(r["part"] for r in rows) + 1)])
-            stats = sorted(self.spark.read.parquet(f"{folder}/cells").collect())
-            self._state = (current["folder"], model, np.array([r["cell"] for r in stats]), np.array([r["near"] for r in stats]))
+            every = self.spark.read.schema("cell int, n long, near double").parquet(*(f"{self.root}/{f}/cells" for f in (current["folder"], *current["parts"])))
+            stats = sorted(every.groupBy("cell").agg(F.min("near").alias("near")).collect())
+            self._state = (current, model, np.array([r["cell"] for r in stats]), np.array([r["near"] for r in stats]))
         return self._state
 
     @property
@@ -222,7 +265,15 @@ class VectorIndex:
 
     def rows(self) -> DataFrame:
         """The indexed vectors with all columns; filters on ``cell`` prune files."""
-        return self.spark.read.parquet(f"{self.root}/{self._open()[0]}/rows")
+        current = self._open()[0]
+        base = self.spark.read.parquet(f"{self.root}/{current['folder']}/rows")
+        if not current["parts"]:
+            return base
+        parts = [self.spark.read.schema(base.schema).parquet(f"{self.root}/{p}/rows").withColumn("_part", F.lit(k)) for k, p in enumerate(current["parts"], 1)]
+        gone = [self.spark.read.schema("id long").parquet(f"{self.root}/{p}/gone").select(F.col("id").alias("_id"), F.lit(k).alias("_since")) for k, p in enumerate(current["parts"], 1)]
+        void = reduce(DataFrame.unionByName, gone).groupBy("_id").agg(F.max("_since").alias("_since"))
+        every = reduce(DataFrame.unionByName, parts, base.withColumn("_part", F.lit(0)))
+        return every.join(void, (F.col("id") == F.col("_id")) & (F.col("_part") < F.col("_since")), "left_anti").drop("_part")
 
     @staticmethod
     def _reach(products: np.ndarray, near: np.ndarray) -> np.ndarray:

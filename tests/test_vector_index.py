@@ -161,3 +161,29 @@ def test_an_engine_asks_the_index(spark, tmp_path):
     assert answer["status"] == 200 and answer["body"]["symbols"][0]["qualified_name"] in ("lib::close_window", "lib")
     found = index.search([float(x) for x in vectors.where("qualified_name = 'lib::open_door'").first()["embedding"]], 1)
     assert found[0][0]["qualified_name"] == "lib::open_door" and set(found[0][0]) == set(PAYLOAD)
+
+
+@pytest.mark.parametrize("most", [16, 2])
+def test_changes_equal_a_full_scan(spark, tmp_path, monkeypatch, most):
+    from corpusloom.sources import vector_index
+
+    monkeypatch.setattr(vector_index, "MAX_PARTS", most)
+    index = VectorIndex(spark, str(tmp_path), parts=4)
+    held = dict(clustered(200, 11))
+    table = lambda rows: spark.createDataFrame([(i, v, f"n{i}") for i, v in rows], CORPUS + ", name string")
+    assert index.update(table(held.items())) == 200
+    changed = {i: v for i, v in clustered(260, 12) if i >= 180}  # twenty of them are there already
+    gone = [3, 5, 185, 999]
+    held = {i: v for i, v in (held | changed).items() if i not in gone or i == 185}
+    assert index.update(table([*changed.items(), (777, None)]), spark.createDataFrame([(i,) for i in gone if i != 185], "id long")) == len(held)
+    held = {i: v for i, v in held.items() if i != 190}
+    assert index.update(table([]), spark.createDataFrame([(190,)], "id long")) == len(held)
+    corpus = list(held.items())
+    queries = [c for c in corpus if c[0] % 20 == 0]
+    same(rows(index.search_many(spark.createDataFrame(queries, QUERIES), 5, probes=2, exact=True)), by_hand(queries, corpus, 5))
+    got = index.search_rows(held[200], 6, probes=1, exact=True).collect()
+    assert [r["id"] for r in got] == [w[2] for w in by_hand([(0, held[200])], corpus, 6)] and got[0]["name"] == "n200"
+    assert len(index._current()["parts"]) < most and len(list(tmp_path.glob("part-*"))) == len(index._current()["parts"])
+    if most == 16:
+        plan = index.candidates(np.array(held[200]), [1, 2])._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("cell") and "vector" not in index.candidates(np.array(held[200]), [1, 2])._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
