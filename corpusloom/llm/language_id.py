@@ -4,15 +4,18 @@ Each language's labelled sample becomes a suffix automaton. A text is parsed gre
 phrases that occur in the sample: the fewer phrases, the closer the language. Phrases are normalised by
 the bits that point into the sample (log2 of its length); the language that needs fewest wins.
 
-The automaton is a dense table of state by character, in which a missing transition already leads to the state
+The automaton is a table of state by character, in which a missing transition already leads to the state
 of a new phrase and carries a mark; so a parse is one table lookup per character, made for thousands of
 pieces of text at once. Pieces are parsed side by side as if each began a phrase; where the piece before ends within one,
 the parse is repeated from the state it ends in until both parses stand in one state, as all that follows is then the same. So
 the phrases are those of the whole text, wherever it is cut.
 
+Every character of a sample has a code of its own, and each language columns for its own characters only. Where states by
+columns would pass ``DENSE_CELLS``, as in scripts of thousands of characters, the rows of the table are laid over one another
+in one array, each cell with the state that it belongs to; both forms give the same phrases.
+
 Training reads a bounded sample: ``sample_docs`` labelled texts a language (those of the smallest hash), the first
-``sample_chars`` characters of each. The commonest ``ALPHABET`` characters of all samples have codes of their own; what is rarer,
-as in scripts of thousands of characters, shares ``SHARED`` codes by hash. Prediction sees the text only.
+``sample_chars`` characters of each. Prediction sees the text only.
 
 Defined cases: null text and text without a letter (Unicode category L) give ``und`` and score 0; so does every text if nothing is
 labelled. The score is 1 - best / second best, 1 if one language is known. Ties go to the first language
@@ -24,7 +27,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,8 @@ from corpusloom.llm.blocks import tidied
 from corpusloom.session import prepare
 
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 400
-ALPHABET, SHARED = 160, 32
+#: Cells (four bytes each) of a table that is kept with a place for every state and character.
+DENSE_CELLS = 1 << 24
 PIECE = 256
 PIECES_AT_ONCE = 1 << 13
 _LETTER = regex.compile(r"\p{L}")
@@ -74,25 +77,74 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return following
 
 
+class _Dense:
+    """Transitions with a place for every state and column; a state is the place where its row begins.
+
+    ``next`` gives the state that follows, negative (bit 31) where a new phrase begins; the last two columns are
+    for characters that the sample lacks and for padding, which changes nothing.
+    """
+
+    def __init__(self, states: list[dict[int, int]], columns: int) -> None:
+        width = columns + 2
+        table = np.full((len(states), width), -1, np.int64)
+        for s, following in enumerate(states):
+            table[s, list(following)] = list(following.values())
+        start = np.maximum(table[0], 0)  # a character that the sample lacks is a phrase of its own
+        fresh = np.broadcast_to(start * width, table.shape)
+        out = np.where(table >= 0, table * width, fresh | (1 << 31))
+        out[:, -1] = np.arange(len(states)) * width
+        self.flat = (out & 0xFFFFFFFF).astype(np.uint32).view(np.int32).reshape(-1)
+
+    def next(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        return self.flat[state + column]
+
+
+class _Sparse:
+    """The same transitions with the rows laid over one another: a cell counts for the state that owns it."""
+
+    TRIES = 64
+
+    def __init__(self, states: list[dict[int, int]], columns: int) -> None:
+        width = columns + 2
+        self.pad = columns + 1
+        cells = 4 * sum(map(len, states)) + 1
+        owner, target = [-1] * (cells + width), [0] * (cells + width)
+        base = [0] * len(states)
+        for s in sorted(range(len(states)), key=lambda s: (-len(states[s]), s)):
+            for attempt in range(self.TRIES):
+                at = (s * 2654435761 + attempt * 40503) % cells
+                if all(owner[at + c] < 0 for c in states[s]):
+                    break
+            else:
+                at = len(owner)
+                owner.extend([-1] * width)
+                target.extend([0] * width)
+            base[s] = at
+            for c, t in states[s].items():
+                owner[at + c], target[at + c] = s, t
+        self.base, self.owner, self.target = (np.array(x, np.int32) for x in (base, owner, target))
+        start = np.array([states[0].get(c, 0) for c in range(width)], np.uint32)
+        self.start = (start | np.uint32(1 << 31)).view(np.int32)
+
+    def next(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        cell = self.base[state] + column
+        to = np.where(self.owner[cell] == state, self.target[cell], self.start[column])
+        return np.where(column == self.pad, state, to)
+
+
 class CrossParser:
     """A parser for each language of ``samples`` (language to text)."""
 
-    def __init__(self, samples: dict[str, str]) -> None:
+    def __init__(self, samples: dict[str, str], dense_cells: int = DENSE_CELLS) -> None:
         self.languages = sorted(samples)
         texts = {k: self.normal(samples[k]) for k in self.languages}
-        found = [c for c, _ in sorted(Counter("".join(texts.values())).items(), key=lambda x: (-x[1], x[0])) if c != " "]
-        common, rare = found[:ALPHABET], found[ALPHABET:]
-        # Codes: the common characters, those that rarer ones share, white space and punctuation as one, one that no sample holds, padding.
-        shared = len(common)
-        self.space = shared + (SHARED if rare else 0)
-        self.other, self.pad, self.width = self.space + 1, self.space + 2, self.space + 3
-        self.code = np.full(0x110000, self.other, np.uint8)
-        for i, c in enumerate(common):
+        found = sorted(set("".join(texts.values())))
+        # Codes: the samples' characters, one for all that no sample holds, padding.
+        self.other, self.pad = len(found), len(found) + 1
+        self.code = np.full(0x110000, self.other, np.int32)
+        for i, c in enumerate(found):
             self.code[ord(c)] = i
-        for c in rare:
-            self.code[ord(c)] = shared + ord(c) * 2654435761 % (1 << 32) * SHARED // (1 << 32)
-        self.code[ord(" ")] = self.space
-        self.tables = [self._table(self.codes(texts[k])) for k in self.languages]
+        self.columns, self.tables = zip(*(self._table(self.codes(texts[k]), dense_cells) for k in self.languages), strict=True) if samples else ((), ())
         self.bits = np.array([math.log2(max(len(texts[k]), 4096)) for k in self.languages])
 
     @staticmethod
@@ -102,24 +154,22 @@ class CrossParser:
     def codes(self, normal: str) -> np.ndarray:
         return self.code[np.frombuffer(normal.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
-    def _table(self, codes: np.ndarray) -> np.ndarray:
-        states = suffix_automaton(codes.tolist())
-        table = np.full((len(states), self.width), -1, np.int64)
-        for s, following in enumerate(states):
-            for c, t in following.items():
-                table[s, c] = t
-        start = np.maximum(table[0], 0)  # a character that the sample lacks is a phrase of its own
-        fresh = np.broadcast_to(start * self.width, table.shape)
-        out = np.where(table >= 0, table * self.width, fresh | (1 << 31))
-        out[:, self.pad] = np.arange(len(states)) * self.width
-        return (out & 0xFFFFFFFF).astype(np.uint32).view(np.int32).reshape(-1)
+    def _table(self, codes: np.ndarray, dense_cells: int) -> tuple[np.ndarray, _Dense | _Sparse]:
+        """The column of each code in this language's table, and the table."""
+        own, columns = np.unique(codes, return_inverse=True)
+        column = np.full(self.pad + 1, len(own), np.int32)
+        column[own] = np.arange(len(own))
+        column[self.pad] = len(own) + 1
+        states = suffix_automaton(columns.tolist())
+        kind = _Dense if len(states) * (len(own) + 2) <= dense_cells else _Sparse
+        return column, kind(states, len(own))
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases that each text needs in each language."""
         arrays = [self.codes(self.normal(t)) for t in texts]
         pieces = np.array([-(-len(a) // PIECE) for a in arrays], np.int64)
         of = np.repeat(np.arange(len(texts)), pieces)
-        flat = np.full(int(pieces.sum()) * PIECE, self.pad, np.uint8)
+        flat = np.full(int(pieces.sum()) * PIECE, self.pad, np.int32)
         begin = (np.cumsum(pieces) - pieces) * PIECE
         for a, b in zip(arrays, begin.tolist(), strict=True):
             flat[b : b + len(a)] = a
@@ -127,17 +177,17 @@ class CrossParser:
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         goes_on = np.ones(len(rows), bool)
         goes_on[(np.cumsum(pieces) - pieces)[pieces > 0]] = False
-        for k, table in enumerate(self.tables):
+        for k, (column, table) in enumerate(zip(self.columns, self.tables, strict=True)):
             count, end = np.empty(len(rows), np.int64), np.empty(len(rows), np.int32)
             for at in range(0, len(rows), PIECES_AT_ONCE):
-                part = np.ascontiguousarray(rows[at : at + PIECES_AT_ONCE].T).astype(np.int32)
+                part = column[rows[at : at + PIECES_AT_ONCE].T]
                 count[at : at + part.shape[1]], end[at : at + part.shape[1]] = _parse(table, part)
-            self._carry(table, rows, goes_on, count, end)
+            self._carry(column, table, rows, goes_on, count, end)
             np.add.at(out[:, k], of, count)
         return out
 
     @staticmethod
-    def _carry(table: np.ndarray, rows: np.ndarray, goes_on: np.ndarray, count: np.ndarray, end: np.ndarray) -> None:
+    def _carry(column: np.ndarray, table: _Dense | _Sparse, rows: np.ndarray, goes_on: np.ndarray, count: np.ndarray, end: np.ndarray) -> None:
         """Correct the pieces' phrases and end states: a piece goes on in the state that the one before ends in."""
         entered = np.zeros(len(rows), np.int32)
         count[goes_on] -= 1  # its first phrase began before, unless the parse says otherwise
@@ -152,8 +202,8 @@ class CrossParser:
             for step in range(rows.shape[1]):
                 if not len(was):
                     break
-                c = rows[was, step].astype(np.int32)
-                old, new = table[old + c], table[new + c]
+                c = column[rows[was, step]]
+                old, new = table.next(old, c), table.next(new, c)
                 count[was] += (new < 0).astype(np.int64) - (old < 0)
                 old &= 0x7FFFFFFF
                 new &= 0x7FFFFFFF
@@ -178,12 +228,12 @@ class CrossParser:
         return result
 
 
-def _parse(table: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _parse(table: _Dense | _Sparse, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Phrases and end states of the columns of ``part``, each from the start."""
     state = np.zeros(part.shape[1], np.int32)
     count = np.ones(part.shape[1], np.int64)
     for step in part:
-        state = table[state + step]
+        state = table.next(state, step)
         count += state < 0
         state &= 0x7FFFFFFF
     return count, state

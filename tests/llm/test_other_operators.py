@@ -64,17 +64,19 @@ def phrases_by_hand(known, normal):
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="abc ", max_size=40), st.text(alphabet="abcd ", max_size=600))
 def test_phrases_are_the_longest_that_occur(sample, text):
-    parser = CrossParser({"x": sample})
+    parser, sparse = CrossParser({"x": sample}), CrossParser({"x": sample}, dense_cells=0)
+    assert sparse.phrases([text, text[7:]]).tolist() == parser.phrases([text, text[7:]]).tolist()
     known, normal = parser.normal(sample), parser.normal(text)
     # A phrase that begins with an unknown character ends at once: one of its own.
     if all(c in known for c in normal):
         assert parser.phrases([text])[0][0] == max(1, phrases_by_hand(known, normal)) or not normal
 
 
+@pytest.mark.parametrize("dense_cells", [1 << 24, 0])
 @pytest.mark.parametrize("sample", ["ab" * 700, "a" * 900, "abcabcab" * 90])
-def test_phrases_go_on_over_many_pieces(sample):
+def test_phrases_go_on_over_many_pieces(sample, dense_cells):
     """Phrases longer than a piece: every cut falls into one."""
-    parser = CrossParser({"x": sample})
+    parser = CrossParser({"x": sample}, dense_cells)
     for text in (sample, sample[5:] + "c" + sample, sample[::-1] + " " + sample):
         known, normal = parser.normal(sample), parser.normal(text)
         if all(c in known for c in normal):
@@ -109,11 +111,29 @@ def test_only_letters_tell_a_language():
 
 
 def test_scripts_of_many_characters_keep_apart():
+    """Thousands of characters, of which no two are taken for one another: phrases are those of the plain parse."""
     rng = np.random.default_rng(1)
     text = lambda lo, hi, n: "".join(chr(c) for c in rng.integers(lo, hi, n))
-    samples = {"x": text(0x4E00, 0x5000, 6000), "y": text(0x5100, 0x5300, 6000), "z": text(0xAC00, 0xAE00, 6000)}
+    samples = {"x": text(0x4E00, 0x6600, 6000), "y": text(0x6600, 0x9F00, 6000), "z": text(0xAC00, 0xD700, 6000), "en": "the dog and the cat " * 9}
     parser = CrossParser(samples)
-    assert [x for x, _ in parser.predict([v[100:400] for v in samples.values()])] == ["x", "y", "z"]
+    assert [type(t).__name__ for t in parser.tables] == ["_Dense", "_Sparse", "_Sparse", "_Sparse"]
+    assert [x for x, _ in parser.predict([v[100:400] for v in samples.values()])] == list(samples)
+    for k in ("x", "y", "z"):
+        mixed = "".join(samples[k][i : i + 3] for i in rng.integers(0, 5990, 300))
+        assert parser.phrases([mixed])[0][parser.languages.index(k)] == phrases_by_hand(samples[k], mixed)
+
+
+def test_languages_of_one_script_of_many_characters():
+    """The same thousands of characters in another order: only the phrases tell."""
+    rng = np.random.default_rng(2)
+    found = [chr(c) for c in range(0x4E00, 0x5E00)]
+    samples = {}
+    for k in ("a", "b"):
+        words = ["".join(found[i] for i in rng.integers(0, len(found), 4)) for _ in range(1500)]
+        samples[k] = "".join(words)
+    parser = CrossParser(samples)
+    texts = ["".join(samples[k][4 * i : 4 * i + 4] for i in rng.integers(0, 1500, 50)) for k in ("a", "b")]
+    assert [x for x, _ in parser.predict(texts)] == ["a", "b"]
 
 
 # --- chat formatting -------------------------------------------------------------------------
