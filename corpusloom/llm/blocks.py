@@ -60,17 +60,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Bases(NamedTuple):
-    """Where the polynomials over bytes and, twice, over words are evaluated."""
+    """Where the polynomials over bytes and over words are evaluated, each twice."""
 
     byte: int
     word: int
     word2: int
+    byte2: int
 
 
 def draw_bases() -> Bases:
     """Random bases. Whoever writes the texts can't know them, so no text is made to collide; all hashes that are compared need the same."""
     rng = random.SystemRandom()
-    return Bases(*(rng.randrange(1 << 40, PRIME - 1) for _ in range(3)))
+    return Bases(*(rng.randrange(1 << 40, PRIME - 1) for _ in Bases._fields))
 
 
 def reduced(x: np.ndarray) -> np.ndarray:
@@ -317,15 +318,16 @@ class Words:
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
         self._rolling: Rolling | None = None
         self._second: Rolling | None = None
+        self._apart: Rolling | None = None
 
-    def hashes(self) -> np.ndarray:
-        """Of each word, below PRIME: its bytes' polynomial."""
+    def hashes(self, base: int | None = None) -> np.ndarray:
+        """Of each word, below PRIME: its bytes' polynomial, at ``bases.byte`` if no base is given."""
         if not len(self.start):
             return np.zeros(0, U)
         size = self.end - self.start
         first = np.cumsum(size) - size
         at = spread(self.start, size)
-        power = powers(self.bases.byte, int(size.max()))[0][np.arange(len(at)) - np.repeat(first, size)]
+        power = powers(base or self.bases.byte, int(size.max()))[0][np.arange(len(at)) - np.repeat(first, size)]
         values = self.data[at].astype(U) + U(1)
         if size.max() <= 1 << 22:
             return _joined(np.add.reduceat(values * (power & _M32), first), np.add.reduceat(values * (power >> U(32)), first))
@@ -348,6 +350,13 @@ class Words:
             self._second = Rolling(self._hashes, self.bases.word2)
         return self._second
 
+    @property
+    def apart(self) -> Rolling:
+        """The same with other bases for bytes and words: nothing that makes two runs agree in ``rolling`` makes them agree here."""
+        if self._apart is None:
+            self._apart = Rolling(self.hashes(self.bases.byte2), self.bases.word2)
+        return self._apart
+
     def left(self) -> np.ndarray:
         """Words from each word to its document's end, itself included."""
         return self.first[1:][self.doc] - np.arange(len(self.start))

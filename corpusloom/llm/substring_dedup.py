@@ -6,13 +6,15 @@ word that it covers is removed. Documents come in batches, each later than those
 1. Each block of a batch writes its distinct window hashes as a sorted run, cut into buckets by their leading bits.
 2. A bucket's runs are merged with one another and with the immutable sorted runs that the index keeps of earlier batches.
    Each block gets back which of its windows are repeats; what is new becomes the batch's own run of the index.
-3. A match is verified by a second hash at another random base, drawn for the index: 88 bits agree, whatever the words.
+3. A match is verified by a second hash, whose bases for the bytes of words and for words are drawn apart from the first's, once for
+   the index: 88 bits agree, and none of them follows from another, whatever the words.
 4. When ``FANOUT`` runs stand on a level, they are compacted into one of the next level.
 
 The index is a folder: a table per run, bucketed by the buckets of the hashes, so that merging and compacting read the runs
 where they lie, without a shuffle; and a manifest that names the live runs. A manifest is written after its runs, so a batch
 that is broken off leaves the index as it was. A run holds only windows that no earlier one holds. When buckets would grow too
-large, the index is written anew with more of them.
+large, the index is written anew with more of them, and with more files: a file holds at most ``FILE_BUCKETS`` buckets, so the
+tasks that scan and merge grow with the index, whatever it began with.
 
 Defined cases: null text and text without words have n_words 0 and the hash of the empty string. Texts
 of fewer than 20 words lose nothing. A null doc_id counts as smaller than every other. Rows that share
@@ -43,6 +45,8 @@ WINDOW = 20
 HASH_BITS = 56
 #: Windows of a run that one row holds at most: rows of a megabyte would be hard on the collector.
 CHUNK = 1 << 14
+#: Buckets that one file of a run, and so one task of a merge, holds at most.
+FILE_BUCKETS = 4
 #: Runs of one level that are compacted into one of the next.
 FANOUT = 3
 #: Batches in which ``SubstringDedup`` feeds a table to its index.
@@ -59,7 +63,7 @@ class _Windows:
         self.words = words = Words(block, bases)
         self.at = np.flatnonzero(words.left() >= window)
         h = words.rolling.ranges(self.at, self.at + window) >> U(64 - HASH_BITS) << U(64 - HASH_BITS)
-        check = (words.second.ranges(self.at, self.at + window) >> U(32)).astype(np.uint32)
+        check = (words.apart.ranges(self.at, self.at + window) >> U(32)).astype(np.uint32)
         self.order = np.lexsort((self.at, check, h))
         h, check = h[self.order], check[self.order]
         new = np.ones(len(h), bool)
@@ -178,13 +182,13 @@ class FingerprintIndex:
         """A new run from ``rows`` (RUN_SCHEMA), dealt out by bucket."""
         name = f"run-{uuid.uuid4().hex}"
         rows.write.format("parquet").bucketBy(self.state["files"], "bucket").option("path", f"{self.folder}/{name}").saveAsTable(self._table_name(name))
-        n = self._read({"name": name}).where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        return {"name": name, "level": level, "n": n}
+        run = {"name": name, "level": level, "files": self.state["files"]}
+        return run | {"n": self._read(run).where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]}
 
     def _read(self, run: dict) -> DataFrame:
         table = self._table_name(run["name"])
         if not self.spark.catalog.tableExists(table):
-            self.spark.sql(f"CREATE TABLE {table} (kind INT, bucket INT, block_id BIGINT, n BIGINT, data BINARY) USING parquet CLUSTERED BY (bucket) INTO {self.state['files']} BUCKETS LOCATION '{self.folder}/{run['name']}'")
+            self.spark.sql(f"CREATE TABLE {table} (kind INT, bucket INT, block_id BIGINT, n BIGINT, data BINARY) USING parquet CLUSTERED BY (bucket) INTO {run['files']} BUCKETS LOCATION '{self.folder}/{run['name']}'")
         return self.spark.table(table)
 
     def drop(self) -> None:
@@ -200,7 +204,9 @@ class FingerprintIndex:
         bits = R.bucket_bits(hashes + sum(r["n"] for r in runs), self.state["files"], self.bucket_hashes)
         if bits <= self.state["bits"]:
             return
-        self.state["bits"] = bits
+        # A broken-off growth leaves the state, and the runs that it names, as they were.
+        state, files = self.state, max(self.state["files"], -(-(1 << bits) // FILE_BUCKETS))
+        self.state = state | {"bits": bits, "files": files}
         if not runs:
             return
 
@@ -211,8 +217,12 @@ class FingerprintIndex:
                     for b, i, j in R.cuts(h, bits):
                         yield _chunks(b, h[i:j], check[i:j])
 
-        rows = self._past(runs).mapInArrow(cut, RUN_SCHEMA).repartition(self.state["files"], "bucket")
-        self._publish([self._write(self._combined(rows), max(r["level"] for r in runs) + 1)])
+        try:
+            rows = self._past(runs).mapInArrow(cut, RUN_SCHEMA).repartition(files, "bucket")
+            self._publish([self._write(self._combined(rows), max(r["level"] for r in runs) + 1)])
+        except BaseException:
+            self.state = state
+            raise
 
     def _past(self, runs: list[dict]) -> DataFrame:
         """The buckets of some runs. Their tables are dealt out alike, and a union of them still is."""
@@ -240,12 +250,12 @@ class FingerprintIndex:
         return out
 
     def _add(self, docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> DataFrame:
-        window, bases, files = self.window, self.bases, self.state["files"]
+        window, bases = self.window, self.bases
         blocks = durable(pack(docs, id_col, text_col))
         stored = blocks.select(F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()[0]
         # A compressed byte stands for about three, a word for six.
         self._grow(stored / 2)
-        bits, runs = self.state["bits"], self.state["runs"]
+        bits, runs, files = (self.state[k] for k in ("bits", "runs", "files"))
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block, _ in blocks_of(batches):

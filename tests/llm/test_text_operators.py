@@ -12,7 +12,7 @@ from corpusloom.llm import jaccard_join, suffix_dedup
 from corpusloom.llm.blocks import pack
 from corpusloom.llm.decontaminate import Decontaminate
 from corpusloom.llm.jaccard_join import JaccardJoin
-from corpusloom.llm.substring_dedup import FingerprintIndex, SubstringDedup
+from corpusloom.llm.substring_dedup import FILE_BUCKETS, FingerprintIndex, SubstringDedup
 from corpusloom.llm.suffix_dedup import SuffixDedup
 from tests.llm import brute
 
@@ -85,6 +85,9 @@ def test_index_across_sessions_equals_one_batch(spark, tmp_path, bucket_hashes):
         got += rows(index.add(frame(spark, part)))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sorted(got, key=repr) == sorted(brute.substring_dedup(docs), key=repr)
+    # It began with 4 files; a file never holds more than a few buckets.
+    assert index.state["files"] == max(4, 2 ** index.state["bits"] // FILE_BUCKETS) and all(r["files"] == index.state["files"] for r in index.state["runs"])
+    assert bucket_hashes > 2000 or index.state["files"] > 4
     assert len(index.state["runs"]) < 4 and max(r["level"] for r in index.state["runs"]) >= 2
     assert sum(r["n"] for r in index.state["runs"]) == len({tuple(w[i : i + 20]) for _, t in docs for w in [brute.SPACE_WORDS.findall(t or "")] for i in range(len(w) - 19)})
     assert rows(index.add(frame(spark, [(9000, docs[0][1] + " tail"), (9001, "fresh words " * 3)]))) == sorted(brute.substring_dedup([*docs, (9000, docs[0][1] + " tail"), (9001, "fresh words " * 3)])[-2:], key=repr)
@@ -229,6 +232,20 @@ def test_hashes_are_those_of_plain_arithmetic():
     a = np.array([rng.randrange(n) for _ in range(40)])
     b = np.array([rng.randrange(i, n + 1) for i in a])
     assert words.rolling.raw(a, b).tolist() == [sum(x * pow(bases.word, k, B.PRIME) for k, x in enumerate(plain[i:j])) % B.PRIME for i, j in zip(a, b)]
+    other = [sum((c + 1) * pow(bases.byte2, i, B.PRIME) for i, c in enumerate(block.bytes[s:e].tolist())) % B.PRIME for s, e in zip(words.start, words.end)]
+    assert words.apart.raw(a, b).tolist() == [sum(x * pow(bases.word2, k, B.PRIME) for k, x in enumerate(other[i:j])) % B.PRIME for i, j in zip(a, b)]
+
+
+def test_words_of_one_hash_are_told_apart_by_the_second(spark, tmp_path):
+    """Where the first hash takes all words for the same (anagrams, at base 1 for bytes), windows still differ."""
+    rng = random.Random(8)
+    docs = [(i, " ".join("".join(rng.sample("abcdefgh", 8)) for _ in range(40))) for i in range(12)]
+    docs += [(20, docs[3][1]), (21, "hgfedcba " + docs[5][1][:260])]
+    index = FingerprintIndex(spark, str(tmp_path / "index"))
+    bases = B.draw_bases()._replace(byte=1)
+    index.state["bases"], index.bases = list(bases), bases
+    assert rows(index.add(frame(spark, docs))) == sorted(brute.substring_dedup(docs), key=repr)
+    index.drop()
 
 
 @pytest.mark.parametrize("run", [lambda d, b: SubstringDedup().dedup(d), lambda d, b: SuffixDedup().dedup(d), lambda d, b: JaccardJoin().components(d), lambda d, b: Decontaminate().annotate_hits(d, b)])
