@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import logging
 import os
 import re
 import shutil
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 T = TypeVar("T")
 _SHIPPED: set[str] = set()
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+_log = logging.getLogger(__name__)
 ARROW_BYTES = 8 << 20
 
 
@@ -33,7 +36,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config(_CLEAN, "true")
         .config("spark.driver.memory", os.environ.get("CORPUSLOOM_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
@@ -71,7 +74,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir.
 
     In local mode a temporary one is made where it names none, and deleted when Python ends; elsewhere that is an error, as executors
-    would not share it.
+    would not share it. Checkpoints under a folder that is set here go when the application ends; before that Spark deletes those
+    that nothing refers to, if the session has spark.cleaner.referenceTracking.cleanCheckpoints.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
@@ -82,6 +86,9 @@ def checkpoint_folder(spark: SparkSession) -> str:
             named = tempfile.mkdtemp(prefix="corpusloom-checkpoint-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
+        delete_at_exit(spark, sc._jsc.sc().getCheckpointDir().get())
+        if sc.getConf().get(_CLEAN, "false") != "true":
+            _log.warning("%s isn't set: checkpoints stay until the application ends", _CLEAN)
     return sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -91,6 +98,14 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Have a folder of any store deleted when the application ends, whether it exists by now or not."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)  # what doesn't exist can't be marked
+    fs.deleteOnExit(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder: a lost executor costs no recomputation of what came before."""
     checkpoint_folder(df.sparkSession)
