@@ -2,7 +2,8 @@
 
 STAGES run in this order, each on what the one before kept: language identification, near duplicates, repeated
 passages, benchmark leaks, mixing. Each stage's result is written as Parquet to the shared folder and read again as
-the documents of the next, so that a lost executor costs one stage at most; what the stage before it wrote is deleted then.
+the documents of the next, so that a lost executor costs one stage at most; what the stage before it wrote is deleted then. What the last stage reads is
+deleted when the application ends, as its result is computed where the caller asks for it.
 
 Defined cases: a null in any column passes every stage but the first, which drops null texts. Rows that share a doc_id, or have
 none, are documents of their own. Other columns are kept whatever their names, but for those two that the first stage adds for itself
@@ -21,7 +22,7 @@ from corpusloom.llm.jaccard_join import JaccardJoin
 from corpusloom.llm.language_id import LanguageId, held_out
 from corpusloom.llm.mixing import PoissonMix
 from corpusloom.llm.suffix_dedup import SuffixDedup
-from corpusloom.session import checkpoint_folder, delete_folder, durable, read_table
+from corpusloom.session import checkpoint_folder, delete_at_exit, delete_folder, durable, read_table
 
 #: Each stage but the last returns the columns of the table ``documents``.
 ORACLE_SQL = None  # the stages' suffix comparisons and trained model have no SQL; tests compare with brute force
@@ -78,6 +79,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to the documents of ``sf_dir``."""
     docs = read_table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/corpus-pipeline-{uuid.uuid4()}"
+    delete_at_exit(spark, folder)
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
