@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 
 PUBLIC_SYMBOLS = 8
+#: Ids that one part of a module's record spans.
+PART_IDS = 1024
 
 
 def module_groups(symbols: DataFrame) -> DataFrame:
@@ -44,8 +46,23 @@ def fallback_module(name: str, symbols: DataFrame) -> DataFrame:
     """A record for a module without a profile, of all symbols whose module has this name or path, in order of id.
 
     Here headers are counted once per symbol in one, and every symbol is public. The list grows with the module: it is
-    meant for lookups of one.
+    meant for lookups of one; ``fallback_parts`` gives the same in rows of bounded size.
     """
     own = symbols.where((F.col("module_name") == name) | (F.col("module_path") == name))
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("symbol_id", "qualified_name"))), lambda s: s["qualified_name"]), "\n")
     return own.agg(names.alias("summary"), F.count("*").alias("public_symbol_count"), F.coalesce(F.sum(X.is_header(F.col("file_path")).cast("long")), F.lit(0)).alias("header_count")).select(F.lit(name).alias("module_name"), F.lit(name).alias("module_path"), "summary", "public_symbol_count", "header_count")
+
+
+def fallback_parts(symbols: DataFrame, part_ids: int = PART_IDS) -> DataFrame:
+    """The records of ``fallback_module`` for all modules, in parts: (module_name, module_path, first_id, summary, public_symbol_count, header_count).
+
+    A part spans ``part_ids`` ids from ``first_id`` on, so no row holds more symbols than that, however many a module has, and they are
+    gathered by module and part: a module of very many symbols is spread over the tasks. A module's parts in order of ``first_id``, joined by
+    new lines, are its record, and their counts add up. Ids are unique and not null, as the index assigns them; a null name or path is a module of its own.
+    """
+    if part_ids < 1:
+        raise ValueError("a part spans an id at least")
+    key = ["module_name", "module_path", "first_id"]
+    named = symbols.withColumn("first_id", F.col("symbol_id") - F.pmod("symbol_id", F.lit(part_ids).cast("long")))
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("symbol_id", "qualified_name"))), lambda s: s["qualified_name"]), "\n")
+    return named.groupBy(*key).agg(names.alias("summary"), F.count("*").alias("public_symbol_count"), F.sum(F.coalesce(X.is_header(F.col("file_path")), F.lit(False)).cast("long")).alias("header_count"))

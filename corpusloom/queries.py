@@ -318,6 +318,14 @@ def fallback_module_record(spark, sf_dir):
     return profile.fallback_module("NATION_3", StarCorpus(spark, sf_dir).named_symbols)
 
 
+@query(
+    f"WITH {_GRAPH} SELECT module_name, module_path, (symbol_id - symbol_id % {profile.PART_IDS})::BIGINT AS first_id, string_agg(qualified_name, chr(10) ORDER BY symbol_id) AS summary, "
+    f"count(*) AS public_symbol_count, sum(({_HEADER})::INT)::BIGINT AS header_count FROM named GROUP BY 1, 2, 3"
+)
+def fallback_module_parts(spark, sf_dir):
+    return profile.fallback_parts(StarCorpus(spark, sf_dir).named_symbols)
+
+
 @query(f"WITH {_GRAPH} SELECT symbol_id, {_KIND} AS kind_name, {_RANK}::INT AS kind_rank, {_HEADER} AS is_header FROM named")
 def header_flag_rank(spark, sf_dir):
     s = StarCorpus(spark, sf_dir).named_symbols

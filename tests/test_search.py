@@ -57,6 +57,20 @@ def test_module_profile(spark):
     assert (f["public_symbol_count"], f["header_count"], f["summary"]) == (4, 3, "m::f\nm::C\nm\nm::C::g")
 
 
+def test_parts_of_a_module_are_its_record(spark):
+    rows = [(i, "m" if i % 3 else "n", "p", f"m/a.{'hpp' if i % 2 else 'cpp'}", 2, f"m::f{i}", None) for i in range(7, 300)]
+    symbols = spark.createDataFrame(rows, "symbol_id long, module_name string, module_path string, file_path string, kind int, qualified_name string, extra string").repartition(5)
+    parts = profile.fallback_parts(symbols, 16).orderBy("first_id").collect()
+    assert max(p["public_symbol_count"] for p in parts) <= 16 and {p["first_id"] % 16 for p in parts} == {0}
+    for name in ("m", "n"):
+        whole, own = profile.fallback_module(name, symbols).first(), [p for p in parts if p["module_name"] == name]
+        assert "\n".join(p["summary"] for p in own) == whole["summary"]
+        assert (sum(p["public_symbol_count"] for p in own), sum(p["header_count"] for p in own)) == (whole["public_symbol_count"], whole["header_count"])
+    assert profile.fallback_parts(symbols.limit(0)).count() == 0
+    # Nothing but the module's and the part's key decides where a row goes.
+    assert "hashpartitioning(module_name" in profile.fallback_parts(symbols)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_percentiles_by_nearest_rank(spark):
     values = [float(v) for v in np.random.default_rng(1).permutation(24)] + [3.0, 3.0, None]
     df = spark.createDataFrame([("a", v) for v in values] + [("b", 7.0)], "k string, v double")
