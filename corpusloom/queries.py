@@ -19,7 +19,7 @@ from corpusloom.operators import dml, evaluation, graph, profile, prompts, reach
 from corpusloom.plans.index import Indexer
 from corpusloom.plans.requests import parsed_requests
 from corpusloom.plans.views import ModuleViews
-from corpusloom.session import at_once, checkpoint_folder, delete_folder, durable
+from corpusloom.session import at_once, checkpoint_folder, dealt, delete_folder, durable
 from corpusloom.sources.adapters import SUPPLIERS, StarCorpus
 from corpusloom.sources.cpp import parse_files
 from corpusloom.sources.embedding import hash_vector, with_embeddings
@@ -910,5 +910,6 @@ def parse_cpp(spark, sf_dir):
     text = F.lit(_CPP)
     for mark, value in ((r"\bM\b", "module_name"), (r"(?<=\b(Mode|pick|main|C))I\b", "symbol_id"), (r"\bL\b", "start_line")):
         text = F.regexp_replace(text, F.lit(mark), F.col(value).cast("string"))
-    made = c.named_symbols.select(F.concat(F.lit("gen/"), F.col("symbol_id").cast("string"), F.lit(".cpp")).alias("path"), text.alias("text"))
-    return parse_files(made).select("path", "ordinal", "kind", "qualified_name", "signature", "start_line", "end_line", F.array_join("includes", ",").alias("includes"), F.array_join("outgoing_calls", ",").alias("calls"), F.array_join("base_classes", ",").alias("bases"))
+    # Dealt before the texts are made, which is cheaper than after.
+    made = dealt(c.named_symbols, "symbol_id").select(F.concat(F.lit("gen/"), F.col("symbol_id").cast("string"), F.lit(".cpp")).alias("path"), text.alias("text"))
+    return parse_files(made, deal=False).select("path", "ordinal", "kind", "qualified_name", "signature", "start_line", "end_line", F.array_join("includes", ",").alias("includes"), F.array_join("outgoing_calls", ",").alias("calls"), F.array_join("base_classes", ",").alias("bases"))

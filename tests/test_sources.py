@@ -1,10 +1,13 @@
 import json
 import math
 import subprocess
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.plans import completion
+from corpusloom.queries import QUERIES
 from corpusloom.sources import cpp, embedding, files, git
 from corpusloom.sources.config import Settings, parse_env
 
@@ -187,3 +190,21 @@ def test_completion():
     stream = 'data: {"choices":[{"delta":{"content":"Hello "}}]}\n\ndata: {"choices":[{"delta":{"content":"world"}}]}\n\ndata: [DONE]\n\n'
     assert completion.complete_stream(stream, lambda c: True) == "Hello world" and completion.complete_stream(stream, lambda c: False) == "Hello "
     assert "top_p" not in completion.request_body([], "m", temperature=0.1)
+
+
+def test_files_that_one_task_reads_are_parsed_by_many(spark):
+    """Parsing is many tasks' work though all texts lie in one partition; the rows are those of each file all the same."""
+    made = [(f"{i}.cpp", f"int f{i}() {{ return g{i}(); }}" if i % 50 else None) for i in range(400)]
+    df = spark.createDataFrame(made, "path string, text string").coalesce(1)
+    got = cpp.parse_files(df).withColumn("task", F.spark_partition_id()).collect()
+    per_task = Counter(r["task"] for r in got)
+    assert len(per_task) >= 4 and max(per_task.values()) < 200
+    assert sorted((r["path"], r["qualified_name"], r["error"] is None) for r in got) == sorted((p, t and f"f{p[:-4]}", t is not None) for p, t in made)
+    here = cpp.parse_files(df, deal=False).withColumn("task", F.spark_partition_id()).drop("task")
+    assert sorted(here.collect(), key=lambda r: r["path"]) == sorted((r[:-1] for r in got), key=lambda r: r[0])
+
+
+def test_parse_cpp_spreads_the_symbols_of_one_file(spark, sf):
+    """The table of customers is one small file; its texts are scanned by as many tasks as there are partitions."""
+    out = QUERIES["parse_cpp"](spark, sf).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(out) >= 4 and max(r["count"] for r in out) < sum(r["count"] for r in out) / 2
