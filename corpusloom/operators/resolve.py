@@ -3,6 +3,9 @@
 A reference may mean as many names as its scope is deep, and most of those exist nowhere. A Bloom filter of the known names, built by partial aggregates
 and of bounded size, passes over the candidates before they are shuffled, so that little more moves than what resolves. A name that very many
 references share would be one task's work in a join: such names are counted first, and their rows dealt over salts, those of the other side copied to each.
+
+A short name is one candidate more, behind all others, so one join finds both kinds. Candidates are made once, by many tasks however few bytes the
+references have, and kept for the count and the join.
 """
 
 from __future__ import annotations
@@ -15,26 +18,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.session import durable, prepare
+from corpusloom.session import dealt, durable, prepare
 
 #: Rows of one name that a task may get.
 HOT_ROWS = 1_000_000
-#: log2 of the filter's bits at most (16 MB), and bits to a name; with more names than that allows nothing is filtered.
-MOST_BITS, NAME_BITS = 27, 12
+#: log2 of the filter's bits at most (16 MB), and bits to a name, fewer where there are more names; with less than ``LEAST_BITS`` nothing is filtered.
+MOST_BITS, NAME_BITS, LEAST_BITS = 27, 12, 4
+#: What keys begin with: whole names, and short ones.
+_WHOLE, _SHORT = "=", "~"
+_HALF = (1 << 32) - 1
 
 
-def _places(name: Column, bits: int) -> list[Column]:
-    """Three places of a name in a filter of 2 ** bits bits."""
-    return [F.pmod(F.xxhash64(F.lit(k), name), F.lit(1 << bits)) for k in range(3)]
+def _places(digest: Column, bits: int) -> list[Column]:
+    """Three places of a name in a filter of 2 ** bits bits, from its 64-bit hash."""
+    low, high = digest.bitwiseAND(F.lit(_HALF)), F.shiftrightunsigned(digest, 32)
+    return [(low + high * k).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(3)]
 
 
 def name_filter(names: DataFrame, column: str = "qualified_name") -> tuple[int, np.ndarray] | None:
     """(log2 of its bits, bits packed in bytes) of a Bloom filter of distinct names; None if there are too many."""
     n = names.count()
-    bits = max(15, (max(1, n) * NAME_BITS - 1).bit_length())
-    if bits > MOST_BITS:
+    if n * LEAST_BITS > 1 << MOST_BITS:
         return None
-    places = names.select(F.explode(F.array(*_places(F.col(column), bits))).alias("at"))
+    bits = min(MOST_BITS, max(15, (max(1, n) * NAME_BITS - 1).bit_length()))
+    places = names.select(F.explode(F.array(*_places(F.xxhash64(column), bits))).alias("at"))
     # Pages of 2 ** 15 bits, made map-side first: 2 ** (bits - 3) bytes in all.
     page = F.bitmap_bucket_number("at")
     pages = places.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
@@ -57,14 +64,14 @@ def maybe_known(candidates: DataFrame, known: tuple[int, np.ndarray], column: st
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.ones(batch.num_rows, bool)
-            for column in batch.columns[-3:]:
-                at = column.to_numpy(zero_copy_only=False)
-                good &= (held.value[at >> 3] >> (at & 7)) & 1 > 0
-            out = batch.filter(pa.array(good))
-            yield out.select(out.schema.names[:-3])
+            digest = batch.columns[-1].to_numpy(zero_copy_only=False).view(np.uint64)
+            low, high = digest & np.uint64(_HALF), digest >> np.uint64(32)
+            for k in range(3):
+                at = (low + high * np.uint64(k)) & np.uint64((1 << bits) - 1)
+                good &= (held.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            yield batch.select(batch.schema.names[:-1]).filter(pa.array(good))
 
-    placed = candidates.select("*", *(c.alias(f"_place{k}") for k, c in enumerate(_places(F.col(column), bits))))
-    return placed.mapInArrow(keep, candidates.schema)
+    return candidates.select("*", F.xxhash64(column).alias("_digest")).mapInArrow(keep, candidates.schema)
 
 
 def join_hot(left: DataFrame, right: DataFrame, column: str, by: str, how: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -86,14 +93,19 @@ def resolve_names(references: DataFrame, symbols: DataFrame, hot_rows: int = HOT
     ``symbols``: (symbol_id, qualified_name); of several with one name the smallest id counts. Unqualified
     targets that no scope has fall back to the first symbol of that short name.
     """
-    exact = symbols.where("qualified_name is not null").groupBy("qualified_name").agg(F.min("symbol_id").alias("exact_id"))
-    short = symbols.where("qualified_name is not null").groupBy(X.short_name(F.col("qualified_name")).alias("short")).agg(F.min("symbol_id").alias("short_id"))
-    candidates = references.select("ref_id", F.posexplode(X.candidate_names(F.col("source_name"), F.col("target"))).alias("pos", "qualified_name"))
-    known = name_filter(exact)
-    likely = candidates if known is None else maybe_known(candidates, known)
-    first = join_hot(likely, exact, "qualified_name", "ref_id", "inner", hot_rows).groupBy("ref_id").agg(F.min_by("exact_id", "pos").alias("exact_id"))
-    found = references.join(first, "ref_id", "left").withColumn("short", F.when(~F.contains("target", F.lit("::")) & F.col("exact_id").isNull(), F.col("target")))
-    return join_hot(found, short, "short", "ref_id", "left", hot_rows).select(*references.columns, F.coalesce("exact_id", "short_id").alias("resolved_id"))
+    named = symbols.where("qualified_name is not null")
+    keys = (F.concat(F.lit(_WHOLE), "qualified_name"), F.concat(F.lit(_SHORT), X.short_name(F.col("qualified_name"))))
+    known = named.select(F.explode(F.array(*keys)).alias("key"), "symbol_id").groupBy("key").agg(F.min("symbol_id").alias("found_id"))
+    known = durable(known)
+    whole = F.transform(X.candidate_names(F.col("source_name"), F.col("target")), lambda c: F.concat(F.lit(_WHOLE), c))
+    short = F.when(~F.contains("target", F.lit("::")), F.array(F.concat(F.lit(_SHORT), "target"))).otherwise(F.array().cast("array<string>"))
+    candidates = dealt(references.select("ref_id", "source_name", "target"), "ref_id").select("ref_id", "target", F.posexplode(F.concat(whole, short)).alias("pos", "key"))
+    sieve = name_filter(known, "key")
+    likely = durable(candidates if sieve is None else maybe_known(candidates, sieve, "key"))
+    first = join_hot(likely, known, "key", "ref_id", "inner", hot_rows).groupBy("ref_id", "target").agg(F.min_by("found_id", "pos").alias("resolved_id"))
+    first = first.select(F.col("ref_id").alias("_ref"), F.col("target").alias("_target"), "resolved_id")
+    same = F.col("ref_id").eqNullSafe(F.col("_ref")) & F.col("target").eqNullSafe(F.col("_target"))
+    return references.join(first, same, "left").select(*references.columns, "resolved_id")
 
 
 def touched(references: DataFrame, names: DataFrame) -> DataFrame:

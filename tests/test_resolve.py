@@ -93,3 +93,33 @@ def test_a_hot_name_is_many_tasks_work(spark):
         for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled"):
             spark.conf.unset(k)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_references_of_few_bytes_are_many_tasks_work_and_made_once(spark):
+    """All references lie in one partition; their candidates are made by many tasks, and each reference is read twice: for its candidates and for the result."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    refs = spark.range(0, 8000, 1, 1).select(F.col("id").alias("ref_id"), F.concat(F.lit("a::b::c"), "id").alias("source_name"), F.concat(F.lit("t"), F.col("id") % 40).alias("target"))
+    symbols = spark.range(40).select(F.col("id").alias("symbol_id"), F.concat(F.lit("z::t"), "id").alias("qualified_name"))
+    got = resolve.resolve_names(refs.mapInArrow(seen, refs.schema), symbols).collect()
+    assert {r["resolved_id"] == r["ref_id"] % 40 for r in got} == {True} and len(got) == 8000
+    assert reads.value <= 16_000
+
+
+def test_references_that_share_an_id_or_have_none(spark):
+    refs = [(1, "a::f", "x"), (1, "a::f", "y"), (None, "a::f", "x"), (2, None, "y"), (3, "a::f", None), (4, "a::f", "=x"), (1, "a::f", "x")]
+    symbols = [(10, "q::x"), (11, "q::y"), (12, "~x"), (13, "b::=x"), (14, "")]
+    got = resolve.resolve_names(spark.createDataFrame(refs, REFS), spark.createDataFrame(symbols, SYMBOLS)).collect()
+    assert sorted((str(r["ref_id"]), str(r["target"]), r["resolved_id"]) for r in got) == [("1", "x", 10), ("1", "x", 10), ("1", "y", 11), ("2", "y", 11), ("3", "None", None), ("4", "=x", 13), ("None", "x", 10)]
+
+
+def test_more_names_than_the_filter_likes_still_pass_one(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "MOST_BITS", 15)
+    known = spark.range(6000).select(F.concat(F.lit("k::"), "id").alias("qualified_name"))
+    bits, packed = resolve.name_filter(known)
+    assert bits == 15 and resolve.maybe_known(known, (bits, packed)).count() == 6000
