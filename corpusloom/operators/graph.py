@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.model import SYMBOL_COLUMNS, SYMBOL_ORDER
-from corpusloom.session import durable
+from corpusloom.session import dealt, durable
 
 
 def with_modules(symbols: DataFrame, modules: DataFrame) -> DataFrame:
@@ -65,10 +65,13 @@ def lookup_any_suffix(name: str, symbols: DataFrame, modules: DataFrame) -> Data
 
 
 def edge_modules(edges: DataFrame, left: str, right: str, symbols: DataFrame) -> DataFrame:
-    """Edges with the modules of both ends, as ``<end>_module_id``; edges to unknown symbols go."""
+    """Edges with the modules of both ends, as ``<end>_module_id``; edges to unknown symbols go.
+
+    Edges are dealt before each join: they are few bytes and many rows, which adaptive execution would join to a few tasks that sort too many.
+    """
     ids = symbols.select("symbol_id", "module_id")
     for end in (left, right):
-        edges = edges.join(ids.withColumnsRenamed({"symbol_id": f"{end}_symbol_id", "module_id": f"{end}_module_id"}), f"{end}_symbol_id")
+        edges = dealt(edges, f"{end}_symbol_id").join(ids.withColumnsRenamed({"symbol_id": f"{end}_symbol_id", "module_id": f"{end}_module_id"}), f"{end}_symbol_id")
     return edges
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.functions.vectors import cosine, vector_literal
+from corpusloom.operators.dml import assign_ids
+from corpusloom.session import dealt
 
 MODULE_TOP_K, SYMBOL_TOP_K, RELATED_LIMIT, CONTEXT_TOKENS = 3, 5, 4, 256
 #: Shares of a hub's neighbours.
@@ -46,29 +48,39 @@ def hierarchical_search(symbols: DataFrame, modules: DataFrame, query: list[floa
 def related(hits: DataFrame, calls: DataFrame, symbols: DataFrame, limit: int | None = RELATED_LIMIT) -> DataFrame:
     """(hit_id, direction, rank, symbol columns): each hit's callers and callees by name and file, ``limit`` of each.
 
-    ``symbols`` come with their modules (``graph.with_modules``). One join a direction for all hits together.
+    ``symbols`` come with their modules (``graph.with_modules``). They are numbered once in the order of the ranks, so what is joined, sorted and cut
+    are numbers, two rows a call; the symbols' columns are joined to what is left.
     """
-
-    def side(direction: str, key: str, other: str) -> DataFrame:
-        pairs = calls.join(hits.select(F.col("symbol_id").alias(key)), key).select(F.col(key).alias("hit_id"), F.col(other).alias("symbol_id")).distinct()
-        return pairs.join(symbols, "symbol_id").withColumn("direction", F.lit(direction))
-
-    both = side("callers", "callee_symbol_id", "caller_symbol_id").unionByName(side("callees", "caller_symbol_id", "callee_symbol_id"))
     order = ("qualified_name", "file_path", "symbol_id")
+    numbered = assign_ids(symbols, "_at", 0, *order)
+    ends = calls.select("caller_symbol_id", "callee_symbol_id").distinct()
+    both = (F.struct(F.lit(up).alias("_up"), F.col(hit).alias("hit_id"), F.col(other).alias("symbol_id")) for up, hit, other in ((True, "callee_symbol_id", "caller_symbol_id"), (False, "caller_symbol_id", "callee_symbol_id")))
+    pairs = ends.select(F.inline(F.array(*both)))
+    pairs = dealt(pairs, "hit_id").join(hits.select(F.col("symbol_id").alias("hit_id")).distinct(), "hit_id")
+    rows = dealt(pairs, "symbol_id").join(numbered.select("symbol_id", "_at"), "symbol_id").select("hit_id", "_up", "_at")
     if limit is not None:
-        return top_rows(both, ("hit_id", "direction"), order, limit)
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("hit_id", "direction").orderBy(*order)))
+        top = top_rows(rows, ("hit_id", "_up"), ("_at",), limit, salt="_at", deal=True)
+    else:
+        top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("hit_id", "_up").orderBy("_at")))
+    direction = F.when(F.col("_up"), "callers").otherwise("callees").alias("direction")
+    return dealt(top, "_at").join(numbered, "_at").select("hit_id", *symbols.columns, direction, "rank")
 
 
-def top_rows(rows: DataFrame, key: Sequence[str], order: Sequence[str], limit: int, salts: int = SALTS, salt: str = "symbol_id") -> DataFrame:
+def top_rows(rows: DataFrame, key: Sequence[str], order: Sequence[str], limit: int, salts: int = SALTS, salt: str = "symbol_id", deal: bool = False) -> DataFrame:
     """The first ``limit`` rows of each key in an order, with their ``rank`` from 1, however many rows a key has.
 
     What a key's rows leave is a table of ``limit`` rows: each task makes one before the shuffle, tasks of ``salts`` shares of the key merge those, and one
     merges the shares' tables. So a key of any size hands no task more than ``limit`` rows a share and task. ``order`` has to tell rows apart.
+
+    ``deal``: for very many keys of few rows each, of which such tables leave nothing out: rows are dealt whole, a share of a key to a task, over a number of
+    tasks that adaptive execution doesn't lower, so that none sorts more than its part.
     """
     share = F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")
     by = Window.partitionBy(*key, "_share").orderBy(*order)
-    shares = rows.withColumn("_share", share).withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= limit).drop("_rank", "_share")
+    rows = rows.withColumn("_share", share)
+    rows = dealt(rows, *key, "_share") if deal else rows
+    shares = rows.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= limit).drop("_rank", "_share")
+    shares = dealt(shares, *key) if deal else shares
     return shares.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= limit)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.graph import edge_modules, with_modules
-from corpusloom.session import read_table
+from corpusloom.session import dealt, read_table
 
 #: Suppliers' symbol ids start here.
 SUPPLIERS = 1_000_000_000_000
@@ -71,6 +71,7 @@ class StarCorpus:
         if self.sparse:
             picked = picked.where((F.col("l_quantity") == quantity) & (F.col("l_linenumber") == line))
         o = self.table("orders").select("o_orderkey", "o_custkey")
+        picked = dealt(picked, "l_orderkey")
         return picked.join(o, picked.l_orderkey == o.o_orderkey)
 
     def _modules_of(self, edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -78,12 +79,14 @@ class StarCorpus:
 
     @cached_property
     def calls(self) -> DataFrame:
-        pairs = self._orders("R", 50, 1).select(F.col("o_custkey").alias("caller_symbol_id"), (F.col("l_suppkey") + SUPPLIERS).alias("callee_symbol_id")).distinct()
+        pairs = self._orders("R", 50, 1).select(F.col("o_custkey").alias("caller_symbol_id"), (F.col("l_suppkey") + SUPPLIERS).alias("callee_symbol_id"))
+        pairs = dealt(pairs, "caller_symbol_id").distinct()
         return self._modules_of(pairs, "caller", "callee").withColumn("call_id", F.xxhash64("caller_symbol_id", "callee_symbol_id"))
 
     @cached_property
     def inheritance(self) -> DataFrame:
-        pairs = self._orders("A", 49, 2).select((F.col("l_suppkey") + SUPPLIERS).alias("derived_symbol_id"), F.col("o_custkey").alias("base_symbol_id")).distinct()
+        pairs = self._orders("A", 49, 2).select((F.col("l_suppkey") + SUPPLIERS).alias("derived_symbol_id"), F.col("o_custkey").alias("base_symbol_id"))
+        pairs = dealt(pairs, "derived_symbol_id").distinct()
         return self._modules_of(pairs, "derived", "base").withColumn("inheritance_id", F.xxhash64("derived_symbol_id", "base_symbol_id"))
 
     @cached_property

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import centroids, cosine, normalize
 from corpusloom.operators import evaluation, profile, search
+from corpusloom.session import dealt
 
 
 @pytest.fixture(scope="module")
@@ -122,3 +123,28 @@ def test_a_hub_of_a_million_rows_is_in_no_task_whole(spark):
     names = sorted(f"n{i * 7919 % 1_000_003}" for i in range(1_000_000))[:4]
     assert sorted((r["hit_id"], r["rank"], r["qualified_name"]) for r in got) == [(7, k, n) for k, n in enumerate(names, 1)] + [(8, k, f"z{k - 1}") for k in (1, 2, 3)]
     assert 0 < most < 5000
+
+
+def test_relations_of_many_hits_are_many_tasks_work(spark):
+    """Rows of few bytes are dealt by number, not by bytes: no task sorts much more than its share, and the rows are those of a plain ranking."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        symbols = spark.range(20_000).select(F.col("id").alias("symbol_id"), F.concat(F.lit("n"), F.col("id") * 7919 % 501).alias("qualified_name"), F.when(F.col("id") % 9 > 0, "f").alias("file_path"))
+        calls = spark.range(300_000).select((F.col("id") % 19_997).alias("caller_symbol_id"), (F.col("id") * 31 % 20_011).alias("callee_symbol_id")).unionByName(spark.range(9).select(F.lit(5).alias("caller_symbol_id"), "id").toDF("caller_symbol_id", "callee_symbol_id"))
+        calls = dealt(calls, "callee_symbol_id")  # as those of the registered queries come
+        hits = symbols.where("symbol_id < 15000")
+        got = []
+        most = largest_task(spark, lambda: got.extend(search.related(hits, calls, symbols).select("hit_id", "direction", "rank", "symbol_id").collect()))
+        assert 0 < most < 45_000
+        names = {r[0]: (r[1], r[2] is not None, r[2] or "", r[0]) for r in symbols.collect()}
+        near = {}
+        for a, b in {tuple(r) for r in calls.collect()}:
+            if a in names and b in names:
+                near.setdefault((b, "callers"), []).append(a)
+                near.setdefault((a, "callees"), []).append(b)
+        wanted = [(h, d, k, i) for (h, d), ids in near.items() if h < 15_000 for k, i in enumerate(sorted(ids, key=names.get)[:4], 1)]
+        assert sorted(map(tuple, got)) == sorted(wanted)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
